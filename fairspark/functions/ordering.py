@@ -184,32 +184,79 @@ def hash_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def hash_cuts(
+    rows: DataFrame,
+    keys: Sequence[str],
+    hash_col: str,
+    id_col: str,
+    limit: Column,
+    carry: Sequence[str] = (),
+    bucket_digits: int = 4,
+) -> DataFrame:
+    """Per key the (hash, id) of the ``limit``-th smallest row, as ``cut_hash, cut_id``.
+
+    Hash prefixes are uniform buckets of the order. Bucket counts (combined on the
+    map side) tell which bucket holds the limit, and only the rows of that bucket
+    are ranked: a key is never sorted as a whole. ``limit`` may use ``n``, the row
+    count of the key, and the ``carry`` columns, which are constant per key.
+    ``take_all`` tells keys whose limit covers every row.
+    """
+    part = [*keys, "__bucket"]
+    bucketed = rows.withColumn("__bucket", F.substring(hash_col, 1, bucket_digits))
+    sizes = bucketed.groupBy(*part).agg(F.count("*").alias("__cnt"), *[F.max(c).alias(c) for c in carry])
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = (
+        sizes.withColumn("n", F.sum("__cnt").over(whole))
+        .withColumn("__cum", F.sum("__cnt").over(upto))
+        .withColumn("__limit", limit)
+    )
+    room = F.col("__limit") - (F.col("__cum") - F.col("__cnt"))
+    edge = filled.where((room > 0) & (room <= F.col("__cnt"))).select(*part, room.alias("__room"))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy(hash_col, id_col))
+    ranked = bucketed.join(edge, part).withColumn("__rank", rank)
+    cuts = ranked.where(F.col("__rank") == F.col("__room")).select(
+        *keys, F.col(hash_col).alias("cut_hash"), F.col(id_col).alias("cut_id")
+    )
+    limits = filled.groupBy(*keys).agg((F.max("__limit") >= F.max("n")).alias("take_all"))
+    return limits.join(cuts, list(keys), "left")
+
+
+def within_cut(hash_col: Column, id_col: Column) -> Column:
+    """Whether a row comes at or before its key's cut."""
+    before = (hash_col < F.col("cut_hash")) | ((hash_col == F.col("cut_hash")) & (id_col <= F.col("cut_id")))
+    return F.coalesce(F.col("take_all") | before, F.lit(False))
+
+
 def first_by_hash(
-    df: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     hash_col: str,
-    id_cols: Sequence[str],
+    id_col: str,
     limit: Column,
     flag: str = "chosen",
+    carry: Sequence[str] = (),
     bucket_digits: int = 4,
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the smallest (hash, id).
 
-    Hash prefixes are uniform buckets of the order. Bucket counts tell which
-    bucket holds the limit; rows of earlier buckets are in, of later ones out, and
-    only the rows of that one bucket are ranked.
+    The cut table has one row per key and joins back without moving the rows when
+    adaptive execution finds it small.
     """
-    part = [*keys, "__bucket"]
-    rows = df.withColumn("__bucket", F.substring(hash_col, 1, bucket_digits))
-    sizes = rows.groupBy(*part).agg(F.count("*").alias("__cnt"), F.max(limit).alias("__limit"))
-    upto = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    filled = sizes.withColumn("__cum", F.sum("__cnt").over(upto))
-    room = filled.select(*part, (F.col("__limit") - (F.col("__cum") - F.col("__cnt"))).alias("__room"), "__cnt")
-    marked = rows.join(room, part)
-    sure = marked.where(F.col("__room") >= F.col("__cnt")).withColumn(flag, F.lit(True))
-    never = marked.where(F.col("__room") <= 0).withColumn(flag, F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(hash_col, *id_cols))
-    edge = marked.where((F.col("__room") > 0) & (F.col("__room") < F.col("__cnt"))).withColumn(
-        flag, rank <= F.col("__room")
-    )
-    return sure.unionByName(never).unionByName(edge).drop("__bucket", "__room", "__cnt")
+    cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, bucket_digits)
+    joined = rows.join(cuts, list(keys))
+    return joined.withColumn(flag, within_cut(F.col(hash_col), F.col(id_col))).drop("cut_hash", "cut_id", "take_all")
+
+
+def string_index(values: DataFrame, column: str, alias: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """1-based position of distinct strings in binary order, ranked in blocks.
+
+    The six bytes after the prefix shared by the smallest and largest value give a
+    numeric order key to cut blocks on; ties inside a block order by the full value.
+    """
+    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    lo, hi = ((ends[k] or "").encode() for k in ("lo", "hi"))
+    shared = next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
+    digits = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 2 * shared + 1, 12), 12, "0")
+    keyed = values.select("*", F.lit(1).alias("__one"), F.conv(digits, 16, 10).cast("double").alias("__key"))
+    return row_index(keyed, ["__one"], ["__key", column], alias, rows_per_block=rows_per_block).drop("__one", "__key")
