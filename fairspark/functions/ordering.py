@@ -84,18 +84,15 @@ def running_sums(
     scanned = blocked.select(
         "*", *[F.sum(f"__in_{name}").over(local).alias(name) for name in sums]
     )
-    inputs = [f"__in_{name}" for name in sums]
     if not points:
-        return scanned.drop(BLOCK, *inputs)
+        return scanned.select(*df.columns, *sums)
     totals = blocked.groupBy(*part).agg(*[F.sum(f"__in_{n}").alias(f"__tot_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *part, *[F.coalesce(F.sum(f"__tot_{n}").over(before), F.lit(0)).alias(f"__carry_{n}") for n in sums]
     )
-    joined = scanned.join(carry, part)
-    for name in sums:
-        joined = joined.withColumn(name, F.col(name) + F.col(f"__carry_{name}"))
-    return joined.drop(BLOCK, *inputs, *[f"__carry_{n}" for n in sums])
+    shifted = [(F.col(name) + F.col(f"__carry_{name}")).alias(name) for name in sums]
+    return scanned.join(carry, part).select(*df.columns, *shifted)
 
 
 def next_in_order(

@@ -146,3 +146,25 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = cells.select(steps.alias("s")).groupBy("s.src", "s.dst").agg(F.sum("s.n").alias("n"))
     out = flows.groupBy("src").agg(F.sum("n").alias("total"))
     return flows.join(out, "src").select("src", "dst", F.bround(F.col("n") / F.col("total"), 6).alias("weight"))
+
+
+def drift_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One check per feature and day after the split: distance of the daily mean from
+    the reference mean in reference deviations."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    day = F.dayofmonth("ts").cast("bigint")
+    late = F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp")
+    fit = events.where(~late).groupBy(F.col("event_type").alias("feature")).agg(
+        F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd")
+    )
+    daily = events.where(late).groupBy(F.col("event_type").alias("feature"), day.alias("day")).agg(F.avg("value").alias("m"))
+    stat = F.bround(F.abs(F.col("m") - F.col("mu")) / F.greatest("sd", F.lit(1e-10)), 6)
+    drifted = F.col("statistic") >= 0.05
+    scored = daily.join(fit, "feature").withColumn("statistic", stat)
+    code = F.ascii(F.col("feature")).cast("bigint")
+    return scored.select(
+        (F.col("day") * 1000 + code).alias("record_id"), "day", "feature", F.lit("mean_shift").alias("detector_type"),
+        "statistic", drifted.alias("drift_detected"),
+        F.when(~drifted, "none").when(F.col("statistic") >= 0.5, "critical").when(F.col("statistic") >= 0.3, "high")
+        .when(F.col("statistic") >= 0.15, "medium").otherwise("low").alias("severity"),
+    )

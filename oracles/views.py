@@ -35,6 +35,14 @@ VIEWS = {
         round_even(avg(CASE WHEN value >= 90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS eo_gap,
         round_even(avg(CASE WHEN value < 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS calibration_error
         FROM events WHERE value IS NOT NULL GROUP BY ALL""",
+    "drift_records": """SELECT day * 1000 + ascii(feature) AS record_id, day, feature, 'mean_shift' AS detector_type, statistic,
+        statistic >= 0.05::DOUBLE AS drift_detected,
+        CASE WHEN statistic < 0.05::DOUBLE THEN 'none' WHEN statistic >= 0.5::DOUBLE THEN 'critical' WHEN statistic >= 0.3::DOUBLE THEN 'high'
+             WHEN statistic >= 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS severity
+        FROM (SELECT f.feature, d.day, round_even(abs(m - mu) / greatest(sd, 1e-10), 6) AS statistic
+        FROM (SELECT event_type AS feature, avg(value) AS mu, stddev_pop(value) AS sd FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1) f
+        JOIN (SELECT event_type AS feature, dayofmonth(ts)::BIGINT AS day, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1, 2) d
+        ON f.feature = d.feature)""",
     "flow_edges": """SELECT src, dst, round_even(n::DOUBLE / sum(n) OVER (PARTITION BY src)::DOUBLE, 6) AS weight FROM (
         SELECT src, dst, count(*) AS n FROM (
           SELECT unnest([
