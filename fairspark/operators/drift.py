@@ -6,8 +6,10 @@ numbering) use blocked scans, so one dominant feature does not end in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ from fairspark.functions.ordering import (
     BLOCK,
     ROWS_PER_BLOCK,
     exact_quantiles,
-    hash_cuts,
     next_in_order,
     row_index,
     running_sums,
     split_points,
     with_blocks,
 )
+from fairspark.functions.permutation import coefficients, labels, permutation_cuts
+from fairspark.session import materialise
 
 MIN_REFERENCE = 30
 MIN_COMPARE = 20
@@ -204,62 +207,136 @@ def wasserstein_equal(df: DataFrame, a: str, b: str, rows_per_block: int = ROWS_
     )
 
 
-def permutation_hashes(id_col: Column, n_perm: int, seed: int = 42) -> Column:
-    """One 32-bit hex key per permutation; every md5 serves four permutations."""
-    def four(j):
-        digest = F.md5(F.concat_ws("|", id_col.cast("string"), F.lit(str(seed)), j.cast("string")))
-        return F.array(*[F.substring(digest, 1 + 8 * i, 8) for i in range(4)])
+KEEP_HOT = 64
+FLUSH_DISTINCT = 20_000
+ROWS_PER_PERM_BLOCK = 20_000
 
-    blocks = F.transform(F.sequence(F.lit(0), F.lit((n_perm + 3) // 4 - 1)), four)
-    return F.slice(F.flatten(blocks), 1, n_perm)
+
+def _labelled_counts(coef: np.ndarray, cuts: dict):
+    """Per partition and distinct value: rows, reference rows and, for every permutation,
+    rows labelled as reference. Values seen most often stay in the buffer until the end,
+    so a hot value leaves a task once."""
+
+    def merge(a, b):
+        values = np.concatenate([a[0], b[0]])
+        order = np.argsort(values, kind="stable")
+        values, start = np.unique(values[order], return_index=True)
+        return values, np.add.reduceat(np.concatenate([a[1], b[1]])[order], start)
+
+    def frame(g, values, counts) -> pd.DataFrame:
+        return pd.DataFrame({"grp": g, "value": values, "counts": list(counts)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict = {}
+        for pdf in batches:
+            for g, part in pdf.groupby("grp"):
+                marked = labels(part["id"].to_numpy(), coef, cuts[g])
+                values = part["value"].to_numpy()
+                order = np.argsort(values, kind="stable")
+                distinct, start = np.unique(values[order], return_index=True)
+                matrix = np.column_stack([np.ones(len(values), bool), part["is_ref"].to_numpy(bool), marked])
+                found = (distinct, np.add.reduceat(matrix[order].astype(np.int64), start))
+                acc[g] = merge(acc[g], found) if g in acc else found
+                if len(acc[g][0]) > FLUSH_DISTINCT:
+                    values, counts = acc[g]
+                    hot = np.zeros(len(values), bool)
+                    hot[np.argpartition(counts[:, 0], -KEEP_HOT)[-KEEP_HOT:]] = True
+                    yield frame(g, values[~hot], counts[~hot])
+                    acc[g] = (values[hot], counts[hot])
+        for g, (values, counts) in acc.items():
+            yield frame(g, values, counts)
+
+    return run
+
+
+def _block_totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum(np.stack(pdf["counts"].to_list()), axis=0)
+    return pd.DataFrame(
+        {"grp": [pdf["grp"].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]], "first_value": [pdf["value"].min()], "total": [total.tolist()]}
+    )
+
+
+def _block_distances(sizes: dict):
+    """Sum of |F - G| * width over one block for the observed labels and all permutations."""
+
+    def run(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["grp"].iloc[0]
+        n, m = sizes[g]
+        values = pdf["value"].to_numpy()
+        order = np.argsort(values, kind="stable")
+        values, start = np.unique(values[order], return_index=True)
+        counts = np.add.reduceat(np.stack(pdf["counts"].to_list())[order], start)
+        begin = np.asarray(carry["carry"].iloc[0]) if len(carry) else np.zeros(counts.shape[1], np.int64)
+        cum = counts.cumsum(axis=0) + begin
+        after = carry["next_value"].iloc[0] if len(carry) else None
+        ends = np.append(values[1:], values[-1] if after is None or pd.isna(after) else after)
+        width = (ends - values)[:, None]
+        new = max(n - m, 1)
+        gap = np.abs(cum[:, 1:] / max(m, 1) - (cum[:, :1] - cum[:, 1:]) / new) * width
+        return pd.DataFrame({"grp": [g], "part": [gap.sum(axis=0).tolist()]})
+
+    return run
 
 
 def permutation_test(
-    df: DataFrame, n_perm: int = MAX_PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, n_perm: int = MAX_PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PERM_BLOCK
 ) -> DataFrame:
     """W1 of the observed labelling and of ``n_perm`` random relabellings per feature.
 
-    A permutation labels the ``n_ref`` rows with the smallest hash key as reference.
-    The rows are sorted by value once for all permutations: per distinct value one
-    aggregate holds the labelled count of every permutation, and the running sums of
-    these columns give all permuted CDFs together.
+    Every permutation labels exactly ``n_ref`` rows of the feature as reference. The
+    pooled values are cut into blocks once for all permutations; a block turns its
+    counts into cumulative counts as one matrix and needs only the totals of the
+    earlier blocks. No (row, permutation) pair is ever shuffled.
     """
     n_perm = min(n_perm, MAX_PERMUTATIONS)
-    base = df.where(F.col("value").isNotNull() & F.col("side").isin("ref", "new"))
-    sizes = base.groupBy("feature").agg(
-        count_if(F.col("side") == "ref").alias("n_ref"), count_if(F.col("side") == "new").alias("n_new")
+    spark = df.sparkSession
+    base = df.where(F.col("value").isNotNull() & F.col("side").isin("ref", "new")).select(
+        F.col("feature").alias("grp"), F.col("seq").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"),
+        (F.col("side") == "ref").alias("is_ref"),
+    )
+    # The rows feed three compute-heavy passes: spread them evenly and fix them once.
+    rows = materialise(base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), count_if(F.col("is_ref")).alias("m"))
+    sizes_local = {r["grp"]: (r["n"], r["m"]) for r in sizes.collect()}
+    cuts = permutation_cuts(rows.select("grp", "id"), sizes, n_perm, seed)
+    coef = coefficients(n_perm, seed)
+    pooled = materialise(
+        rows.mapInPandas(_labelled_counts(coef, cuts), "grp string, value double, counts array<bigint>")
+    )
+    blocked = with_blocks(pooled, "value", split_points(pooled, "value", rows_per_block))
+    keys = ["grp", BLOCK]
+    totals = blocked.groupBy(*keys).applyInPandas(
+        _block_totals, f"grp string, `{BLOCK}` double, first_value double, total array<bigint>"
+    )
+    per_perm = totals.select(*keys, "first_value", F.posexplode("total").alias("perm", "cnt"))
+    order = Window.partitionBy("grp", "perm").orderBy(BLOCK)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        per_perm.select(
+            *keys, "perm", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("c"), F.lead("first_value").over(order).alias("nv")
+        )
+        .groupBy(*keys)
+        .agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("perm", "c"))), lambda x: x["c"]).alias("carry"),
+            F.max("nv").alias("next_value"),
+        )
     )
-    rows = base.select(
-        "feature", "seq", "value", (F.col("side") == "ref").cast("int").alias("is_ref"),
-        permutation_hashes(F.col("seq"), n_perm, seed).alias("keys"),
-    )
-    spread = rows.join(sizes, "feature").select("feature", "seq", "n_ref", F.posexplode("keys").alias("perm", "hash"))
-    cuts = hash_cuts(spread, ["feature", "perm"], "hash", "seq", F.col("n_ref"), carry=["n_ref"], bucket_digits=2)
-    cut = F.struct("perm", F.coalesce("cut_hash", F.lit("g")).alias("h"), F.coalesce("cut_id", F.lit(0)).alias("i"))
-    per_feature = cuts.groupBy("feature").agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
-    flags = F.zip_with(
-        "keys", "cuts",
-        lambda h, c: F.when((h < c["h"]) | ((h == c["h"]) & (F.col("seq") <= c["i"])), F.lit(1)).otherwise(F.lit(0)),
-    )
-    labelled = rows.join(per_feature, "feature").select("feature", "value", "is_ref", flags.alias("f"))
-    names = [f"p{i}" for i in range(n_perm)]
-    pooled = labelled.groupBy("feature", "value").agg(
-        F.count("*").alias("all"), F.sum("is_ref").alias("obs"), *[F.sum(F.col("f")[i]).alias(n) for i, n in enumerate(names)]
-    )
-    points = split_points(base, "value", rows_per_block)
-    sums = {f"c_{c}": F.col(c) for c in ["all", "obs", *names]}
-    cum = running_sums(pooled, ["feature"], ["value"], sums, points)
-    chained = next_in_order(cum.select("feature", "value", *sums), ["feature"], "value", "next_value", points)
-    width = F.col("next_value") - F.col("value")
-    # The last value of a feature has no right neighbour and no width; sum() skips the null.
-    gap = lambda c: F.abs(F.col(c) / F.col("n_ref") - (F.col("c_all") - F.col(c)) / F.col("n_new")) * width
-    wide = chained.join(sizes, "feature").groupBy("feature").agg(
-        F.max("n_ref").alias("n_ref"),
-        F.max("n_new").alias("n_new"),
-        F.sum(gap("c_obs")).alias("w1"),
-        F.array(*[F.sum(gap(f"c_{n}")) for n in names]).alias("permuted"),
+    parts = (
+        blocked.groupBy(*keys)
+        .cogroup(carry.groupBy(*keys))
+        .applyInPandas(_block_distances(sizes_local), "grp string, part array<double>")
+    )
+    summed = parts.select("grp", F.posexplode("part").alias("perm", "d")).groupBy("grp", "perm").agg(F.sum("d").alias("d"))
+    wide = summed.groupBy("grp").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("perm", "d"))), lambda x: x["d"]).alias("all")
+    )
+    return wide.join(sizes, "grp").select(
+        F.col("grp").alias("feature"),
+        F.col("m").alias("n_ref"),
+        (F.col("n") - F.col("m")).alias("n_new"),
+        F.col("all")[0].alias("w1"),
+        F.slice("all", 2, n_perm).alias("permuted"),
     )
-    return wide
 
 
 def permutation_rows(test: DataFrame) -> DataFrame:

@@ -34,8 +34,10 @@ def ecdf(view: str) -> dict[str, str]:
 def perm(view: str, n: int = 200) -> dict[str, str]:
     return {
         "nr": f"SELECT feature, count(*) FILTER (WHERE side = 'ref') AS n_ref, count(*) FILTER (WHERE side = 'new') AS n_new FROM {view} GROUP BY feature",
-        "hashed": f"""SELECT feature, seq, value, side, perm, substring(md5(seq || '|42|' || (perm // 4)), (1 + 8 * (perm % 4))::INT, 8) AS h
-            FROM {view}, range(0, {n}) t(perm)""",
+        "coef": f"""SELECT perm, {", ".join(f"('0x' || substring(md5('42|' || perm || '|{j}'), 1, 7))::BIGINT AS k{j}" for j in range(5))} FROM range(0, {n}) t(perm)""",
+        "hashed": f"""SELECT feature, seq, value, side, perm,
+            (((((k3 * x + k2) % 2147483647) * x + k1) % 2147483647 * x + k0) % 2147483647 + k4 * (seq // 2147483647)) % 2147483647 AS h
+            FROM (SELECT *, seq % 2147483647 AS x FROM {view}), coef""",
         "marked": """SELECT feature, perm, value, row_number() OVER (PARTITION BY feature, perm ORDER BY h, seq) <= n_ref AS is_ref FROM hashed JOIN nr USING (feature)""",
         "ppool": "SELECT feature, perm, value, count(*) FILTER (WHERE is_ref) AS cr, count(*) AS ca FROM marked GROUP BY ALL",
         "pcum": """SELECT feature, perm, value, sum(cr) OVER w AS cr, sum(ca) OVER w AS ca, lead(value) OVER (PARTITION BY feature, perm ORDER BY value) AS nv
