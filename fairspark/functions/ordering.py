@@ -117,6 +117,57 @@ def next_in_order(
     return out.join(border, part).withColumn(alias, F.coalesce(alias, "__border")).drop(BLOCK, "__border")
 
 
+def previous_row(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_col: str,
+    columns: Sequence[str],
+    prefix: str = "prev_",
+    points: Sequence[float] | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Values of the preceding row of the key as ``prev_<column>``, across block borders.
+
+    ``order_col`` is unique inside a key.
+    """
+    if points is None:
+        points = split_points(df, order_col, rows_per_block)
+    part = [*keys, BLOCK]
+    blocked = with_blocks(df, order_col, points).withColumn("__row", F.struct(*columns))
+    lagged = blocked.withColumn("__prev", F.lag("__row").over(Window.partitionBy(*part).orderBy(order_col)))
+    if points:
+        last = blocked.groupBy(*part).agg(F.max_by("__row", order_col).alias("__last"))
+        chain = Window.partitionBy(*keys).orderBy(BLOCK)
+        border = last.select(*part, F.lag("__last").over(chain).alias("__border"))
+        lagged = lagged.join(border, part).withColumn("__prev", F.coalesce("__prev", "__border"))
+    return lagged.select(*df.columns, *[F.col("__prev")[c].alias(f"{prefix}{c}") for c in columns])
+
+
+def trailing_windows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_col: str,
+    width: int,
+    aggregates: Mapping[str, Column],
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Aggregates over the last ``width`` rows of a key, at every row.
+
+    Rows are numbered, cut into blocks by number, and the last ``width - 1`` rows of a
+    block are also sent to the next one, so each block sees whole windows on its own.
+    ``aggregates`` may refer to the row number ``rn``.
+    """
+    numbered = row_index(df, keys, [order_col], "rn", rows_per_block=rows_per_block)
+    size = max(rows_per_block, width)
+    own = F.floor((F.col("rn") - 1) / size)
+    tail = (F.pmod(F.col("rn") - 1, F.lit(size)) >= size - (width - 1)) & (F.lit(width) > 1)
+    homes = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = numbered.withColumn("__own", own).withColumn("__home", F.explode(homes))
+    over = Window.partitionBy(*keys, "__home").orderBy("rn").rowsBetween(-(width - 1), 0)
+    computed = spread.select("*", *[a.over(over).alias(n) for n, a in aggregates.items()])
+    return computed.where(F.col("__own") == F.col("__home")).select(*df.columns, *aggregates)
+
+
 def row_index(
     df: DataFrame,
     keys: Sequence[str],

@@ -168,3 +168,46 @@ def drift_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~drifted, "none").when(F.col("statistic") >= 0.5, "critical").when(F.col("statistic") >= 0.3, "high")
         .when(F.col("statistic") >= 0.15, "medium").otherwise("low").alias("severity"),
     )
+
+
+def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as unit-interval feature arrays: quantity, discount, tax, status, flag."""
+    line = table(spark, sf_dir, "lineitem")
+    features = F.array(
+        F.col("l_quantity") / F.lit(50.0),
+        F.col("l_discount") * F.lit(10.0),
+        F.col("l_tax") * F.lit(10.0),
+        (F.col("l_linestatus") == "O").cast("double"),
+        (F.col("l_returnflag") == "A").cast("double"),
+    )
+    return line.select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"), features.alias("features")
+    )
+
+
+def module_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long result table of the audit modules ``(module, metric, value, label)``."""
+    from fairspark.operators import alerts, fairness, text_bias
+
+    cells = fairness.long_cells(fairness.cell_sums(decisions(spark, sf_dir), ["c_mktsegment"]), ["c_mktsegment"])
+    gaps = fairness.default_suite().compute_all(cells)
+    short = F.when(F.col("metric") == "demographic_parity", "dp_gap").when(F.col("metric") == "equalized_odds", "eo_gap").otherwise("calibration")
+    none = F.lit(None).cast("string")
+    acc = fairness.confusion_metrics(decisions(spark, sf_dir))
+    latest = alerts.feature_summary(drift_records(spark, sf_dir))
+    rank = F.array_position(F.array(*[F.lit(x) for x in alerts.RECORD_LEVELS]), F.col("latest_severity"))
+    drift = latest.agg(
+        F.sum((F.col("latest_severity") != "none").cast("double")).alias("value"), F.max_by("latest_severity", rank).alias("label")
+    )
+    index = text_bias.bias_index(text_bias.score_pairs(text_bias.pair_distances(pairs(spark, sf_dir))))
+    parts = [
+        gaps.select(F.lit("fairness").alias("module"), short.alias("metric"), F.col("gap").alias("value"), none.alias("label")),
+        acc.select(F.lit("fairness").alias("module"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"), none.alias("label")),
+        drift.select(F.lit("drift").alias("module"), F.lit("n_drifted").alias("metric"), "value", none.alias("label")),
+        drift.select(F.lit("drift").alias("module"), F.lit("severity").alias("metric"), F.lit(None).cast("double").alias("value"), "label"),
+        index.select(F.lit("text_bias").alias("module"), F.lit("bias_index").alias("metric"), F.col("bias_index").alias("value"), none.alias("label")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
