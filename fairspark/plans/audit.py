@@ -44,3 +44,27 @@ def full_audit(
         out = out.unionByName(rows("subgroup_accuracy", sub, c("subgroup"), c("reason"), c("accuracy"), c("sample_size"), null))
     total = cells.agg(F.sum("n").alias("n"), r6(F.sum("correct") / F.sum("n")).alias("accuracy"))
     return out.unionByName(rows("accuracy", total, F.lit("overall"), null, c("accuracy"), c("n"), null))
+
+
+def train_and_audit(
+    df: DataFrame,
+    features: Sequence[str],
+    attributes: Sequence[str],
+    id_col: str,
+    kind: str = "logistic_regression",
+    test_fraction: float = 0.2,
+    seed: int = 42,
+) -> DataFrame:
+    """Stratified split, train, predict the test rows, audit them.
+
+    The split is a stable function of the row id; the scored test rows are written once
+    to the shared scratch area, because the audit reads them several times.
+    """
+    from fairspark.operators import models
+    from fairspark.operators.prepare import stratified_split
+    from fairspark.session import materialise
+
+    split = materialise(stratified_split(df, "y_true", id_col, test_fraction, seed))
+    model = models.train(split.where(~F.col("is_test")), features, kind)
+    scored = materialise(models.score(model, split.where("is_test"), features))
+    return full_audit(scored, attributes)

@@ -96,7 +96,12 @@ def g12(spark, sf):
 
 
 def g12_advice(spark, sf):
-    return gr.chain_advice(_chains(spark, sf))
+    """Weights relative to the strongest edge of their source."""
+    edges = _edges(spark, sf)
+    top = edges.groupBy("src").agg(F.max("weight").alias("top"))
+    scaled = materialise(edges.join(top, "src").select("src", "dst", F.bround(F.col("weight") / F.col("top"), 6).alias("weight")))
+    chains = gr.proxy_chains(scaled, gr.sensitive_nodes(scaled), gr.outcome_node(scaled).select("node"), 5)
+    return gr.chain_advice(chains)
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["fairness", "prepare", "drift", "text_bias", "mitigation", "counterfactual", "causal", "graph", "streaming", "sources"]
+MODULES = ["fairness", "prepare", "drift", "text_bias", "mitigation", "counterfactual", "causal", "graph", "streaming", "models", "sources"]
 
 
 def all_oracles() -> dict[str, str]:

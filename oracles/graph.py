@@ -64,5 +64,6 @@ ORACLES = {
         CASE WHEN l > 0 THEN printf('LOW RISK: %d minor proxy chain(s) detected. Monitor these paths over time and document the potential indirect influence.', l) END,
         CASE WHEN n > 0 THEN 'General recommendation: Apply causal inference techniques (e.g., do-calculus, backdoor adjustment) to block proxy paths before training downstream models.' END) AS recommendations
         FROM (SELECT count(*) AS n, coalesce(max(risk), 0) AS m, count(*) FILTER (WHERE risk >= 0.7) AS h, count(*) FILTER (WHERE risk < 0.7 AND risk >= 0.3) AS md, count(*) FILTER (WHERE risk < 0.3) AS l FROM risks)""", **C),
-    "g12_chain_advice": recursive("""SELECT array_to_string(path, ' -> ') AS chain, printf('Consider removing or decorrelating proxy variable(s): %s (risk=%.2f)', array_to_string(path[2:len(path) - 1], ', '), risk) AS recommendation FROM risks WHERE risk >= 0.7""", **C),
+    "g12_chain_advice": recursive("""SELECT array_to_string(path, ' -> ') AS chain, printf('Consider removing or decorrelating proxy variable(s): %s (risk=%.2f)', array_to_string(path[2:len(path) - 1], ', '), risk) AS recommendation FROM risks WHERE risk >= 0.7""",
+        **{**BASE, "scaled": "SELECT src, dst, round_even(weight / max(weight) OVER (PARTITION BY src), 6) AS weight FROM flow_edges", "paths": PATHS.format(n=4).replace("flow_edges", "scaled"), "chains": CHAINS, "risks": RISK}),
 }
