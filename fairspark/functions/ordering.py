@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 200_000
 BLOCK = "__block"
+COARSE = 256
 
 
 def split_points(
@@ -25,29 +26,27 @@ def split_points(
     order_col: str,
     rows_per_block: int = ROWS_PER_BLOCK,
     n_rows: int | None = None,
-    limits: tuple[float, float] | None = None,
 ) -> list[float]:
     """Quantile cut points of ``order_col``; empty when one block is enough.
 
     This is a fit step: it runs a small aggregate and returns at most
     ``rows / rows_per_block`` doubles. The points are constants of the later plan,
     so every branch and every retried task agrees on the blocks. They may be
-    approximate; the scans are exact for any set of points. A dense sequence can
-    pass its known ``n_rows`` and ``limits`` and is cut evenly without a scan.
+    approximate; the scans are exact for any set of points.
     """
+    column = F.col(order_col).cast("double")
+    coarse: list[float] = []
     if n_rows is None:
-        n_rows = df.select(order_col).count()
+        grid = [i / COARSE for i in range(1, COARSE)]
+        row = df.agg(F.count("*").alias("n"), F.percentile_approx(column, grid, 10_000).alias("p")).first()
+        n_rows, coarse = row["n"], row["p"] or []
     n_blocks = math.ceil(n_rows / rows_per_block)
     if n_blocks <= 1:
         return []
-    if limits is not None:
-        low, high = limits
-        width = (high - low) / n_blocks
-        return [low + i * width for i in range(1, n_blocks)]
+    if coarse and n_blocks <= COARSE:
+        return sorted({coarse[round(i * COARSE / n_blocks) - 1] for i in range(1, n_blocks)})
     fractions = [i / n_blocks for i in range(1, n_blocks)]
-    found = df.agg(
-        F.percentile_approx(F.col(order_col).cast("double"), fractions, max(10_000, 4 * n_blocks)).alias("p")
-    ).first()["p"]
+    found = df.agg(F.percentile_approx(column, fractions, max(10_000, 4 * n_blocks)).alias("p")).first()["p"]
     return sorted(set(found or []))
 
 

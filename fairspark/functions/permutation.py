@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIME = 2**31 - 1
-KEY_BITS = 31
-ROWS_PER_BUCKET = 2_000
+BINS = 30
 MAX_CUTS = 5_000_000
 
 
@@ -40,9 +39,23 @@ def key_matrix(ids: np.ndarray, coef: np.ndarray) -> np.ndarray:
     return (key + coef[4] * high) % PRIME if high.any() else key
 
 
-def _histograms(coef: np.ndarray, bits: int):
-    shift, width = KEY_BITS - bits, 1 << bits
-    n_perm = coef.shape[1]
+def _window(n: int, m: int) -> tuple[int, int]:
+    """Start and bin width of the key range in which the ``m``-th of ``n`` uniform keys lies.
+
+    Six deviations on both sides; a cut outside only makes the outer bins larger.
+    """
+    half = 3.0 / math.sqrt(max(n, 1))
+    low = max(0, int((m / max(n, 1) - half) * PRIME))
+    return low, max(1, math.ceil(2 * half * PRIME / BINS))
+
+
+def _bins(keys: np.ndarray, window: tuple[int, int]) -> np.ndarray:
+    """0 below the window, 1..BINS inside, BINS + 1 above."""
+    return np.clip((keys - window[0]) // window[1] + 1, 0, BINS + 1)
+
+
+def _histograms(coef: np.ndarray, windows: dict):
+    n_perm, width = coef.shape[1], BINS + 2
     offset = np.arange(n_perm, dtype=np.int64) * width
 
     def rows_of(acc: dict) -> pd.DataFrame:
@@ -54,7 +67,7 @@ def _histograms(coef: np.ndarray, bits: int):
         acc: dict = {}
         for pdf in batches:
             for g, part in pdf.groupby("grp"):
-                flat = ((key_matrix(part["id"].to_numpy(), coef) >> shift) + offset).ravel()
+                flat = (_bins(key_matrix(part["id"].to_numpy(), coef), windows[g]) + offset).ravel()
                 found = np.bincount(flat, minlength=n_perm * width).reshape(n_perm, width)
                 acc[g] = acc[g] + found if g in acc else found
             if len(acc) > 100:
@@ -66,15 +79,13 @@ def _histograms(coef: np.ndarray, bits: int):
     return run
 
 
-def _edge_rows(coef: np.ndarray, bits: int, edges: dict):
-    shift = KEY_BITS - bits
-
+def _edge_rows(coef: np.ndarray, windows: dict, edges: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g, part in pdf.groupby("grp"):
                 ids = part["id"].to_numpy()
                 keys = key_matrix(ids, coef)
-                at, perm = np.nonzero((keys >> shift) == edges[g][None, :])
+                at, perm = np.nonzero(_bins(keys, windows[g]) == edges[g][None, :])
                 yield pd.DataFrame({"grp": g, "perm": perm.astype(np.int32), "key": keys[at, perm], "id": ids[at]})
 
     return run
@@ -84,16 +95,16 @@ def permutation_cuts(rows: DataFrame, sizes: DataFrame, n_perm: int, seed: int)
     """Key and id of the ``m``-th row of every (group, permutation).
 
     ``rows(grp, id)`` are the data, ``sizes(grp, n, m)`` the group sizes. Two passes:
-    histograms of key prefixes find the prefix that holds the cut, then only the rows
-    with that prefix are ranked. The driver receives one cut per group and permutation.
+    histograms of the keys, fine around the expected place of the cut, find the bin that
+    holds it, then only the rows of that bin are ranked. The driver receives one cut per
+    group and permutation.
     """
     total = {r["grp"]: (r["n"], r["m"]) for r in sizes.collect()}
     if len(total) * n_perm > MAX_CUTS:
         raise ValueError(f"{len(total)} groups x {n_perm} permutations exceed {MAX_CUTS} cuts; test fewer groups per call")
-    largest = max((n for n, _ in total.values()), default=1)
-    bits = min(12, max(2, math.ceil(math.log2(max(largest / ROWS_PER_BUCKET, 1)))))
+    windows = {g: _window(n, m) for g, (n, m) in total.items()}
     coef = coefficients(n_perm, seed)
-    hist = rows.mapInPandas(_histograms(coef, bits), "grp string, bucket int, counts array<bigint>")
+    hist = rows.mapInPandas(_histograms(coef, windows), "grp string, bucket int, counts array<bigint>")
     long = hist.select("grp", "bucket", F.posexplode("counts").alias("perm", "cnt")).where("cnt > 0")
     counts = long.groupBy("grp", "perm", "bucket").agg(F.sum("cnt").alias("cnt")).join(sizes, "grp")
     upto = Window.partitionBy("grp", "perm").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -107,9 +118,8 @@ def permutation_cuts(rows: DataFrame, sizes: DataFrame, n_perm: int, seed: int)
     # m = 0 leaves the impossible cut (-1), so nothing is labelled.
     cuts = {g: (np.full(n_perm, -1, dtype=np.int64), np.full(n_perm, -1, dtype=np.int64)) for g in total}
     if rooms:
-        spark = rows.sparkSession
-        wanted = spark.createDataFrame(rooms, "grp string, perm int, room bigint")
-        found = rows.mapInPandas(_edge_rows(coef, bits, edges), "grp string, perm int, key bigint, id bigint")
+        wanted = rows.sparkSession.createDataFrame(rooms, "grp string, perm int, room bigint")
+        found = rows.mapInPandas(_edge_rows(coef, windows, edges), "grp string, perm int, key bigint, id bigint")
         ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("grp", "perm").orderBy("key", "id")))
         for r in ranked.join(wanted, ["grp", "perm"]).where("r = room").collect():
             cuts[r["grp"]][0][r["perm"]] = r["key"]

@@ -28,10 +28,18 @@ CORR_EPS = 1e-10
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, means and population covariances of all column pairs, as one row."""
+    """Count, means and population covariances of all column pairs, as one row.
+
+    A first pass gives the means; the second sums products of centred values, which is
+    stable and stays in plain generated code however many pairs there are.
+    """
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    cov = [F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
-    return clean.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)], *cov)
+    means = clean.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centre = [F.col(c) - F.lit(means[c] if means[c] is not None else 0.0) for c in columns]
+    products = [
+        (F.sum(a * b) / F.count("*")).alias(f"c_{i}_{j}") for i, a in enumerate(centre) for j, b in enumerate(centre) if i <= j
+    ]
+    return clean.agg(F.count("*").alias("n"), *[F.lit(means[c]).alias(f"m_{i}") for i, c in enumerate(columns)], *products)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import bin_by_edges, count_if, ladder_label, r6, ratio, uniform_edges
 from fairspark.functions.ordering import attach_row, running_sums
+from fairspark.session import materialise
 
 MIN_SUBGROUP = 5
 MIN_CALIBRATION_GROUP = 10
@@ -233,7 +234,10 @@ class MetricSuite:
             raise KeyError(f"unknown metric {name!r}; registered: {sorted(self.metrics)}")
         return self.metrics[name]
 
-    def compute_all(self, cells: DataFrame) -> DataFrame:
+    def compute_all(self, cells: DataFrame, written: bool = False) -> DataFrame:
+        # Each metric prunes the cells differently, so without this every metric would
+        # scan the decisions again. The cell table is tiny; writing it once is cheap.
+        cells = cells if written else materialise(cells)
         parts: list[DataFrame] = []
         for name, fn in self.metrics.items():
             try:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import r6
 from fairspark.operators import fairness as fair
+from fairspark.session import materialise
 
 
 def full_audit(
@@ -21,11 +22,12 @@ def full_audit(
 
     ``section`` tells what a row is: ``metric`` (per attribute and metric),
     ``report`` (per attribute), ``subgroup`` (per intersection) or ``accuracy``.
-    The decisions are scanned and shuffled once; all sections read the cell table.
+    The decisions are scanned and shuffled once into the cell table, which is written to
+    the checkpoint folder and read by all sections.
     """
-    cells = fair.cell_sums(df, attributes, score_col)
+    cells = materialise(fair.cell_sums(df, attributes, score_col))
     long = fair.long_cells(cells, attributes)
-    results = fair.default_suite().compute_all(long)
+    results = fair.default_suite().compute_all(long, written=True)
     report = fair.bias_report(results)
     null = F.lit(None)
 
@@ -62,7 +64,6 @@ def train_and_audit(
     """
     from fairspark.operators import models
     from fairspark.operators.prepare import stratified_split
-    from fairspark.session import materialise
 
     split = materialise(stratified_split(df, "y_true", id_col, test_fraction, seed))
     model = models.train(split.where(~F.col("is_test")), features, kind)

@@ -22,7 +22,7 @@ def _scan(spark, sf):
 
 
 def d2(spark, sf):
-    return _r(_scan(spark, sf), "g_pos", "g_neg", "statistic", "mean_estimate")
+    return _r(_r(_scan(spark, sf), "g_pos", "g_neg", "statistic"), "mean_estimate", digits=4)
 
 
 def d3(spark, sf):

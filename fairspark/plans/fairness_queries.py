@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairspark.operators import fairness as fair
 from fairspark.plans import audit, views
+from fairspark.session import materialise
 
 A = views.ATTRIBUTES
 
@@ -44,7 +45,7 @@ def f6(spark, sf):
 
 
 def f7(spark, sf):
-    cells = _cells(spark, sf, score="y_prob")
+    cells = materialise(_cells(spark, sf, score="y_prob"))
     keep = ["attribute", "metric", "grp", "group_value", "gap", "is_fair"]
     odds = fair.equalized_odds(cells).withColumn("group_value", F.greatest("fpr", "fnr"))
     parts = [fair.demographic_parity(cells), odds, fair.calibration(cells)]

@@ -85,7 +85,7 @@ def e1(spark, sf):
 
 def e2(spark, sf):
     out = prep.standard_scale(_holey_orders(spark, sf), ["price"])
-    return out.select("o_orderkey", F.bround("price", 9).alias("price"))
+    return out.select("o_orderkey", F.bround("price", 6).alias("price"))
 
 
 def e3(spark, sf):

@@ -94,7 +94,7 @@ ORACLES = {
     "d1_reference_fit": sql(f"SELECT feature, n_ref, round_even(mu, 6) AS mu, round_even(sd, 6) AS sd, CASE WHEN n_ref >= 30 THEN 'fitted' ELSE 'insufficient' END AS status FROM fit", "drift_long", fit=FIT.format(v="drift_long")),
     "d2_cusum": sql("""SELECT feature, seq, value, round_even(g_pos, 6) AS g_pos, round_even(g_neg, 6) AS g_neg, round_even(statistic, 6) AS statistic, drift_detected,
         CASE WHEN statistic >= 5 THEN 'drift' WHEN statistic >= 3 THEN 'warning' ELSE 'none' END AS status,
-        CASE WHEN statistic >= 5 THEN CASE WHEN g_pos > g_neg THEN 'upward' ELSE 'downward' END END AS direction, round_even(mu + g_pos * sd, 6) AS mean_estimate FROM scan""", S, **cusum(S)),
+        CASE WHEN statistic >= 5 THEN CASE WHEN g_pos > g_neg THEN 'upward' ELSE 'downward' END END AS direction, round_even(mu + g_pos * sd, 4) AS mean_estimate FROM scan""", S, **cusum(S)),
     "d3_cusum_summary": sql("""SELECT feature, total_points, n_drift_points, round_even(n_drift_points::DOUBLE / total_points, 6) AS drift_ratio, round_even(max_statistic, 6) AS max_statistic,
         round_even(last_statistic, 6) AS last_statistic, first_drift_seq FROM cs""", S, **cusum(S)),
     "d4_wasserstein": sql("SELECT feature, n_ref, n_new, round_even(w1, 6) AS w1 FROM dist", S, **ecdf(S)),

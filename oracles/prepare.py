@@ -58,7 +58,7 @@ ORACLES = {
     "e1_impute": sql("""SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM holey)) AS price,
         coalesce(priority, (SELECT priority FROM holey WHERE priority IS NOT NULL GROUP BY priority ORDER BY count(*) DESC, priority LIMIT 1)) AS priority FROM holey""", holey=HOLEY),
     "e2_standard_scale": sql("""SELECT o_orderkey, round_even((coalesce(price, (SELECT quantile_cont(price, 0.5) FROM holey)) - (SELECT avg(price) FROM holey))
-        / (SELECT stddev_pop(price) FROM holey), 9) AS price FROM holey""", holey=HOLEY),
+        / (SELECT stddev_pop(price) FROM holey), 6) AS price FROM holey""", holey=HOLEY),
     "e3_label_encode": "SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer",
     "e3_label_encode_many": "SELECT c_custkey, c_name, dense_rank() OVER (ORDER BY c_name) - 1 AS code FROM customer",
     "e4_interactions": f"""SELECT {KEY}, l_quantity, l_discount, l_tax, l_quantity * l_discount AS l_quantity_x_l_discount,
