@@ -174,9 +174,9 @@ def alert_cooldown(alerts: DataFrame, seconds: float = COOLDOWN_SECONDS, rows_pe
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
         _, ends = _greedy_ends(t, seconds)
-        reachable = t < t[0] + seconds
-        reachable[np.searchsorted(t, t[0] + seconds, side="left") - 1] = True
-        upto = np.append(np.flatnonzero(np.diff(ends[reachable])), reachable.sum() - 1)
+        # The start is before the block, so its first kept alert is one of these.
+        firsts = min(len(t), int(np.searchsorted(t, t[0] + seconds, side="left")) + 1)
+        upto = np.append(np.flatnonzero(np.diff(ends[:firsts])), firsts - 1)
         return pd.DataFrame(
             {"feature": [pdf["feature"].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]], "upto": [t[upto].tolist()], "ends": [ends[upto].tolist()], "last_t": [t[-1]]}
         )
