@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fairspark.functions import sql_surface
+from fairspark.functions.ordering import row_index
 from fairspark.operators import models
 from fairspark.operators.prepare import stratified_split
 from fairspark.plans import audit, views
@@ -65,6 +67,26 @@ def u5(spark, sf):
     return metric.compute_for_all(views.decisions(spark, sf), views.ATTRIBUTES)
 
 
+def u7(spark, sf):
+    """Scalar and table functions from SQL: distances along the way between two embeddings."""
+    sql_surface.register(spark)
+    views.pairs(spark, sf).createOrReplaceTempView("fs_pairs")
+    return spark.sql(
+        """SELECT pair_id, step, bround(share * d, 6) AS distance, fs_bias_level(share * d) AS level, fs_bias_score(share * d) AS score
+        FROM (SELECT pair_id, fs_cosine_distance(emb_a, emb_b) AS d FROM fs_pairs), LATERAL fs_steps(4)"""
+    )
+
+
+def u7_windows(spark, sf):
+    """Row counts per sliding window through the table function."""
+    sql_surface.register(spark)
+    new = views.drift_long(spark, sf).where("side = 'new'")
+    row_index(new, ["feature"], ["seq"], "rn").createOrReplaceTempView("fs_numbered")
+    return spark.sql(
+        "SELECT feature, window_id, count(*) AS n_rows FROM fs_numbered, LATERAL fs_window_ids(rn, 100, 50) GROUP BY feature, window_id"
+    )
+
+
 QUERIES = {
     "f15_train_and_audit": f15,
     "u1_batch_scoring": u1,
@@ -72,4 +94,6 @@ QUERIES = {
     "u3_feature_importance": u3,
     "u4_evaluate": u4,
     "u5_user_metric": u5,
+    "u7_sql_functions": u7,
+    "u7_window_function": u7_windows,
 }

@@ -6,6 +6,11 @@ from oracles.views import sql
 ATTRS = ["o_orderpriority", "c_mktsegment", "l_linestatus"]
 
 ORACLES = {
+    "u7_sql_functions": sql("""SELECT pair_id, step::INT AS step, round_even(d, 6) AS distance, CASE WHEN d > 1 THEN 'severe' WHEN d > 0.6 THEN 'high' WHEN d > 0.3 THEN 'medium' WHEN d > 0.1 THEN 'low' ELSE 'none' END AS level,
+        round_even(100 / (1 + exp(-6.0::DOUBLE * (d - 0.5::DOUBLE))), 2) AS score
+        FROM (SELECT pair_id, step, step / 4.0::DOUBLE * (1 - list_cosine_similarity(emb_a, emb_b)) AS d FROM pairs, range(0, 5) g(step))""", "pairs"),
+    "u7_window_function": sql("""SELECT feature, window_id, count(*) AS n_rows FROM (SELECT feature, unnest([idx // 50, idx // 50 - 1]) AS window_id FROM (
+        SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY seq) - 1 AS idx FROM drift_long WHERE side = 'new')) WHERE window_id >= 0 GROUP BY ALL""", "drift_long"),
     "u1_batch_scoring": """SELECT row_id, y_true, (z >= 0)::INT::DOUBLE AS y_pred, round_even(1 / (1 + exp(-z)), 6) AS y_prob FROM (
         SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id,
         (l_extendedprice / 100000.0::DOUBLE * (1 - l_discount) + l_tax > 0.45::DOUBLE)::INT::DOUBLE AS y_true,
