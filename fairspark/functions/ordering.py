@@ -203,7 +203,7 @@ def exact_quantiles(
     counts = value_counts(df, keys, value)
     ranked = running_sums(counts, keys, [value], {"cum": F.col("cnt")}, rows_per_block=rows_per_block)
     totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    joined = ranked.join(totals, list(keys))
+    joined = ranked.join(pinned(totals), list(keys))
     picks = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -221,6 +221,22 @@ def exact_quantiles(
     return picked.select(*keys, "n", *out)
 
 
+PINNED_ROWS = 10_000
+
+
+def pinned(small: DataFrame, limit: int = PINNED_ROWS) -> DataFrame:
+    """A fitted side table, evaluated and size-checked, ready to join.
+
+    Up to ``limit`` rows it becomes a local relation, which Spark broadcasts, so the
+    large side is neither shuffled nor skewed by the join key. A larger table is
+    returned as it is and joins by shuffle with adaptive skew handling.
+    """
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a global aggregate (exactly one row) to every row."""
     return df.crossJoin(F.broadcast(one_row))
@@ -261,7 +277,7 @@ def hash_cuts(
     room = F.col("__limit") - (F.col("__cum") - F.col("__cnt"))
     edge = filled.where((room > 0) & (room <= F.col("__cnt"))).select(*part, room.alias("__room"))
     rank = F.row_number().over(Window.partitionBy(*part).orderBy(hash_col, id_col))
-    ranked = bucketed.join(edge, part).withColumn("__rank", rank)
+    ranked = bucketed.join(pinned(edge), part).withColumn("__rank", rank)
     cuts = ranked.where(F.col("__rank") == F.col("__room")).select(
         *keys, F.col(hash_col).alias("cut_hash"), F.col(id_col).alias("cut_id")
     )
@@ -287,11 +303,10 @@ def first_by_hash(
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the smallest (hash, id).
 
-    The cut table has one row per key and joins back without moving the rows when
-    adaptive execution finds it small.
+    The cut table has one row per key and joins back without moving the rows.
     """
     cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, bucket_digits)
-    joined = rows.join(cuts, list(keys))
+    joined = rows.join(pinned(cuts), list(keys))
     return joined.withColumn(flag, within_cut(F.col(hash_col), F.col(id_col))).drop("cut_hash", "cut_id", "take_all")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_if, ladder_label
+from fairspark.functions.ordering import attach_row
 
 ALERT_LADDER = [(0.50, "critical"), (0.30, "high"), (0.15, "medium")]
 ALERT_LEVELS = ["low", "medium", "high", "critical"]
@@ -103,7 +104,7 @@ def query_records(
 def record_totals(records: DataFrame) -> DataFrame:
     levels = severity_counts(records, RECORD_LEVELS)
     total = records.agg(F.count("*").alias("total"), count_if(F.col("drift_detected")).alias("drifted"))
-    return levels.crossJoin(F.broadcast(total))
+    return attach_row(levels, total)
 
 
 def feature_summary(records: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from fairspark.functions.ordering import (
     ROWS_PER_BLOCK,
     exact_quantiles,
     next_in_order,
+    pinned,
     row_index,
     running_sums,
     split_points,
@@ -73,7 +74,7 @@ def cusum_scan(
     if points is None:
         points = split_points(new, "seq", rows_per_block)
     z = (F.col("value") - F.col("mu")) / F.col("sd")
-    steps = new.join(fit.where(F.col("status") == "fitted").select("feature", "mu", "sd"), "feature").select(
+    steps = new.join(pinned(fit.where(F.col("status") == "fitted").select("feature", "mu", "sd")), "feature").select(
         "feature", "seq", "value", "mu", "sd", (z - k).alias("up"), (-z - k).alias("down")
     )
     blocked = with_blocks(steps, "seq", points)
@@ -164,7 +165,7 @@ def ecdf_scan(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     )
     chained = next_in_order(ranked, ["feature"], "value", "next_value", points)
     totals = pooled.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_new").alias("n_new"))
-    return chained.join(totals, "feature").withColumn(
+    return chained.join(pinned(totals), "feature").withColumn(
         "cdf_gap", F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_new") / F.col("n_new"))
     )
 
@@ -379,7 +380,7 @@ def histogram_counts(df: DataFrame, n_bins: int = JSD_BINS) -> DataFrame:
         count_if(F.col("side") == "ref").alias("n_ref"),
         count_if(F.col("side") == "new").alias("n_new"),
     )
-    binned = clean.join(ends, "feature").withColumn(
+    binned = clean.join(pinned(ends), "feature").withColumn(
         "bin", F.when(F.col("step") > 0, histogram_bin(F.col("value"), F.col("low"), F.col("step"), n_bins)).otherwise(F.lit(0))
     )
     return binned.groupBy("feature", "bin").agg(
@@ -420,7 +421,7 @@ def population_stability(df: DataFrame, n_bins: int = PSI_BINS) -> DataFrame:
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     at_or_above = F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(F.col("value") >= e, 1).otherwise(0))
     counts = (
-        clean.join(fitted, "feature")
+        clean.join(pinned(fitted), "feature")
         .groupBy("feature", at_or_above.alias("bin"))
         .agg(
             F.max(F.size("edges")).alias("n_edges"),
@@ -507,8 +508,10 @@ def sliding_wasserstein(
     area = area.withColumn("A", F.col("A_next") - F.col("piece")).select(
         "feature", "value", "A", "c_ref", "cum_ref", "n_ref", "c_new"
     )
-    ends = area.where("c_ref > 0").groupBy("feature").agg(
-        F.max("value").alias("ref_max"), F.max_by("A", "value").alias("A_max"), F.max("n_ref").alias("n_ref")
+    ends = pinned(
+        area.where("c_ref > 0").groupBy("feature").agg(
+            F.max("value").alias("ref_max"), F.max_by("A", "value").alias("A_max"), F.max("n_ref").alias("n_ref")
+        )
     )
     windows = window_rows(side(df, "new"), size, size // 2, min_rows, rows_per_block)
     at = area.where("c_new > 0").select("feature", "value", "A")
@@ -524,7 +527,7 @@ def sliding_wasserstein(
     need = windows.select("feature", "n_window").distinct().join(ends, "feature").select(
         "feature", "n_window", F.explode(F.sequence(F.lit(1), F.col("n_window") - 1)).alias("i"), "n_ref"
     ).withColumn("rank", F.ceil(F.col("i") * F.col("n_ref") / F.col("n_window")))
-    ranks = need.groupBy("feature").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+    ranks = pinned(need.groupBy("feature").agg(F.sort_array(F.collect_set("rank")).alias("ranks")))
     inside = F.filter("ranks", lambda r: (r > F.col("cum_ref") - F.col("c_ref")) & (r <= F.col("cum_ref")))
     quant = area.where("c_ref > 0").join(ranks, "feature").select(
         "feature", F.explode(inside).alias("rank"), F.col("value").alias("qv"), F.col("A").alias("qA")

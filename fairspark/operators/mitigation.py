@@ -16,6 +16,7 @@ from fairspark.functions.ordering import (
     attach_row,
     first_by_hash,
     hash_key,
+    pinned,
     previous_row,
     running_sums,
     trailing_windows,
@@ -193,9 +194,10 @@ def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int
     chunks, which gives exactly the front of the full pairwise test.
     """
     clean = candidates.dropna(subset=OBJECTIVES)
-    dominators = clean.select(*OBJECTIVES).mapInPandas(
-        _local_dominators, "accuracy double, dp_gap double, eo_gap double, calibration_error double"
-    )
+    shape = "accuracy double, dp_gap double, eo_gap double, calibration_error double"
+    local = clean.select(*OBJECTIVES).mapInPandas(_local_dominators, shape)
+    # A second round over mixed partitions removes most of what single tasks could not see.
+    dominators = local.repartition(8, *OBJECTIVES).mapInPandas(_local_dominators, shape)
     schema = clean.schema
     front = clean
     buffer: list = []
@@ -398,7 +400,7 @@ def oversample(df: DataFrame, group: str, id_col: str, seed: int = 42) -> DataFr
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
     target = attach_row(sizes, sizes.agg(F.max("__n").alias("__max")))
     full, rest = F.floor(F.col("__max") / F.col("__n")), F.col("__max") % F.col("__n")
-    rows = df.join(target, group).withColumn("__hash", hash_key(F.col(id_col), F.lit(seed)))
+    rows = df.join(pinned(target), group).withColumn("__hash", hash_key(F.col(id_col), F.lit(seed)))
     marked = first_by_hash(rows, [group], "__hash", id_col, F.col("__max") % F.col("__n"), "__extra", carry=["__max", "__n"])
     copies = full + F.when((rest > 0) & F.col("__extra"), 1).otherwise(0)
     out = marked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
@@ -422,9 +424,8 @@ def group_thresholds(
 
 
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, group: str, score: str = "y_prob") -> DataFrame:
-    """Group-specific predictions. The threshold table joins by group; it has one row per
-    group, and adaptive execution broadcasts it when that is small."""
-    t = thresholds.select(F.col("grp").alias("__grp"), F.col("threshold").alias("__t"))
+    """Group-specific predictions; the threshold table has one row per group."""
+    t = pinned(thresholds.select(F.col("grp").alias("__grp"), F.col("threshold").alias("__t")))
     joined = df.join(t, F.col(group).cast("string") == F.col("__grp"), "left")
     flag = F.when(F.col("__t").isNull(), F.lit(0.0)).otherwise((F.col(score) >= F.col("__t")).cast("double"))
     return joined.withColumn("fair_pred", flag).drop("__grp", "__t")
@@ -443,7 +444,7 @@ def fairness_weights(df: DataFrame, group: str) -> DataFrame:
 
 
 def apply_weights(df: DataFrame, group: str) -> DataFrame:
-    return df.join(fairness_weights(df, group).drop("n"), group)
+    return df.join(pinned(fairness_weights(df, group).drop("n")), group)
 
 
 def choose_fix(reports: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import r6
+from fairspark.functions.ordering import attach_row
 from fairspark.operators import fairness as fair
 
 SEED = 42
@@ -103,7 +104,7 @@ def feature_importance(model: PipelineModel, df: DataFrame, features: Sequence[s
 def evaluate(scored: DataFrame) -> DataFrame:
     """Confusion metrics with ROC and PR AUC of a scored table, one row."""
     auc = fair.auc_scores(fair.roc_points(scored)).select("roc_auc", "pr_auc")
-    return fair.confusion_metrics(scored).crossJoin(F.broadcast(auc))
+    return attach_row(fair.confusion_metrics(scored), auc)
 
 
 def train_test_accuracy(train_scored: DataFrame, test_scored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_edges_below
-from fairspark.functions.ordering import attach_row, exact_quantiles, first_by_hash, hash_key, string_index
+from fairspark.functions.ordering import attach_row, exact_quantiles, first_by_hash, hash_key, pinned, string_index
 
 AGE_EDGES = [0, 25, 35, 45, 55, 65, 100]
 AGE_LABELS = ["18-25", "25-35", "35-45", "45-55", "55-65", "65+"]
@@ -75,9 +75,9 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 def label_encode(df: DataFrame, column: str, alias: str | None = None) -> DataFrame:
     """Replace a categorical column by its index in sorted distinct order.
 
-    The code table joins normally; adaptive execution broadcasts it when small.
+    A code table of up to ``PINNED_ROWS`` values is broadcast, a larger one joins by shuffle.
     """
-    codes = label_codes(df, column).withColumnRenamed("code", alias or f"{column}_code")
+    codes = pinned(label_codes(df, column).withColumnRenamed("code", alias or f"{column}_code"))
     return df.join(codes, column, "left")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_if, ladder_label, r6
-from fairspark.functions.ordering import exact_quantiles, hash_key
+from fairspark.functions.ordering import attach_row, exact_quantiles, hash_key
 from fairspark.functions.permutation import coefficients, labels, permutation_cuts
 from fairspark.functions.vectors import NORM_FLOOR, cosine_distance, cosine_similarity, l2_normalise
 from fairspark.operators.prompts import CONTEXTS, DEMOGRAPHICS, PROFESSIONS, STEREOTYPES, TEMPLATES
@@ -226,7 +226,7 @@ def mean_difference_test(df: DataFrame, id_col: str, value: str, in_a: Column, n
     def difference(sum_a: Column) -> Column:
         return F.abs(sum_a / F.col("m") - (F.col("total") - sum_a) / (F.col("n") - F.col("m")))
 
-    tested = sums.crossJoin(F.broadcast(whole)).select(
+    tested = attach_row(sums, whole).select(
         "n", "m", difference(F.col("obs_a")).alias("observed"), difference(F.col("sum_a")).alias("d")
     )
     hits = count_if(F.bround("d", 9) >= F.bround("observed", 9))
@@ -279,7 +279,7 @@ def bias_index(scored: DataFrame) -> DataFrame:
     tails = exact_quantiles(scored, [], "score", [0.05, 0.95])
     mean = scored.agg(F.avg("score").alias("mean"))
     index = F.col("mean") + 0.5 * F.col("q1") - 0.5 * F.col("q0")
-    return tails.crossJoin(F.broadcast(mean)).select(
+    return attach_row(tails, mean).select(
         "n", r6(F.col("mean")).alias("mean_score"), r6(F.col("q0")).alias("p5"), r6(F.col("q1")).alias("p95"),
         F.bround(F.least(F.greatest(index, F.lit(0.0)), F.lit(100.0)), 2).alias("bias_index"),
     )
