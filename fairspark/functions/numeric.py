@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Z_FLOOR = 1e-10
-
 
 def r6(col: Column) -> Column:
     """Six-digit half-even rounding, the precision of every published metric."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import bin_by_edges, count_if, ladder_label, r6, ratio, uniform_edges
@@ -62,7 +62,10 @@ def cell_sums(
     n_bins: int = 10,
     close_last_bin: bool = False,
 ) -> DataFrame:
-    """Counts per (attribute values..., score bin); the only step that touches raw rows."""
+    """Counts per (attribute values..., score bin); the only step that touches raw rows.
+
+    The metrics read this table several times: write it once (``materialise``) first.
+    """
     binned = usable(df, ["y_true", "y_pred"]).withColumn(
         "bin", bin_by_edges(F.col(score_col), uniform_edges(n_bins), close_last_bin)
     )
@@ -85,26 +88,30 @@ def long_cells(cells: DataFrame, attributes: Sequence[str]) -> DataFrame:
 
 
 def group_sums(cells: DataFrame) -> DataFrame:
-    """Counts per (attribute, grp) with the attribute's number of rows."""
-    grouped = cells.groupBy("attribute", "grp").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return grouped.withColumn("n_total", F.sum("n").over(Window.partitionBy("attribute")))
+    """Counts per (attribute, grp)."""
+    return cells.groupBy("attribute", "grp").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
 
+def _with_stats(groups: DataFrame, spreads: Sequence[str], **extra: Column) -> DataFrame:
+    """Add ``spread_<column>`` (max - min, 0 below two groups) and other aggregates per attribute.
 
-def _spread(col: Column, over: Window) -> Column:
-    return F.when(F.count(col).over(over) >= 2, F.max(col).over(over) - F.min(col).over(over)).otherwise(F.lit(0.0))
+    An attribute may have very many groups, so this aggregates and joins back instead of
+    running a window over all groups of an attribute; the joined side has one row per
+    audited attribute, which is a list given by the caller.
+    """
+    spread = lambda c: F.when(F.count(c) >= 2, F.max(c) - F.min(c)).otherwise(F.lit(0.0))
+    stats = groups.groupBy("attribute").agg(
+        *[spread(c).alias(f"spread_{c}") for c in spreads], *[e.alias(n) for n, e in extra.items()]
+    )
+    return groups.join(F.broadcast(stats), "attribute")
 
 
 def demographic_parity(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Positive rate per group, gap between the rounded extremes, verdict."""
-    per_attr = Window.partitionBy("attribute")
-    rates = group_sums(cells).select(
-        "attribute",
-        "grp",
-        r6(F.col("sum_pred") / F.col("n")).alias("group_value"),
-        r6(F.sum("sum_pred").over(per_attr) / F.sum("n").over(per_attr)).alias("overall_value"),
-    )
-    gap = _spread(F.col("group_value"), per_attr)
-    return rates.select(
+    rates = group_sums(cells).select("attribute", "grp", "n", "sum_pred", r6(F.col("sum_pred") / F.col("n")).alias("group_value"))
+    joined = _with_stats(rates, ["group_value"], overall_value=r6(F.sum("sum_pred") / F.sum("n")))
+    gap = F.col("spread_group_value")
+    return joined.select(
         "attribute",
         F.lit("demographic_parity").alias("metric"),
         "grp",
@@ -118,7 +125,6 @@ def demographic_parity(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -
 
 def equalized_odds(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Error rates per group; the gap is the larger of the FPR and FNR gaps."""
-    per_attr = Window.partitionBy("attribute")
     pos, neg = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     rates = group_sums(cells).select(
         "attribute",
@@ -128,11 +134,8 @@ def equalized_odds(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Da
         r6(ratio(F.col("fn"), pos)).alias("fnr"),
         r6(ratio(F.col("tn"), neg)).alias("tnr"),
     )
-    gaps = rates.select(
-        "*", _spread(F.col("fpr"), per_attr).alias("__fpr"), _spread(F.col("fnr"), per_attr).alias("__fnr")
-    )
-    gap = F.greatest("__fpr", "__fnr")
-    return gaps.select(
+    gap = F.greatest("spread_fpr", "spread_fnr")
+    return _with_stats(rates, ["fpr", "fnr"]).select(
         "attribute",
         F.lit("equalized_odds").alias("metric"),
         "grp",
@@ -140,8 +143,8 @@ def equalized_odds(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Da
         "fpr",
         "fnr",
         "tnr",
-        r6(F.col("__fpr")).alias("fpr_gap"),
-        r6(F.col("__fnr")).alias("fnr_gap"),
+        r6(F.col("spread_fpr")).alias("fpr_gap"),
+        r6(F.col("spread_fnr")).alias("fnr_gap"),
         r6(gap).alias("gap"),
         F.lit(float(threshold)).alias("threshold"),
         (gap <= threshold).alias("is_fair"),
@@ -154,20 +157,19 @@ def calibration(cells: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataF
     Groups under ten rows score 0.0 and still enter the gap. Scores outside every
     bin (exactly 1.0 unless the last bin is closed) count for the group size only.
     """
-    per_attr = Window.partitionBy("attribute")
     error = F.abs(F.col("sum_score") / F.col("n") - F.col("sum_true") / F.col("n"))
     groups = cells.groupBy("attribute", "grp").agg(
         F.sum("n").alias("n"), F.avg(F.when(F.col("bin").isNotNull(), error)).alias("err")
     )
     value = F.when(F.col("n") < MIN_CALIBRATION_GROUP, F.lit(0.0)).otherwise(r6(F.coalesce("err", F.lit(0.0))))
     values = groups.select("attribute", "grp", value.alias("group_value"))
-    gap = _spread(F.col("group_value"), per_attr)
-    return values.select(
+    gap = F.col("spread_group_value")
+    return _with_stats(values, ["group_value"], overall_value=r6(F.avg("group_value"))).select(
         "attribute",
         F.lit("calibration").alias("metric"),
         "grp",
         "group_value",
-        r6(F.avg("group_value").over(per_attr)).alias("overall_value"),
+        "overall_value",
         r6(gap).alias("gap"),
         F.lit(float(threshold)).alias("threshold"),
         (gap <= threshold).alias("is_fair"),

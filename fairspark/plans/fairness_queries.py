@@ -12,11 +12,12 @@ A = views.ATTRIBUTES
 
 
 def _cells(spark, sf, attributes=A, score="y_pred"):
-    return fair.long_cells(fair.cell_sums(views.decisions(spark, sf), attributes, score), attributes)
+    """The long cell table, written once; every metric reads it instead of the decisions."""
+    return materialise(fair.long_cells(fair.cell_sums(views.decisions(spark, sf), attributes, score), attributes))
 
 
 def _results(spark, sf):
-    return fair.default_suite().compute_all(_cells(spark, sf))
+    return fair.default_suite().compute_all(_cells(spark, sf), written=True)
 
 
 def f1(spark, sf):
@@ -45,7 +46,7 @@ def f6(spark, sf):
 
 
 def f7(spark, sf):
-    cells = materialise(_cells(spark, sf, score="y_prob"))
+    cells = _cells(spark, sf, score="y_prob")
     keep = ["attribute", "metric", "grp", "group_value", "gap", "is_fair"]
     odds = fair.equalized_odds(cells).withColumn("group_value", F.greatest("fpr", "fnr"))
     parts = [fair.demographic_parity(cells), odds, fair.calibration(cells)]

@@ -1,6 +1,6 @@
 """SQL for the streaming operators after all batches are drained."""
 
-from oracles.drift import cusum
+from oracles.drift import cusum, ecdf
 from oracles.views import sql
 
 S = "drift_shifted"
@@ -15,6 +15,14 @@ ORACLES = {
         numbered=f"SELECT feature, seq, value, row_number() OVER (PARTITION BY feature ORDER BY seq) - 1 AS idx FROM {S} WHERE side = 'new'",
         win="SELECT feature, seq, value, unnest([idx // 50, idx // 50 - 1]) AS window_id FROM numbered",
         refs=f"SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY seq DESC) AS r FROM {S} WHERE side = 'ref'"),
+    "t3_batch_monitor": sql("""SELECT split_part(feature, '#', 2)::INT AS batch, split_part(feature, '#', 1) AS feature, n_new AS n_rows, round_even(w1, 6) AS w1,
+        round_even(ks, 6) AS ks_statistic, round_even(ks_p, 6) AS ks_p, round_even(max_statistic, 6) AS max_statistic, coalesce(n_drift_points, 0) AS n_drift_points
+        FROM ksp LEFT JOIN cs USING (feature) WHERE n_new > 0""", S,
+        ends=f"SELECT min(seq) AS lo, (max(seq) - min(seq)) / 3.0::DOUBLE AS step FROM {S} WHERE side = 'new'",
+        batched=f"SELECT feature, seq, side, value, (seq >= lo + step)::INT + (seq >= lo + 2 * step)::INT AS b FROM {S}, ends WHERE side = 'new'",
+        runs=f"""SELECT feature || '#' || b AS feature, seq, side, value FROM batched
+            UNION ALL SELECT feature || '#' || b, seq, side, value FROM {S}, (SELECT unnest([0, 1, 2]) AS b) WHERE side = 'ref'""",
+        **ecdf("runs"), **cusum("runs")),
     "t4_event_time_windows": sql("""SELECT strftime(d, '%Y-%m-%d') AS day, feature, count(*) AS n, round_even(avg(value), 6) AS mean, round_even(stddev_pop(value), 6) AS std
         FROM (SELECT date_trunc('day', ts) AS d, feature, value FROM ev) GROUP BY d, feature
         HAVING d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)""", ev=EV),

@@ -201,3 +201,44 @@ def test_scalar_functions(spark):
     ).first()
     assert (row["low"], row["mid"], row["big"], row["n"], row["p"]) == (0.0, 0.5, 50.0, 5.0, "12.34%")
     assert row["lse"] == pytest.approx(1000 + math.log(2))
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "random_forest", "svm"])
+def test_models_learn_a_separable_label(spark, kind):
+    from fairspark.operators import models
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 2))
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y_true": (x[:, 0] + x[:, 1] > 0).astype(float)})
+    df = spark.createDataFrame(pdf)
+    model = models.train(df, ["a", "b"], kind)
+    scored = models.score(model, df, ["a", "b"])
+    row = models.evaluate(scored).first()
+    assert row["accuracy"] > 0.9 and row["roc_auc"] > 0.9
+    assert models.feature_importance(model, df, ["a", "b"]).count() == 2
+
+
+def test_unknown_names_are_reported(spark, tmp_path):
+    from fairspark.operators import models
+    from fairspark.sources import catalog
+
+    with pytest.raises(ValueError):
+        models.classifier("perceptron")
+    with pytest.raises(KeyError, match="adult_census"):
+        catalog.default_catalog(str(tmp_path)).load(spark, "nope")
+    with pytest.raises(ValueError):
+        catalog.load_file(spark, "table.xlsx")
+    metric = models.GroupMetric("m", F.avg("y_pred"), 0.1)
+    assert metric.is_fair(0.05) and not metric.is_fair(0.15)
+
+
+def test_catalog_roles_and_trimmed_scan(spark, tmp_path):
+    from fairspark.sources import catalog
+
+    (tmp_path / "raw.csv").write_text("39, State-gov, ?\n 50 , Private ,Bachelors\n")
+    schema = catalog._schema("age int,workclass string,education string")
+    got = catalog.load_trimmed(spark, str(tmp_path / "raw.csv"), schema)
+    assert [tuple(r) for r in got.orderBy("age").collect()] == [(39, "State-gov", None), (50, "Private", "Bachelors")]
+    assert catalog.clean_tokens(got).count() == 1
+    typed = catalog.Dataset("raw.csv", schema, "education", ("workclass",)).typed()
+    assert [f.metadata["role"] for f in typed] == ["feature", "sensitive", "target"]
