@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_if, ladder_label, r6, ratio
@@ -279,6 +279,13 @@ def _block_distances(sizes: dict):
     return run
 
 
+def _even_parts(spark: SparkSession, n_rows: int, rows_per_part: int = 100_000) -> int:
+    """At least one partition per core, at most the session's shuffle partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(most, max(cores, -(-n_rows // rows_per_part)))
+
+
 def permutation_test(
     df: DataFrame, n_perm: int = MAX_PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PERM_BLOCK
 ) -> DataFrame:
@@ -295,10 +302,11 @@ def permutation_test(
         F.col("feature").alias("grp"), F.col("seq").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"),
         (F.col("side") == "ref").alias("is_ref"),
     )
+    counted = base.groupBy("grp").agg(F.count("*").alias("n"), count_if(F.col("is_ref")).alias("m")).collect()
+    sizes_local = {r["grp"]: (r["n"], r["m"]) for r in counted}
+    sizes = spark.createDataFrame(counted, "grp string, n bigint, m bigint")
     # The rows feed three compute-heavy passes: spread them evenly and fix them once.
-    rows = materialise(base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"))
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), count_if(F.col("is_ref")).alias("m"))
-    sizes_local = {r["grp"]: (r["n"], r["m"]) for r in sizes.collect()}
+    rows = materialise(base.repartition(_even_parts(spark, sum(n for n, _ in sizes_local.values())), "id"))
     cuts = permutation_cuts(rows.select("grp", "id"), sizes, n_perm, seed)
     coef = coefficients(n_perm, seed)
     pooled = materialise(
