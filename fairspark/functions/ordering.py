@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairspark.session import materialise
+
 ROWS_PER_BLOCK = 200_000
 BLOCK = "__block"
 COARSE = 256
@@ -200,7 +202,8 @@ def exact_quantiles(
     if not keys:
         whole = exact_quantiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, rows_per_block)
         return whole.drop("__all")
-    counts = value_counts(df, keys, value)
+    # Read by the cut-point fit, the totals and the scan: written once, not recounted.
+    counts = materialise(value_counts(df, keys, value))
     ranked = running_sums(counts, keys, [value], {"cum": F.col("cnt")}, rows_per_block=rows_per_block)
     totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     joined = ranked.join(pinned(totals), list(keys))

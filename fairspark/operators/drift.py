@@ -158,7 +158,7 @@ def pooled_counts(df: DataFrame) -> DataFrame:
 
 def ecdf_scan(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Both empirical CDFs at every pooled distinct value, with the next value."""
-    pooled = pooled_counts(df)
+    pooled = materialise(pooled_counts(df))
     points = split_points(pooled, "value", rows_per_block)
     ranked = running_sums(
         pooled, ["feature"], ["value"], {"cum_ref": F.col("c_ref"), "cum_new": F.col("c_new")}, points
