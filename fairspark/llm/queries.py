@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fairspark.llm import packing, token_counts
-from fairspark.llm.tables import table
+from fairspark.llm import language, packing, scoring, token_counts
+from fairspark.llm.tables import id_remainder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,13 +23,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.where(~held_out), order=F.col("doc_id"))
+    found = language.predict(docs, model, carry={"held_out": held_out})
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op6_token_counts": op6_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
