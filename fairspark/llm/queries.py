@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairspark.llm import language, packing, scoring, token_counts
+from fairspark.llm import decontamination, language, ngram_join, packing, scoring, token_counts
 from fairspark.llm.tables import id_remainder, table
 
 
@@ -27,10 +27,18 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_texts(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(F.col("doc_id"), 3) == 1
@@ -42,7 +50,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_lm_scoring": op3_lm_scoring,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
 }
 
