@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairspark.llm import decontamination, language, ngram_join, packing, scoring, token_counts
+from fairspark.llm import decontamination, language, ngram_join, packing, pii, quality, scoring, sharding, token_counts, toxicity
 from fairspark.llm.tables import id_remainder, table
 
 
@@ -18,6 +18,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the registered query's surrogates. A production run passes its own secret.
+SURROGATE_KEY = "registered-query"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_pii(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc.doc_id", "doc.text", F.size("found").alias("n_replaced"), "found")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), digest=True)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -27,6 +36,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_texts(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +48,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return judged.select("doc.doc_id", *[f"m.{c}" for c in base], "kept")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
@@ -47,13 +66,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    index = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score_documents(docs, index, carry={"held_out": held_out})
+    return scored.select("doc_id", "held_out", "score", "predicted", "neighbours")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_packing": op2_packing,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_sharding": op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_sharding": sharding.SHARD_SQL, "op7_quality_rules": quality.QUALITY_SQL}
