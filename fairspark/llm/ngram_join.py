@@ -25,6 +25,8 @@ HOT_COUNT = 20_000
 HOT_TIMES = 8
 #: Cells whose parities bound the difference of two sets from below.
 PARITY_BITS = 256
+#: Classes of a shingle and length band that all others of it are compared with first.
+HEADS = 2
 #: Up to so many classes are sent to the executors as a list; beyond, the list is joined by shuffle.
 LISTED = 1_000_000
 
@@ -157,19 +159,55 @@ def _sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return found.dropDuplicates(["cls"])
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+
+
+def _near(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
+    """Length and positional filter on two entries of the same shingle; null where one is missing."""
+    both = nx.cast("bigint") + ny
+    length = (100 * F.least(nx, ny).cast("bigint")) >= (percent * F.greatest(nx, ny).cast("bigint"))
+    position = (F.least(nx - px, ny - py).cast("bigint") * (100 + percent)) >= (percent * both)
+    return length & position
+
+
 def _may_match(percent: int) -> Column:
     """Length, positional and suffix filters on two entries ``x.`` and ``y.`` of the same shingle.
 
-    The suffix filter counts cells of different parity: each stands for a shingle that only one of the
-    two sets has, so more of them than the threshold allows rule the pair out.
+    The suffix filter bounds from below how many shingles only one of the two sets has: cells of
+    different parity each stand for one, and so does each shingle that no other class holds (``own``).
+    More than the threshold allows rule the pair out.
     """
-    nx, ny = F.col("x.n").cast("bigint"), F.col("y.n").cast("bigint")
-    both = nx + ny
-    length = (100 * F.least(nx, ny)) >= (percent * F.greatest(nx, ny))
-    position = (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) * (100 + percent)) >= (percent * both)
+    both = F.col("x.n").cast("bigint") + F.col("y.n")
     overlap = F.ceil((percent * both).cast("double") / (100 + percent) - F.lit(1e-9))
     differ = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_BITS // 64)), F.lit(0))
-    return length & position & (differ <= both - 2 * overlap)
+    apart = F.greatest(differ.cast("bigint"), F.col("x.own") + F.col("y.own"))
+    return _near(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & (apart <= both - 2 * overlap)
+
+
+def _shared_entries(signed: DataFrame, percent: int) -> DataFrame:
+    """``tok, cls, n, pos, near`` of prefix shingles that at least two classes hold, each class once.
+
+    ``near`` tells whether another entry may match: in groups of up to four by the filters themselves,
+    in larger ones by the lengths next to it. Shingles of hot cells are passed on unseen: only they can
+    have more entries than the threshold of their cell, so no window is larger than that.
+    """
+    entries = signed.where(F.col("prefix").isNotNull()).select("cls", "n", "n_cold", F.posexplode("prefix").alias("pos", "tok"))
+    whole, by_length = Window.partitionBy("tok"), Window.partitionBy("tok").orderBy("n", "cls")
+    cold = entries.where("pos < n_cold").select("tok", "cls", "n", "pos").withColumn("last", F.lag("cls").over(by_length))
+    cold = cold.where("last is null or last <> cls").drop("last").withColumn("size", F.count("*").over(whole)).where("size > 1")
+    steps = [(k, f(c, k).over(by_length)) for k in (1, 2, 3) for c in ("n", "pos") for f in (F.lag, F.lead)]
+    names = [f"{f}_{c}_{k}" for k in (1, 2, 3) for c in ("n", "pos") for f in ("lag", "lead")]
+    cold = cold.select("*", *[e.alias(n) for (_, e), n in zip(steps, names)])
+    exact, by_size = F.lit(False), F.lit(False)
+    for side in ("lag", "lead"):
+        for k in (1, 2, 3):
+            exact = exact | F.coalesce(_near(F.col("n"), F.col("pos"), F.col(f"{side}_n_{k}"), F.col(f"{side}_pos_{k}"), percent), F.lit(False))
+        other = F.col(f"{side}_n_1")
+        by_size = by_size | F.coalesce(100 * F.least("n", other).cast("bigint") >= percent * F.greatest("n", other).cast("bigint"), F.lit(False))
+    cold = cold.select("tok", "cls", "n", "pos", F.when(F.col("size") <= 4, exact).otherwise(by_size).alias("near"))
+    hot = entries.where("pos >= n_cold").select("tok", "cls", "n", "pos", F.lit(True).alias("near")).dropDuplicates(["tok", "cls"])
+    return cold.unionByName(hot)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +224,7 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     """Groups of documents linked by shingle sets of at least ``percent`` Jaccard similarity.
 
     Equal sets are one class, so copies cost one entry per task. Classes share the entries of their
-    rare-first prefixes. Per shingle and length band, each class is first compared with one head; what
+    rare-first prefixes. Per shingle and length band, each class is first compared with a few heads; what
     that links is one component, and only classes of different components are then compared among
     themselves, so a large group of near copies is not expanded into pairs. All candidates pass the
     length, positional and suffix filters and are verified once on the whole sets.
@@ -202,22 +240,22 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     parity = [f"p{k}" for k in range(PARITY_BITS // 64)]
     signed = stored(_signatures(rows, cell_counts(rows, width), percent, width), "signatures")
 
-    entries = signed.where(F.col("prefix").isNotNull()).select("cls", "n", "n_cold", F.posexplode("prefix").alias("pos", "tok"))
-    by_length = Window.partitionBy("tok").orderBy("n")
-    near = (100 * F.lag("n").over(by_length) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_length))
-    cold = entries.where("pos < n_cold").select("tok", "cls", "n", "pos").withColumn("near", near).where("near").drop("near")
-    hot = entries.where("pos >= n_cold").select("tok", "cls", "n", "pos")
-    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), *[F.first(p).alias(p) for p in parity])
-    facts = stored(facts, "classes")
-    kept = stored(cold.unionByName(hot).join(facts.drop("low"), "cls").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)))), "entries")
-    sets = stored(_sets(rows, kept.select("cls").distinct(), width), "sets")
-
-    entry = F.struct(F.xxhash64("cls").alias("rank"), "cls", "n", "pos", *parity)
-    heads = kept.groupBy("tok", "band").agg(F.min(entry).alias("head"), F.max("cls").alias("most"), F.min("cls").alias("least"))
-    heads = heads.where("most <> least").select("tok", "band", "head.*").drop("rank")
+    shared = stored(_shared_entries(signed, percent), "shared")
+    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in parity])
+    held = shared.groupBy("cls").agg(F.count("*").alias("held"))
+    prefix_size = F.col("n") - F.expr(f"({percent} * cast(n as bigint) + 99) div 100") + 1
+    facts = stored(facts.join(held, "cls", "left").withColumn("own", prefix_size - F.coalesce("held", F.lit(0))), "classes")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)))
+    kept = shared.where("near").drop("near").join(facts.select("cls", "own", *parity), "cls")
+    kept = stored(kept.withColumn("band", band), "entries")
+
+    entry = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("rank"), "cls", "n", "pos", "own", *parity))
+    heads = kept.groupBy("tok", "band").agg(F.array(*[entry(k) for k in range(HEADS)]).alias("heads"), F.max("cls").alias("most"), F.min("cls").alias("least"))
+    heads = heads.where("most <> least").select("tok", "band", F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("rank")))).alias("head")).select("tok", "band", "head.*")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
     same_band = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") != F.col("y.cls"))
     tried = stored(kept.alias("x").join(heads.alias("y"), same_band & _may_match(percent)).select(*pair).distinct(), "pairs")
+    sets = stored(_sets(rows, _members(tried), width), "sets")
     links = stored(_verified(tried, sets, percent), "links")
 
     labels = components(links)
@@ -226,8 +264,11 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     labelled = stored(labelled.join(mixed, "tok", "left_semi").drop("band"), "open")
     apart = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
     rest = labelled.alias("x").join(labelled.alias("y"), apart & _may_match(percent)).select(*pair).distinct()
-    more = _verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    links = stored(links.unionByName(more), "links")
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        missing = _members(rest).join(sets.select("cls"), "cls", "left_anti")
+        sets = sets.unionByName(stored(_sets(rows, missing, width), "sets"))
+        links = stored(links.unionByName(_verified(rest, sets, percent)), "links")
 
     roots = components(links).withColumnRenamed("node", "cls")
     found = facts.select("cls", "low").join(roots, "cls", "left")
