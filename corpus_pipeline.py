@@ -1,23 +1,67 @@
-"""Pipeline from raw documents to packed sequences."""
+"""From raw documents to packed sequences: rules, near copies, test passages, personal data, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fairspark.llm import packing
-from fairspark.llm.queries import tokenizer_path
+from fairspark.llm import decontamination, ngram_join, packing, pii, quality
+from fairspark.llm.queries import SURROGATE_KEY, tokenizer_path
+from fairspark.llm.tables import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive rules keep."""
+    return quality.keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near copies.
+
+    An id stands for one document: rows that repeat an id are kept once. Rows without an id cannot be
+    told apart by it and all stay.
+    """
+    linked = ngram_join.link_documents(docs)
+    heads = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head"))
+    first = docs.join(heads.distinct(), F.col("doc_id") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaked = stored(leaks.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced; ``n_chars`` follows the new text."""
+    replaced = pii.replace_pii(docs, SURROGATE_KEY).select("doc.*")
+    return replaced.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids, dealt into sequences."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII surrogates", pii_surrogates),
+    ("packing", pack_sequences),
+]
+
+#: Sketches, tiling, keyed draws and a tokenizer have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each written as Parquet and read again by the next one."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, "stage")
     return docs
