@@ -249,9 +249,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     kept = shared.where("near").drop("near").join(facts.select("cls", "own", *parity), "cls")
     kept = stored(kept.withColumn("band", band), "entries")
 
-    entry = lambda k: F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("rank"), "cls", "n", "pos", "own", *parity))
-    heads = kept.groupBy("tok", "band").agg(F.array(*[entry(k) for k in range(HEADS)]).alias("heads"), F.max("cls").alias("most"), F.min("cls").alias("least"))
-    heads = heads.where("most <> least").select("tok", "band", F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("rank")))).alias("head")).select("tok", "band", "head.*")
+    # Heads lie in the shorter prefix that an equally long partner needs; the one with the fewest
+    # shingles of its own is closest to what the others were copied from.
+    fact = F.struct("cls", "n", "pos", "own", *parity)
+    first = [F.min_by(fact, F.struct(F.col("own"), F.xxhash64("cls"))), *[F.min_by(fact, F.xxhash64("cls", F.lit(k))) for k in range(1, HEADS)]]
+    early = (F.col("n") - F.col("pos")).cast("bigint") * (100 + percent) >= 2 * percent * F.col("n").cast("bigint")
+    heads = kept.where(early).groupBy("tok", "band").agg(F.explode(F.array_distinct(F.array(*first))).alias("head")).select("tok", "band", "head.*")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
     same_band = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") != F.col("y.cls"))
     tried = stored(kept.alias("x").join(heads.alias("y"), same_band & _may_match(percent)).select(*pair).distinct(), "pairs")
