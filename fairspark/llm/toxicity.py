@@ -17,10 +17,10 @@ from fairspark.llm.tables import stored
 
 #: Labelled rows that the index is fitted on, about; chosen by a hash of the id.
 FIT_ROWS = 20_000
-#: Terms of the index: the ones most clearly tied to the label, at least so many standard errors.
+#: Terms of the index: those far more frequent in toxic examples, by likelihood ratio and by rate.
 MOST_TERMS = 50_000
-LEAST_Z = 3.0
-LEAST_DOCUMENTS = 3
+LEAST_RATIO = 30.0
+LEAST_LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Weight of the base rate among the votes.
@@ -150,8 +150,8 @@ def _terms(rows: DataFrame, extra: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> ExampleIndex:
     """Index over about ``fit_rows`` labelled documents, chosen by a hash of the id.
 
-    Terms are counted on the executors; those tied to the label make the vocabulary of the TF-IDF
-    vectors. The driver receives only those terms of the sample, which ``fit_rows`` bounds. Rows without
+    Terms are counted on the executors; those whose likelihood ratio and lift tie them to toxic examples
+    make the vocabulary of the TF-IDF vectors. The driver receives only those terms of the sample, which ``fit_rows`` bounds. Rows without
     an id or a label are left out; an id labelled both ways counts as toxic.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null")
@@ -168,10 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = examples.select("id", "toxic", F.explode(F.arrays_zip("term", "times")).alias("x")).select("id", "toxic", "x.term", "x.times")
     seen = pairs.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("df1"))
     df0 = F.col("df") - F.col("df1")
-    odds = lambda k, n: F.log((k + 0.5) / (F.lit(float(n)) - k + 0.5))
-    z = (odds(F.col("df1"), n1) - odds(df0, n0)) / F.sqrt(1 / (F.col("df1") + 0.5) + 1 / (df0 + 0.5))
-    seen = seen.where(F.col("df") >= LEAST_DOCUMENTS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    vocabulary = seen.orderBy(F.desc("z"), "term").limit(MOST_TERMS).toPandas()
+    expected = lambda n: F.col("df") * F.lit(n / max(n0 + n1, 1))
+    part = lambda k, n: F.when(k > 0, k * F.log(k / expected(n))).otherwise(F.lit(0.0))
+    ratio = 2 * (part(F.col("df1"), n1) + part(df0, n0))
+    lift = (F.col("df1") + 0.5) * F.lit(float(n0 + 1)) / ((df0 + 0.5) * F.lit(float(n1 + 1)))
+    seen = seen.withColumns({"ratio": ratio, "lift": lift}).where((F.col("ratio") >= LEAST_RATIO) & (F.col("lift") >= LEAST_LIFT))
+    vocabulary = seen.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS).toPandas()
     by = np.argsort(vocabulary["term"].to_numpy(dtype=np.int64).view(np.uint64))
     terms = vocabulary["term"].to_numpy(dtype=np.int64)[by].view(np.uint64)
     idf = np.log(1.0 + (n0 + n1) / np.maximum(vocabulary["df"].to_numpy(dtype=np.float64)[by], 1.0))
@@ -230,7 +232,6 @@ def score_documents(docs: DataFrame, index: ExampleIndex, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[e.alias(f"c_{k}") for k, e in carry.items()])
     kept = ["id", *[f"c_{k}" for k in carry]]
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = rows.schema["id"].dataType.simpleString()
     evidence = "array<struct<id:bigint,cosine:double,toxic:int>>"
     evidence_kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     if index.ids and not isinstance(index.ids[0], int):
@@ -260,6 +261,5 @@ def score_documents(docs: DataFrame, index: ExampleIndex, id_col: str = "doc_id"
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
-    del kind
     out = rows.mapInArrow(run, f"{kinds}, score double, predicted int, neighbours {evidence}")
     return out.select(F.col("id").alias(id_col), *[F.col(f"c_{k}").alias(k) for k in carry], "score", "predicted", "neighbours")
