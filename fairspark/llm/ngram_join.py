@@ -174,9 +174,10 @@ def _near(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
 def _may_match(percent: int) -> Column:
     """Length, positional and suffix filters on two entries ``x.`` and ``y.`` of the same shingle.
 
-    The suffix filter bounds from below how many shingles only one of the two sets has: cells of
-    different parity each stand for one, and so does each shingle that no other class holds (``own``).
-    More than the threshold allows rule the pair out.
+    The suffix filter bounds from below how many shingles only one of the two sets has. Cells of
+    different parity each stand for one. So does each shingle before the common one that is in no other
+    prefix (``own``): were it in the other set, it would come before the common one there too and be in
+    its prefix. More than the threshold allows rule the pair out.
     """
     both = F.col("x.n").cast("bigint") + F.col("y.n")
     overlap = F.ceil((percent * both).cast("double") / (100 + percent) - F.lit(1e-9))
@@ -240,13 +241,12 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     parity = [f"p{k}" for k in range(PARITY_BITS // 64)]
     signed = stored(_signatures(rows, cell_counts(rows, width), percent, width), "signatures")
 
-    shared = stored(_shared_entries(signed, percent), "shared")
-    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in parity])
-    held = shared.groupBy("cls").agg(F.count("*").alias("held"))
-    prefix_size = F.col("n") - F.expr(f"({percent} * cast(n as bigint) + 99) div 100") + 1
-    facts = stored(facts.join(held, "cls", "left").withColumn("own", prefix_size - F.coalesce("held", F.lit(0))), "classes")
+    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), *[F.first(p).alias(p) for p in parity])
+    facts = stored(facts, "classes")
+    earlier = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
+    shared = _shared_entries(signed, percent).withColumn("own", F.col("pos") - earlier)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)))
-    kept = shared.where("near").drop("near").join(facts.select("cls", "own", *parity), "cls")
+    kept = shared.where("near").drop("near").join(facts.drop("low"), "cls")
     kept = stored(kept.withColumn("band", band), "entries")
 
     # Heads lie in the shorter prefix that an equally long partner needs; the one with the fewest
