@@ -99,8 +99,10 @@ def residual_tests(corr: DataFrame) -> DataFrame:
     ak = full.select("a", F.col("b").alias("k"), F.col("r").alias("r_ak"))
     bk = full.select(F.col("a").alias("b"), F.col("b").alias("k"), F.col("r").alias("r_bk"))
     joined = corr.join(ak, "a").join(bk, ["b", "k"])
-    r = (F.col("r") - F.col("r_ak") * F.col("r_bk")) / F.sqrt((1 - F.col("r_ak") ** 2) * (1 - F.col("r_bk") ** 2))
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))
+    # Null where a column is a multiple of k: nothing is left to correlate.
+    left = F.sqrt(F.greatest((1 - F.col("r_ak") ** 2) * (1 - F.col("r_bk") ** 2), F.lit(0.0)))
+    r = F.try_divide(F.col("r") - F.col("r_ak") * F.col("r_bk"), left)
+    clipped = F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
     out = joined.select("a", "b", "k", "n", clipped.alias("residual_r"))
     return out.withColumn("t", F.col("residual_r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("residual_r") ** 2, F.lit(1e-15))))
 
@@ -339,7 +341,7 @@ def spearman(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK
     one = attach_row(joined, n).agg(
         F.max("n").alias("n"), F.sum(F.col("w") * cx * cy).alias("xy"), F.sum(F.col("w") * cx * cx).alias("xx"), F.sum(F.col("w") * cy * cy).alias("yy")
     )
-    return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), "n", (F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
+    return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), "n", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
 
 
 def _ascending_weight(y: np.ndarray, w: np.ndarray) -> float:
@@ -413,7 +415,7 @@ def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = 50_000) -> Data
     s = in_x.unionByName(in_y).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     one = attach_row(attach_row(attach_row(s, n), ties("x")), ties("y"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    tau = (F.col("s") + F.lit(across)) / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))
+    tau = F.try_divide(F.col("s") + F.lit(across), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
     return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n").cast("bigint").alias("n"), tau.alias("correlation"))
 
 

@@ -35,7 +35,7 @@ DRIFT_PARAMETER = 0.5
 CUSUM_THRESHOLD = 5.0
 WASSERSTEIN_THRESHOLD = 0.1
 SIGNIFICANCE = 0.05
-MAX_PERMUTATIONS = 200
+PERMUTATIONS = 200
 JSD_BINS = 50
 PSI_BINS = 10
 EPS = 1e-10
@@ -166,7 +166,8 @@ def ecdf_scan(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     chained = next_in_order(ranked, ["feature"], "value", "next_value", points)
     totals = pooled.groupBy("feature").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_new").alias("n_new"))
     return chained.join(pinned(totals), "feature").withColumn(
-        "cdf_gap", F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_new") / F.col("n_new"))
+        # Null for a feature that has rows on one side only.
+        "cdf_gap", F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_new", "n_new"))
     )
 
 
@@ -178,7 +179,8 @@ def kolmogorov_p(stat: Column, n: Column, m: Column, terms: int = 100) -> Column
         F.lit(0.0),
         lambda acc, i: acc + F.when(i % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * i * i * lam2),
     )
-    return F.when(lam2 < 0.04, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+    tail = F.when(lam2 < 0.04, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+    return F.when(stat.isNotNull(), tail)
 
 
 def distances(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -287,16 +289,16 @@ def _even_parts(spark: SparkSession, n_rows: int, rows_per_part: int = 100_000)
 
 
 def permutation_test(
-    df: DataFrame, n_perm: int = MAX_PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PERM_BLOCK
+    df: DataFrame, n_perm: int = PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PERM_BLOCK
 ) -> DataFrame:
     """W1 of the observed labelling and of ``n_perm`` random relabellings per feature.
 
     Every permutation labels exactly ``n_ref`` rows of the feature as reference. The
     pooled values are cut into blocks once for all permutations; a block turns its
     counts into cumulative counts as one matrix and needs only the totals of the
-    earlier blocks. No (row, permutation) pair is ever shuffled.
+    earlier blocks. What leaves a task is one count per distinct value and permutation.
+    A feature with rows on one side only has no distance (null).
     """
-    n_perm = min(n_perm, MAX_PERMUTATIONS)
     spark = df.sparkSession
     base = df.where(F.col("value").isNotNull() & F.col("side").isin("ref", "new")).select(
         F.col("feature").alias("grp"), F.col("seq").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"),
@@ -343,7 +345,7 @@ def permutation_test(
         F.col("grp").alias("feature"),
         F.col("m").alias("n_ref"),
         (F.col("n") - F.col("m")).alias("n_new"),
-        F.col("all")[0].alias("w1"),
+        F.when((F.col("m") > 0) & (F.col("m") < F.col("n")), F.col("all")[0]).alias("w1"),
         F.slice("all", 2, n_perm).alias("permuted"),
     )
 
@@ -360,14 +362,14 @@ def wasserstein_verdict(
     Distances are compared at nine digits, so that summation order does not decide ties.
     """
     above = F.size(F.filter("permuted", lambda p: F.bround(p, 9) >= F.bround(F.col("w1"), 9)))
-    p = (above + 1) / (F.size("permuted") + 1)
-    drift = (F.col("w1") >= threshold) & (F.col("p_value") < significance)
+    p = F.when(F.col("w1").isNotNull(), (above + 1) / (F.size("permuted") + 1))
+    drift = F.coalesce((F.col("w1") >= threshold) & (F.col("p_value") < significance), F.lit(False))
     return test.withColumn("p_value", p).select(
         "feature",
         "w1",
         "p_value",
         drift.alias("drift_detected"),
-        F.when(drift, "drift").when(F.col("w1") >= threshold * 0.5, "warning").otherwise("none").alias("status"),
+        F.when(F.col("w1").isNull(), "insufficient").when(drift, "drift").when(F.col("w1") >= threshold * 0.5, "warning").otherwise("none").alias("status"),
     )
 
 
@@ -408,8 +410,8 @@ def jensen_shannon(df: DataFrame, n_bins: int = JSD_BINS) -> DataFrame:
     """
     counts = histogram_counts(df, n_bins).where(F.col("step") > 0)
     norm = 1 / F.col("step") + n_bins * EPS
-    p = (F.col("c_ref") / F.col("n_ref") / F.col("step") + EPS) / norm
-    q = (F.col("c_new") / F.col("n_new") / F.col("step") + EPS) / norm
+    p = (F.try_divide("c_ref", "n_ref") / F.col("step") + EPS) / norm
+    q = (F.try_divide("c_new", "n_new") / F.col("step") + EPS) / norm
     m = 0.5 * (p + q)
     term = 0.5 * p * F.log(p / m) + 0.5 * q * F.log(q / m)
     return counts.groupBy("feature").agg(F.sum(term).alias("jsd"))
@@ -482,8 +484,8 @@ def compare_distributions(df: DataFrame, ks_alpha: float = 0.05, jsd_limit: floa
 
 def divergence_and_entropy(df: DataFrame, n_bins: int = JSD_BINS) -> DataFrame:
     """Discrete KL(ref || new) and the entropy of ref, probabilities clipped to [1e-8, 1]."""
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(1e-8), c))
-    p, q = clip(F.col("c_ref") / F.col("n_ref")), clip(F.col("c_new") / F.col("n_new"))
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(1e-8), c)))
+    p, q = clip(F.try_divide("c_ref", "n_ref")), clip(F.try_divide("c_new", "n_new"))
     return histogram_counts(df, n_bins).groupBy("feature").agg(
         F.sum(p * F.log(p / q)).alias("kl"), F.sum(-p * F.log(p)).alias("entropy")
     )
@@ -562,9 +564,11 @@ SEVERITY_BY_RATIO = [(2.0, "critical"), (1.5, "high"), (1.0, "medium")]
 def ensemble_verdict(cusum_stats: DataFrame, verdict: DataFrame) -> DataFrame:
     """OR of both detectors; severity from the larger ratio to its threshold."""
     both = cusum_stats.select("feature", "n_drift_points", "max_statistic", "last_statistic").join(
-        verdict.select("feature", "w1", "p_value", F.col("drift_detected").alias("w_drift")), "feature"
+        verdict.select("feature", "w1", "p_value", F.col("drift_detected").alias("w_drift")), "feature", "full"
     )
-    c_drift = F.col("n_drift_points") > 0
+    # A feature that one detector could not judge counts as not drifted there.
+    both = both.withColumn("w_drift", F.coalesce("w_drift", F.lit(False)))
+    c_drift = F.coalesce(F.col("n_drift_points") > 0, F.lit(False))
     drift = c_drift | F.col("w_drift")
     magnitude = F.greatest(F.col("last_statistic") / CUSUM_THRESHOLD, F.col("w1") / WASSERSTEIN_THRESHOLD)
     used = F.concat_ws(", ", F.when(c_drift, "CUSUM"), F.when(F.col("w_drift"), "Wasserstein"))
@@ -582,7 +586,7 @@ def ensemble_verdict(cusum_stats: DataFrame, verdict: DataFrame) -> DataFrame:
     )
 
 
-def ensemble(df: DataFrame, n_perm: int = MAX_PERMUTATIONS) -> DataFrame:
+def ensemble(df: DataFrame, n_perm: int = PERMUTATIONS) -> DataFrame:
     return ensemble_verdict(cusum_summary(cusum(df)), wasserstein_verdict(permutation_test(df, n_perm)))
 
 
@@ -624,7 +628,7 @@ def monitor_report(verdict: DataFrame) -> DataFrame:
     )
 
 
-def monitor(df: DataFrame, n_perm: int = MAX_PERMUTATIONS) -> DataFrame:
+def monitor(df: DataFrame, n_perm: int = PERMUTATIONS) -> DataFrame:
     return monitor_report(ensemble(df, n_perm))
 
 

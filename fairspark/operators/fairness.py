@@ -245,7 +245,7 @@ class MetricSuite:
             try:
                 parts.append(fn(cells).withColumn("error", F.lit(None).cast("string")))
             except Exception as exc:  # a faulty metric must not hide the others
-                text = str(exc)[:200]
+                text = str(exc)
                 parts.append(
                     cells.limit(1).select(
                         F.lit(None).cast("string").alias("attribute"), F.lit(name).alias("metric"), F.lit(text).alias("error")
@@ -464,7 +464,7 @@ def roc_curve(points: DataFrame) -> DataFrame:
 
 def auc_scores(points: DataFrame) -> DataFrame:
     """ROC AUC and PR AUC by the trapezoid rule; each point carries its own step,
-    so the sum needs no neighbour lookup across tasks."""
+    so the sum needs no neighbour lookup across tasks. Null where a class is missing."""
     total = points.agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     precision = tp / (tp + fp)
@@ -473,8 +473,8 @@ def auc_scores(points: DataFrame) -> DataFrame:
     return attach_row(points, total).agg(
         F.max("p_all").cast("bigint").alias("positives"),
         F.max("n_all").cast("bigint").alias("negatives"),
-        r6(F.sum(neg * (tp + before) / 2) / F.max(F.col("p_all") * F.col("n_all"))).alias("roc_auc"),
-        r6(F.sum(pos * (precision + earlier) / 2) / F.max("p_all")).alias("pr_auc"),
+        r6(F.try_divide(F.sum(neg * (tp + before) / 2), F.max(F.col("p_all") * F.col("n_all")))).alias("roc_auc"),
+        r6(F.try_divide(F.sum(pos * (precision + earlier) / 2), F.max("p_all"))).alias("pr_auc"),
     )
 
 

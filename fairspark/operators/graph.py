@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ OUTCOME_KEYWORDS = [
     "outcome", "target", "label", "prediction", "score", "decision", "result", "output", "hire",
     "admit", "loan", "approval", "risk_score",
 ]
-MAX_ROUNDS = 10_000
 CUT_EVERY = 4
 
 
@@ -73,7 +73,7 @@ def reachable(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> Dat
     step = materialise(step.distinct())
     frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("at"))
     known = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         found = frontier.join(step, "at").select("start", F.col("next").alias("at")).distinct()
         if known is not None:
             found = found.join(known, ["start", "at"], "left_anti")
@@ -127,7 +127,7 @@ def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_edges = materialise(edges.select("src", "dst").distinct())
     rest = nodes(open_edges)
     levels: DataFrame | None = None
-    for level in range(MAX_ROUNDS):
+    for level in count():
         free = materialise(
             rest.join(open_edges, rest.node == open_edges.dst, "left_anti").select("node", F.lit(level).cast("bigint").alias("level"))
         )

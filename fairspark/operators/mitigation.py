@@ -24,7 +24,6 @@ from fairspark.functions.ordering import (
 
 OBJECTIVES = ["accuracy", "dp_gap", "eo_gap", "calibration_error"]
 EPSILON = 1e-6
-MAX_FRONT = 200
 CHUNK = 20_000
 
 
@@ -184,8 +183,8 @@ def _drop_dominated(dominators: np.ndarray, epsilon: float):
     return run
 
 
-def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int = MAX_FRONT) -> DataFrame:
-    """Candidates that none dominates within the tolerance, best ``max_front`` by score.
+def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int | None = None) -> DataFrame:
+    """Candidates that none dominates within the tolerance; the best ``max_front`` by score if asked.
 
     With a tolerance domination is not transitive, so a plain merge of local fronts
     could differ. Each task therefore reduces its rows to the points no other point
@@ -213,13 +212,14 @@ def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int
     if buffer:
         front = test(buffer, front)
     score = F.col("accuracy") - (F.col("dp_gap") + F.col("eo_gap") + F.col("calibration_error")) / 3.0
-    return front.withColumn("front_score", score).orderBy(F.col("front_score").desc(), *OBJECTIVES).limit(max_front)
+    front = front.withColumn("front_score", score)
+    return front if max_front is None else front.orderBy(F.col("front_score").desc(), *OBJECTIVES).limit(max_front)
 
 
 def pareto_multiplier(candidates: DataFrame, front: DataFrame, epsilon: float = EPSILON, bonus: float = 0.5, penalty: float = -0.3) -> DataFrame:
     """1.5 for candidates that dominate a front point, 0.7 for dominated ones, else 1.
 
-    The front holds at most ``MAX_FRONT`` points and travels as one array.
+    The front travels as one array of four numbers a point.
     """
     points = front.agg(F.collect_list(F.struct(*OBJECTIVES)).alias("__front"))
 

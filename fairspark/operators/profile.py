@@ -165,8 +165,8 @@ def sample_preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataF
     )
 
 
-def numeric_features(df: DataFrame, target: str, min_numeric: int = 3, fallback: int = 10) -> list[str]:
-    """Numeric columns except the target; the first ten other columns when fewer than three."""
+def numeric_features(df: DataFrame, target: str, min_numeric: int = 3, fallback: int | None = None) -> list[str]:
+    """Numeric columns except the target; with fewer than three all other columns, or the first ``fallback``."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != target]
     return names if len(names) >= min_numeric else [c for c in df.columns if c != target][:fallback]
 

@@ -224,7 +224,7 @@ def mean_difference_test(df: DataFrame, id_col: str, value: str, in_a: Column, n
     )
 
     def difference(sum_a: Column) -> Column:
-        return F.abs(sum_a / F.col("m") - (F.col("total") - sum_a) / (F.col("n") - F.col("m")))
+        return F.abs(F.try_divide(sum_a, F.col("m")) - F.try_divide(F.col("total") - sum_a, F.col("n") - F.col("m")))
 
     tested = attach_row(sums, whole).select(
         "n", "m", difference(F.col("obs_a")).alias("observed"), difference(F.col("sum_a")).alias("d")
@@ -232,7 +232,7 @@ def mean_difference_test(df: DataFrame, id_col: str, value: str, in_a: Column, n
     hits = count_if(F.bround("d", 9) >= F.bround("observed", 9))
     return tested.agg(
         F.max("m").alias("n_a"), F.max(F.col("n") - F.col("m")).alias("n_b"), F.max("observed").alias("observed"),
-        ((hits + 1) / (F.count("*") + 1)).alias("p_value"),
+        F.when(F.max("observed").isNotNull(), (hits + 1) / (F.count("*") + 1)).alias("p_value"),
     ).withColumn("significant", F.col("p_value") < 0.05)
 
 

@@ -49,7 +49,7 @@ def m4(spark, sf):
 
 def m5(spark, sf):
     history = views.history(spark, sf)
-    return mit.pareto_multiplier(history, mit.pareto_front(history.where("step < 16"))).select("run", "step", "multiplier")
+    return mit.pareto_multiplier(history, mit.pareto_front(history)).select("run", "step", "multiplier")
 
 
 def _changes(spark, sf):
@@ -86,8 +86,9 @@ def m9(spark, sf):
     return _r(mit.metric_trend(views.history(spark, sf), "accuracy"), "slope", "mean", "std", digits=9)
 
 
-def _by_source(spark, sf, lang):
-    docs = views.labels_documents(spark, sf).where(F.col("lang") == lang)
+def _by_source(spark, sf, early):
+    """Metrics of the languages up to ``en`` or of those after it: together all rows."""
+    docs = views.labels_documents(spark, sf).where(F.col("lang") <= "en" if early else F.col("lang") > "en")
     rates = docs.groupBy("source").agg(F.avg("y_true").alias("q"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("e"))
     return rates.select(
         F.inline(
@@ -100,7 +101,7 @@ def _by_source(spark, sf, lang):
 
 
 def m10(spark, sf):
-    return mit.compare_metrics(_by_source(spark, sf, "fr"), _by_source(spark, sf, "de"))
+    return mit.compare_metrics(_by_source(spark, sf, True), _by_source(spark, sf, False))
 
 
 def m10_counts(spark, sf):

@@ -102,10 +102,11 @@ def x15(spark, sf):
 
 def x16(spark, sf):
     conv = table(spark, sf, "conversations")
-    turns = conv.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("sent_more"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("sent_less"),
-        F.max(F.when(F.col("turn") == 0, F.upper("role"))).alias("bias_type"),
+    first = F.col("turn") % 2 == 0  # turns 0 and 1, 2 and 3, ... are pairs
+    turns = conv.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(
+        F.max(F.when(first, F.col("text"))).alias("sent_more"),
+        F.max(F.when(~first, F.col("text"))).alias("sent_less"),
+        F.max(F.when(first, F.upper("role"))).alias("bias_type"),
     )
     return tb.prepare_stereotype_corpus(turns, "sent_more", "sent_less", "bias_type")
 

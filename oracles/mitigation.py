@@ -59,9 +59,9 @@ CHANGES = {
 }
 
 
-def by_source(lang: str) -> str:
-    return f"""SELECT source || '_quality' AS metric, round_even(avg(y_true), 6) AS value FROM labels_documents WHERE lang = '{lang}' GROUP BY source
-        UNION ALL SELECT source || '_error', round_even(avg(abs(y_true - y_pred)), 6) FROM labels_documents WHERE lang = '{lang}' GROUP BY source"""
+def by_source(which: str) -> str:
+    return f"""SELECT source || '_quality' AS metric, round_even(avg(y_true), 6) AS value FROM labels_documents WHERE lang {which} GROUP BY source
+        UNION ALL SELECT source || '_error', round_even(avg(abs(y_true - y_pred)), 6) FROM labels_documents WHERE lang {which} GROUP BY source"""
 
 
 COMPARE = """SELECT metric, before, after, round_even(after - before, 6) AS change, round_even(CASE WHEN abs(before) > 1e-10 THEN (after - before) / abs(before) * 100 WHEN after IS NOT NULL AND before IS NOT NULL THEN 0.0::DOUBLE END, 2) AS pct_change,
@@ -98,8 +98,8 @@ ORACLES = {
             l_discount * 10.0::DOUBLE AS f1, l_tax * 10.0::DOUBLE AS f2 FROM lineitem), (VALUES {WCAND}) c(candidate, w0, w1, w2)""",
         pg="""SELECT candidate, grp, count(*) AS n, avg((z >= 0)::INT) AS rate, avg((z >= 0)::INT) FILTER (WHERE y_true = 1) AS tpr, avg((z >= 0)::INT) FILTER (WHERE y_true = 0) AS fpr,
             sum(((z >= 0)::INT = y_true)::INT) AS correct, sum(abs(1 / (1 + exp(-z)) - y_true)) AS ae FROM scored GROUP BY candidate, grp"""),
-    "m4_pareto_front": sql("""SELECT * FROM fr ORDER BY accuracy - (dp_gap + eo_gap + calibration_error) / 3.0::DOUBLE DESC, accuracy, dp_gap, eo_gap, calibration_error LIMIT 200""", "history", fr=front("history")),
-    "m5_pareto_multiplier": sql(MULT, "history", early="SELECT * FROM history WHERE step < 16", fr=front("early")),
+    "m4_pareto_front": sql("""SELECT * FROM fr """, "history", fr=front("history")),
+    "m5_pareto_multiplier": sql(MULT, "history", fr=front("history")),
     "m6_rewards": sql("SELECT run, step, " + ", ".join(f"round_even({c}, 9) AS {c}" for c in ("accuracy_reward", "dp_reward", "eo_reward", "calibration_reward", "penalty", "total_reward")) + " FROM rewards", "history", **CHANGES),
     "m7_normalised_rewards": sql("""SELECT run, step, round_even(total_reward, 9) AS total_reward, round_even(CASE WHEN stddev_pop(total_reward) OVER w < 1e-8 THEN 0.0::DOUBLE
         ELSE (total_reward - avg(total_reward) OVER w) / stddev_pop(total_reward) OVER w END, 6) AS normalised FROM rewards WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""", "history", **CHANGES),
@@ -108,9 +108,9 @@ ORACLES = {
         FROM rewards JOIN guard USING (run, step)""", "history", **CHANGES),
     "m9_metric_trend": sql("""SELECT run, step, accuracy, round_even(CASE WHEN count(*) OVER w < 2 THEN 0.0::DOUBLE ELSE regr_slope(accuracy, rn) OVER w END, 9) AS slope, round_even(avg(accuracy) OVER w, 9) AS mean, round_even(stddev_pop(accuracy) OVER w, 9) AS std
         FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM history) WINDOW w AS (PARTITION BY run ORDER BY step ROWS 9 PRECEDING)""", "history"),
-    "m10_compare_metrics": sql(COMPARE, "labels_documents", b4=by_source("fr"), af=by_source("de")),
+    "m10_compare_metrics": sql(COMPARE, "labels_documents", b4=by_source("<= 'en'"), af=by_source("> 'en'")),
     "m10_comparison_counts": sql("SELECT " + ", ".join(f"count(*) FILTER (WHERE direction = '{d}') AS n_{d}" for d in ("improved", "regressed", "unchanged", "new", "removed")) + " FROM cmp",
-        "labels_documents", b4=by_source("fr"), af=by_source("de"), cmp=COMPARE),
+        "labels_documents", b4=by_source("<= 'en'"), af=by_source("> 'en'"), cmp=COMPARE),
     "m11_health": sql("""SELECT CASE WHEN n_drifted > 0 AND drift_severity IN ('high', 'critical') THEN 'degraded' WHEN (n_drifted > 0 AND drift_severity = 'medium') OR dp_gap > 0.2 OR eo_gap > 0.2 THEN 'warning' ELSE 'healthy' END AS status,
         CASE WHEN n_drifted > 0 AND drift_severity IN ('high', 'critical') THEN 'Drift severity: ' || drift_severity ELSE '' END AS issues,
         concat_ws('; ', CASE WHEN n_drifted > 0 AND drift_severity = 'medium' THEN 'Drift severity: medium' END, CASE WHEN dp_gap > 0.2 OR eo_gap > 0.2 THEN printf('High fairness gap: DP=%.3f, EO=%.3f', dp_gap, eo_gap) END) AS warnings FROM summ""",

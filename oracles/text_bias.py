@@ -125,6 +125,6 @@ ORACLES = {
         dist2=DIST.format(v="positive"), scored2=SCORED.format(d="dist2"), s1=summary("scored"), s2=summary("scored2")),
     "x15_full_text_audit": sql(summary("scored"), "pairs", **BASE),
     "x16_stereotype_corpus": r"""SELECT md5(a || '|' || b) AS pair_id, c AS category, 'stereoset' AS type, a AS prompt_a, b AS prompt_b FROM (
-        SELECT trim(max(CASE WHEN turn = 0 THEN text END)) AS a, trim(max(CASE WHEN turn = 1 THEN text END)) AS b, lower(max(CASE WHEN turn = 0 THEN upper(role) END)) AS c
-        FROM conversations GROUP BY conv_id) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""",
+        SELECT trim(max(CASE WHEN turn % 2 = 0 THEN text END)) AS a, trim(max(CASE WHEN turn % 2 = 1 THEN text END)) AS b, lower(max(CASE WHEN turn % 2 = 0 THEN upper(role) END)) AS c
+        FROM conversations GROUP BY conv_id, turn // 2) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""",
 }
