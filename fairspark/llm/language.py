@@ -77,8 +77,9 @@ def _points(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _grams(points: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the chosen words, and the word of each."""
     lengths = np.diff(offsets)[chosen]
-    room = np.maximum(lengths - n + 1, 0)
-    start = ragged.gather(offsets[:-1][chosen], room)
+    marks = 1 if n == 1 else 0  # a mark alone says nothing
+    room = np.maximum(lengths - n + 1 - 2 * marks, 0)
+    start = ragged.gather(offsets[:-1][chosen] + marks, room)
     weight = ragged.powers(n + 1)
     total = np.full(len(start), n, dtype=np.uint64)
     for k in range(n):

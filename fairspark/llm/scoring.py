@@ -22,6 +22,8 @@ VOCABULARY = 1_024
 DIMENSION = 48
 NOISE_RATIO = 20.0
 STEPS = 200
+#: Weight of the pull of vectors towards zero, in counted pairs; few pairs per class then stay near the unigrams.
+DECAY = 4.0
 RATE = 0.05
 #: The end of a text, written as a character that no word contains.
 END = "\n"
@@ -74,6 +76,8 @@ def train(pairs: np.ndarray, dimension: int = DIMENSION, noise_ratio: float = NO
         slope = seen * (1.0 - real) - drawn * real
         dh = slope @ q
         gradient = {"r": dh @ c.T, "c": r.T @ dh, "q": slope.T @ h, "b": slope.sum(axis=0)}
+        for k in ("r", "q"):
+            gradient[k] -= DECAY / total * values[k]
         rate = RATE * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, g in gradient.items():
             first[k] = 0.9 * first[k] + 0.1 * g

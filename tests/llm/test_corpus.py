@@ -255,7 +255,7 @@ def test_surrogates_keep_kind_and_form(make):
 def test_surrogates_are_coreferent_and_distinct(make):
     texts = ["call 4111 2222 3333 4444 or 4111222233334444", "Bob.1@x.example.com", "BOB.1@X.EXAMPLE.COM", "Mrs. Anna Berg met Mr Berg", "Frau Anna Schmidt and Herr Peter Berg", "1.1.1.1 1.1.1.2 1.1.1.3"]
     new, _ = replaced(make, texts)
-    a, b = re.findall(r"[\d ]{16,19}\d", new[0].replace(" or ", "|").replace("call ", ""))
+    a, b = new[0].removeprefix("call ").split(" or ")
     assert a.replace(" ", "") == b.replace(" ", "") != "4111222233334444"
     assert new[1].lower() == new[2].lower() and new[2].isupper() and new[1][0].isupper()
     anna, berg, berg2 = re.match(r"Mrs\. (\w+) (\w+) met Mr (\w+)$", new[3]).groups()
