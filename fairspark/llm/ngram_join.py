@@ -27,8 +27,8 @@ HOT_TIMES = 8
 PARITY_BITS = 256
 #: Classes of a shingle and length band that all others of it are compared with first.
 HEADS = 2
-#: Up to so many classes are sent to the executors as a list; beyond, the list is joined by shuffle.
-LISTED = 1_000_000
+#: Bits of the table that tells tasks which classes are compared; its size does not depend on the input.
+CLASS_BITS = 1 << 27
 
 
 def shingle_rows(column: pa.Array, width: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -131,21 +131,38 @@ def _signatures(rows: DataFrame, counts: np.ndarray, percent: int, width: int) -
     return rows.mapInArrow(sign, f"id {kind}, n int, cls bigint, {', '.join(f'{c} bigint' for c in names)}, prefix array<bigint>, n_cold int")
 
 
+def class_bits(needed: DataFrame) -> list[bytes]:
+    """One bit per cell of ``CLASS_BITS`` in ``_PARTS`` compressed parts; the cells of needed classes are set."""
+    size = CLASS_BITS // _PARTS
+
+    def mark(group: pa.Table) -> pa.Table:
+        flags = np.zeros(size, dtype=bool)
+        flags[group.column("bit").to_numpy() % size] = True
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "blob": pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())})
+
+    bit = F.pmod("cls", F.lit(CLASS_BITS)).cast("bigint")
+    cells = needed.select(bit.alias("bit")).distinct().withColumn("part", F.floor(F.col("bit") / size).cast("int"))
+    parts = cells.groupBy("part").applyInArrow(mark, "part int, blob binary").collect()
+    found = {r["part"]: bytes(r["blob"]) for r in parts}
+    return [found.get(k, zlib.compress(bytes(size // 8), 1)) for k in range(_PARTS)]
+
+
 def _sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """``cls, shingles`` of the needed classes, each once."""
-    spark = rows.sparkSession
-    few = needed.limit(LISTED + 1).count() <= LISTED
-    listed = np.sort(needed.toPandas()["cls"].to_numpy(dtype=np.int64)) if few else None
-    shared = spark.sparkContext.broadcast(listed)
+    """``cls, shingles`` of the needed classes, each once, and of a few others in the same cells."""
+    shared, cells = rows.sparkSession.sparkContext.broadcast(class_bits(needed)), CLASS_BITS
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shared.value is None else set(shared.value.tolist())
+        bits = np.frombuffer(b"".join(zlib.decompress(x) for x in shared.value), dtype=np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 keys, sets = [], []
                 for own in shingle_rows(part.column("text"), width):
-                    if len(own) and (key := set_key(own)) not in seen and (wanted is None or key in wanted):
+                    if not len(own):
+                        continue
+                    key = set_key(own)
+                    cell = key % cells
+                    if bits[cell >> 3] >> (7 - (cell & 7)) & 1 and key not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(key)
@@ -153,10 +170,7 @@ def _sets(rows: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
-    found = rows.select("text").mapInArrow(collect, "cls bigint, shingles array<bigint>")
-    if not few:
-        found = found.join(needed, "cls", "left_semi")
-    return found.dropDuplicates(["cls"])
+    return rows.select("text").mapInArrow(collect, "cls bigint, shingles array<bigint>").dropDuplicates(["cls"])
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -171,19 +185,28 @@ def _near(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Colum
     return length & position
 
 
+def _most_apart(nx: Column, ny: Column, percent: int) -> Column:
+    """Shingles that at most may be in only one of two sets of these sizes."""
+    both = nx.cast("bigint") + ny
+    return both - 2 * F.ceil((percent * both).cast("double") / (100 + percent) - F.lit(1e-9))
+
+
 def _may_match(percent: int) -> Column:
     """Length, positional and suffix filters on two entries ``x.`` and ``y.`` of the same shingle.
 
-    The suffix filter bounds from below how many shingles only one of the two sets has. Cells of
-    different parity each stand for one. So does each shingle before the common one that is in no other
-    prefix (``own``): were it in the other set, it would come before the common one there too and be in
-    its prefix. More than the threshold allows rule the pair out.
+    This part of the suffix filter counts the shingles before the common one that are in no other prefix
+    (``own``): were one in the other set, it would come before the common one there too and be in its
+    prefix. More than the threshold allows rule the pair out.
     """
-    both = F.col("x.n").cast("bigint") + F.col("y.n")
-    overlap = F.ceil((percent * both).cast("double") / (100 + percent) - F.lit(1e-9))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    near = _near(nx, F.col("x.pos"), ny, F.col("y.pos"), percent)
+    return near & ((F.col("x.own") + F.col("y.own")) <= _most_apart(nx, ny, percent))
+
+
+def _few_differ(percent: int) -> Column:
+    """The other part of the suffix filter: cells of different parity each stand for a shingle of one set only."""
     differ = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY_BITS // 64)), F.lit(0))
-    apart = F.greatest(differ.cast("bigint"), F.col("x.own") + F.col("y.own"))
-    return _near(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & (apart <= both - 2 * overlap)
+    return differ <= _most_apart(F.col("x.n"), F.col("y.n"), percent)
 
 
 def _shared_entries(signed: DataFrame, percent: int) -> DataFrame:
@@ -241,37 +264,37 @@ def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     parity = [f"p{k}" for k in range(PARITY_BITS // 64)]
     signed = stored(_signatures(rows, cell_counts(rows, width), percent, width), "signatures")
 
-    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), *[F.first(p).alias(p) for p in parity])
+    facts = signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("n", *parity)])
     facts = stored(facts, "classes")
     earlier = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
     shared = _shared_entries(signed, percent).withColumn("own", F.col("pos") - earlier)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)))
-    kept = shared.where("near").drop("near").join(facts.drop("low"), "cls")
-    kept = stored(kept.withColumn("band", band), "entries")
+    kept = stored(shared.where("near").drop("near").withColumn("band", band), "entries")
 
     # Heads lie in the shorter prefix that an equally long partner needs; the one with the fewest
     # shingles of its own is closest to what the others were copied from.
-    fact = F.struct("cls", "n", "pos", "own", *parity)
+    fact = F.struct("cls", "n", "pos", "own")
     first = [F.min_by(fact, F.struct(F.col("own"), F.xxhash64("cls"))), *[F.min_by(fact, F.xxhash64("cls", F.lit(k))) for k in range(1, HEADS)]]
     early = (F.col("n") - F.col("pos")).cast("bigint") * (100 + percent) >= 2 * percent * F.col("n").cast("bigint")
     heads = kept.where(early).groupBy("tok", "band").agg(F.explode(F.array_distinct(F.array(*first))).alias("head")).select("tok", "band", "head.*")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
     same_band = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") != F.col("y.cls"))
-    tried = stored(kept.alias("x").join(heads.alias("y"), same_band & _may_match(percent)).select(*pair).distinct(), "pairs")
-    sets = stored(_sets(rows, _members(tried), width), "sets")
-    links = stored(_verified(tried, sets, percent), "links")
+    tried = kept.alias("x").join(heads.alias("y"), same_band & _may_match(percent)).select(*pair).distinct()
+    marks = facts.select("cls", "n", *parity)
+    tried = tried.join(marks.alias("x"), F.col("a") == F.col("x.cls")).join(marks.alias("y"), F.col("b") == F.col("y.cls"))
+    tried = stored(tried.where(_few_differ(percent)).select("a", "b"), "pairs")
+    links = stored(_verified(tried, _sets(rows, _members(tried), width), percent), "links")
 
     labels = components(links)
     labelled = kept.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = labelled.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-    labelled = stored(labelled.join(mixed, "tok", "left_semi").drop("band"), "open")
+    labelled = labelled.drop("band").join(facts.select("cls", *parity), "cls")
+    labelled = stored(labelled.join(mixed, "tok", "left_semi"), "open")
     apart = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-    rest = labelled.alias("x").join(labelled.alias("y"), apart & _may_match(percent)).select(*pair).distinct()
+    rest = labelled.alias("x").join(labelled.alias("y"), apart & _may_match(percent) & _few_differ(percent)).select(*pair).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        missing = _members(rest).join(sets.select("cls"), "cls", "left_anti")
-        sets = sets.unionByName(stored(_sets(rows, missing, width), "sets"))
-        links = stored(links.unionByName(_verified(rest, sets, percent)), "links")
+        links = stored(links.unionByName(_verified(rest, _sets(rows, _members(rest), width), percent)), "links")
 
     roots = components(links).withColumnRenamed("node", "cls")
     found = facts.select("cls", "low").join(roots, "cls", "left")

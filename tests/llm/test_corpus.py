@@ -132,10 +132,10 @@ def test_join_equals_all_pairs(make):
     assert links_of(make(rows)) == linked(rows)
 
 
-def test_join_with_hot_shingles_and_shuffled_sets(make, monkeypatch):
+def test_join_with_hot_shingles_and_full_class_cells(make, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_COUNT", 3)
     monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
-    monkeypatch.setattr(ngram_join, "LISTED", 0)
+    monkeypatch.setattr(ngram_join, "CLASS_BITS", 128)
     common = [f"c{k}" for k in range(30)]
     rows = [(k, " ".join([*common, *[f"u{k}-{j}" for j in range(k % 12)]])) for k in range(60)]
     assert links_of(make(rows)) == linked(rows)
