@@ -25,6 +25,8 @@ STEPS = 200
 #: Weight of the pull of vectors towards zero, in counted pairs; few pairs per class then stay near the unigrams.
 DECAY = 4.0
 RATE = 0.05
+#: Bytes of text that a task turns into arrays at a time; its arrays take some twenty times that.
+SLICE_BYTES = 4 << 20
 #: The end of a text, written as a character that no word contains.
 END = "\n"
 
@@ -124,7 +126,7 @@ class Scorer:
 def _word_counts(train_rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.slices(batch, "text", 4 * ragged.SLICE_BYTES):
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
                 found = ragged.words(part.column("text"))
                 n = np.bincount(found.code, minlength=len(found.values))
                 used = np.flatnonzero(n)
@@ -142,7 +144,7 @@ def _pair_counts(train_rows: DataFrame, scorer) -> DataFrame:
         width = known.n_classes + 2
         cells = np.zeros(width * width, dtype=np.int64)
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
                 found = ragged.words(part.column("text"))
                 _, before, own = known.streams(found, known.classes(found)[1])
                 cells += np.bincount(before.astype(np.int64) * width + own, minlength=width * width)
@@ -207,7 +209,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         lexicon_base = known.base(known.counts)
         share = math.log10(known.rest_tokens + known.rest_types + 1.0)
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
                 found = ragged.words(part.column("text"))
                 at, label = known.classes(found)
                 row, before, own = known.streams(found, label)
