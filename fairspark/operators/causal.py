@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairspark.functions.numeric import count_if
-from fairspark.functions.ordering import ROWS_PER_BLOCK, attach_row, running_sums, split_points, value_counts, with_blocks
+from fairspark.functions.ordering import ROWS_PER_BLOCK, attach_row, row_index, running_sums
 from fairspark.functions.special import chi2_sf, normal_two_sided, t_two_sided
+from fairspark.session import materialise
 
 Z_975 = 1.959963984540054
 EDGE_THRESHOLD = 0.3
@@ -321,117 +322,72 @@ def strongest_parent(corr: DataFrame) -> DataFrame:
     ).select("src", "dst", "weight")
 
 
-def average_ranks(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Distinct values with their average rank."""
-    counts = value_counts(df.select(F.lit(1).alias("__k"), column), ["__k"], column)
+def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs ``(x, y)`` with their counts ``w``: the only pass over the rows."""
+    clean = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    return materialise(clean.groupBy("x", "y").agg(F.count("*").cast("double").alias("w")))
+
+
+def _value_ranks(cells: DataFrame, column: str, alias: str, rows_per_block: int) -> DataFrame:
+    """Distinct values of one column with their average rank over all rows."""
+    counts = materialise(cells.groupBy(column).agg(F.sum("w").alias("cnt")).withColumn("__k", F.lit(1)))
     cum = running_sums(counts, ["__k"], [column], {"cum": F.col("cnt")}, rows_per_block=rows_per_block)
-    return cum.select(F.col(column).alias("v"), (F.col("cum") - (F.col("cnt") - 1) / 2).alias("rank"))
+    return cum.select(column, (F.col("cum") - (F.col("cnt") - 1) / 2).alias(alias))
 
 
 def spearman(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Rank correlation of two columns from distinct cells, one row."""
-    clean = df.select(x, y).dropna()
-    cells = clean.groupBy(x, y).agg(F.count("*").cast("double").alias("w"))
-    rx = average_ranks(clean, x, rows_per_block).select(F.col("v").alias(x), F.col("rank").alias("rx"))
-    ry = average_ranks(clean, y, rows_per_block).select(F.col("v").alias(y), F.col("rank").alias("ry"))
-    joined = cells.join(rx, x).join(ry, y)
+    """Rank correlation of two columns from distinct cells, one row.
+
+    A value with very many partners makes a large join partition, which adaptive execution splits.
+    """
+    cells = _cells(df, x, y)
+    joined = cells.join(_value_ranks(cells, "x", "rx", rows_per_block), "x").join(_value_ranks(cells, "y", "ry", rows_per_block), "y")
     # The mean rank is (n + 1) / 2 on both sides, so centred sums need no second pass.
-    n = clean.agg(F.count("*").alias("n"))
+    n = cells.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n"))
     cx, cy = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2
-    one = attach_row(joined, n).agg(
-        F.max("n").alias("n"), F.sum(F.col("w") * cx * cy).alias("xy"), F.sum(F.col("w") * cx * cx).alias("xx"), F.sum(F.col("w") * cy * cy).alias("yy")
+    sums = attach_row(joined, n).agg(
+        F.sum(F.col("w") * cx * cy).alias("xy"), F.sum(F.col("w") * cx * cx).alias("xx"), F.sum(F.col("w") * cy * cy).alias("yy")
     )
-    return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), "n", F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("correlation"))
-
-
-def _ascending_weight(y: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w_i * w_j over i before j with y_i < y_j, by rank bits (no pair is formed)."""
-    rank = np.unique(y, return_inverse=True)[1]
-    total = 0.0
-    for bit in range(int(rank.max()).bit_length() if len(rank) else 0):
-        group = rank >> (bit + 1)
-        order = np.argsort(group, kind="stable")
-        low = ((rank >> bit) & 1 == 0)[order]
-        wo, go = w[order], group[order]
-        before = np.cumsum(np.where(low, wo, 0.0))
-        start = np.concatenate([[True], go[1:] != go[:-1]])
-        base = np.where(start, np.concatenate([[0.0], before[:-1]]), 0.0)
-        before -= np.maximum.accumulate(base)
-        total += float(np.sum(np.where(low, 0.0, wo * before)))
-    return total
-
-
-def _concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted concordant minus discordant pairs; ties on either side count nothing."""
-    up = np.lexsort((-y, x))
-    down = np.lexsort((y, x))
-    return _ascending_weight(y[up], w[up]) - _ascending_weight(-y[down], w[down])
-
+    correlation = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    return attach_row(sums, n).select(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n").cast("bigint").alias("n"), correlation.alias("correlation"))
 
-MAX_GRID_SIDE = 1_000
 
-
-def _cut(df: DataFrame, column: str, rows_per_block: int, n_rows: int) -> list[float]:
-    """Block borders; a value that fills a block on its own gets borders on both sides.
-
-    At most ``MAX_GRID_SIDE`` quantiles, so the block-count table stays bounded.
-    """
-    points = split_points(df, column, max(rows_per_block, math.ceil(n_rows / MAX_GRID_SIDE)), n_rows)
-    return sorted({p for v in points for p in (v, math.nextafter(v, math.inf))})
-
-
-def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = 50_000) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Kendall tau-b of two columns over all rows, one row.
 
-    The plane is cut into x blocks and y blocks. Pairs in different x and different y
-    blocks are decided by the block counts. Pairs inside one x block are counted within
-    it; pairs of one y block but different x blocks within that y block, with the block
-    number as x. A block that holds a single value has no pair to count and is skipped,
-    so a hot value is never gathered.
+    Two different y ranks first differ in one bit: above it they agree, and the larger rank
+    has the bit set. So each cell gives one row per bit, keyed by the bit and the rank above it.
+    Within such a key, concordant minus discordant pairs follow from a running sum of the cells
+    without the bit in order of x: those before a cell with the bit less those after it. Cells of
+    equal x are added up first, so ties on either side count nothing, and no pair is formed.
     """
-    clean = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    cells = clean.groupBy("x", "y").agg(F.count("*").cast("double").alias("w"))
-    n_cells = cells.count()
-    px, py = (_cut(cells, c, rows_per_block, n_cells) for c in ("x", "y"))
-    blocked = with_blocks(with_blocks(cells, "x", px, "bx"), "y", py, "by")
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _concordance(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"s": [s]})
-
-    def varied(block: str, value: str) -> DataFrame:
-        spread = blocked.groupBy(block).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo < hi")
-        return blocked.join(spread.select(block), block)
-
-    in_x = varied("bx", "x").groupBy("bx").applyInPandas(inside, "s double")
-    per_y = varied("by", "y").groupBy("by", "bx", "y").agg(F.sum("w").alias("w")).withColumnRenamed("bx", "x")
-    in_y = per_y.groupBy("by").applyInPandas(inside, "s double")
-    grid = blocked.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()
-    across = _grid_concordance(grid)
-    ties = lambda c: value_counts(clean.select(F.lit(1).alias("k"), c), ["k"], c).agg(
-        F.sum(F.col("cnt").cast("double") * (F.col("cnt") - 1) / 2).alias(f"t{c}")
+    cells = _cells(df, x, y)
+    values = materialise(cells.select("y").distinct().withColumn("__k", F.lit(1)))
+    ranks = row_index(values, ["__k"], ["y"], "rank", rows_per_block=rows_per_block).select("y", (F.col("rank") - 1).alias("rank"))
+    bits = F.sequence(F.lit(0), F.length(F.bin("last")) - 1)
+    last = values.agg((F.count("*") - 1).alias("last"))
+    keyed = attach_row(cells.join(ranks, "y"), last).select("x", "w", "rank", F.explode(bits).alias("bit"))
+    high = F.expr("(shiftright(rank, bit) & 1) = 1")
+    sides = materialise(
+        keyed.groupBy("bit", F.expr("shiftright(rank, bit + 1)").alias("head"), "x").agg(
+            F.sum(F.when(high, 0.0).otherwise(F.col("w"))).alias("low"), F.sum(F.when(high, F.col("w")).otherwise(0.0)).alias("high")
+        )
+    )
+    cum = running_sums(sides, ["bit", "head"], ["x"], {"upto": F.col("low")}, rows_per_block=rows_per_block)
+    # Before less after equals twice the sum up to here, less the own cells, less all cells of the key.
+    ordered = cum.agg(F.sum(F.col("high") * (2 * F.col("upto") - F.col("low"))).alias("s"))
+    whole = sides.groupBy("bit", "head").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    across = whole.agg(F.sum(F.col("low") * F.col("high")).alias("t"))
+    ties = lambda c: cells.groupBy(c).agg(F.sum("w").alias("cnt")).agg(
+        F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2).alias(f"t{c}")
     )
-    n = clean.agg(F.count("*").cast("double").alias("n"))
-    s = in_x.unionByName(in_y).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
-    one = attach_row(attach_row(attach_row(s, n), ties("x")), ties("y"))
+    n = cells.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n"))
+    one = attach_row(attach_row(attach_row(attach_row(ordered, across), n), ties("x")), ties("y"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    tau = F.try_divide(F.col("s") + F.lit(across), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
+    tau = F.try_divide(F.col("s") - F.col("t"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
     return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n").cast("bigint").alias("n"), tau.alias("correlation"))
 
 
-def _grid_concordance(grid: pd.DataFrame) -> float:
-    """Pairs in different x and y blocks, from the block-count table (blocks squared)."""
-    if grid.empty:
-        return 0.0
-    table = grid.pivot(index="bx", columns="by", values="w").fillna(0.0).sort_index().sort_index(axis=1).to_numpy()
-    later_rows = np.cumsum(table[::-1], axis=0)[::-1]
-    below = np.vstack([later_rows[1:], np.zeros((1, table.shape[1]))])
-    left = np.cumsum(below, axis=1)
-    smaller = np.hstack([np.zeros((table.shape[0], 1)), left[:, :-1]])
-    larger = left[:, -1:] - left
-    return float(np.sum(table * (larger - smaller)))
-
-
 def correlation_score(result: DataFrame) -> DataFrame:
     """p-value of a Pearson or Spearman coefficient by the t distribution."""
     t = F.col("correlation") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("correlation") ** 2, F.lit(1e-15)))
