@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 PRIME = 2**31 - 1
 BINS = 30
-MAX_CUTS = 5_000_000
+#: Cuts that one pass holds in its tasks.
+MOST_CUTS = 5_000_000
 
 
 def coefficients(n_perm: int, seed: int) -> np.ndarray:
@@ -100,8 +101,6 @@ def permutation_cuts(rows: DataFrame, sizes: DataFrame, n_perm: int, seed: int)
     group and permutation.
     """
     total = {r["grp"]: (r["n"], r["m"]) for r in sizes.collect()}
-    if len(total) * n_perm > MAX_CUTS:
-        raise ValueError(f"{len(total)} groups x {n_perm} permutations exceed {MAX_CUTS} cuts; test fewer groups per call")
     windows = {g: _window(n, m) for g, (n, m) in total.items()}
     coef = coefficients(n_perm, seed)
     hist = rows.mapInPandas(_histograms(coef, windows), "grp string, bucket int, counts array<bigint>")

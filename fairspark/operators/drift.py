@@ -7,6 +7,7 @@ numbering) use blocked scans, so one dominant feature does not end in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from fairspark.functions.ordering import (
     split_points,
     with_blocks,
 )
-from fairspark.functions.permutation import coefficients, labels, permutation_cuts
+from fairspark.functions.permutation import MOST_CUTS, coefficients, labels, permutation_cuts
 from fairspark.session import materialise
 
 MIN_REFERENCE = 30
@@ -196,148 +197,137 @@ def distances(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
 
 
 def wasserstein_equal(df: DataFrame, a: str, b: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Mean absolute difference of two columns after sorting each (equal sample sizes)."""
-    parts = []
-    for name in (a, b):
-        one = df.select(F.lit(1).alias("k"), F.col(name).cast("double").alias("v")).where(F.col("v").isNotNull())
-        # Ties are equal values, so their relative order does not change any difference.
-        counted = one.groupBy("k", "v").agg(F.count("*").alias("cnt"))
-        cum = running_sums(counted, ["k"], ["v"], {"cum": F.col("cnt")}, rows_per_block=rows_per_block)
-        ranks = F.sequence(F.col("cum") - F.col("cnt") + 1, F.col("cum"))
-        parts.append(cum.select(F.col("v").alias(name), F.explode(ranks).alias("rn")))
-    return parts[0].join(parts[1], "rn").agg(
-        F.count("*").alias("n"), F.avg(F.abs(F.col(a) - F.col(b))).alias("w1")
+    """Mean absolute difference of two columns after sorting each.
+
+    For equal sample sizes this is the area between both empirical CDFs, so no rank is
+    formed. Samples of unequal size have no such pairing: evaluating the result fails.
+    """
+    entries = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).cast("double").alias("value")) for s, c in (("ref", a), ("new", b))])
+    long = df.select(F.lit("pair").alias("feature"), F.inline(entries)).where(F.col("value").isNotNull())
+    one = distances(long, rows_per_block).agg(
+        F.coalesce(F.max("n_ref"), F.lit(0)).alias("n"), F.coalesce(F.max("n_new"), F.lit(0)).alias("n_b"), F.max("w1").alias("w1")
     )
+    text = F.format_string("samples of unequal size: %d and %d values", F.col("n"), F.col("n_b"))
+    return one.select("n", F.when(F.col("n") == F.col("n_b"), F.col("w1")).otherwise(F.raise_error(text)).alias("w1"))
 
 
-KEEP_HOT = 64
-FLUSH_DISTINCT = 20_000
-ROWS_PER_PERM_BLOCK = 20_000
+ROWS_PER_PART = 500_000
+ROWS_PER_MATRIX = 10_000
 
 
-def _labelled_counts(coef: np.ndarray, cuts: dict):
-    """Per partition and distinct value: rows, reference rows and, for every permutation,
-    rows labelled as reference. Values seen most often stay in the buffer until the end,
-    so a hot value leaves a task once."""
+def _label_counts(part: pd.DataFrame, coef: np.ndarray, cut: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Per row 1, the observed label and the label of every permutation."""
+    marked = labels(part["id"].to_numpy(), coef, cut)
+    return np.column_stack([np.ones(len(part), bool), part["is_ref"].to_numpy(bool), marked])
 
-    def merge(a, b):
-        values = np.concatenate([a[0], b[0]])
-        order = np.argsort(values, kind="stable")
-        values, start = np.unique(values[order], return_index=True)
-        return values, np.add.reduceat(np.concatenate([a[1], b[1]])[order], start)
 
-    def frame(g, values, counts) -> pd.DataFrame:
-        return pd.DataFrame({"grp": g, "value": values, "counts": list(counts)})
+def _part_totals(coef: np.ndarray, cuts: dict):
+    """Per feature and part: rows, reference rows and rows labelled as reference by every permutation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
         for pdf in batches:
-            for g, part in pdf.groupby("grp"):
-                marked = labels(part["id"].to_numpy(), coef, cuts[g])
-                values = part["value"].to_numpy()
-                order = np.argsort(values, kind="stable")
-                distinct, start = np.unique(values[order], return_index=True)
-                matrix = np.column_stack([np.ones(len(values), bool), part["is_ref"].to_numpy(bool), marked])
-                found = (distinct, np.add.reduceat(matrix[order].astype(np.int64), start))
-                acc[g] = merge(acc[g], found) if g in acc else found
-                if len(acc[g][0]) > FLUSH_DISTINCT:
-                    values, counts = acc[g]
-                    hot = np.zeros(len(values), bool)
-                    hot[np.argpartition(counts[:, 0], -KEEP_HOT)[-KEEP_HOT:]] = True
-                    yield frame(g, values[~hot], counts[~hot])
-                    acc[g] = (values[hot], counts[hot])
-        for g, (values, counts) in acc.items():
-            yield frame(g, values, counts)
+            for key, rows in pdf.groupby(["grp", "part"]):
+                total = _label_counts(rows, coef, cuts[key[0]]).sum(axis=0, dtype=np.int64)
+                first = rows["value"].min()
+                known = acc.get(key)
+                acc[key] = (first, total) if known is None else (min(first, known[0]), total + known[1])
+        yield pd.DataFrame(
+            [(g, part, first, total.tolist()) for (g, part), (first, total) in acc.items()], columns=["grp", "part", "first_value", "total"]
+        )
 
     return run
 
 
-def _block_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum(np.stack(pdf["counts"].to_list()), axis=0)
-    return pd.DataFrame(
-        {"grp": [pdf["grp"].iloc[0]], BLOCK: [pdf[BLOCK].iloc[0]], "first_value": [pdf["value"].min()], "total": [total.tolist()]}
-    )
-
+def _part_distances(coef: np.ndarray, cuts: dict, sizes: dict):
+    """Sum of |F - G| * width over one part for the observed labels and all permutations.
 
-def _block_distances(sizes: dict):
-    """Sum of |F - G| * width over one block for the observed labels and all permutations."""
+    Rows are taken in order of value; equal values have no width, so only the last of them
+    counts. The last row of a part reaches to the first value of the next part.
+    """
 
     def run(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["grp"].iloc[0]
-        n, m = sizes[g]
-        values = pdf["value"].to_numpy()
-        order = np.argsort(values, kind="stable")
-        values, start = np.unique(values[order], return_index=True)
-        counts = np.add.reduceat(np.stack(pdf["counts"].to_list())[order], start)
-        begin = np.asarray(carry["carry"].iloc[0]) if len(carry) else np.zeros(counts.shape[1], np.int64)
-        cum = counts.cumsum(axis=0) + begin
-        after = carry["next_value"].iloc[0] if len(carry) else None
-        ends = np.append(values[1:], values[-1] if after is None or pd.isna(after) else after)
-        width = (ends - values)[:, None]
-        new = max(n - m, 1)
-        gap = np.abs(cum[:, 1:] / max(m, 1) - (cum[:, :1] - cum[:, 1:]) / new) * width
-        return pd.DataFrame({"grp": [g], "part": [gap.sum(axis=0).tolist()]})
+        known = {r.grp: r for r in carry.itertuples(index=False)}
+        out = []
+        for g, rows in pdf.groupby("grp"):
+            n, m = sizes[g]
+            rows = rows.sort_values("value", kind="stable")
+            values = rows["value"].to_numpy()
+            after = known[g].next_value
+            width = np.append(values[1:], values[-1] if after is None or pd.isna(after) else after) - values
+            before = np.asarray(known[g].carry, dtype=np.int64)
+            total = np.zeros(len(before) - 1)
+            for lo in range(0, len(rows), ROWS_PER_MATRIX):
+                cum = _label_counts(rows.iloc[lo : lo + ROWS_PER_MATRIX], coef, cuts[g]).cumsum(axis=0, dtype=np.int64) + before
+                before = cum[-1]
+                gap = np.abs(cum[:, 1:] / max(m, 1) - (cum[:, :1] - cum[:, 1:]) / max(n - m, 1))
+                total += width[lo : lo + ROWS_PER_MATRIX] @ gap
+            out.append((g, total.tolist()))
+        return pd.DataFrame(out, columns=["grp", "sums"])
 
     return run
 
 
-def _even_parts(spark: SparkSession, n_rows: int, rows_per_part: int = 100_000) -> int:
-    """At least one partition per core, at most the session's shuffle partitions."""
-    cores = spark.sparkContext.defaultParallelism
-    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return min(most, max(cores, -(-n_rows // rows_per_part)))
+def _even_parts(spark: SparkSession, n_rows: int, rows_per_part: int = ROWS_PER_PART) -> int:
+    """At least one partition per core, else as many as the rows need."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_part))
 
 
 def permutation_test(
-    df: DataFrame, n_perm: int = PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PERM_BLOCK
+    df: DataFrame, n_perm: int = PERMUTATIONS, seed: int = 42, rows_per_block: int = ROWS_PER_PART, most_cuts: int = MOST_CUTS
 ) -> DataFrame:
     """W1 of the observed labelling and of ``n_perm`` random relabellings per feature.
 
-    Every permutation labels exactly ``n_ref`` rows of the feature as reference. The
-    pooled values are cut into blocks once for all permutations; a block turns its
-    counts into cumulative counts as one matrix and needs only the totals of the
-    earlier blocks. What leaves a task is one count per distinct value and permutation.
-    A feature with rows on one side only has no distance (null).
+    Every permutation labels exactly ``n_ref`` rows of the feature as reference. The rows are
+    laid out once in ranges of (value, id), so a hot value spans several parts. A label follows
+    from the id and the cut of its permutation and is computed where it is needed: the rows
+    move as they are, and only one total per part and permutation leaves a task. A part turns
+    its labels into cumulative counts from the totals of the earlier parts.
+    A feature with rows on one side only has no distance (null). Cuts are held by the tasks;
+    more than ``most_cuts`` of them are worked off in several passes over a share of the features.
     """
-    spark = df.sparkSession
-    base = df.where(F.col("value").isNotNull() & F.col("side").isin("ref", "new")).select(
+    base = df.where(F.col("feature").isNotNull() & F.col("value").isNotNull() & F.col("side").isin("ref", "new")).select(
         F.col("feature").alias("grp"), F.col("seq").cast("bigint").alias("id"), F.col("value").cast("double").alias("value"),
         (F.col("side") == "ref").alias("is_ref"),
     )
+    n_features = base.agg(F.count_distinct("grp")).first()[0]
+    passes = max(1, -(-n_features * n_perm // most_cuts))
+    share = F.pmod(F.xxhash64("grp"), F.lit(passes))
+    tested = [_permuted(base.where(share == k) if passes > 1 else base, n_perm, seed, rows_per_block) for k in range(passes)]
+    return reduce(DataFrame.unionByName, tested)
+
+
+def _permuted(base: DataFrame, n_perm: int, seed: int, rows_per_part: int) -> DataFrame:
+    spark = base.sparkSession
     counted = base.groupBy("grp").agg(F.count("*").alias("n"), count_if(F.col("is_ref")).alias("m")).collect()
     sizes_local = {r["grp"]: (r["n"], r["m"]) for r in counted}
     sizes = spark.createDataFrame(counted, "grp string, n bigint, m bigint")
-    # The rows feed three compute-heavy passes: spread them evenly and fix them once.
-    rows = materialise(base.repartition(_even_parts(spark, sum(n for n, _ in sizes_local.values())), "id"))
+    n_parts = _even_parts(spark, sum(n for n, _ in sizes_local.values()), rows_per_part)
+    rows = materialise(base.repartitionByRange(n_parts, "value", "id").withColumn("part", F.spark_partition_id()))
     cuts = permutation_cuts(rows.select("grp", "id"), sizes, n_perm, seed)
     coef = coefficients(n_perm, seed)
-    pooled = materialise(
-        rows.mapInPandas(_labelled_counts(coef, cuts), "grp string, value double, counts array<bigint>")
-    )
-    blocked = with_blocks(pooled, "value", split_points(pooled, "value", rows_per_block))
-    keys = ["grp", BLOCK]
-    totals = blocked.groupBy(*keys).applyInPandas(
-        _block_totals, f"grp string, `{BLOCK}` double, first_value double, total array<bigint>"
+    totals = materialise(
+        rows.mapInPandas(_part_totals(coef, cuts), "grp string, part int, first_value double, total array<bigint>")
     )
-    per_perm = totals.select(*keys, "first_value", F.posexplode("total").alias("perm", "cnt"))
-    order = Window.partitionBy("grp", "perm").orderBy(BLOCK)
+    per_perm = totals.select("grp", "part", "first_value", F.posexplode("total").alias("perm", "cnt"))
+    order = Window.partitionBy("grp", "perm").orderBy("part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         per_perm.select(
-            *keys, "perm", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("c"), F.lead("first_value").over(order).alias("nv")
+            "grp", "part", "perm", F.coalesce(F.sum("cnt").over(before), F.lit(0)).alias("c"), F.lead("first_value").over(order).alias("nv")
         )
-        .groupBy(*keys)
+        .groupBy("grp", "part")
         .agg(
             F.transform(F.sort_array(F.collect_list(F.struct("perm", "c"))), lambda x: x["c"]).alias("carry"),
             F.max("nv").alias("next_value"),
         )
     )
     parts = (
-        blocked.groupBy(*keys)
-        .cogroup(carry.groupBy(*keys))
-        .applyInPandas(_block_distances(sizes_local), "grp string, part array<double>")
+        rows.groupBy("part")
+        .cogroup(carry.groupBy("part"))
+        .applyInPandas(_part_distances(coef, cuts, sizes_local), "grp string, sums array<double>")
     )
-    summed = parts.select("grp", F.posexplode("part").alias("perm", "d")).groupBy("grp", "perm").agg(F.sum("d").alias("d"))
+    summed = parts.select("grp", F.posexplode("sums").alias("perm", "d")).groupBy("grp", "perm").agg(F.sum("d").alias("d"))
     wide = summed.groupBy("grp").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("perm", "d"))), lambda x: x["d"]).alias("all")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.ordering import BLOCK, ROWS_PER_BLOCK, row_index, split_points, with_blocks
 from fairspark.operators import drift as dr
-from fairspark.streaming.microbatch import Process, output_path, read_state, state_path
+from fairspark.streaming.microbatch import Process, late_path, output_path, read_state, state_path
 
 REFERENCE_SIZE = 500
 TEST_SIZE = 100
@@ -94,12 +94,22 @@ def count_windows(numbered: DataFrame, size: int = TEST_SIZE, stride: int = STRI
 
 def window_process(root: str, size: int = TEST_SIZE, stride: int = STRIDE) -> Process:
     """foreachBatch function of count-based windows: a window is emitted by the batch that
-    fills it. State: rows seen so far and at most ``size - 1`` buffered rows per feature."""
+    fills it. State: the last ``size - 1`` rows per feature (one at least) with their numbers.
+
+    Rows at or behind the last ``seq`` of their feature are late: dropped, and counted per
+    batch and feature below ``late``.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         clean = batch.where(F.col("value").isNotNull()).select("feature", "seq", "value")
         state = read_state(spark, root, batch_id)
+        if state is not None:
+            known = clean.join(state.groupBy("feature").agg(F.max("seq").alias("last_seq")), "feature", "left")
+            behind = F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
+            late = known.where(behind).groupBy("feature").agg(F.count("*").alias("n_late"))
+            late.write.mode("overwrite").parquet(late_path(root, batch_id))
+            clean = known.where(~behind).drop("last_seq")
         numbered = row_index(clean, ["feature"], ["seq"], "rn")
         if state is not None:
             seen = state.groupBy("feature").agg(F.max("rn").alias("seen"))
@@ -112,7 +122,7 @@ def window_process(root: str, size: int = TEST_SIZE, stride: int = STRIDE) -> Pr
         ended = F.col("window_id") * stride + size > F.coalesce("before", F.lit(0))
         windows.where(ended).drop("before").write.mode("overwrite").parquet(output_path(root, batch_id))
         total = numbered.groupBy("feature").agg(F.max("rn").alias("total"))
-        tail = numbered.join(total, "feature").where(F.col("rn") > F.col("total") - (size - 1))
+        tail = numbered.join(total, "feature").where(F.col("rn") > F.col("total") - max(size - 1, 1))
         tail.select("feature", "seq", "value", "rn").write.mode("overwrite").parquet(state_path(root, batch_id))
 
     return run

@@ -47,6 +47,10 @@ def output_path(root: str, batch_id: int) -> str:
     return f"{root}/out/batch={batch_id}"
 
 
+def late_path(root: str, batch_id: int) -> str:
+    return f"{root}/late/batch={batch_id}"
+
+
 def read_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     return spark.read.parquet(state_path(root, batch_id - 1)) if batch_id > 0 else None
 

@@ -1,8 +1,10 @@
 """Input that leaves a statistic undefined gives a flagged row, not an error and no false number."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fairspark.operators import causal, drift, fairness, graph, mitigation
+from fairspark.streaming import detectors, microbatch
 
 
 def one_sided(spark):
@@ -63,3 +65,34 @@ def test_cycle_behind_a_chain(spark):
     ring = spark.createDataFrame([*edges, ("n12", "n10")], "src string, dst string")
     assert graph.is_acyclic(chain).first()["is_dag"] and not graph.is_acyclic(ring).first()["is_dag"]
     assert graph.reachable(chain, spark.createDataFrame([("n00",)], "node string")).count() == 12
+
+
+def test_permutations_do_not_depend_on_parts_or_passes(spark):
+    df = one_sided(spark)
+    whole = by_feature(drift.permutation_test(df, 20, rows_per_block=1_000_000))
+    split = by_feature(drift.permutation_test(df.repartition(3), 20, rows_per_block=4, most_cuts=20))
+    assert set(whole) == set(split)
+    for name, row in whole.items():
+        assert (row["w1"] is None) == (split[name]["w1"] is None)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(row["permuted"], split[name]["permuted"]))
+
+
+def test_paired_distance_needs_equal_sizes(spark):
+    pairs = spark.createDataFrame([(1.0, 4.0), (5.0, 2.0), (2.0, 2.0)], "a double, b double")
+    row = drift.wasserstein_equal(pairs, "a", "b").first()
+    assert row["n"] == 3 and abs(row["w1"] - 2 / 3) < 1e-12
+    with pytest.raises(Exception, match="unequal size"):
+        drift.wasserstein_equal(pairs.unionByName(spark.createDataFrame([(1.0, None)], pairs.schema)), "a", "b").collect()
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    root = str(tmp_path)
+    process = detectors.window_process(root, size=4, stride=2)
+    schema = "feature string, seq bigint, value double"
+    process(spark.createDataFrame([("a", i, float(i)) for i in range(5)], schema), 0)
+    late = [("a", 1, 100.0), ("a", 4, 100.0)]
+    process(spark.createDataFrame(late + [("a", i, float(i)) for i in range(5, 8)] + [("b", 0, 1.0)], schema), 1)
+    windows = {r["window_id"]: (r["first_seq"], r["last_seq"], r["mean"]) for r in microbatch.read_output(spark, root).collect()}
+    assert windows == {0: (0, 3, 1.5), 1: (2, 5, 3.5), 2: (4, 7, 5.5)}
+    counted = spark.read.parquet(microbatch.late_path(root, 1)).collect()
+    assert [(r["feature"], r["n_late"]) for r in counted] == [("a", 2)]
