@@ -27,8 +27,8 @@ def _normal(id_col: str, sample: Column, position: int, seed: int) -> Column:
     the same value for the same row, sample and feature."""
 
     def uniform(salt: str) -> Column:
-        h = F.xxhash64(F.col(id_col), sample, F.lit(position), F.lit(salt), F.lit(seed))
-        return (F.pmod(h, F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 1)
+        drawn = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), sample.cast("string"), F.lit(f"{position}|{salt}|{seed}")))
+        return (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint") + 1).cast("double") / float((1 << 52) + 1)
 
     return F.sqrt(-2.0 * F.log(uniform("radius"))) * F.cos(2.0 * math.pi * uniform("angle"))
 

@@ -13,7 +13,25 @@ MOVED = " + ".join(f"(abs({a} - {b}) > 0.01)::INT" for a, b in (("cq", "q"), ("c
 VIEWS = {"applicants": APPLICANTS, "flipped": FLIPPED, "scored": SCORED}
 STEPS = "unnest(range(0, 64))::INT AS dim, unnest(emb_a) AS a, unnest(emb_b) AS b"
 
+
+
+def jittered(noise: float, sample: str) -> str:
+    """Clipped features with Box-Muller noise from md5 draws; the flipped one is 0."""
+
+    def draw(position: int, salt: str) -> str:
+        return f"(('0x' || substring(md5(row_id || '|' || {sample} || '|{position}|{salt}|42'), 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370497.0::DOUBLE"
+
+    def moved(column: str, position: int) -> str:
+        normal = f"sqrt(-2.0::DOUBLE * ln({draw(position, 'radius')})) * cos(2.0::DOUBLE * pi() * {draw(position, 'angle')})"
+        return f"round_even({C(f'{column} + {noise}::DOUBLE * ({normal})')}, 6)"
+
+    named = (("q", 0, "quantity"), ("d", 1, "discount"), ("t", 2, "tax"), ("f", 4, "flag"))
+    return ", ".join(f"{moved(c, i)} AS {name}" for c, i, name in named) + ", 0.0::DOUBLE AS status"
+
+
 ORACLES = {
+    "k1_attribute_flip_noise": sql(f"SELECT row_id, {jittered(0.02, '0')} FROM applicants", **VIEWS),
+    "k2_variants": sql(f"SELECT row_id, sample::INT AS sample, {jittered(0.01, 'sample')} FROM applicants, range(1, 6) g(sample)", **VIEWS),
     "k1_attribute_flip": sql("SELECT row_id, cq AS quantity, cd AS discount, ct AS tax, cs AS status, c_f AS flag FROM flipped", **VIEWS),
     "k3_explain_changes": sql("SELECT row_id, 'status' AS feature, s AS original, cs AS counterfactual, cs - s AS change FROM flipped WHERE abs(cs - s) > 0.01", **VIEWS),
     "k4_validation": sql(f"""SELECT count(*) AS n, count(*) FILTER (WHERE (z0 >= 0) <> (z1 >= 0)) AS n_flipped, round_even(avg(((z0 >= 0) <> (z1 >= 0))::INT), 6) AS flip_rate, round_even(avg({L2}), 6) AS mean_l2,
