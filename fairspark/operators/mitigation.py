@@ -17,6 +17,7 @@ from fairspark.functions.ordering import (
     first_by_hash,
     hash_key,
     pinned,
+    row_index,
     previous_row,
     running_sums,
     trailing_windows,
@@ -390,21 +391,55 @@ def assess_health(summary: DataFrame) -> DataFrame:
 # Data fixes ----------------------------------------------------------------------
 
 
-def oversample(df: DataFrame, group: str, id_col: str, seed: int = 42) -> DataFrame:
+#: Copies that one row makes in its own task; more are spread over tasks.
+COPIES_PER_TASK = 10_000
+
+
+def _spread(df: DataFrame, count: Column, alias: str, keys: Sequence[str], per_task: int) -> DataFrame:
+    """``alias`` from 1 to ``count`` for every row, in chunks that are dealt out to the tasks."""
+    chunked = df.withColumn("__count", count).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__count") - 1) / per_task))))
+    dealt = chunked.repartition(*keys, "__chunk")
+    upto = F.least("__count", (F.col("__chunk") + 1) * per_task)
+    return dealt.withColumn(alias, F.explode(F.sequence(F.col("__chunk") * per_task + 1, upto))).drop("__count", "__chunk")
+
+
+def oversample(df: DataFrame, group: str, id_col: str, seed: int = 42, per_task: int = COPIES_PER_TASK) -> DataFrame:
     """Repeat rows so that every group reaches the largest group's size.
 
     All but the last copy of a group are complete; the last copy keeps the rows whose
-    hash comes first, so the result is reproducible and of exact size. Groups are
-    never gathered: the copies are made where the rows are.
+    hash comes first, so the result is reproducible and of exact size. Copies are made
+    where the rows are; those of groups so small that a row makes more than ``per_task``
+    copies are dealt out to all tasks.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
     target = attach_row(sizes, sizes.agg(F.max("__n").alias("__max")))
     full, rest = F.floor(F.col("__max") / F.col("__n")), F.col("__max") % F.col("__n")
     rows = df.join(pinned(target), group).withColumn("__hash", hash_key(F.col(id_col), F.lit(seed)))
     marked = first_by_hash(rows, [group], "__hash", id_col, F.col("__max") % F.col("__n"), "__extra", carry=["__max", "__n"])
-    copies = full + F.when((rest > 0) & F.col("__extra"), 1).otherwise(0)
-    out = marked.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return out.select(*df.columns, "copy")
+    copies = (full + F.when((rest > 0) & F.col("__extra"), 1).otherwise(0)).cast("bigint")
+    rare = full >= per_task
+    here = marked.where(~rare).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    dealt = _spread(marked.where(rare), copies, "copy", [group, id_col], per_task)
+    return here.select(*df.columns, "copy").unionByName(dealt.select(*df.columns, "copy"))
+
+
+def resample(df: DataFrame, group: str, id_col: str, seed: int = 42, per_task: int = COPIES_PER_TASK) -> DataFrame:
+    """Smaller groups drawn with replacement to the largest group's size; largest groups stay.
+
+    Draw ``copy`` of a group picks the row whose place in the order of a hash follows from
+    md5 of group, draw and seed, so a retried task draws the same rows.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    target = attach_row(sizes, sizes.agg(F.max("__n").alias("__max")))
+    short = F.col("__n") < F.col("__max")
+    number = lambda *parts: F.conv(F.substring(hash_key(*parts), 1, 13), 16, 10).cast("bigint")
+    draws = _spread(target.where(short), F.col("__max"), "copy", [group], per_task)
+    picked = draws.select(group, "copy", (F.pmod(number(F.col(group), F.col("copy"), F.lit(seed)), F.col("__n")) + 1).alias("__place"))
+    hashed = df.withColumn("__order", number(F.col(id_col), F.lit(seed)))
+    placed = row_index(hashed, [group], ["__order", id_col], "__place")
+    drawn = placed.join(picked, [group, "__place"]).select(*df.columns, "copy")
+    whole = df.join(target.where(~short).select(group), group, "left_semi").withColumn("copy", F.lit(1).cast("bigint"))
+    return drawn.unionByName(whole.select(*df.columns, "copy"))
 
 
 def group_thresholds(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from fairspark.functions.ordering import attach_row, exact_quantiles, hash_key
 from fairspark.functions.permutation import coefficients, labels, permutation_cuts
 from fairspark.functions.vectors import NORM_FLOOR, cosine_distance, cosine_similarity, l2_normalise
 from fairspark.operators.prompts import CONTEXTS, DEMOGRAPHICS, PROFESSIONS, STEREOTYPES, TEMPLATES
+from fairspark.session import materialise
 
 LEVELS = [(1.0, "severe"), (0.6, "high"), (0.3, "medium"), (0.1, "low")]
 LEVEL_NAMES = ["none", "low", "medium", "high", "severe"]
@@ -348,9 +350,47 @@ def compare_models(scored: DataFrame, model_col: str, a: str, b: str) -> DataFra
     return one.select("*", diff.alias("index_difference"), F.when(diff < 0, a).otherwise(b).alias("winner"), verdict.alias("verdict"))
 
 
-def full_text_audit(pairs: DataFrame) -> DataFrame:
-    """Distances, scores and the per-category and overall summary of a pair table."""
-    return summarise(score_pairs(pair_distances(pairs)))
+def full_text_audit(pairs: DataFrame, id_col: str = "pair_id") -> DataFrame:
+    """The whole report as typed rows ``section, category, name, value, distance, similarity, detail``.
+
+    ``overall`` (index, distance statistics and the level of the mean distance), ``categories``
+    (the same per category), ``distribution`` (pairs per level), ``histogram`` (chart series of the
+    distances), ``pairs`` (score, distance, similarity and level of every pair) and
+    ``recommendations``. Pairs without a distance appear with null values and count nowhere.
+    """
+    scored = materialise(score_pairs(pair_distances(pairs)))
+    summary = materialise(summarise(scored))
+    none = F.lit(None).cast("double")
+    text = F.lit(None).cast("string")
+
+    def rows(section: Column, category: Column, name: Column, value: Column, detail: Column = text, distance: Column = none, similarity: Column = none) -> list[Column]:
+        return [
+            section.alias("section"), category.alias("category"), name.alias("name"), value.cast("double").alias("value"),
+            distance.alias("distance"), similarity.alias("similarity"), detail.alias("detail"),
+        ]
+
+    def unfolded(df: DataFrame, columns: Sequence[str], prefix: str = "") -> DataFrame:
+        items = F.array(*[F.struct(F.lit(c.removeprefix(prefix)).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+        return df.select("scope", "category", F.inline(items))
+
+    overall = F.col("scope") == "overall"
+    section = F.when(overall, "overall").otherwise("categories")
+    stats = unfolded(summary, ["n_pairs", "mean", "median", "max", "min", "std", "bias_index"])
+    levels = unfolded(summary.where(overall), [f"n_{lv}" for lv in LEVEL_NAMES], "n_")
+    parts = [
+        stats.select(rows(section, F.col("category"), F.col("name"), F.col("value"))),
+        summary.select(rows(section, F.col("category"), F.lit("bias_level"), none, bias_level(F.col("mean")))),
+        levels.select(rows(F.lit("distribution"), F.lit(""), F.col("name"), F.col("value"))),
+        distance_histogram(scored).select(rows(F.lit("histogram"), F.lit(""), F.col("bucket"), F.col("cnt"))),
+        scored.select(
+            rows(
+                F.lit("pairs"), F.col("category"), F.col(id_col).cast("string"), F.col("score"), F.when(F.col("distance").isNotNull(), F.col("level")),
+                r6(F.col("distance")), r6(F.col("similarity")),
+            )
+        ),
+        recommendations(summary).select(rows(F.lit("recommendations"), F.col("category"), F.col("scope"), none, F.col("recommendation"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def prepare_stereotype_corpus(df: DataFrame, more: str, less: str, bias_type: str) -> DataFrame:

@@ -120,6 +120,10 @@ def m13(spark, sf):
     return mit.oversample(views.decisions_order(spark, sf).select("row_id", "grp"), "grp", "row_id")
 
 
+def m13_resample(spark, sf):
+    return mit.resample(views.decisions_order(spark, sf).select("row_id", "grp"), "grp", "row_id")
+
+
 def m14(spark, sf):
     return mit.group_thresholds(views.decisions_order(spark, sf), "grp")
 
@@ -169,6 +173,7 @@ QUERIES = {
     "m11_health": m11,
     "m12_module_summary": m12,
     "m13_oversample": m13,
+    "m13_resample": m13_resample,
     "m14_group_thresholds": m14,
     "m15_apply_thresholds": m15,
     "m16_fairness_weights": m16,

@@ -116,8 +116,13 @@ ORACLES = {
         concat_ws('; ', CASE WHEN n_drifted > 0 AND drift_severity = 'medium' THEN 'Drift severity: medium' END, CASE WHEN dp_gap > 0.2 OR eo_gap > 0.2 THEN printf('High fairness gap: DP=%.3f, EO=%.3f', dp_gap, eo_gap) END) AS warnings FROM summ""",
         "decisions", "drift_records", "pairs", **MODULES),
     "m12_module_summary": sql("SELECT * FROM summ", "decisions", "drift_records", "pairs", **MODULES),
-    "m13_oversample": sql("""SELECT row_id, grp, copy::INT AS copy FROM (SELECT row_id, grp, unnest(range(1, (mx // n + CASE WHEN r <= mx % n THEN 1 ELSE 0 END + 1)::BIGINT)) AS copy FROM (
+    "m13_oversample": sql("""SELECT row_id, grp, copy FROM (SELECT row_id, grp, unnest(range(1, (mx // n + CASE WHEN r <= mx % n THEN 1 ELSE 0 END + 1)::BIGINT)) AS copy FROM (
         SELECT row_id, grp, n, max(n) OVER () AS mx, r FROM (SELECT row_id, grp, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY md5(row_id || '|42'), row_id) AS r FROM decisions_order)))""", "decisions_order"),
+    "m13_resample": sql("""SELECT p.row_id, p.grp, d.copy FROM (SELECT grp, n, mx, unnest(range(1, mx + 1)) AS copy FROM sized WHERE n < mx) d
+        JOIN placed p ON p.grp = d.grp AND p.place = ('0x' || substring(md5(d.grp || '|' || d.copy || '|42'), 1, 13))::BIGINT % d.n + 1
+        UNION ALL SELECT row_id, grp, 1::BIGINT FROM decisions_order JOIN sized USING (grp) WHERE n = mx""", "decisions_order",
+        sized="SELECT grp, count(*) AS n, max(count(*)) OVER () AS mx FROM decisions_order GROUP BY grp",
+        placed="SELECT row_id, grp, row_number() OVER (PARTITION BY grp ORDER BY substring(md5(row_id || '|42'), 1, 13), row_id) AS place FROM decisions_order"),
     "m14_group_thresholds": sql("SELECT * FROM best", "decisions_order", **BEST),
     "m15_apply_thresholds": sql("SELECT row_id, d.grp, (y_prob >= threshold)::INT::DOUBLE AS fair_pred FROM decisions_order d JOIN best b ON d.grp = b.grp", "decisions_order", **BEST),
     "m16_fairness_weights": sql("SELECT grp, n, round_even(w / (sum(w * n) OVER () / sum(n) OVER ()), 6) AS weight FROM (SELECT grp, count(*) AS n, max(count(*)) OVER ()::DOUBLE / count(*) AS w FROM decisions_order GROUP BY grp)", "decisions_order"),

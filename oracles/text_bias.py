@@ -65,6 +65,31 @@ def summary(scored: str) -> str:
 BASE = {"dist": DIST.format(v="pairs"), "scored": SCORED.format(d="dist")}
 PERM = f"SELECT perm, {', '.join(f'''('0x' || substring(md5('42|' || perm || '|{j}'), 1, 7))::BIGINT AS k{j}''' for j in range(5))} FROM range(0, 1000) t(perm)"
 
+ADVICE = """SELECT scope, category, recommendation FROM (SELECT scope, category, unnest([
+          CASE WHEN scope = 'overall' THEN CASE WHEN bias_index < 10 THEN 'Bias levels are minimal. Continue monitoring.' WHEN bias_index < 30 THEN 'Low bias detected. Review per-category results for specific concerns.'
+            WHEN bias_index < 60 THEN 'Moderate bias detected. Consider prompt engineering or fine-tuning debiasing.'
+            ELSE 'HIGH bias detected. Immediate action recommended: review training data, apply de-biasing techniques.' END END,
+          CASE WHEN scope = 'category' AND bias_index > 50 THEN printf('Category ''%s'' shows elevated bias (index=%.1f). Prioritise remediation.', category, bias_index) END,
+          CASE WHEN scope = 'overall' AND n_severe > 0 THEN printf('%d pair(s) with SEVERE bias found. Investigate these prompts immediately.', n_severe) END,
+          CASE WHEN scope = 'overall' AND n_high > n_pairs * 0.25 THEN printf('%d/%d pairs (%.0f%%) show HIGH bias. Systematic de-biasing may be needed.', n_high, n_pairs, n_high::DOUBLE / n_pairs * 100) END
+          ]) AS recommendation FROM summed) WHERE recommendation IS NOT NULL"""
+BUCKETS = """SELECT bucket, count(d) AS cnt FROM (SELECT unnest(['0.0-0.1 (NONE)', '0.1-0.3 (LOW)', '0.3-0.6 (MEDIUM)', '0.6-1.0 (HIGH)', '>1.0 (SEVERE)']) AS bucket)
+        LEFT JOIN (SELECT distance AS d, CASE WHEN distance <= 0.1 THEN '0.0-0.1 (NONE)' WHEN distance <= 0.3 THEN '0.1-0.3 (LOW)' WHEN distance <= 0.6 THEN '0.3-0.6 (MEDIUM)'
+            WHEN distance <= 1.0 THEN '0.6-1.0 (HIGH)' ELSE '>1.0 (SEVERE)' END AS bucket FROM dist) USING (bucket) GROUP BY bucket"""
+LEVEL = "CASE WHEN {0} > 1.0 THEN 'severe' WHEN {0} > 0.6 THEN 'high' WHEN {0} > 0.3 THEN 'medium' WHEN {0} > 0.1 THEN 'low' ELSE 'none' END".format
+SECTION = "CASE WHEN scope = 'overall' THEN 'overall' ELSE 'categories' END AS section, category"
+EMPTY = "NULL::DOUBLE AS distance, NULL::DOUBLE AS similarity, NULL::VARCHAR AS detail"
+REPORT = " UNION ALL ".join(
+    [f"SELECT {SECTION}, '{c}' AS name, {c}::DOUBLE AS value, {EMPTY} FROM summed" for c in ("n_pairs", "mean", "median", "max", "min", "std", "bias_index")]
+    + [f"SELECT 'distribution' AS section, '' AS category, '{lv}' AS name, n_{lv}::DOUBLE AS value, {EMPTY} FROM summed WHERE scope = 'overall'" for lv in ("none", "low", "medium", "high", "severe")]
+    + [
+        f"SELECT {SECTION}, 'bias_level', NULL, NULL, NULL, {LEVEL('mean')} FROM summed",
+        f"SELECT 'histogram', '', bucket, cnt::DOUBLE, {EMPTY} FROM buckets",
+        "SELECT 'pairs', category, pair_id::VARCHAR, score, round_even(distance, 6), round_even(similarity, 6), level FROM scored",
+        "SELECT 'recommendations', category, scope, NULL, NULL, NULL, recommendation FROM advice",
+    ]
+)
+
 ORACLES = {
     "x1_prompt_pairs": sql("SELECT c_custkey, category, template, profession, demographic_a, demographic_b, prompt_a, prompt_b FROM framed", **ONE),
     "x1_audit_set": sql(
@@ -104,17 +129,8 @@ ORACLES = {
         {INDEX} AS bias_index FROM scored""", "pairs", **BASE),
     "x12_dataset_summary": sql(summary("scored"), "pairs", **BASE),
     "x12_recommendations": sql(
-        """SELECT scope, category, recommendation FROM (SELECT scope, category, unnest([
-          CASE WHEN scope = 'overall' THEN CASE WHEN bias_index < 10 THEN 'Bias levels are minimal. Continue monitoring.' WHEN bias_index < 30 THEN 'Low bias detected. Review per-category results for specific concerns.'
-            WHEN bias_index < 60 THEN 'Moderate bias detected. Consider prompt engineering or fine-tuning debiasing.'
-            ELSE 'HIGH bias detected. Immediate action recommended: review training data, apply de-biasing techniques.' END END,
-          CASE WHEN scope = 'category' AND bias_index > 50 THEN printf('Category ''%s'' shows elevated bias (index=%.1f). Prioritise remediation.', category, bias_index) END,
-          CASE WHEN scope = 'overall' AND n_severe > 0 THEN printf('%d pair(s) with SEVERE bias found. Investigate these prompts immediately.', n_severe) END,
-          CASE WHEN scope = 'overall' AND n_high > n_pairs * 0.25 THEN printf('%d/%d pairs (%.0f%%) show HIGH bias. Systematic de-biasing may be needed.', n_high, n_pairs, n_high::DOUBLE / n_pairs * 100) END
-          ]) AS recommendation FROM summed) WHERE recommendation IS NOT NULL""", "pairs", **BASE, summed=summary("scored")),
-    "x13_distance_histogram": sql("""SELECT bucket, count(d) AS cnt FROM (SELECT unnest(['0.0-0.1 (NONE)', '0.1-0.3 (LOW)', '0.3-0.6 (MEDIUM)', '0.6-1.0 (HIGH)', '>1.0 (SEVERE)']) AS bucket)
-        LEFT JOIN (SELECT distance AS d, CASE WHEN distance <= 0.1 THEN '0.0-0.1 (NONE)' WHEN distance <= 0.3 THEN '0.1-0.3 (LOW)' WHEN distance <= 0.6 THEN '0.3-0.6 (MEDIUM)'
-            WHEN distance <= 1.0 THEN '0.6-1.0 (HIGH)' ELSE '>1.0 (SEVERE)' END AS bucket FROM dist) USING (bucket) GROUP BY bucket""", "pairs", **BASE),
+        ADVICE, "pairs", **BASE, summed=summary("scored")),
+    "x13_distance_histogram": sql(BUCKETS, "pairs", **BASE),
     "x14_compare_models": sql(
         """SELECT *, round_even(index_a - index_b, 2) AS index_difference, CASE WHEN index_a - index_b < 0 THEN 'signed' ELSE 'absolute' END AS winner,
         CASE WHEN abs(round_even(index_a - index_b, 2)) < 2 THEN 'TIE – both models show similar bias levels' WHEN index_a < index_b THEN 'signed is LESS biased (lower bias index)'
@@ -123,7 +139,7 @@ ORACLES = {
           FROM (SELECT * FROM s1 WHERE scope = 'overall') a, (SELECT * FROM s2 WHERE scope = 'overall') b)""", "pairs", **BASE,
         positive="SELECT pair_id, category, [abs(x) for x in emb_a] AS emb_a, [abs(x) for x in emb_b] AS emb_b FROM pairs",
         dist2=DIST.format(v="positive"), scored2=SCORED.format(d="dist2"), s1=summary("scored"), s2=summary("scored2")),
-    "x15_full_text_audit": sql(summary("scored"), "pairs", **BASE),
+    "x15_full_text_audit": sql(REPORT, "pairs", **BASE, summed=summary("scored"), advice=ADVICE, buckets=BUCKETS),
     "x16_stereotype_corpus": r"""SELECT md5(a || '|' || b) AS pair_id, c AS category, 'stereoset' AS type, a AS prompt_a, b AS prompt_b FROM (
         SELECT trim(max(CASE WHEN turn % 2 = 0 THEN text END)) AS a, trim(max(CASE WHEN turn % 2 = 1 THEN text END)) AS b, lower(max(CASE WHEN turn % 2 = 0 THEN upper(role) END)) AS c
         FROM conversations GROUP BY conv_id, turn // 2) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""",
