@@ -19,6 +19,7 @@ from fairspark.functions.ordering import (
     BLOCK,
     ROWS_PER_BLOCK,
     exact_quantiles,
+    hash_key,
     next_in_order,
     pinned,
     row_index,
@@ -492,31 +493,40 @@ def window_rows(new: DataFrame, size: int = 100, stride: int = 50, min_rows: int
     return counted.where(F.col("n_window") >= min_rows)
 
 
-def sliding_wasserstein(
-    df: DataFrame, size: int = 100, min_rows: int = 15, threshold: float = WASSERSTEIN_THRESHOLD, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
-    """W1 of every window of new rows against the whole reference.
+def _null_windows(df: DataFrame, lengths: DataFrame, n_perm: int, seed: int, rows_per_block: int) -> DataFrame:
+    """Windows drawn from the pooled rows of a feature: ``n_perm`` for each window length.
+
+    A draw names a place in the order of the pooled values; places come from md5, so SQL and
+    retried tasks draw the same rows. Windows have the ids -1, -2, ...
+    """
+    pool = df.where(F.col("value").isNotNull()).select("feature", "value", "side", "seq")
+    placed = row_index(pool, ["feature"], ["value", "side", "seq"], "place", rows_per_block=rows_per_block).select("feature", "place", "value")
+    sizes = pool.groupBy("feature").agg(F.count("*").alias("n"))
+    draws = lengths.join(pinned(sizes), "feature").select(
+        "feature", "n_window", "n", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm")
+    ).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_window") - 1)).alias("seq"))
+    drawn = hash_key(F.col("feature"), F.col("n_window"), F.col("perm"), F.col("seq"), F.lit(seed))
+    place = F.pmod(F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint"), F.col("n")) + 1
+    return draws.withColumn("place", place).join(placed, ["feature", "place"]).select(
+        "feature", (-1 - F.col("perm")).cast("bigint").alias("window_id"), "n_window", "value", "seq"
+    )
+
+
+def _window_distances(area: DataFrame, windows: DataFrame) -> DataFrame:
+    """W1 of every window against the reference.
 
     Between neighbouring window values the window CDF is a constant ``c`` while the
     reference CDF ``F`` rises, so the integral of ``|F - c|`` needs only the primitive
     ``A`` of ``F`` at the window values and at the reference quantile of ``c``. Both come
     from one scan of the pooled values; the reference is never paired with the windows.
     """
-    scan = ecdf_scan(df, rows_per_block)
-    step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0)) * F.col("cum_ref") / F.col("n_ref")
-    area = running_sums(scan.withColumn("piece", step), ["feature"], ["value"], {"A_next": F.col("piece")}, rows_per_block=rows_per_block)
-    area = area.withColumn("A", F.col("A_next") - F.col("piece")).select(
-        "feature", "value", "A", "c_ref", "cum_ref", "n_ref", "c_new"
-    )
     ends = pinned(
         area.where("c_ref > 0").groupBy("feature").agg(
             F.max("value").alias("ref_max"), F.max_by("A", "value").alias("A_max"), F.max("n_ref").alias("n_ref")
         )
     )
-    windows = window_rows(side(df, "new"), size, size // 2, min_rows, rows_per_block)
-    at = area.where("c_new > 0").select("feature", "value", "A")
-    points = windows.join(at, ["feature", "value"])
-    w = Window.partitionBy("feature", "window_id").orderBy("value", "seq")
+    points = windows.join(area.select("feature", "value", "A"), ["feature", "value"])
+    w = Window.partitionBy("feature", "n_window", "window_id").orderBy("value", "seq")
     ordered = points.select(
         "feature", "window_id", "n_window", "value", "A",
         F.row_number().over(w).alias("i"),
@@ -542,10 +552,45 @@ def sliding_wasserstein(
     tail = F.greatest(F.lit(0.0), F.col("ref_max") - F.col("value")) - F.greatest(F.lit(0.0), F.col("A_max") - F.col("A"))
     last = F.when(F.col("next_value").isNull() & (F.col("ref_max") > F.col("value")), tail).otherwise(F.lit(0.0))
     total = F.sum(F.coalesce(middle, F.lit(0.0)) + first + last)
-    stat = pieces.groupBy("feature", "window_id").agg(F.max("n_window").alias("n_rows"), total.alias("w1"))
-    return stat.withColumn(
-        "status", F.when(F.col("w1") >= threshold, "above_threshold").when(F.col("w1") >= threshold * 0.5, "warning").otherwise("none")
-    )
+    return pieces.groupBy("feature", "n_window", "window_id").agg(total.alias("w1"))
+
+
+def sliding_wasserstein(
+    df: DataFrame,
+    size: int = 100,
+    min_rows: int = 15,
+    threshold: float = WASSERSTEIN_THRESHOLD,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    significance: float = SIGNIFICANCE,
+    n_perm: int = PERMUTATIONS,
+    seed: int = 42,
+) -> DataFrame:
+    """W1, p-value and verdict of every window of new rows against the whole reference.
+
+    The p-value compares a window with ``n_perm`` windows of its length drawn from the pooled
+    rows of its feature; all windows of one length share them, so the work is linear in the rows.
+    """
+    scan = ecdf_scan(df, rows_per_block)
+    step = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0)) * F.try_divide("cum_ref", "n_ref")
+    area = running_sums(scan.withColumn("piece", step), ["feature"], ["value"], {"A_next": F.col("piece")}, rows_per_block=rows_per_block)
+    area = materialise(
+        area.withColumn("A", F.col("A_next") - F.col("piece")).select("feature", "value", "A", "c_ref", "cum_ref", "n_ref")
+    )
+    windows = materialise(
+        window_rows(side(df, "new"), size, size // 2, min_rows, rows_per_block).select("feature", "window_id", "n_window", "value", "seq")
+    )
+    lengths = windows.select("feature", "n_window").distinct()
+    drawn = _null_windows(df, lengths, n_perm, seed, rows_per_block)
+    stat = materialise(_window_distances(area, windows.unionByName(drawn)))
+    null = stat.where("window_id < 0").groupBy("feature", "n_window").agg(F.collect_list("w1").alias("null"))
+    above = F.size(F.filter("null", lambda p: F.bround(p, 9) >= F.bround(F.col("w1"), 9)))
+    # A feature without reference rows has no distance; its windows stay and say so.
+    every = windows.select("feature", "n_window", "window_id").distinct().join(stat, ["feature", "n_window", "window_id"], "left")
+    p_value = F.when(F.col("w1").isNotNull(), (above + 1) / (F.size("null") + 1))
+    tested = every.join(null, ["feature", "n_window"], "left").withColumn("p_value", p_value)
+    drift = F.coalesce((F.col("w1") >= threshold) & (F.col("p_value") < significance), F.lit(False))
+    status = F.when(F.col("w1").isNull(), "insufficient").when(drift, "drift").when(F.col("w1") >= threshold * 0.5, "warning").otherwise("none")
+    return tested.select("feature", "window_id", F.col("n_window").alias("n_rows"), "w1", "p_value", drift.alias("drift_detected"), status.alias("status"))
 
 
 SEVERITY_BY_RATIO = [(2.0, "critical"), (1.5, "high"), (1.0, "medium")]

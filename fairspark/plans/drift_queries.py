@@ -52,7 +52,7 @@ def d7(spark, sf):
 
 
 def d8(spark, sf):
-    return _r(dr.sliding_wasserstein(views.drift_long(spark, sf, shifted=True)), "w1")
+    return _r(dr.sliding_wasserstein(views.drift_long(spark, sf, shifted=True)), "w1", "p_value")
 
 
 def d9(spark, sf):

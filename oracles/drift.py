@@ -103,18 +103,26 @@ ORACLES = {
     "d6_permutation_test": sql("SELECT feature, perm, round_even(w1, 6) AS w1, round_even(perm_w1, 6) AS perm_w1 FROM pw JOIN dist USING (feature)", "drift_long", **ecdf("drift_long"), **perm("drift_long")),
     "d7_wasserstein_verdict": sql("""SELECT feature, round_even(w1, 6) AS w1, round_even(p_value, 6) AS p_value, w1 >= 0.1 AND p_value < 0.05 AS drift_detected,
         CASE WHEN w1 >= 0.1 AND p_value < 0.05 THEN 'drift' WHEN w1 >= 0.05 THEN 'warning' ELSE 'none' END AS status FROM verdict""", "drift_long", **ecdf("drift_long"), **perm("drift_long")),
-    "d8_sliding_wasserstein": sql("""SELECT feature, window_id, max(nw)::BIGINT AS n_rows, round_even(sum(abs(fr / n_ref - fw / nw) * (nv - value)), 6) AS w1,
-        CASE WHEN sum(abs(fr / n_ref - fw / nw) * (nv - value)) >= 0.1 THEN 'above_threshold' WHEN sum(abs(fr / n_ref - fw / nw) * (nv - value)) >= 0.05 THEN 'warning' ELSE 'none' END AS status
-        FROM wcum WHERE nv IS NOT NULL GROUP BY feature, window_id""", S,
+    "d8_sliding_wasserstein": sql("""SELECT feature, window_id, n_rows, round_even(w1, 6) AS w1, round_even(p_value, 6) AS p_value, w1 >= 0.1 AND p_value < 0.05 AS drift_detected,
+        CASE WHEN w1 >= 0.1 AND p_value < 0.05 THEN 'drift' WHEN w1 >= 0.05 THEN 'warning' ELSE 'none' END AS status
+        FROM (SELECT w.feature, w.window_id, w.nw AS n_rows, w.w1, (count(*) FILTER (WHERE round_even(z.w1, 9) >= round_even(w.w1, 9)) + 1)::DOUBLE / 201 AS p_value
+            FROM wdist w JOIN wdist z ON z.feature = w.feature AND z.nw = w.nw AND z.window_id < 0 WHERE w.window_id >= 0 GROUP BY ALL)""", S,
         numbered=f"SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY seq) - 1 AS idx FROM {S} WHERE side = 'new'",
         win="SELECT feature, value, unnest([idx // 50, idx // 50 - 1]) AS window_id FROM numbered",
         kept="SELECT feature, window_id, count(*) AS nw FROM win WHERE window_id >= 0 GROUP BY ALL HAVING count(*) >= 15",
-        wrows="""SELECT feature, window_id, value, 0 AS cr, 1 AS cw FROM win JOIN kept USING (feature, window_id)
-            UNION ALL SELECT r.feature, k.window_id, r.value, 1, 0 FROM (SELECT feature, value FROM drift_shifted WHERE side = 'ref') r JOIN kept k ON k.feature = r.feature""",
-        wpool="SELECT feature, window_id, value, sum(cr) AS cr, sum(cw) AS cw FROM wrows GROUP BY ALL",
-        wcum="""SELECT feature, window_id, value, sum(cr) OVER w::DOUBLE AS fr, sum(cw) OVER w::DOUBLE AS fw, sum(cr) OVER a AS n_ref, sum(cw) OVER a AS nw,
-            lead(value) OVER (PARTITION BY feature, window_id ORDER BY value) AS nv FROM wpool
-            WINDOW w AS (PARTITION BY feature, window_id ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, window_id)"""),
+        pooled=f"SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value, side, seq) AS place, count(*) OVER (PARTITION BY feature) AS n FROM {S} WHERE value IS NOT NULL",
+        draws="""SELECT k.feature, nw, -1 - perm AS window_id, ('0x' || substring(md5(k.feature || '|' || nw || '|' || perm || '|' || j || '|42'), 1, 13))::BIGINT % n + 1 AS place
+            FROM (SELECT DISTINCT feature, nw FROM kept) k JOIN (SELECT DISTINCT feature, n FROM pooled) s ON s.feature = k.feature, range(0, 200) p(perm), range(0, 100) r(j) WHERE j < nw""",
+        allwin="""SELECT feature, nw, window_id, value FROM win JOIN kept USING (feature, window_id)
+            UNION ALL SELECT d.feature, d.nw, d.window_id, p.value FROM draws d JOIN pooled p ON p.feature = d.feature AND p.place = d.place""",
+        wrows="""SELECT feature, nw, window_id, value, 0 AS cr, 1 AS cw FROM allwin
+            UNION ALL SELECT r.feature, k.nw, k.window_id, r.value, 1, 0 FROM (SELECT feature, value FROM drift_shifted WHERE side = 'ref') r
+            JOIN (SELECT DISTINCT feature, nw, window_id FROM allwin) k ON k.feature = r.feature""",
+        wpool="SELECT feature, nw, window_id, value, sum(cr) AS cr, sum(cw) AS cw FROM wrows GROUP BY ALL",
+        wcum="""SELECT feature, nw, window_id, value, sum(cr) OVER w::DOUBLE AS fr, sum(cw) OVER w::DOUBLE AS fw, sum(cr) OVER a AS n_ref,
+            lead(value) OVER (PARTITION BY feature, nw, window_id ORDER BY value) AS nv FROM wpool
+            WINDOW w AS (PARTITION BY feature, nw, window_id ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, nw, window_id)""",
+        wdist="SELECT feature, nw, window_id, sum(abs(fr / n_ref - fw / nw) * (nv - value)) AS w1 FROM wcum WHERE nv IS NOT NULL GROUP BY ALL"),
     "d9_kolmogorov_smirnov": sql("SELECT feature, round_even(ks, 6) AS ks_statistic, round_even(ks_p, 6) AS ks_p FROM ksp", S, **ecdf(S)),
     "d10_jensen_shannon": sql("SELECT feature, round_even(jsd, 6) AS jsd FROM jsds", S, **hist(S)),
     "d11_population_stability": sql("SELECT feature, round_even(psi, 6) AS psi FROM psis", S, **psi(S)),

@@ -96,3 +96,11 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert windows == {0: (0, 3, 1.5), 1: (2, 5, 3.5), 2: (4, 7, 5.5)}
     counted = spark.read.parquet(microbatch.late_path(root, 1)).collect()
     assert [(r["feature"], r["n_late"]) for r in counted] == [("a", 2)]
+
+
+def test_windows_without_a_reference_are_flagged(spark):
+    rows = one_sided(spark)
+    found = drift.sliding_wasserstein(rows, size=20, n_perm=20).collect()
+    flagged = [r for r in found if r["feature"] == "new_only"]
+    assert len(flagged) == 3 and all(r["status"] == "insufficient" and r["w1"] is None and not r["drift_detected"] for r in flagged)
+    assert all(r["w1"] is not None and 0 < r["p_value"] <= 1 for r in found if r["feature"] == "both")
