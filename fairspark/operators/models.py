@@ -21,28 +21,31 @@ from fairspark.operators import fairness as fair
 SEED = 42
 
 
-def classifier(kind: str, n_rows: int | None = None):
-    """An unfitted Spark ML classifier by name. The linear SVM has no probabilities."""
+def classifier(kind: str, n_rows: int | None = None, **settings):
+    """An unfitted Spark ML classifier by name. The linear SVM has no probabilities.
+
+    ``settings`` replace the parameters given here.
+    """
     common = {"labelCol": "y_true", "featuresCol": "features"}
     if kind == "logistic_regression":
-        return LogisticRegression(**common, maxIter=1000, regParam=1.0 / n_rows if n_rows else 0.0)
+        return LogisticRegression(**{**common, "maxIter": 1000, "regParam": 1.0 / n_rows if n_rows else 0.0, **settings})
     if kind == "random_forest":
-        return RandomForestClassifier(**common, numTrees=100, seed=SEED)
+        return RandomForestClassifier(**{**common, "numTrees": 100, "seed": SEED, **settings})
     if kind == "gradient_boosting":
-        return GBTClassifier(**common, maxIter=100, maxDepth=6, stepSize=0.1, seed=SEED)
+        return GBTClassifier(**{**common, "maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": SEED, **settings})
     if kind == "svm":
-        return LinearSVC(**common)
+        return LinearSVC(**{**common, **settings})
     raise ValueError(f"unknown model {kind!r}; use logistic_regression, random_forest, gradient_boosting or svm")
 
 
-def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regression") -> PipelineModel:
+def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regression", **settings) -> PipelineModel:
     """Assemble, scale and fit on ``y_true``; nulls count as 0."""
     clean = df.fillna(0, subset=list(features))
     n = clean.count() if kind == "logistic_regression" else None
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        classifier(kind, n),
+        classifier(kind, n, **settings),
     ]
     return Pipeline(stages=stages).fit(clean)
 

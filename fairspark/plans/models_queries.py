@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions import sql_surface
-from fairspark.functions.ordering import row_index
+from fairspark.functions.ordering import attach_row, row_index
 from fairspark.operators import models
 from fairspark.operators.prepare import stratified_split
 from fairspark.plans import audit, views
@@ -48,6 +51,25 @@ def u2(spark, sf):
     return models.train_test_accuracy(models.score(model, train, FEATURES), models.score(model, test, FEATURES))
 
 
+#: Kinds with the settings of the registered query: fewer trees and rounds than a real training.
+KINDS = {"logistic_regression": {}, "random_forest": {"numTrees": 20}, "gradient_boosting": {"maxIter": 5}, "svm": {"maxIter": 50}}
+
+
+def u2_kinds(spark, sf):
+    """Each kind of model fitted on the training rows: sizes, and whether it beats the larger class on the test rows."""
+    split = _split(spark, sf)
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    right = F.avg((F.col("y_pred") == F.col("y_true")).cast("double"))
+    larger = F.greatest(F.avg("y_true"), 1 - F.avg("y_true"))
+
+    def judged(kind, settings):
+        scored = models.score(models.train(train, FEATURES, kind, **settings), test, FEATURES)
+        return scored.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_test"), (right > larger).alias("beats_majority"))
+
+    rows = reduce(DataFrame.unionByName, [judged(k, v) for k, v in KINDS.items()])
+    return attach_row(rows, train.agg(F.count("*").alias("n_train")))
+
+
 def u3(spark, sf):
     df = _line_table(spark, sf)
     out = models.feature_importance(models.train(df, FEATURES), df, FEATURES)
@@ -91,6 +113,7 @@ QUERIES = {
     "f15_train_and_audit": f15,
     "u1_batch_scoring": u1,
     "u2_train_classifier": u2,
+    "u2_model_kinds": u2_kinds,
     "u3_feature_importance": u3,
     "u4_evaluate": u4,
     "u5_user_metric": u5,

@@ -43,6 +43,10 @@ ORACLES = {
     "c4_fisher_z": sql("SELECT a, b, round_even(r, 4) AS r, round_even(z, 4) AS z, z < 1.959963984540054 AS independent FROM (SELECT a, b, r, abs(0.5 * ln((1 + r + 1e-10) / (1 - r + 1e-10))) * sqrt(n - 3) AS z FROM cor)", "numeric_matrix", **V),
     "c5_residual_test": sql("SELECT a, b, k, round_even(least(1, greatest(-1, (r - r_ak * r_bk) / sqrt((1 - r_ak * r_ak) * (1 - r_bk * r_bk)))), 5) AS residual_r FROM part", "numeric_matrix", **V),
     "c6_chi_square": sql("SELECT a, b, n, round_even(statistic, 6) AS statistic, dof FROM chi", cats=CATS, chi=CHI),
+    # Upper tail of the gamma distribution from its power series, in logarithms; beyond 1000 it is 0 at six digits.
+    "c6_chi_square_tests": sql("""SELECT a, b, n, round_even(statistic, 6) AS statistic, dof, round_even(p, 6) AS p_value, dof = 0 OR p > 0.05 AS independent FROM (
+        SELECT *, CASE WHEN dof = 0 OR statistic <= 0 THEN 1.0::DOUBLE WHEN statistic > 1000 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - (
+            SELECT sum(exp((dof / 2.0::DOUBLE + i) * ln(statistic / 2) - statistic / 2 - lgamma(dof / 2.0::DOUBLE + i + 1))) FROM range(0, 2000) t(i))) END AS p FROM chi)""", cats=CATS, chi=CHI),
     "c8_bic": sql("SELECT parent, node, round_even(bic_alone, 2) AS bic_alone, round_even(bic_with_parent, 2) AS bic_with_parent FROM bic", "numeric_matrix", **V, bic=BIC),
     "c9_edge_confidence": sql("""SELECT p.src, p.dst, round_even(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (bic_alone - bic_with_parent) / ln(n))), 4) AS score, round_even(bic_alone - bic_with_parent, 2) AS bic_improvement
         FROM par p JOIN bic ON parent = src AND node = dst""", "numeric_matrix", **V, bic=BIC, par=PARENT),

@@ -5,7 +5,13 @@ from oracles.views import sql
 
 ATTRS = ["o_orderpriority", "c_mktsegment", "l_linestatus"]
 
+LINES = """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id, l_extendedprice / 100000.0::DOUBLE * (1 - l_discount) + l_tax > 0.45::DOUBLE AS y
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+SPLIT = """SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5(row_id || '|42'), row_id) <= round_even(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE, 0) AS is_test FROM lines"""
+
 ORACLES = {
+    "u2_model_kinds": sql("""SELECT kind, count(*) FILTER (WHERE is_test) AS n_test, count(*) FILTER (WHERE NOT is_test) AS n_train, true AS beats_majority
+        FROM split, (SELECT unnest(['logistic_regression', 'random_forest', 'gradient_boosting', 'svm']) AS kind) GROUP BY kind""", lines=LINES, split=SPLIT),
     "u7_sql_functions": sql("""SELECT pair_id, step::INT AS step, round_even(d, 6) AS distance, CASE WHEN d > 1 THEN 'severe' WHEN d > 0.6 THEN 'high' WHEN d > 0.3 THEN 'medium' WHEN d > 0.1 THEN 'low' ELSE 'none' END AS level,
         round_even(100 / (1 + exp(-6.0::DOUBLE * (d - 0.5::DOUBLE))), 2) AS score
         FROM (SELECT pair_id, step, step / 4.0::DOUBLE * (1 - list_cosine_similarity(emb_a, emb_b)) AS d FROM pairs, range(0, 5) g(step))""", "pairs"),
