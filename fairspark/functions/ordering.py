@@ -316,12 +316,13 @@ def first_by_hash(
 def string_index(values: DataFrame, column: str, alias: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """1-based position of distinct strings in binary order, ranked in blocks.
 
-    The six bytes after the prefix shared by the smallest and largest value give a
-    numeric order key to cut blocks on; ties inside a block order by the full value.
+    Blocks are ranges of the full value, laid out once, so a prefix that all values share
+    does not matter. A block needs only the sizes of the earlier blocks.
     """
-    ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    lo, hi = ((ends[k] or "").encode() for k in ("lo", "hi"))
-    shared = next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi)))
-    digits = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 2 * shared + 1, 12), 12, "0")
-    keyed = values.select("*", F.lit(1).alias("__one"), F.conv(digits, 16, 10).cast("double").alias("__key"))
-    return row_index(keyed, ["__one"], ["__key", column], alias, rows_per_block=rows_per_block).drop("__one", "__key")
+    n_blocks = max(1, math.ceil(values.count() / rows_per_block))
+    laid = materialise(values.repartitionByRange(n_blocks, column).withColumn(BLOCK, F.spark_partition_id()))
+    sizes = laid.groupBy(BLOCK).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(F.lit(1)).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select(BLOCK, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    inside = laid.withColumn("__inside", F.row_number().over(Window.partitionBy(BLOCK).orderBy(column)))
+    return inside.join(carry, BLOCK).select(*values.columns, (F.col("__inside") + F.col("__before")).alias(alias))

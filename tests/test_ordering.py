@@ -84,3 +84,10 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "k string, seq bigint, v double")
     assert o.running_sums(empty, ["k"], ["seq"], {"s": F.col("v")}).count() == 0
     assert o.exact_quantiles(empty, ["k"], "v", [0.5]).count() == 0
+
+
+def test_string_index_with_a_shared_prefix_and_an_outlier(spark):
+    names = [f"https://example.org/item/{i:05d}" for i in range(60)] + ["!", "é", "https://example.org/"]
+    got = o.string_index(spark.createDataFrame([(n,) for n in names], "name string"), "name", "place", rows_per_block=7).collect()
+    ranked = sorted(names, key=lambda n: n.encode())
+    assert {r["name"]: r["place"] for r in got} == {n: i + 1 for i, n in enumerate(ranked)}
