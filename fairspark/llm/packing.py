@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class WordIds:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.start, self.length, self.chunks, self.size = [], [], [], 0
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
     def _rows(self, values: list[bytes]) -> np.ndarray:
@@ -65,15 +66,14 @@ class WordIds:
         fresh = [v for v in values if v not in self.known]
         if fresh:
             encoded = self.tokenizer.encode_batch_fast([v.decode() for v in fresh], add_special_tokens=False)
-            for v, e in zip(fresh, encoded):
-                self.known[v] = len(self.start)
-                self.start.append(self.size)
-                self.length.append(len(e.ids))
-                self.chunks.append(np.array(e.ids, dtype=np.uint32))
-                self.size += len(e.ids)
-            self.ids = np.concatenate([self.ids, *self.chunks])
-            self.chunks = []
-        return np.fromiter((self.known[v] for v in values), np.int64, len(values))
+            found = [e.ids for e in encoded]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
+            self.known.update(zip(fresh, range(len(self.length), len(self.length) + len(fresh))))
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
+            self.length = np.append(self.length, length)
+            self.ids = np.append(self.ids, flat)
+        return np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text, its end id included."""
@@ -87,10 +87,9 @@ class WordIds:
         data, at = ragged.utf8(column)
         pieces = ragged.cut(ragged.LOWER[data], at, WORD_CUTS, skip_spaces=True)
         rows = self._rows(pieces.values.to_pylist())
-        start, length = np.array(self.start, np.int64), np.array(self.length, np.int64)
         row = rows[pieces.code]
-        sizes = length[row] if len(row) else np.zeros(0, np.int64)
-        ids = self.ids[ragged.gather(start[row], sizes)] if len(row) else np.zeros(0, np.uint32)
+        sizes = self.length[row] if len(row) else np.zeros(0, np.int64)
+        ids = self.ids[ragged.gather(self.start[row], sizes)] if len(row) else np.zeros(0, np.uint32)
         per_text = np.bincount(pieces.row, weights=sizes, minlength=len(column)).astype(np.int64)
         ends = np.cumsum(per_text)
         extra = np.array([len(whole.get(i, ())) for i in range(len(column))], np.int64) if whole else 0
