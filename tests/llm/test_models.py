@@ -172,3 +172,36 @@ def test_evidence_names_the_neighbours(spark, make, texts):
     row = {r["doc_id"]: r for r in toxicity.score_documents(docs, index).collect()}
     assert row[0]["predicted"] == 1 and row[50]["predicted"] == 0
     assert len(row[0]["neighbours"]) == toxicity.NEIGHBOURS and all(x["toxic"] == 1 and x["id"] < 30 for x in row[0]["neighbours"])
+
+
+def test_every_example_and_term_is_compared(spark, make):
+    texts = ["the scum came home late", "that trash spoke at length", "the train came home late", "a long speech was held", "rain fell over the hills", "", "the scum came home late"]
+    docs = make(list(enumerate(texts)))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0)], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert index.ids == [0, 1, 2, 3, 4] and len(index.terms) == len({w for t in texts for w in t.split()})
+    row = {r["doc_id"]: r["neighbours"] for r in toxicity.score_documents(docs, index).collect()}
+    for i in (0, 1, 2, 3, 4):
+        assert row[i][0]["id"] == i and math.isclose(row[i][0]["cosine"], 1.0) and row[i][0]["toxic"] == (i < 2)
+    assert row[6] == row[0] and row[5] == []
+
+    df = Counter(w for t in texts[:5] for w in set(t.split()))
+    df1 = Counter(w for t in texts[:2] for w in set(t.split()))
+    weight = lambda w: math.log(1 + 6 / df[w]) * math.log2(2 + df1[w] / max(df[w] - df1[w], 1))
+    size = lambda t: math.sqrt(sum(weight(w) ** 2 for w in t.split()))
+    cosine = lambda a, b: sum(weight(w) ** 2 for w in set(a.split()) & set(b.split())) / size(a) / size(b)
+    want = {e: cosine(texts[0], texts[e]) for e in range(5) if set(texts[0].split()) & set(texts[e].split())}
+    assert {x["id"]: round(x["cosine"], 9) for x in row[0]} == {e: round(c, 9) for e, c in want.items()}
+
+
+def test_frequent_and_rare_terms_give_one_cosine(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.zipf(1.3, 40) % 3_000).astype(np.uint64) for _ in range(1_500)]
+    sizes, flat = np.array([len(r) for r in rows]), np.concatenate(rows)
+    found = []
+    for dense in (0, 7, 512):
+        monkeypatch.setattr(toxicity, "DENSE_TERMS", dense)
+        index = toxicity.build_index(list(range(len(rows))), np.arange(len(rows)) % 9 == 0, sizes, flat, np.ones(len(flat)))
+        found.append(index.nearest_many([index.vector(r) for r in rows[::50]]))
+    for a, b, c in zip(*found):
+        assert a[0].tolist() == b[0].tolist() == c[0].tolist() and np.allclose(a[1], b[1]) and np.allclose(a[1], c[1])
