@@ -16,7 +16,10 @@ KINDS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}+])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])",
+    # Groups of 3, 3 and 4 digits; any groups of 8 digits or more after a country code; five pairs after a 0.
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}+])\+(?=(?:[ .\-()]*[0-9]){8})[0-9]{1,3}[ .\-](?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-][0-9]{2,8}){1,4}(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}+])0[1-9](?:[ .\-][0-9]{2}){4}(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(KINDS.values())

@@ -356,3 +356,16 @@ def test_nothing_else_imports_this_package():
                 if n.endswith(".py"):
                     assert "fairspark.llm" not in open(os.path.join(folder, n)).read()
     assert np is not None
+
+
+def test_phones_in_other_groupings(make):
+    numbers = ["+49 30 1234567", "06 12 34 56 78", "+34 912 345 678", "+44 20 7946 0958", "+1 555 123 4567"]
+    others = ["+5 10 20", "12 34 56 78 90", "page 06 12 34"]
+    docs = make([(i, f"call {n} or not") for i, n in enumerate(numbers + others)] + [(50, "call 06.12.34.56.78 or not")])
+    found = {r["doc_id"]: (r["text"], r["found"]) for r in pii.replace_pii(docs, "k").select("doc.doc_id", "doc.text", "found").collect()}
+    for i, n in enumerate(numbers):
+        text, kinds = found[i]
+        assert kinds == ["phone"] and n not in text and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", f"call {n} or not")
+        assert not n.startswith("+") or text.split()[1] == n.split()[0]
+    assert all(found[len(numbers) + i] == (f"call {n} or not", []) for i, n in enumerate(others))
+    assert found[50][0] == found[1][0].replace(" ", ".").replace("call.", "call ").replace(".or.not", " or not")
