@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairspark.llm import decontamination, language, ngram_join, packing, pii, quality, scoring, sharding, token_counts, toxicity
+from fairspark.llm import decontamination, divergence, language, ngram_join, packing, pii, quality, scoring, sharding, token_counts, toxicity
 from fairspark.llm.tables import id_remainder, table
 
 
@@ -74,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "neighbours")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_packing": op2_packing,
@@ -85,6 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op4_sharding": sharding.SHARD_SQL, "op7_quality_rules": quality.QUALITY_SQL}
+ORACLES: dict[str, str] = {
+    "op4_sharding": sharding.SHARD_SQL,
+    "op7_quality_rules": quality.QUALITY_SQL,
+    "op13_source_divergence": divergence.DIVERGENCE_SQL,
+}
