@@ -31,6 +31,8 @@ COVER_PERCENT = 50
 SCALE = 1_000_000
 #: Copies of a single word's count, so that phrases around a frequent word meet it in several tasks.
 COPIES = 8
+#: Shares of a language that are cut to the first ``top`` before they meet.
+SHARES = 64
 
 #: A-Z lower-cased, piece separators as line feeds, blanks as spaces.
 _FOLD = ragged.LOWER.copy()
@@ -454,8 +456,11 @@ def collocations(
     cut = cut.withColumn("score", F.expr(f"cast((cast(above as decimal(31,0)) * cast({SCALE} as decimal(7,0))) div below as bigint)"))
     scored = cut.groupBy("lang", "phrase", "a", "left_f", "right_f").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     scored = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score", "left_f", "right_f")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # The first of a language are among the first of each of its shares, so no task sorts a whole language.
+    scored = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", "n", "score", "left_f", "right_f")
 
 
