@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairspark.llm import collocations, decontamination, divergence, language, ngram_join, packing, pii, quality, scoring, sharding, token_counts, toxicity
+from fairspark.llm import collocations, decontamination, divergence, language, ngram_join, packing, pii, quality, scoring, secrets, sharding, token_counts, toxicity
 from fairspark.llm.tables import id_remainder, table
 
 
@@ -74,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "neighbours")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_secret_scan": op11_secret_scan,
     "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
