@@ -9,6 +9,8 @@ from fairspark.plans import views
 from fairspark.session import scratch_path
 from fairspark.streaming import detectors as det
 from fairspark.streaming import microbatch as mb
+from fairspark.streaming import reference as rf
+from fairspark.streaming import stateful as st
 
 N_BATCHES = 3
 
@@ -55,7 +57,7 @@ def t2(spark, sf):
 def t3(spark, sf):
     root = scratch_path(spark, "monitor")
     ref = f"{root}/reference"
-    dr.side(views.drift_long(spark, sf, shifted=True), "ref").write.parquet(ref)
+    rf.write_reference(dr.side(views.drift_long(spark, sf, shifted=True), "ref"), ref)
     out = _drive(spark, sf, det.monitor_process(ref, root), root)
     return out.select("batch", "feature", "n_rows", *[F.bround(c, 6).alias(c) for c in ("w1", "ks_statistic", "ks_p", "max_statistic")], "n_drift_points")
 
@@ -97,7 +99,74 @@ def t5(spark, sf):
     return det.alert_cooldown(alerts).select("feature", F.col("t").cast("bigint").alias("t"))
 
 
+def _arriving(spark, rows, order_col, root, stream):
+    """Replay a table in parts; after each, the stream is started again from its checkpoint and drained."""
+    mb.replay(rows, order_col, f"{root}/source", N_BATCHES, lambda: st.drain(spark, stream(spark.readStream.schema(rows.schema).parquet(f"{root}/source")), root))
+    return mb.read_output(spark, root)
+
+
+def t1_state(spark, sf):
+    """CUSUM with the state in the engine's store."""
+    root = scratch_path(spark, "cusumstate")
+    fit = f"{root}/fit"
+    dr.reference_fit(views.drift_long(spark, sf, shifted=True)).write.parquet(fit)
+    out = _arriving(spark, _new_rows(spark, sf), "seq", root, lambda s: st.cusum_stream(s, spark.read.parquet(fit)))
+    return out.select("feature", "seq", *[F.bround(c, 6).alias(c) for c in ("g_pos", "g_neg", "statistic")], "status")
+
+
+def t2_state(spark, sf):
+    """Count windows with the state in the engine's store."""
+    out = _arriving(spark, _new_rows(spark, sf), "seq", scratch_path(spark, "windowstate"), st.window_stream)
+    return out.select("feature", "window_id", "n_rows", F.bround("mean", 6).alias("mean"), "first_seq", "last_seq")
+
+
+def t5_stream(spark, sf):
+    """The cooldown as a stream with timers: alerts up to the last watermark."""
+    rows = views.table(spark, sf, "events").select(F.col("event_type").alias("feature"), F.date_trunc("second", _instant()).alias("ts"), "event_id")
+    out = _arriving(spark, rows, "event_id", scratch_path(spark, "cooldown"), st.cooldown_stream)
+    return out.select("feature", F.col("t").cast("bigint").alias("t"))
+
+
+def _timed_decisions(spark, sf):
+    """Decisions per order with their order time."""
+    orders = views.table(spark, sf, "orders")
+    customer = views.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
+        F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), F.current_timezone()).alias("ts"),
+        (F.col("o_orderstatus") == "F").cast("double").alias("y_true"),
+        (F.col("o_totalprice") / F.lit(500000.0) >= 0.5).cast("double").alias("y_pred"),
+        "c_mktsegment",
+        "o_orderpriority",
+    )
+
+
+def _fairness(spark, sf, window, slide=None):
+    root = scratch_path(spark, "fairness")
+    rows = _timed_decisions(spark, sf)
+    rows.write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/source")
+    st.drain(spark, st.fairness_windows(stream, ["c_mktsegment", "o_orderpriority"], window, slide), root)
+    return mb.read_output(spark, root).select(
+        _day("window_start"), "attribute", "n_groups", "n", "dp_gap", "fpr_gap", "fnr_gap", "eo_gap", "is_fair"
+    )
+
+
+def t4_fairness(spark, sf):
+    """Group fairness per day of the orders, through the streaming engine in append mode."""
+    return _fairness(spark, sf, "1 day")
+
+
+def t4_fairness_sliding(spark, sf):
+    """The same over three days, sliding by one."""
+    return _fairness(spark, sf, "3 days", "1 day")
+
+
 QUERIES = {
+    "t1_state_store_cusum": t1_state,
+    "t2_state_store_windows": t2_state,
+    "t4_fairness_windows": t4_fairness,
+    "t4_fairness_sliding": t4_fairness_sliding,
+    "t5_stream_cooldown": t5_stream,
     "t1_streaming_cusum": t1,
     "t2_count_windows": t2,
     "t3_batch_monitor": t3,

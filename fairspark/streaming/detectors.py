@@ -128,14 +128,20 @@ def window_process(root: str, size: int = TEST_SIZE, stride: int = STRIDE) -> Pr
     return run
 
 
-def monitor_process(ref_path: str, root: str) -> Process:
-    """foreachBatch function that scores every arriving batch against a fixed reference."""
+def monitor_process(reference: str, root: str) -> Process:
+    """foreachBatch function that scores every arriving batch against a stored reference.
+
+    ``reference`` was written by ``reference.write_reference``; a batch reads only the blocks that its own
+    values fall into.
+    """
+    from fairspark.streaming import reference as stored
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ref = batch.sparkSession.read.parquet(ref_path)
-        both = ref.unionByName(batch.where(F.col("value").isNotNull()).select(*ref.columns))
-        dist = dr.distances(both)
-        cusum = dr.cusum_summary(dr.cusum(both))
+        spark = batch.sparkSession
+        clean = batch.where(F.col("value").isNotNull()).select("feature", "seq", "value")
+        dist = stored.distances_to_reference(spark, reference, clean)
+        fit = stored.read_totals(spark, reference).select("feature", "mu", "sd", "status")
+        cusum = dr.cusum_summary(dr.cusum_scan(clean, fit))
         out = dist.join(cusum, "feature", "left").select(
             "feature", F.col("n_new").alias("n_rows"), "w1", "ks_statistic", "ks_p",
             F.coalesce("n_drift_points", F.lit(0)).alias("n_drift_points"), "max_statistic",
