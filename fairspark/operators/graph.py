@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,6 @@ OUTCOME_KEYWORDS = [
     "outcome", "target", "label", "prediction", "score", "decision", "result", "output", "hire",
     "admit", "loan", "approval", "risk_score",
 ]
-CUT_EVERY = 4
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -61,90 +59,165 @@ def neighbours(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Plain hops before paths are doubled, and plain peeling rounds before levels are.
+DIRECT_ROUNDS = 6
+
+
+def _doubled(pairs: DataFrame) -> DataFrame:
+    """Pairs ``at, next`` joined by exactly twice as many edges, written as a table of their own."""
+    more = pairs.select(F.col("at").alias("__mid"), F.col("next").alias("__end"))
+    joined = pairs.join(more, F.col("next") == F.col("__mid")).select("at", F.col("__end").alias("next"))
+    return materialise(joined.distinct())
+
+
 def reachable(edges: DataFrame, starts: DataFrame, reverse: bool = False) -> DataFrame:
     """All nodes reachable from each start (``node`` column), without the start itself.
 
-    Frontier join per round with an anti join on what is already known; the known set
-    is checkpointed to the shared folder each few rounds to keep plans short.
+    The first hops are plain: a round joins the newest nodes with the edges, and each round's nodes are a
+    table of their own. Graphs that are deeper go on from the newest nodes by doubling: round k adds what
+    lies 2^k edges behind anything added so far, so a chain of a thousand nodes takes ten more rounds. The
+    pairs of nodes 2^k edges apart are few in deep graphs and are not needed in shallow ones.
     """
     step = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")) if reverse else edges.select(
         F.col("src").alias("at"), F.col("dst").alias("next")
     )
     step = materialise(step.distinct())
-    frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("at"))
-    known = None
-    while True:
-        found = frontier.join(step, "at").select("start", F.col("next").alias("at")).distinct()
-        if known is not None:
-            found = found.join(known, ["start", "at"], "left_anti")
-        found = materialise(found)
-        if found.isEmpty():
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def onward(newest: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> DataFrame:
+        found = newest.join(pairs, "at").select("start", F.col("next").alias("at")).distinct()
+        return materialise(found.join(together(known), ["start", "at"], "left_anti") if known else found)
+
+    newest = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
+    known: list[DataFrame] = []
+    for _ in range(DIRECT_ROUNDS):
+        newest = onward(newest, step, known)
+        if newest.isEmpty():
+            break
+        known.append(newest)
+    else:
+        grown, pairs = [newest], step
+        while True:
+            # Everything within 2^k edges behind the newest hop is in ``grown``.
+            found = onward(together(grown), pairs, known)
+            if found.isEmpty():
+                break
+            grown.append(found)
+            known.append(found)
+            pairs = _doubled(pairs)
+    out = together(known) if known else newest
+    return out.where(F.col("start") != F.col("at")).select("start", F.col("at").alias("node"))
+
+
+def hop_distance(edges: DataFrame, goals: DataFrame, most: int, reverse: bool = False) -> DataFrame:
+    """``node, hops``: least number of edges, up to ``most``, from each node to a goal; from a goal with ``reverse``."""
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("at")) if not reverse else edges.select(
+        F.col("dst").alias("node"), F.col("src").alias("at")
+    )
+    newest = materialise(goals.select("node").distinct().withColumn("hops", F.lit(0)))
+    known = newest
+    for k in range(1, most + 1):
+        found = step.join(newest.select(F.col("node").alias("at")), "at").select("node").distinct()
+        newest = materialise(found.join(known, "node", "left_anti").withColumn("hops", F.lit(k)))
+        if newest.isEmpty():
             break
-        known = found if known is None else materialise(known.unionByName(found))
-        frontier = found
-    if known is None:
-        known = frontier.where(F.lit(False))
-    return known.where(F.col("start") != F.col("at")).select("start", F.col("at").alias("node"))
+        known = known.unionByName(newest)
+    return known
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges: int = 10) -> DataFrame:
     """Every simple path from a start to an end with at most ``max_edges`` edges.
 
-    Each round extends the open paths by one edge and checks the new node against the
-    path it carries. Only nodes from which an end can be reached are kept as steps, so
-    dead branches are not enumerated.
+    Paths grow from both sides: up to half of the edges from the starts, the rest from the ends, and the
+    halves meet in a node where they share no other one. So rounds and partial paths are those of half the
+    length. Nodes are labelled with their hops to an end, and behind that with those from where the first
+    halves stopped, never further than a path may go; a partial path goes on only where the steps left suffice.
     """
+    half = (max_edges + 1) // 2
+    step = materialise(edges.where(F.col("src") != F.col("dst")).select("src", "dst", "weight"))
+    to_end = hop_distance(step, ends, max_edges - 1).select(F.col("node").alias("__near"), F.col("hops").alias("to_end"))
+
+    def grow(paths: DataFrame, label: DataFrame, left: Column, forward: bool) -> DataFrame:
+        """Partial paths one edge longer; ``at`` is the open end."""
+        at, other = ("src", "dst") if forward else ("dst", "src")
+        moved = paths.join(step.select(F.col(at).alias("at"), F.col(other).alias("next"), "weight"), "at")
+        moved = moved.where(~F.array_contains("path", F.col("next"))).join(label, F.col("next") == F.col("__near")).where(left)
+        node, weight = F.array("next"), F.array("weight")
+        path, weights = (F.concat("path", node), F.concat("weights", weight)) if forward else (F.concat(node, "path"), F.concat(weight, "weights"))
+        return materialise(moved.select(F.col("next").alias("at"), path.alias("path"), weights.alias("weights")))
+
+    def single(points: DataFrame) -> DataFrame:
+        return points.select(F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<double>").alias("weights"))
+
     goal = ends.select(F.col("node").alias("goal")).distinct()
-    useful = reachable(edges, ends, reverse=True).select("node").unionByName(ends.select("node")).distinct()
-    step = edges.where(F.col("src") != F.col("dst")).join(useful, F.col("dst") == F.col("node"), "left_semi").select(
-        F.col("src").alias("at"), F.col("dst").alias("next"), "weight"
-    )
-    step = materialise(step)
-    begin = starts.select(F.col("node").alias("at"))
-    open_paths = begin.select("at", F.array("at").alias("path"), F.array().cast("array<double>").alias("weights"))
-    done: list[DataFrame] = []
-    for _ in range(max_edges):
-        grown = open_paths.join(step, "at").where(~F.array_contains("path", F.col("next")))
-        grown = materialise(
-            grown.select(
-                F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("weights", F.array("weight")).alias("weights")
-            )
-        )
-        if grown.isEmpty():
-            break
-        done.append(grown.join(goal, F.col("at") == F.col("goal"), "left_semi"))
-        open_paths = grown
-    if not done:
-        return open_paths.where(F.lit(False)).select("path", "weights")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("path", "weights")
+    found: list[DataFrame] = []
+    front = single(starts)
+    for k in range(1, half + 1):
+        front = grow(front, to_end, F.col("to_end") <= max_edges - k, True)
+        found.append(front.join(goal, F.col("at") == F.col("goal"), "left_semi").select("path", "weights"))
+    rest = max_edges - half
+    to_front = hop_distance(step, front.select(F.col("at").alias("node")), rest - 1, reverse=True).select(F.col("node").alias("__near"), F.col("hops").alias("to_front"))
+    back = single(ends.select("node").distinct())
+    for k in range(1, rest + 1):
+        # A longer path has its first ``half`` edges in front and k behind.
+        back = grow(back, to_front, F.col("to_front") <= rest - k, False)
+        tail = back.select("at", F.col("path").alias("tail"), F.col("weights").alias("tail_weights"))
+        met = front.join(tail, "at").select("path", "weights", F.slice("tail", F.lit(2), F.size("tail") - 1).alias("tail"), "tail_weights")
+        met = met.where(~F.arrays_overlap("path", "tail"))
+        found.append(met.select(F.concat("path", "tail").alias("path"), F.concat("weights", "tail_weights").alias("weights")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def topological_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Levels by peeling nodes without open parents, and the nodes left on cycles."""
+    """Longest-path level of every node, and the nodes on or behind cycles, which have none.
+
+    A few rounds peel nodes without open parents. What is left is deep, and its levels come from doubling:
+    the pairs of nodes joined by exactly 2^k edges, for as long as there are any. A walk of more edges than
+    there are nodes runs through a cycle. From the greatest k down, each node goes 2^k edges back wherever
+    it can; what it has gone in the end is its longest path, one binary digit per round.
+    """
     open_edges = materialise(edges.select("src", "dst").distinct())
-    rest = nodes(open_edges)
-    levels: DataFrame | None = None
-    for level in count():
-        free = materialise(
-            rest.join(open_edges, rest.node == open_edges.dst, "left_anti").select("node", F.lit(level).cast("bigint").alias("level"))
-        )
+    rest = materialise(nodes(open_edges))
+    levels: list[DataFrame] = []
+    for level in range(DIRECT_ROUNDS):
+        free = materialise(rest.join(open_edges, rest.node == open_edges.dst, "left_anti").select("node", F.lit(level).cast("bigint").alias("level")))
         if free.isEmpty():
             break
-        levels = free if levels is None else levels.unionByName(free)
+        levels.append(free)
         gone = free.select(F.col("node").alias("peeled"))
-        rest = rest.join(gone, rest.node == gone.peeled, "left_anti")
-        open_edges = open_edges.join(gone, open_edges.src == gone.peeled, "left_anti")
-        if level % CUT_EVERY == CUT_EVERY - 1:
-            rest, open_edges, levels = materialise(rest), materialise(open_edges), materialise(levels)
-    if levels is None:
-        levels = rest.where(F.lit(False)).select("node", F.lit(0).cast("bigint").alias("level"))
-    return levels, rest
+        rest = materialise(rest.join(gone, rest.node == gone.peeled, "left_anti"))
+        open_edges = materialise(open_edges.join(gone, open_edges.src == gone.peeled, "left_anti"))
+    none = rest.where(F.lit(False))
+    if not rest.isEmpty():
+        n = rest.count()
+        powers = [open_edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))]  # edges back
+        while 2 ** (len(powers) - 1) < n and not powers[-1].isEmpty():
+            powers.append(_doubled(powers[-1]))
+        cyclic = materialise(powers[-1].select(F.col("at").alias("node")).distinct())
+        sound = rest.join(cyclic, "node", "left_anti")
+        # Where each node has got to, one row per place, and the edges it has gone.
+        places = sound.select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("gone"))
+        for k in range(len(powers) - 2, -1, -1):
+            moved = materialise(places.join(powers[k], "at").select("node", F.col("next").alias("at"), (F.col("gone") + 2**k).alias("gone")).distinct())
+            places = moved.unionByName(places.join(moved.select("node").distinct(), "node", "left_anti"))
+        levels.append(materialise(places.groupBy("node").agg((F.max("gone") + len(levels)).alias("level"))))
+        none = cyclic
+    out = levels[0] if levels else none.select("node", F.lit(0).cast("bigint").alias("level"))
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out, none
 
 
 def is_acyclic(edges: DataFrame) -> DataFrame:
+    """Whether a graph has no cycle, and how many nodes lie on or behind one."""
     _, left = topological_levels(edges)
     return left.agg(F.count("*").alias("n_on_cycles")).withColumn("is_dag", F.col("n_on_cycles") == 0)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,10 @@ from fairspark.functions.ordering import (
     running_sums,
     trailing_windows,
 )
+from fairspark.session import materialise
 
 OBJECTIVES = ["accuracy", "dp_gap", "eo_gap", "calibration_error"]
 EPSILON = 1e-6
-CHUNK = 20_000
 
 
 # Sweeps --------------------------------------------------------------------------
@@ -145,73 +146,127 @@ def evaluate_weights(
 # Pareto front --------------------------------------------------------------------
 
 
-def _oriented(pdf: pd.DataFrame) -> np.ndarray:
-    """Objectives as 'larger is better' columns."""
-    m = pdf[OBJECTIVES].to_numpy(dtype=float)
-    return np.column_stack([m[:, 0], -m[:, 1], -m[:, 2], -m[:, 3]])
+#: Points of a block in the domination tests.
+BLOCK_POINTS = 1_024
+_KEY_BITS = 10
 
 
-def _weak_skyline(points: np.ndarray) -> np.ndarray:
-    """Distinct points that no other point weakly dominates (no tolerance)."""
-    points = np.unique(points, axis=0)[::-1]
-    points = points[np.argsort(-points.sum(axis=1), kind="stable")]
-    kept = np.empty((0, points.shape[1]))
-    for at in range(0, len(points), 512):
-        for p in points[at : at + 512]:
-            if not (kept >= p).all(axis=1).any():
-                kept = np.vstack([kept, p])
-    return kept
+def _better(c: str) -> Column:
+    """An objective as 'larger is better'."""
+    return F.col(c) if c == "accuracy" else -F.col(c)
 
 
-def _local_dominators(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    kept = np.empty((0, len(OBJECTIVES)))
-    for pdf in batches:
-        if len(pdf):
-            kept = _weak_skyline(np.vstack([kept, _oriented(pdf)]))
-    yield pd.DataFrame({"accuracy": kept[:, 0], "dp_gap": -kept[:, 1], "eo_gap": -kept[:, 2], "calibration_error": -kept[:, 3]})
-
-
-def _drop_dominated(dominators: np.ndarray, epsilon: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            points = _oriented(pdf)
-            keep = np.ones(len(points), bool)
-            for i, p in enumerate(points):
-                ok = (dominators >= p - epsilon).all(axis=1)
-                keep[i] = not (ok & (dominators > p + epsilon).any(axis=1)).any()
-            yield pdf[keep]
+def _z_order(df: DataFrame, block_points: int) -> DataFrame:
+    """``block`` per row: runs of about ``block_points`` rows along a Z-order curve over the objectives.
 
-    return run
+    The curve interleaves the leading bits of each objective's place between its least and greatest value,
+    so rows of a block lie close together in all of them. ``df`` should be written already.
+    """
+    ends = df.agg(F.count("*").alias("n"), *[f(_better(c)).alias(f"{n}_{c}") for c in OBJECTIVES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    blocks = -(-ends["n"] // block_points)
+    if blocks <= 1:
+        return df.withColumn("block", F.lit(0))
+    key = F.lit(0).cast("bigint")
+    for i, c in enumerate(OBJECTIVES):
+        low, width = ends[f"lo_{c}"], ends[f"hi_{c}"] - ends[f"lo_{c}"]
+        if not width > 0:
+            continue
+        at = F.least(F.floor((_better(c) - F.lit(low)) / F.lit(width) * 2**_KEY_BITS), F.lit(2**_KEY_BITS - 1)).cast("bigint")
+        for bit in range(_KEY_BITS):
+            key = key + F.shiftleft(F.shiftright(at, bit).bitwiseAND(F.lit(1)), bit * len(OBJECTIVES) + i)
+    laid = df.withColumn("__key", key).repartitionByRange(blocks, "__key", *OBJECTIVES).withColumn("block", F.spark_partition_id())
+    return materialise(laid.drop("__key"))
+
+
+def _matrix(rows: Sequence) -> np.ndarray:
+    m = np.array([[r[c] for c in OBJECTIVES] for r in rows], dtype=float).reshape(len(rows), len(OBJECTIVES))
+    return m * np.array([1.0, -1.0, -1.0, -1.0])
+
+
+def _weakly_dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points another point is at least as good as in all objectives and better in one."""
+    out = np.zeros(len(points), bool)
+    for at in range(0, len(by), 256):
+        part = by[at : at + 256]
+        ok = (part[None, :, :] >= points[:, None, :]).all(axis=2)
+        out |= (ok & (part[None, :, :] > points[:, None, :]).any(axis=2)).any(axis=1)
+    return out
+
+
+def _local_skyline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct points of a partition without those that others of the same batch weakly dominate."""
+    for pdf in batches:
+        distinct = pdf.drop_duplicates()
+        kept = []
+        order = distinct.iloc[np.argsort(-_matrix(distinct.to_dict("records")).sum(axis=1), kind="stable")]
+        for at in range(0, len(order), BLOCK_POINTS):
+            part = order.iloc[at : at + BLOCK_POINTS]
+            own = _matrix(part.to_dict("records"))
+            kept.append(part[~_weakly_dominated(own, own)])
+        if kept:
+            yield pd.concat(kept)
+
+
+def _flagged(points: DataFrame, others: DataFrame, epsilon: float, direction: str, name: str) -> DataFrame:
+    """``points`` with ``name``: whether a row of ``others`` dominates it, or is dominated by it, within the tolerance.
+
+    Both sides lie in Z-order blocks. A block's corners tell whether any of its rows can be involved with
+    another block's; only such pairs of blocks are compared, each in one task, as two matrices. What the
+    tasks send back is the numbers of the flagged rows.
+    """
+    rows = _z_order(points, BLOCK_POINTS).withColumn("__row", F.monotonically_increasing_id())
+    corners = [f(_better(c)).alias(f"{n}_{c}") for c in OBJECTIVES for n, f in (("lo", F.min), ("hi", F.max))]
+    packed = F.collect_list(F.struct("__row", *OBJECTIVES)).alias("rows")
+    mine = rows.groupBy("block").agg(packed, *corners)
+    theirs = _z_order(others.select(*OBJECTIVES), BLOCK_POINTS).withColumn("__row", F.lit(0)).groupBy(F.col("block").alias("other")).agg(
+        packed.alias("others"), *[f(_better(c)).alias(f"o{n}_{c}") for c in OBJECTIVES for n, f in (("lo", F.min), ("hi", F.max))]
+    )
+    strong, weak = ("o", "") if direction == "by" else ("", "o")
+    possible, strictly = F.lit(True), F.lit(False)
+    for c in OBJECTIVES:
+        possible = possible & (F.col(f"{strong}hi_{c}") >= F.col(f"{weak}lo_{c}") - epsilon)
+        strictly = strictly | (F.col(f"{strong}hi_{c}") > F.col(f"{weak}lo_{c}") + epsilon)
+    # Corners first, rows after: the pairs of blocks are found from two small tables.
+    meet = mine.drop("rows").join(theirs.drop("others"), possible & strictly).select("block", "other")
+    pairs = meet.join(mine.select("block", "rows"), "block").join(theirs.select("other", "others"), "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine_, theirs_ in zip(batch.column("rows"), batch.column("others")):
+                a, b = mine_.as_py(), theirs_.as_py()
+                p, q = _matrix(a), _matrix(b)
+                hit = np.zeros(len(p), bool)
+                for at in range(0, len(q), 128):
+                    x, y = (q[at : at + 128][None, :, :], p[:, None, :]) if direction == "by" else (p[:, None, :], q[at : at + 128][None, :, :])
+                    hit |= ((x >= y - epsilon).all(axis=2) & (x > y + epsilon).any(axis=2)).any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([r["__row"] for r, h in zip(a, hit) if h], pa.int64())], names=["__row"])
+
+    hits = pairs.select("rows", "others").mapInArrow(run, "__row bigint").distinct().withColumn(name, F.lit(True))
+    return rows.drop("block").join(hits, "__row", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("__row")
+
+
+def skyline(candidates: DataFrame) -> DataFrame:
+    """Distinct points that no other point weakly dominates, by merging skylines of Z-order blocks.
+
+    Tasks first drop what their own rows dominate; the rest is tested block against block.
+    """
+    shape = ", ".join(f"{c} double" for c in OBJECTIVES)
+    points = candidates.select(*[F.col(c).cast("double").alias(c) for c in OBJECTIVES])
+    near = materialise(points.mapInPandas(_local_skyline, shape).distinct())
+    left = materialise(_z_order(near, BLOCK_POINTS).select(*OBJECTIVES).mapInPandas(_local_skyline, shape).distinct())
+    return _flagged(left, left, 0.0, "by", "__out").where("NOT __out").select(*OBJECTIVES)
 
 
 def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int | None = None) -> DataFrame:
     """Candidates that none dominates within the tolerance; the best ``max_front`` by score if asked.
 
-    With a tolerance domination is not transitive, so a plain merge of local fronts
-    could differ. Each task therefore reduces its rows to the points no other point
-    weakly dominates without tolerance; whatever any dropped point dominates, one of
-    these dominates too. All candidates are then tested against them, in bounded
-    chunks, which gives exactly the front of the full pairwise test.
+    With a tolerance domination is not transitive, so a plain merge of local fronts could differ. Whatever a
+    point that is weakly dominated without tolerance dominates, its dominator dominates too. So the points
+    of :func:`skyline` stand for all, and every candidate is tested against them, block by block. Neither the
+    front nor its dominators pass through the driver or one task.
     """
-    clean = candidates.dropna(subset=OBJECTIVES)
-    shape = "accuracy double, dp_gap double, eo_gap double, calibration_error double"
-    local = clean.select(*OBJECTIVES).mapInPandas(_local_dominators, shape)
-    # A second round over mixed partitions removes most of what single tasks could not see.
-    dominators = local.repartition(8, *OBJECTIVES).mapInPandas(_local_dominators, shape)
-    schema = clean.schema
-    front = clean
-    buffer: list = []
-
-    def test(rows: list, current: DataFrame) -> DataFrame:
-        chunk = _oriented(pd.DataFrame(rows, columns=OBJECTIVES))
-        return current.mapInPandas(_drop_dominated(chunk, epsilon), schema)
-
-    for row in dominators.distinct().toLocalIterator():
-        buffer.append(tuple(row))
-        if len(buffer) >= CHUNK:
-            front, buffer = test(buffer, front), []
-    if buffer:
-        front = test(buffer, front)
+    clean = materialise(candidates.dropna(subset=OBJECTIVES))
+    front = _flagged(clean, materialise(skyline(clean)), epsilon, "by", "__out").where("NOT __out").drop("__out")
     score = F.col("accuracy") - (F.col("dp_gap") + F.col("eo_gap") + F.col("calibration_error")) / 3.0
     front = front.withColumn("front_score", score)
     return front if max_front is None else front.orderBy(F.col("front_score").desc(), *OBJECTIVES).limit(max_front)
@@ -220,23 +275,17 @@ def pareto_front(candidates: DataFrame, epsilon: float = EPSILON, max_front: int
 def pareto_multiplier(candidates: DataFrame, front: DataFrame, epsilon: float = EPSILON, bonus: float = 0.5, penalty: float = -0.3) -> DataFrame:
     """1.5 for candidates that dominate a front point, 0.7 for dominated ones, else 1.
 
-    The front travels as one array of four numbers a point.
+    The front is compared block by block, like the candidates. A candidate without all objectives keeps 1.
     """
-    points = front.agg(F.collect_list(F.struct(*OBJECTIVES)).alias("__front"))
-
-    def dominates(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        ok = a("accuracy") >= b("accuracy") - epsilon
-        strict = a("accuracy") > b("accuracy") + epsilon
-        for c in OBJECTIVES[1:]:
-            ok = ok & (a(c) <= b(c) + epsilon)
-            strict = strict | (a(c) < b(c) - epsilon)
-        return ok & strict
-
-    mine = lambda c: F.col(c)
-    wins = F.exists("__front", lambda p: dominates(mine, lambda c: p[c]))
-    loses = F.exists("__front", lambda p: dominates(lambda c: p[c], mine))
-    value = F.when(wins, 1.0 + bonus).when(loses, 1.0 + penalty).otherwise(1.0)
-    return attach_row(candidates, points).withColumn("multiplier", value).drop("__front")
+    points = materialise(front.select(*OBJECTIVES).dropna().distinct())
+    whole = materialise(candidates.dropna(subset=OBJECTIVES))
+    tested = _flagged(materialise(_flagged(whole, points, epsilon, "over", "__wins")), points, epsilon, "by", "__loses")
+    value = F.when(F.col("__wins"), 1.0 + bonus).when(F.col("__loses"), 1.0 + penalty).otherwise(1.0)
+    tested = tested.withColumn("multiplier", value).drop("__wins", "__loses")
+    missing = F.lit(False)
+    for c in OBJECTIVES:
+        missing = missing | F.col(c).isNull() | F.isnan(c)
+    return tested.unionByName(candidates.where(missing).withColumn("multiplier", F.lit(1.0)))
 
 
 # Metric histories ----------------------------------------------------------------

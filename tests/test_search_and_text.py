@@ -242,3 +242,58 @@ def test_catalog_roles_and_trimmed_scan(spark, tmp_path):
     assert catalog.clean_tokens(got).count() == 1
     typed = catalog.Dataset("raw.csv", schema, "education", ("workclass",)).typed()
     assert [f.metadata["role"] for f in typed] == ["feature", "sensitive", "target"]
+
+
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = gr.materialise
+    monkeypatch.setattr(gr, "materialise", lambda df: rounds.append(1) or real(df))
+    chain = spark.range(400).selectExpr("format_string('n%04d', id) as src", "format_string('n%04d', id + 1) as dst")
+    levels = {r["node"]: r["level"] for r in gr.topological_order(chain).collect()}
+    assert levels == {f"n{i:04d}": i for i in range(401)}
+    start = spark.createDataFrame([("n0003",)], "node string")
+    assert {r["node"] for r in gr.reachable(chain, start).collect()} == {f"n{i:04d}" for i in range(4, 401)}
+    assert len(rounds) < 90
+    ring = chain.unionByName(spark.createDataFrame([("n0400", "n0390"), ("n0400", "tail")], "src string, dst string"))
+    assert gr.is_acyclic(ring).first()["n_on_cycles"] == 12
+    side = chain.unionByName(spark.createDataFrame([("n0002", "n0300"), ("x", "n0399"), ("n0005", "y")], "src string, dst string"))
+    levels = {r["node"]: r["level"] for r in gr.topological_order(side).collect()}
+    assert (levels["n0300"], levels["n0400"], levels["x"], levels["y"]) == (300, 400, 0, 6)
+
+
+def plain_paths(edges, starts, ends, most):
+    out, open_ = [], [([s], []) for s in starts]
+    for _ in range(most):
+        open_ = [([*p, d], [*w, x]) for p, w in open_ for s, d, x in edges if s == p[-1] and d not in p]
+        out += [(tuple(p), tuple(w)) for p, w in open_ if p[-1] in ends]
+    return sorted(out)
+
+
+def test_simple_paths_meet_in_the_middle(spark):
+    rng = np.random.default_rng(12)
+    edges = [(f"v{a}", f"v{b}", float(k)) for k, (a, b) in enumerate(rng.integers(0, 9, (26, 2)).tolist())] + [("v1", "v2", 77.0)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    for starts, ends, most in [(["v0", "v1"], ["v5", "v7"], 6), (["v2"], ["v2", "v3"], 3), (["v4"], ["v8"], 1), (["v0"], ["absent"], 5)]:
+        table = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+        got = sorted((tuple(r["path"]), tuple(r["weights"])) for r in gr.simple_paths(df, table(starts), table(ends), most).collect())
+        assert got == plain_paths(edges, starts, ends, most)
+
+
+def test_front_over_many_blocks_equals_the_pairwise_test(spark, monkeypatch):
+    monkeypatch.setattr(mit, "BLOCK_POINTS", 32)
+    rng = np.random.default_rng(9)
+    points = np.round(rng.random((500, 4)), 3)
+    points[:, 0] = np.round(points[:, 1:].sum(axis=1) / 3, 3)  # most points trade accuracy against gaps
+    points[:30] = points[30:60]
+    rows = [tuple(map(float, p)) + (i,) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in mit.OBJECTIVES) + ", id bigint").repartition(4)
+    front = mit.pareto_front(df)
+    got = {r["id"] for r in front.collect()}
+    want = {i for i, p in enumerate(points) if not any(dominates(q, p) for q in points)}
+    assert got == want and len(got) > 64
+    others = rng.random((90, 4)).round(3)
+    extra = spark.createDataFrame([tuple(map(float, p)) for p in others] + [(None, 0.1, 0.1, 0.1)], ", ".join(f"{c} double" for c in mit.OBJECTIVES))
+    kept = [p for i, p in enumerate(points) if i in want]
+    multiplier = lambda p: 1.5 if any(dominates(p, q) for q in kept) else 0.7 if any(dominates(q, p) for q in kept) else 1.0
+    got = sorted((tuple(r[c] for c in mit.OBJECTIVES), r["multiplier"]) for r in mit.pareto_multiplier(extra, front).where("accuracy is not null").collect())
+    assert got == sorted((tuple(map(float, p)), multiplier(p)) for p in others)
