@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def _continued_beta(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
@@ -72,3 +74,43 @@ def chi2_sf(x: float, k: float) -> float:
         if abs(d * c - 1.0) < 1e-15:
             break
     return front * h
+
+
+def inversion_two_sided(n: int, few: int) -> float:
+    """P(at most ``few`` or at least all but ``few`` of the pairs of a random order are inverted).
+
+    Orders of n with k inversions arise from those of n - 1 by putting the last one 0 to n - 1 places
+    further to the front, so their numbers are running sums of the shorter ones.
+    """
+    pairs = n * (n - 1) // 2
+    if 2 * few >= pairs:
+        return 1.0
+    ways = [1] + [0] * few
+    for size in range(2, n + 1):
+        total, grown = 0, []
+        for k in range(few + 1):
+            total += ways[k] - (ways[k - size] if k >= size else 0)
+            grown.append(total)
+        ways = grown
+    # lgamma keeps n! in range for long samples with few inversions.
+    return min(1.0, math.exp(math.log(2 * sum(ways)) - math.lgamma(n + 1)))
+
+
+def lattice_tail(n: int, m: int, distance: int) -> float:
+    """P(the CDFs of two random samples of n and m distinct values differ by ``distance / (n m)`` or more).
+
+    Orders of the pooled values are lattice paths from (0, 0) to (n, m). Of the paths to each point, the share
+    that stays within ``|i m - j n| < distance`` follows from its two predecessors, one diagonal at a time.
+    """
+    if distance <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for d in range(1, n + m + 1):
+        j = d - i
+        # Of the paths to (i, j) a share i / (i + j) comes along i, the rest along j.
+        moved = inside * j
+        moved[1:] += inside[:-1] * i[1:]
+        inside = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < distance), moved / d, 0.0)
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))

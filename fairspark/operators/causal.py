@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from fairspark.functions.numeric import count_if
 from fairspark.functions.ordering import ROWS_PER_BLOCK, attach_row, row_index, running_sums
-from fairspark.functions.special import chi2_sf, normal_two_sided, t_two_sided
+from fairspark.functions.special import chi2_sf, inversion_two_sided, normal_two_sided, t_two_sided
 from fairspark.session import materialise
 
 Z_975 = 1.959963984540054
@@ -81,6 +81,38 @@ def partial_correlations(corr: DataFrame) -> DataFrame:
     return joined.select("a", "b", "k", "n", ((F.col("r") - F.col("r_ak") * F.col("r_bk")) / den).alias("partial_r"))
 
 
+def partial_correlations_given(corr: DataFrame, most: int) -> DataFrame:
+    """``a, b, given, size, n, partial_r`` for every pair and every set of up to ``most`` other columns.
+
+    One level per set size: r(a, b | S) with k the last name of S follows from three entries of the level
+    before, so a level is two joins of the table with itself on the set without k. Work follows the number
+    of sets, not the rows.
+    """
+    level = materialise(both_directions(corr).select("a", "b", F.array().cast("array<string>").alias("given"), "n", F.col("r").alias("partial_r")))
+    levels = [level]
+    for _ in range(most):
+        ik = level.select("a", "given", F.col("b").alias("k"), F.col("partial_r").alias("r_ak"))
+        jk = level.select(F.col("a").alias("b"), "given", F.col("b").alias("k"), F.col("partial_r").alias("r_bk"))
+        last = F.try_element_at("given", F.lit(-1))
+        grown = level.join(ik, ["a", "given"]).where((F.col("k") != F.col("b")) & (last.isNull() | (F.col("k") > last))).join(jk, ["b", "given", "k"])
+        den = F.sqrt(F.greatest((1 - F.col("r_ak") ** 2) * (1 - F.col("r_bk") ** 2), F.lit(0.0))) + CORR_EPS
+        value = (F.col("partial_r") - F.col("r_ak") * F.col("r_bk")) / den
+        level = materialise(grown.select("a", "b", F.concat("given", F.array("k")).alias("given"), "n", value.alias("partial_r")))
+        levels.append(level)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.where(F.col("a") < F.col("b")).select("a", "b", "given", F.size("given").alias("size"), "n", "partial_r")
+
+
+def independence_given(corr: DataFrame, most: int) -> DataFrame:
+    """Fisher-Z test at the 5 % level for every pair and every conditioning set of up to ``most`` columns."""
+    tested = partial_correlations_given(corr, most)
+    r = F.least(F.greatest("partial_r", F.lit(-1.0)), F.lit(1.0))
+    z = F.abs(0.5 * F.log((1 + r + CORR_EPS) / (1 - r + CORR_EPS))) * F.sqrt(F.greatest(F.col("n") - F.col("size") - 3, F.lit(0)))
+    return tested.withColumn("z", z).withColumn("independent", F.col("z") < Z_975)
+
+
 def fisher_z(r: Column, n: Column, n_conditions: int) -> Column:
     z = 0.5 * F.log((1 + r + 1e-10) / (1 - r + 1e-10))
     return F.abs(z) * F.sqrt(n - n_conditions - 3)
@@ -118,6 +150,27 @@ def t_p_value(t: Column, df: Column) -> Column:
     return tail(t, df)
 
 
+def kendall_p_value(n: Column, z: Column, discordant: Column) -> Column:
+    """Two-sided p-value of Kendall's statistic; for result tables of a few rows.
+
+    Without ties (``discordant`` is known) and with at most 33 rows, or with at most one pair out of order
+    either way, it comes from the exact distribution of inversions, else from the normal one.
+    """
+
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, z: pd.Series, discordant: pd.Series) -> pd.Series:
+        out = []
+        for size, value, d in zip(n, z, discordant):
+            few = min(d, size * (size - 1) / 2 - d) if d == d and d is not None else None
+            if few is not None and (size <= 33 or few <= 1):
+                out.append(inversion_two_sided(int(size), int(few)))
+            else:
+                out.append(normal_two_sided(value) if value == value and value is not None else None)
+        return pd.Series(out, dtype="float64")
+
+    return tail(n.cast("double"), z, discordant)
+
+
 def chi2_p_value(x: Column, k: Column) -> Column:
     """Upper chi-square tail; for result tables of a few rows."""
 
@@ -378,14 +431,30 @@ def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK)
     ordered = cum.agg(F.sum(F.col("high") * (2 * F.col("upto") - F.col("low"))).alias("s"))
     whole = sides.groupBy("bit", "head").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     across = whole.agg(F.sum(F.col("low") * F.col("high")).alias("t"))
+    t = F.col("cnt")
     ties = lambda c: cells.groupBy(c).agg(F.sum("w").alias("cnt")).agg(
-        F.sum(F.col("cnt") * (F.col("cnt") - 1) / 2).alias(f"t{c}")
+        F.sum(t * (t - 1) / 2).alias(f"t{c}"), F.sum(t * (t - 1) * (t - 2)).alias(f"u{c}"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"v{c}")
     )
     n = cells.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n"))
     one = attach_row(attach_row(attach_row(attach_row(ordered, across), n), ties("x")), ties("y"))
     n0 = F.col("n") * (F.col("n") - 1) / 2
-    tau = F.try_divide(F.col("s") - F.col("t"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
-    return one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("n").cast("bigint").alias("n"), tau.alias("correlation"))
+    excess = F.col("s") - F.col("t")
+    tau = F.try_divide(excess, F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
+    # Variance of concordant less discordant pairs under independence, corrected for ties on either side.
+    n, pairs = F.col("n"), F.col("n") * (F.col("n") - 1)
+    variance = (
+        (pairs * (2 * n + 5) - F.col("vx") - F.col("vy")) / 18
+        + F.try_divide(2 * F.col("tx") * F.col("ty"), pairs)
+        + F.coalesce(F.try_divide(F.col("ux") * F.col("uy"), 9 * pairs * (n - 2)), F.lit(0.0))
+    )
+    untied = (F.col("tx") == 0) & (F.col("ty") == 0)
+    found = one.select(
+        F.lit(x).alias("a"), F.lit(y).alias("b"), n.cast("bigint").alias("n"), tau.alias("correlation"),
+        F.try_divide(excess, F.sqrt(variance)).alias("__z"), F.when(untied, (n0 - excess) / 2).alias("__discordant"),
+    )
+    p = found.withColumn("p_value", F.when(F.col("correlation").isNotNull(), kendall_p_value(F.col("n"), F.col("__z"), F.col("__discordant"))))
+    p = p.drop("__z", "__discordant").withColumn("abs_correlation", F.abs("correlation"))
+    return p.withColumn("significant", F.col("p_value") < 0.05)
 
 
 def correlation_score(result: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ numbering) use blocked scans, so one dominant feature does not end in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -28,6 +29,7 @@ from fairspark.functions.ordering import (
     with_blocks,
 )
 from fairspark.functions.permutation import MOST_CUTS, coefficients, labels, permutation_cuts
+from fairspark.functions.special import lattice_tail
 from fairspark.session import materialise
 
 MIN_REFERENCE = 30
@@ -197,6 +199,34 @@ def distances(df: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     return agg.withColumn("ks_p", kolmogorov_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_new")))
 
 
+#: Samples of up to so many rows get the exact Kolmogorov-Smirnov tail.
+EXACT_ROWS = 10_000
+
+
+def ks_test(df: DataFrame, exact_rows: int = EXACT_ROWS, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Two-sample test per feature: ``feature, n_ref, n_new, ks_statistic, p_value, p_method``.
+
+    Where both samples have at most ``exact_rows`` rows the p-value counts lattice paths (``exact``), beyond
+    that it is the Kolmogorov series (``asymptotic``). Features on one side only have neither.
+    """
+
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, m: pd.Series, statistic: pd.Series) -> pd.Series:
+        out = []
+        for a, b, d in zip(n, m, statistic):
+            if d != d or d is None or max(a, b) > exact_rows:
+                out.append(None)
+            else:
+                step = math.gcd(int(a), int(b))
+                out.append(lattice_tail(int(a), int(b), round(d * int(a) * int(b) / step) * step))
+        return pd.Series(out, dtype="float64")
+
+    found = distances(df, rows_per_block).select("feature", "n_ref", "n_new", "ks_statistic", "ks_p")
+    counted = found.withColumn("__exact", exact("n_ref", "n_new", "ks_statistic"))
+    method = F.when(F.col("ks_statistic").isNull(), None).when(F.col("__exact").isNotNull(), "exact").otherwise("asymptotic")
+    return counted.select("feature", "n_ref", "n_new", "ks_statistic", F.coalesce("__exact", "ks_p").alias("p_value"), method.alias("p_method"))
+
+
 def wasserstein_equal(df: DataFrame, a: str, b: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Mean absolute difference of two columns after sorting each.
 

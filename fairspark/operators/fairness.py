@@ -12,6 +12,7 @@ and any number of attribute columns.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -221,8 +222,9 @@ class MetricSuite:
     """Named metrics over the long cell table; each maps cells to summary rows.
 
     A user-defined metric is any callable ``cells -> DataFrame`` with the summary
-    columns. ``compute_all`` plans each metric separately; one that cannot be
-    planned is reported as a row with its error instead of stopping the others.
+    columns. ``compute_all`` writes the few rows of all metrics at once. If one fails,
+    while it is planned or while it runs, each is written on its own, and the faulty one
+    is a row with its error instead of stopping the others.
     """
 
     metrics: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
@@ -240,21 +242,24 @@ class MetricSuite:
         # Each metric prunes the cells differently, so without this every metric would
         # scan the decisions again. The cell table is tiny; writing it once is cheap.
         cells = cells if written else materialise(cells)
-        parts: list[DataFrame] = []
-        for name, fn in self.metrics.items():
+
+        def planned(name: str, run: bool) -> DataFrame:
             try:
-                parts.append(fn(cells).withColumn("error", F.lit(None).cast("string")))
+                out = self.metrics[name](cells).withColumn("error", F.lit(None).cast("string"))
+                return materialise(out) if run else out
             except Exception as exc:  # a faulty metric must not hide the others
-                text = str(exc)
-                parts.append(
-                    cells.limit(1).select(
-                        F.lit(None).cast("string").alias("attribute"), F.lit(name).alias("metric"), F.lit(text).alias("error")
-                    )
+                text = str(exc).split("\n")[0]
+                return cells.limit(1).select(
+                    F.lit(None).cast("string").alias("attribute"), F.lit(name).alias("metric"), F.lit(text).alias("error")
                 )
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+
+        def together(run: bool) -> DataFrame:
+            return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [planned(name, run) for name in self.metrics])
+
+        try:
+            return materialise(together(run=False))
+        except Exception:  # some metric fails at run time: each one by itself tells which
+            return together(run=True)
 
 
 def default_suite() -> MetricSuite:

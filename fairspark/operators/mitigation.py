@@ -160,12 +160,13 @@ def _z_order(df: DataFrame, block_points: int) -> DataFrame:
     """``block`` per row: runs of about ``block_points`` rows along a Z-order curve over the objectives.
 
     The curve interleaves the leading bits of each objective's place between its least and greatest value,
-    so rows of a block lie close together in all of them. ``df`` should be written already.
+    so rows of a block lie close together in all of them. ``df`` should be written already, unless it has
+    no more rows than one block.
     """
+    if df.limit(block_points + 1).count() <= block_points:
+        return df.withColumn("block", F.lit(0))
     ends = df.agg(F.count("*").alias("n"), *[f(_better(c)).alias(f"{n}_{c}") for c in OBJECTIVES for n, f in (("lo", F.min), ("hi", F.max))]).first()
     blocks = -(-ends["n"] // block_points)
-    if blocks <= 1:
-        return df.withColumn("block", F.lit(0))
     key = F.lit(0).cast("bigint")
     for i, c in enumerate(OBJECTIVES):
         low, width = ends[f"lo_{c}"], ends[f"hi_{c}"] - ends[f"lo_{c}"]
@@ -253,6 +254,8 @@ def skyline(candidates: DataFrame) -> DataFrame:
     shape = ", ".join(f"{c} double" for c in OBJECTIVES)
     points = candidates.select(*[F.col(c).cast("double").alias(c) for c in OBJECTIVES])
     near = materialise(points.mapInPandas(_local_skyline, shape).distinct())
+    if near.limit(BLOCK_POINTS + 1).count() <= BLOCK_POINTS:
+        return near.coalesce(1).mapInPandas(_local_skyline, shape)
     left = materialise(_z_order(near, BLOCK_POINTS).select(*OBJECTIVES).mapInPandas(_local_skyline, shape).distinct())
     return _flagged(left, left, 0.0, "by", "__out").where("NOT __out").select(*OBJECTIVES)
 

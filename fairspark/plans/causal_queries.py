@@ -37,6 +37,12 @@ def c3(spark, sf):
     return _r(ca.partial_correlations(_corr(spark, sf)), "partial_r", digits=5).select("a", "b", "k", "partial_r")
 
 
+def c3_sets(spark, sf):
+    """All conditioning sets of up to three of the seven columns."""
+    out = ca.independence_given(_corr(spark, sf), 3)
+    return out.select("a", "b", F.array_join("given", ",").alias("given"), "size", F.bround("partial_r", 4).alias("partial_r"), "independent")
+
+
 def c4(spark, sf):
     return _r(ca.fisher_tests(_corr(spark, sf)), "r", "z", digits=4)
 
@@ -58,10 +64,14 @@ def c7(spark, sf):
 
 
 def c7_categorical(spark, sf):
-    cats = _categories(spark, sf).select(
-        *[F.ascii(c).alias(c) for c in ("l_returnflag", "l_linestatus")], "ship_mode", "big"
+    """Codes of flag, status and line number beside two readings of the quantity, which depend on each other."""
+    cats = table(spark, sf, "lineitem").select(
+        *[F.ascii(c).alias(c) for c in ("l_returnflag", "l_linestatus")],
+        F.col("l_linenumber").alias("ship_mode"),
+        (F.col("l_quantity") > 25).cast("int").alias("big"),
+        F.floor(F.col("l_quantity") / 10).cast("int").alias("band"),
     )
-    return ca.pc_edges(cats, CATEGORIES)
+    return ca.pc_edges(cats, [*CATEGORIES, "band"])
 
 
 def c8(spark, sf):
@@ -77,19 +87,28 @@ def c9(spark, sf):
 def c10(spark, sf):
     corr = _corr(spark, sf).select("a", "b", "n", F.col("r").alias("correlation"))
     scored = ca.correlation_score(corr)
-    return scored.select("a", "b", F.bround("correlation", 4).alias("correlation"), F.bround("abs_correlation", 4).alias("score"))
+    return scored.select(
+        "a", "b", F.bround("correlation", 4).alias("correlation"), F.bround("abs_correlation", 4).alias("score"), F.bround("p_value", 6).alias("p_value"), "significant"
+    )
 
 
 def c11(spark, sf):
-    return _r(ca.spearman(views.numeric_matrix(spark, sf), "extendedprice", "unit_price"), "correlation")
+    scored = ca.correlation_score(ca.spearman(views.numeric_matrix(spark, sf), "extendedprice", "unit_price"))
+    return _r(scored.drop("abs_correlation"), "correlation", "p_value")
 
 
 def c12(spark, sf):
-    return _r(ca.kendall(views.numeric_matrix(spark, sf), "quantity", "discount"), "correlation")
+    return _r(ca.kendall(views.numeric_matrix(spark, sf), "quantity", "discount").drop("abs_correlation"), "correlation", "p_value")
 
 
 def c12_continuous(spark, sf):
-    return _r(ca.kendall(table(spark, sf, "customer"), "c_acctbal", "c_custkey"), "correlation")
+    return _r(ca.kendall(table(spark, sf, "customer"), "c_acctbal", "c_custkey").drop("abs_correlation"), "correlation", "p_value")
+
+
+def c12_exact(spark, sf):
+    """Nation numbers against their customers' greatest balances: few rows without ties, so the exact tail."""
+    best = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("best"))
+    return _r(ca.kendall(best, "c_nationkey", "best").drop("abs_correlation"), "correlation", "p_value")
 
 
 def c13(spark, sf):
@@ -120,6 +139,7 @@ QUERIES = {
     "c1_correlation_matrix": c1,
     "c2_correlation_edges": c2,
     "c3_partial_correlation": c3,
+    "c3_conditioning_sets": c3_sets,
     "c4_fisher_z": c4,
     "c5_residual_test": c5,
     "c6_chi_square": c6,
@@ -132,6 +152,7 @@ QUERIES = {
     "c11_spearman": c11,
     "c12_kendall": c12,
     "c12_kendall_continuous": c12_continuous,
+    "c12_kendall_exact": c12_exact,
     "c13_rank_edges": c13,
     "c14_threshold_edges": c14,
     "c14_sparsity": c14_sparsity,

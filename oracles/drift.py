@@ -124,6 +124,16 @@ ORACLES = {
             WINDOW w AS (PARTITION BY feature, nw, window_id ORDER BY value ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature, nw, window_id)""",
         wdist="SELECT feature, nw, window_id, sum(abs(fr / n_ref - fw / nw) * (nv - value)) AS w1 FROM wcum WHERE nv IS NOT NULL GROUP BY ALL"),
     "d9_kolmogorov_smirnov": sql("SELECT feature, round_even(ks, 6) AS ks_statistic, round_even(ks_p, 6) AS ks_p FROM ksp", S, **ecdf(S)),
+    # Share of the lattice paths that stay within the observed distance, diagonal by diagonal.
+    "d9_exact_test": sql("""SELECT feature, n_ref, n_new, round_even(ks, 6) AS ks_statistic, round_even(coalesce(1 - (SELECT share FROM paths p WHERE p.feature = dist.feature AND p.d = n_ref + n_new AND p.i = n_ref), 1), 6) AS p_value,
+        'exact' AS p_method FROM dist""", recursive=True,
+        daily="""SELECT event_type AS feature, CASE WHEN dayofmonth(ts) < 16 THEN 'ref' ELSE 'new' END AS side, round_even(avg(value), 6) AS value
+            FROM events WHERE value IS NOT NULL GROUP BY event_type, dayofmonth(ts)""",
+        **{k: v for k, v in ecdf("daily").items() if k != "ksp"},
+        paths="""SELECT feature, 0::BIGINT AS d, 0::BIGINT AS i, 1.0::DOUBLE AS share FROM dist UNION ALL
+            SELECT feature, d, i, share FROM (SELECT p.feature, p.d + 1 AS d, p.i + s AS i, sum(share * (CASE WHEN s = 1 THEN p.i + 1 ELSE p.d - p.i + 1 END) / (p.d + 1)) AS share
+              FROM paths p JOIN dist USING (feature), range(0, 2) t(s)
+              WHERE p.i + s <= n_ref AND p.d + 1 - (p.i + s) <= n_new AND abs((p.i + s) * n_new - (p.d + 1 - p.i - s) * n_ref) < round(ks * n_ref * n_new) GROUP BY p.feature, p.d + 1, p.i + s)"""),
     "d10_jensen_shannon": sql("SELECT feature, round_even(jsd, 6) AS jsd FROM jsds", S, **hist(S)),
     "d11_population_stability": sql("SELECT feature, round_even(psi, 6) AS psi FROM psis", S, **psi(S)),
     "d12_compare_report": sql("""SELECT feature, round_even(ks, 6) AS ks_statistic, round_even(ks_p, 6) AS ks_p, round_even(jsd, 6) AS jsd, round_even(psi, 6) AS psi,

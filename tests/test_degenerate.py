@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fairspark.functions import special
 from fairspark.operators import causal, drift, fairness, graph, mitigation
 from fairspark.streaming import detectors, microbatch
 
@@ -104,3 +105,46 @@ def test_windows_without_a_reference_are_flagged(spark):
     flagged = [r for r in found if r["feature"] == "new_only"]
     assert len(flagged) == 3 and all(r["status"] == "insufficient" and r["w1"] is None and not r["drift_detected"] for r in flagged)
     assert all(r["w1"] is not None and 0 < r["p_value"] <= 1 for r in found if r["feature"] == "both")
+
+
+def test_exact_tails_equal_counting():
+    from itertools import combinations, permutations
+
+    for n in range(2, 7):
+        counts = [sum(p[i] > p[j] for i, j in combinations(range(n), 2)) for p in permutations(range(n))]
+        pairs = n * (n - 1) // 2
+        for k in range(pairs // 2 + 1):
+            want = sum(c <= k or c >= pairs - k for c in counts) / len(counts)
+            assert special.inversion_two_sided(n, k) == pytest.approx(want)
+    assert special.inversion_two_sided(300, 1) == 0.0
+    for n, m in [(1, 1), (2, 3), (4, 4), (3, 8), (5, 6)]:
+        gaps = []
+        for chosen in combinations(range(n + m), n):
+            i = j = best = 0
+            for at in range(n + m):
+                i, j = (i + 1, j) if at in chosen else (i, j + 1)
+                best = max(best, abs(i * m - j * n))
+            gaps.append(best)
+        for d in sorted(set(gaps)):
+            assert special.lattice_tail(n, m, d) == pytest.approx(sum(g >= d for g in gaps) / len(gaps))
+        assert special.lattice_tail(n, m, 0) == 1.0
+
+
+def test_a_metric_that_fails_at_run_time_leaves_the_others(spark):
+    suite = fairness.default_suite()
+    suite.register("broken", lambda cells: fairness.metric_summary(fairness.demographic_parity(cells), "overall_value").withColumn("gap", F.raise_error(F.lit("no such luck")).cast("double")))
+    rows = spark.createDataFrame([(float(i % 2), float(i % 3 == 0), 0.5, "ab"[i % 2]) for i in range(40)], "y_true double, y_pred double, y_prob double, g string")
+    cells = fairness.long_cells(fairness.cell_sums(rows, ["g"]), ["g"])
+    got = {r["metric"]: r for r in suite.compute_all(cells).collect()}
+    assert set(got) == {"demographic_parity", "equalized_odds", "calibration", "broken"}
+    assert "no such luck" in got["broken"]["error"] and got["calibration"]["error"] is None
+
+
+def test_exact_tail_for_short_samples_only(spark):
+    rows = [("a", "ref", float(v)) for v in range(8)] + [("a", "new", v + 3.5) for v in range(5)] + [("only", "ref", 1.0)]
+    df = spark.createDataFrame([(f, i, s, v) for i, (f, s, v) in enumerate(rows)], "feature string, seq bigint, side string, value double")
+    got = {r["feature"]: r for r in drift.ks_test(df).collect()}
+    d = round(got["a"]["ks_statistic"] * 40)
+    assert got["a"]["p_method"] == "exact" and got["a"]["p_value"] == pytest.approx(special.lattice_tail(8, 5, d))
+    assert got["only"]["p_value"] is None and got["only"]["p_method"] is None
+    assert {r["p_method"] for r in drift.ks_test(df, exact_rows=6).collect()} == {"asymptotic", None}
