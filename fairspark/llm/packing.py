@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -26,6 +27,9 @@ SENTENCE_PENALTY = 8
 INNER_PENALTY = 48
 #: Distance of the allowed cuts that are not at a boundary.
 GRID = 64
+#: Words that the library encodes as one line, and bytes of text that are cut at a time.
+LINE_WORDS = 64
+SLICE_BYTES = 8 << 20
 #: Words kept with their ids in a worker before the memory is started anew.
 REMEMBERED = 600_000
 
@@ -53,6 +57,7 @@ class WordIds:
         for token, i in vocabulary.items():
             if token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>"):
                 self.ends_sentence[i] = True
+        self.stop_id = self.tokenizer.encode("a .", add_special_tokens=False).ids[-1]
         self._forget()
 
     def _forget(self) -> None:
@@ -63,18 +68,35 @@ class WordIds:
     def _rows(self, values: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self._forget()
-        fresh = [v for v in values if v not in self.known]
+        known = self.known
+        fresh = [v for v in values if v not in known]
         if fresh:
-            encoded = self.tokenizer.encode_batch_fast([v.decode() for v in fresh], add_special_tokens=False)
-            found = [e.ids for e in encoded]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
-            self.known.update(zip(fresh, range(len(self.length), len(self.length) + len(fresh))))
+            # Words without a full stop go through the library in lines, with full stops between them.
+            plain = [v for v in fresh if b"." not in v]
+            dotted = [v for v in fresh if b"." in v]
+            flat, length = self._in_lines(plain)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([v.decode() for v in dotted], add_special_tokens=False)] if dotted else []
+            length = np.append(length, np.fromiter(map(len, found), np.int64, len(found)))
+            flat = np.append(flat, np.fromiter(chain.from_iterable(found), np.uint32))
+            known.update(zip(plain + dotted, range(len(self.length), len(self.length) + len(fresh))))
             self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
             self.length = np.append(self.length, length)
             self.ids = np.append(self.ids, flat)
         return np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
 
+    def _in_lines(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and the number of each.
+
+        A full stop between blanks is always the same one id, and no word here holds any, so it parts them.
+        """
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lines = [b" . ".join(words[i : i + LINE_WORDS]).decode() + " ." for i in range(0, len(words), LINE_WORDS)]
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        stops = np.flatnonzero(ids == self.stop_id)
+        assert len(stops) == len(words)
+        return ids[ids != self.stop_id], np.diff(stops, prepend=-1) - 1
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text, its end id included."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -87,23 +109,30 @@ class WordIds:
         data, at = ragged.utf8(column)
         pieces = ragged.cut(ragged.LOWER[data], at, WORD_CUTS, skip_spaces=True)
         rows = self._rows(pieces.values.to_pylist())
-        row = rows[pieces.code]
-        sizes = self.length[row] if len(row) else np.zeros(0, np.int64)
-        ids = self.ids[ragged.gather(self.start[row], sizes)] if len(row) else np.zeros(0, np.uint32)
-        per_text = np.bincount(pieces.row, weights=sizes, minlength=len(column)).astype(np.int64)
-        ends = np.cumsum(per_text)
+        row = rows[pieces.code] if len(pieces) else np.zeros(0, np.int64)
+        at_rows = pieces.row_offsets()
+        sizes, places = self.length[row], self.start[row]
+        upto = np.append(0, np.cumsum(sizes))
+        per_text = np.diff(upto[at_rows])
+        index = np.repeat((places - upto[:-1]).astype(np.int32), sizes)
+        index += np.arange(len(index), dtype=np.int32)
+        ids = self.ids.take(index)
         extra = np.array([len(whole.get(i, ())) for i in range(len(column))], np.int64) if whole else 0
         offsets = np.append(0, np.cumsum(per_text + extra + 1))
         out = np.full(int(offsets[-1]), self.end_id, dtype=np.uint32)
-        out[ragged.gather(offsets[:-1], per_text)] = ids
+        inside = np.ones(len(out), dtype=bool)
+        inside[offsets[1:] - 1] = False
         for i, own in whole.items():
             out[offsets[i] : offsets[i] + len(own)] = own
-        assert len(ids) == (ends[-1] if len(ends) else 0)
+            inside[offsets[i] : offsets[i] + len(own)] = False
+        out[inside] = ids
         return out, offsets
 
 
 @lru_cache(maxsize=2)
 def word_ids(path: str, end_id: int) -> WordIds:
+    # A task has one core: the library's threads would only wait for each other.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordIds(path, end_id)
 
 
@@ -271,7 +300,7 @@ def pack(
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("id").type
-            for part in ragged.slices(batch, "text", 2 << 20):
+            for part in ragged.slices(batch, "text", SLICE_BYTES):
                 stream.add(part.column("id").to_pylist(), *words.encode(part.column("text")))
                 while stream.held >= STREAM_TOKENS and (found := stream.pack(last=False)):
                     yield record(found, kind)
