@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from fairspark.llm.tables import BREAK_PATTERN, stored
 
 _BLANKS = " \t\n\x0b\f\r"
-#: Ratios under an adaptive rule, with the least distance of the threshold from the upper quartile.
-RULES = {"mean_word": 2.0, "symbols": 0.25, "dup_lines": 0.25, "repeats": 0.25, "capitals": 0.25}
+#: Measures under an adaptive rule: what is counted, per what, and the constant of the square-root scale.
+#: On that scale (Anscombe's) a measure spreads by chance alone as its size allows, also where most counts
+#: are 0. A repeated window marks six words at least, so repeats count in sixes.
+RATES = {"symbols": ("n_symbols", "n_words", 0.375), "dup_lines": ("n_dup_lines", "n_lines", 0.375), "repeats": ("n_repeat_words", "n_words", 2.25), "capitals": ("n_capitals", "word_chars", 0.375)}
+RULES = ("mean_word", *RATES)
 #: A threshold lies so many quartile distances beyond the quartile.
-REACH = 4.0
-#: Accuracy of the quantile sketches; a group with fewer documents uses the sketch of all.
+REACH = 5.0
+#: Accuracy of the quantile sketches.
 ACCURACY = 2_000
-LEAST_GROUP = 30
+#: A group's own limit weighs as its documents, its language's limit as so many.
+PRIOR_DOCS = 30
+#: Relative room for rounding at a limit.
+ROOM = 1e-9
 LEAST_WORDS = 50
 MOST_REPEATS_PERCENT = 50
 
@@ -56,7 +62,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS_PERCENT * F.col("n_words"))
-    per = lambda c, n: F.when(F.col(n) > 0, F.col(c) / F.col(n)).otherwise(F.lit(0.0))
+    scaled = lambda c, n, add: F.sqrt((F.col(c) + F.lit(add)) / F.greatest(F.col(n), F.lit(1).cast("bigint")))
     return rows.select(
         "doc",
         F.struct(
@@ -66,50 +72,59 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_dup_lines",
             "n_repeat_words",
             failed.alias("base_failed"),
-            per("word_chars", "n_words").alias("mean_word"),
-            per("n_symbols", "n_words").alias("symbols"),
-            per("n_dup_lines", "n_lines").alias("dup_lines"),
-            per("n_repeat_words", "n_words").alias("repeats"),
-            per("n_capitals", "word_chars").alias("capitals"),
+            F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(F.lit(0.0)).alias("mean_word"),
+            *[scaled(*rate).alias(rule) for rule, rate in RATES.items()],
         ).alias("m"),
     )
 
 
-def _limits(prefix: str = "") -> list[Column]:
-    """Aggregates: the sketch's quartiles of each ratio, turned into an upper limit."""
-    out = []
-    for rule, least in RULES.items():
+def _limits(prefix: str) -> list[Column]:
+    """Aggregates: the number of documents, and the sketch's quartiles of each measure turned into an upper limit."""
+    out = [F.count("*").alias(f"{prefix}n")]
+    for rule in RULES:
         q = F.percentile_approx(f"m.{rule}", [0.25, 0.75], ACCURACY)
-        out.append((q[1] + F.greatest(REACH * (q[1] - q[0]), F.lit(least))).alias(f"{prefix}{rule}"))
+        out.append((q[1] + REACH * (q[1] - q[0])).alias(f"{prefix}{rule}"))
     return out
 
 
+def _towards(own: Column, n: Column, wider: Column) -> Column:
+    """A limit drawn towards that of the wider group, the less the more documents it comes from."""
+    return (n * own + PRIOR_DOCS * wider) / (n + PRIOR_DOCS)
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """``l, s, most_<rule>``: the limits of each language and source of ``rows(lang, source, m)``.
+
+    Each level has sketches of its own, which merge: source, language and all documents. A small source
+    leans on its language and a small language on all, by weights that grow with their documents.
+    """
+    sound = rows.where(~F.col("m.base_failed"))
+    groups = sound.groupBy("lang", "source").agg(*_limits("g_"))
+    langs = sound.groupBy(F.col("lang").alias("of")).agg(*_limits("l_"))
+    pooled = sound.agg(*_limits("all_"))
+    wide = groups.join(langs, F.col("lang").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(pooled))  # one row
+    most = [_towards(F.col(f"g_{r}"), F.col("g_n"), _towards(F.col(f"l_{r}"), F.col("l_n"), F.col(f"all_{r}"))).alias(f"most_{r}") for r in RULES]
+    return wide.select(F.col("lang").alias("l"), F.col("source").alias("s"), *most)
+
+
 def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``doc`` (the row), ``m`` (its counts) and ``kept``.
+    """``doc`` (the row), ``m`` (its counts and measures) and ``kept``.
 
-    A document goes if it fails the base rules, or if one of its ratios lies beyond the limit of its
-    language and source: the upper quartile of the ratio there plus ``REACH`` quartile distances, at
-    least the rule's own distance. Quartiles come from quantile sketches over all documents that pass
-    the base rules; sketches merge, so a dominant source is combined before the shuffle. The table of
-    limits is joined back; null languages and sources are groups of their own. Groups of fewer than
-    ``LEAST_GROUP`` documents use the limits over all.
+    A document goes if it fails the base rules, or if one of its measures lies beyond the limit of its
+    language and source: the upper quartile there plus ``REACH`` quartile distances. Quartiles come from
+    quantile sketches over all documents that pass the base rules; sketches merge, so a dominant source is
+    combined before the shuffle. No limit has a floor: the group's distribution sets it, see :func:`limits`.
+    Null languages and sources are groups of their own.
 
-    Null and empty texts have no words and fail. Repeated rows are judged one by one. Extra columns are
-    kept inside ``doc``, so their names cannot clash.
+    Null and empty texts have no words and fail. Repeated rows are judged one by one, ties with a limit
+    stay. An empty table gives none. Extra columns are kept inside ``doc``, so their names cannot clash.
     """
     rows = stored(measured(docs, text_col), "measured")
     rows = rows.select("doc", "m", F.col(f"doc.`{lang_col}`").cast("string").alias("lang"), F.col(f"doc.`{source_col}`").cast("string").alias("source"))
-    sound = rows.where(~F.col("m.base_failed"))
-    groups = sound.groupBy("lang", "source").agg(F.count("*").alias("n"), *_limits("g_"))
-    pooled = sound.agg(*_limits("all_"))
-    limits = groups.crossJoin(F.broadcast(pooled))  # one row
-    limits = limits.select(
-        F.col("lang").alias("l"), F.col("source").alias("s"), *[F.when(F.col("n") >= LEAST_GROUP, F.col(f"g_{r}")).otherwise(F.col(f"all_{r}")).alias(f"most_{r}") for r in RULES]
-    )
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
+    joined = rows.join(limits(rows), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     within = F.lit(True)
     for rule in RULES:
-        within = within & F.coalesce(F.col(f"m.{rule}") <= F.col(f"most_{rule}"), F.lit(True))
+        within = within & F.coalesce(F.col(f"m.{rule}") <= F.col(f"most_{rule}") * (1 + ROOM), F.lit(True))
     return joined.select("doc", "m", (~F.col("m.base_failed") & within).alias("kept"))
 
 
@@ -119,6 +134,7 @@ def keep_documents(docs: DataFrame, **columns: str) -> DataFrame:
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
+_SQL_LIMITS = "count(*) AS n, " + ", ".join(f"quantile_disc({r}, 0.75) + {REACH}::DOUBLE * (quantile_disc({r}, 0.75) - quantile_disc({r}, 0.25)) AS {r}" for r in RULES)
 QUALITY_SQL = rf"""
 WITH base AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -143,18 +159,17 @@ covered AS (SELECT doc_id, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n FROM
 m AS (
   SELECT counts.*, coalesce(n, 0) AS n_repeat_words, n_words < {LEAST_WORDS} OR 100 * coalesce(n, 0) > {MOST_REPEATS_PERCENT} * n_words AS base_failed,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word,
-    CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbols,
-    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_lines,
-    CASE WHEN n_words > 0 THEN coalesce(n, 0) / n_words ELSE 0.0 END AS repeats,
-    CASE WHEN word_chars > 0 THEN n_capitals / word_chars ELSE 0.0 END AS capitals
+    {", ".join(f"sqrt((coalesce({'n' if c == 'n_repeat_words' else c}, 0) + {add}::DOUBLE) / greatest({per}, 1)) AS {r}" for r, (c, per, add) in RATES.items())}
   FROM counts LEFT JOIN covered USING (doc_id)
 ),
-pooled AS (SELECT {", ".join(f"quantile_disc({r}, 0.75) + greatest({REACH} * (quantile_disc({r}, 0.75) - quantile_disc({r}, 0.25)), {v}) AS all_{r}" for r, v in RULES.items())} FROM m WHERE NOT base_failed),
-groups AS (
-  SELECT lang, source, count(*) AS size, {", ".join(f"quantile_disc({r}, 0.75) + greatest({REACH} * (quantile_disc({r}, 0.75) - quantile_disc({r}, 0.25)), {v}) AS g_{r}" for r, v in RULES.items())}
-  FROM m WHERE NOT base_failed GROUP BY lang, source
+all_ AS (SELECT {_SQL_LIMITS} FROM m WHERE NOT base_failed),
+lang_ AS (SELECT lang, {_SQL_LIMITS} FROM m WHERE NOT base_failed GROUP BY lang),
+group_ AS (SELECT lang, source, {_SQL_LIMITS} FROM m WHERE NOT base_failed GROUP BY lang, source),
+most AS (
+  SELECT g.lang, g.source, {", ".join(f"(g.n * g.{r} + {PRIOR_DOCS} * ((l.n * l.{r} + {PRIOR_DOCS} * a.{r}) / (l.n + {PRIOR_DOCS}))) / (g.n + {PRIOR_DOCS}) AS {r}" for r in RULES)}
+  FROM group_ g JOIN lang_ l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN all_ a
 )
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"coalesce({r} <= CASE WHEN size >= {LEAST_GROUP} THEN g_{r} ELSE all_{r} END, true)" for r in RULES)} AS kept
-FROM m CROSS JOIN pooled LEFT JOIN groups ON m.lang IS NOT DISTINCT FROM groups.lang AND m.source IS NOT DISTINCT FROM groups.source
+  NOT base_failed AND {" AND ".join(f"coalesce(m.{r} <= most.{r} * (1 + {ROOM}::DOUBLE), true)" for r in RULES)} AS kept
+FROM m LEFT JOIN most ON m.lang IS NOT DISTINCT FROM most.lang AND m.source IS NOT DISTINCT FROM most.source
 """

@@ -1,5 +1,6 @@
 """Rules, shards, joins, passages, surrogates and the pipeline against plain versions."""
 
+import hashlib
 import os
 import random
 import re
@@ -78,14 +79,48 @@ def test_quality_odd_rows(odd, make):
     assert quality.keep_documents(make([])).count() == 0
 
 
+def quality_rows(seed, lang, source, n, start, **shape):
+    """Plain documents of one group with its own word length and numbers of signs, capitals and repeats."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(max(1, round(rnd.gauss(shape.get("length", 5), 1))))) for _ in range(rnd.randint(70, 130))]
+        for _ in range(rnd.randint(0, shape.get("signs", 0))):
+            words[rnd.randrange(len(words))] += "#"
+        for _ in range(rnd.randint(0, shape.get("capitals", 0))):
+            k = rnd.randrange(len(words))
+            words[k] = words[k].upper()
+        for _ in range(rnd.randint(0, shape.get("repeats", 0))):
+            words += words[:4]
+        lines = [" ".join(words[k : k + 10]) for k in range(0, len(words), 10)]
+        lines += [f"again {source} {lang} x{i}"] * rnd.randint(0, shape.get("lines", 0))
+        rows.append((start + i, "\n".join(lines), lang, source))
+    return rows
+
+
 def test_quality_limits_follow_the_group(make):
-    rng = random.Random(1)
-    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(120))
-    signs = lambda t: " ".join(w + "#" for w in t.split())
-    rows = [(i, prose(), "en", "books") for i in range(60)] + [(100, signs(prose()), "en", "books")]
-    rows += [(200 + i, signs(prose()) if i % 2 else prose(), "en", "code") for i in range(60)]
-    kept = {r["doc_id"] for r in quality.keep_documents(make(rows)).select("doc_id").collect()}
-    assert 100 not in kept and {i for i in range(60)} <= kept and {200 + i for i in range(60)} <= kept
+    base = dict(length=5, signs=2, capitals=3, repeats=1, lines=2)
+    others = quality_rows(1, "en", "calm", 300, 0, **base) + quality_rows(2, "de", "calm", 300, 1000, **base)
+
+    def found(**shape):
+        docs = make(others + quality_rows(3, "en", "own", 300, 2000, **{**base, **shape}))
+        rows = quality.measured(docs).select("m", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
+        return {(r["l"], r["s"]): {k: r[f"most_{k}"] for k in quality.RULES} for r in quality.limits(rows).collect()}
+
+    usual, changed = found(), found(length=9, signs=40, capitals=40, repeats=5, lines=9)
+    for rule in quality.RULES:
+        own = changed["en", "own"][rule] - usual["en", "own"][rule]
+        assert own > 0.15 * usual["en", "own"][rule]
+        for group in (("en", "calm"), ("de", "calm")):
+            # Only through the small weight of the language and of all does another group follow.
+            assert abs(changed[group][rule] - usual[group][rule]) < 0.25 * own
+
+
+def test_quality_rejects_what_its_group_lacks(make):
+    rows = quality_rows(5, "en", "web", 120, 0) + quality_rows(6, "fr", "tiny", 2, 500)
+    junk = [(900, rows[0][1].replace(" ", " # % "), "en", "web"), (901, " ".join(["w" * 14 + str(i) for i in range(90)]), "en", "web")]
+    kept = {r["doc_id"] for r in quality.keep_documents(make(rows + junk)).select("doc_id").collect()}
+    assert not kept & {900, 901} and len(kept) >= 118
 
 
 def shingles(text):
@@ -337,15 +372,31 @@ def test_pipeline_odd_rows(spark, odd, make, tmp_path):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns
             assert out.count() <= docs.count()
+        packed = corpus_pipeline.pack_sequences(spark, docs, SF)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert corpus_pipeline.near_duplicates(spark, odd, SF).where("doc_id is null").count() == 1
 
 
+def test_stages_tell_rows_apart_without_ids(spark, make):
+    passage = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    rnd = random.Random(4)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    docs = make([(None, a), (None, a + " tail"), (None, passage), (5, b), (5, passage), (5, c), (6, d), (6, d), (4, c + " tail")])
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in clean.collect()) == sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect() if r["text"] != passage)
+    single = corpus_pipeline.near_duplicates(spark, clean, SF)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in single.collect())
+    least = min((a, a + " tail"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(0, least), (5, b), (4, c + " tail"), (6, d)])
+
+
 def test_registered_names():
     import __spark_entry__ as contract
 
     found = set(contract.queries())
     assert {q for q in found if re.match(r"op\d+_", q)} == set(queries.QUERIES) and "pipeline" in found
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_this_package():
