@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairspark.llm import decontamination, ngram_join, packing, pii, quality
@@ -11,37 +11,49 @@ from fairspark.llm.tables import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive rules keep."""
+    """Documents that the adaptive rules keep; null, empty and short texts go, repeated rows are judged alike."""
     return quality.keep_documents(docs)
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies.
+    """One document of each group of near copies: the one with the least id, without one the least digest.
 
-    An id stands for one document: rows that repeat an id are kept once. Rows without an id cannot be
-    told apart by it and all stay.
+    A row is told by its id and the digest of its text, so several texts under one id, and texts without
+    an id, are documents of their own; a row that repeats both is a copy. Texts without words (null texts
+    too) are in no group; of those under one id, or without one, one stays. An empty table stays empty.
     """
-    linked = ngram_join.link_documents(docs)
-    heads = linked.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head"))
-    first = docs.join(heads.distinct(), F.col("doc_id") == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), _digest().alias("digest"))
+    keyed = docs.withColumn("__key", key)
+    linked = ngram_join.link_documents(keyed.select("__key", "text"), id_col="__key")
+    heads = stored(linked.where(F.col("__key") == F.col("component_id")).select(F.col("__key").alias("__head")).distinct(), "heads")
+    kept = keyed.join(heads, F.col("__key") == F.col("__head"), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaked = stored(leaks.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    """Documents that hold no passage of the benchmark.
+
+    A leak belongs to a text, not to an id: rows with that text go, others under the same id or without one
+    stay. Null and empty texts hold nothing and stay, repeated rows too; an empty table stays empty.
+    """
+    keyed = docs.withColumn("__text_key", _digest())
+    leaks = decontamination.find_leaks(keyed.select("__text_key", "text"), table(spark, sf_dir, "benchmark"), id_col="__text_key")
+    leaked = stored(leaks.select(F.col("__text_key").alias("__leak")).distinct(), "leaks")
+    return keyed.join(leaked, F.col("__text_key") == F.col("__leak"), "left_anti").drop("__text_key")
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced; ``n_chars`` follows the new text."""
+    """All documents with personal data replaced; ``n_chars`` follows the new text. Null texts stay null, repeated rows stay."""
     replaced = pii.replace_pii(docs, SURROGATE_KEY).select("doc.*")
     return replaced.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids, dealt into sequences."""
+    """Pieces of documents with their token ids, dealt into sequences; a null or empty text is its end id."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
