@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fairspark.llm import components, decontamination, ngram_join, pii, quality, queries, sharding
-from fairspark.llm.tables import table
+from fairspark.llm.tables import stored, table
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,18 +99,18 @@ def quality_rows(seed, lang, source, n, start, **shape):
 
 
 def test_quality_limits_follow_the_group(make):
-    base = dict(length=5, signs=2, capitals=3, repeats=1, lines=2)
+    base = dict(length=5, signs=2, capitals=3, repeats=0, lines=0)
     others = quality_rows(1, "en", "calm", 300, 0, **base) + quality_rows(2, "de", "calm", 300, 1000, **base)
 
     def found(**shape):
         docs = make(others + quality_rows(3, "en", "own", 300, 2000, **{**base, **shape}))
-        rows = quality.measured(docs).select("m", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
+        rows = stored(quality.measured(docs), "measured").select("m", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"))
         return {(r["l"], r["s"]): {k: r[f"most_{k}"] for k in quality.RULES} for r in quality.limits(rows).collect()}
 
-    usual, changed = found(), found(length=9, signs=40, capitals=40, repeats=5, lines=9)
+    usual, changed = found(), found(length=9, signs=40, capitals=40, repeats=5, lines=12)
     for rule in quality.RULES:
         own = changed["en", "own"][rule] - usual["en", "own"][rule]
-        assert own > 0.15 * usual["en", "own"][rule]
+        assert own > 0.1 * usual["en", "own"][rule]
         for group in (("en", "calm"), ("de", "calm")):
             # Only through the small weight of the language and of all does another group follow.
             assert abs(changed[group][rule] - usual[group][rule]) < 0.25 * own
