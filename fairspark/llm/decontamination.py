@@ -20,6 +20,7 @@ COVERAGE = 0.5
 #: Benchmark bytes on the executors at a time; a larger benchmark is scanned in several blocks.
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
+_INVERSE = np.uint64(pow(int(ragged.powers(2)[1]), -1, 1 << 64))
 #: Signs at the ends of a word do not count.
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
@@ -61,63 +62,128 @@ def build_index(ids: list, texts: list[str | None], width: int = SEED_TOKENS) ->
     return SeedIndex(ids, parts, seed[order], item[order], position[order], near)
 
 
+class _Side:
+    """Tokens below shared seeds on one side of a comparison, the marks on them and their running hashes."""
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, least: int):
+        steps = np.minimum(np.diff(starts, append=starts[-1] + least), least)
+        self.place = ragged.gather(starts, steps)
+        self.tokens = tokens[self.place]
+        n = len(self.place)
+        self.scale = ragged.powers(n + 1)
+        self.unscale = ragged.powers(n + 1, _INVERSE)
+        self.running = np.append(np.zeros(1, np.uint64), np.cumsum(self.tokens * self.scale[:n], dtype=np.uint64))
+        self.free = np.ones(n, dtype=bool)
+        self.gap = np.diff(self.place, append=self.place[-1] + 2) != 1
+        self.measure()
+
+    def measure(self) -> None:
+        """How many free tokens follow each place, itself included."""
+        n = len(self.place)
+        border = self.gap | ~self.free
+        border[:-1] |= ~self.free[1:]
+        ends = np.where(border, np.arange(1, n + 1), n)
+        self.room = np.where(self.free, np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n), 0)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all free windows and their hashes."""
+        at = np.flatnonzero(self.room >= width)
+        return at, (self.running[at + width] - self.running[at]) * self.unscale[at]
+
+    def is_free(self, at: int, width: int) -> bool:
+        """Whether a window is still free of marks of its own length, which cover one of its ends."""
+        return bool(self.free[at] and self.free[at + width - 1])
+
+
+def _shared(a: _Side, b: _Side, width: int) -> bool:
+    hashes = np.sort(b.windows(width)[1])
+    own = a.windows(width)[1]
+    return len(hashes) > 0 and bool((hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own).any())
+
+
+def _longest(a: _Side, b: _Side, least: int, most: int) -> int:
+    """Length of the longest free window on both sides, or 0: each length is tried by a running hash."""
+    most = min(most, int(a.room.max()), int(b.room.max()))
+    if most < least:
+        return 0
+    if _shared(a, b, most):
+        return most
+    low, high = least - 1, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if _shared(a, b, middle) else (low, middle)
+    return low if low >= least else 0
+
+
 def tile(text: np.ndarray, item: np.ndarray, starts: np.ndarray, partners: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (text position, item position, length) from the shared seeds of one text and one item.
 
-    Seeds that follow each other on a diagonal are one maximal match, checked token by token. The
-    longest match whose tokens are all free is marked first; a match that marked tokens cut is
-    shortened to its free part and waits for its turn. Tiles never overlap in the text or the item.
+    ``starts`` and ``partners`` are the places of shared seeds in the text and in the item, ascending. The
+    longest match of free tokens is found by halving its length and hashing all free windows; all matches
+    of that length are marked, earlier item positions first, then earlier text positions, each compared
+    token by token before. Then the next shorter length follows. Tiles never overlap in the text or the
+    item. No pair of places is ever listed, so memory is linear in both however often a seed repeats.
     """
-    order = np.lexsort((starts, starts - partners))
-    starts, partners = starts[order], partners[order]
-    diagonal = starts - partners
-    new = np.append(True, (diagonal[1:] != diagonal[:-1]) | (starts[1:] != starts[:-1] + 1))
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(starts))) + least - 1
-    matches = []
-    for s, p, n in zip(starts[first].tolist(), partners[first].tolist(), length.tolist()):
-        same = text[s : s + n] == item[p : p + n]  # seeds are hashes; the tokens decide
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-        matches += [(s + a, p + a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= least]
-    free_item = np.ones(len(item), dtype=bool)
-    used: list[tuple[int, int]] = []  # marked ranges of the text
+    n, s, p = len(starts), int(starts[0]), int(partners[0])
+    if n == len(partners) and starts[-1] - s == n - 1 == partners[-1] - p:
+        if np.array_equal(text[s : s + n + least - 1], item[p : p + n + least - 1]):
+            return [(s, p, n + least - 1)]  # one unbroken passage on both sides is one tile
+    a, b = _Side(text, starts, least), _Side(item, partners, least)
     tiles = []
-    by_length: dict[int, list[tuple[int, int]]] = {}
-    for s, p, n in matches:
-        by_length.setdefault(n, []).append((s, p))
-    while by_length:
-        n = max(by_length)
-        for s, p in sorted(by_length.pop(n), key=lambda m: (m[1], m[0])):
-            ok = free_item[p : p + n].copy()
-            for a, b in used:
-                if a < s + n and b > s:
-                    ok[max(a, s) - s : min(b, s + n) - s] = False
-            if ok.all():
-                free_item[p : p + n] = False
-                used.append((s, s + n))
-                tiles.append((s, p, n))
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if b - a >= least:
-                    by_length.setdefault(b - a, []).append((s + a, p + a))
+    width = _longest(a, b, least, len(item))
+    while width:
+        at, partner_hash = b.windows(width)
+        known, code = np.unique(partner_hash, return_inverse=True)
+        own, own_hash = a.windows(width)
+        slot = np.minimum(np.searchsorted(known, own_hash), len(known) - 1)
+        hit = known[slot] == own_hash
+        own, slot = own[hit], slot[hit]
+        own = own[np.argsort(slot, kind="stable")]
+        last = np.cumsum(np.bincount(slot, minlength=len(known)))
+        turn = last - np.bincount(slot, minlength=len(known))
+        with_some = turn[code] < last[code]
+        for p, c in zip(at[with_some].tolist(), code[with_some].tolist()):
+            while b.is_free(p, width) and turn[c] < last[c]:
+                s = int(own[turn[c]])
+                turn[c] += 1
+                if a.is_free(s, width) and np.array_equal(a.tokens[s : s + width], b.tokens[p : p + width]):
+                    a.free[s : s + width] = False
+                    b.free[p : p + width] = False
+                    tiles.append((int(a.place[s]), int(b.place[p]), width))
+        a.measure()
+        b.measure()
+        width = _longest(a, b, least, width - 1)
     return tiles
 
 
-def match_text(text: np.ndarray, index: SeedIndex, least: int = SEED_TOKENS) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """Items that share a seed with the text, with their tiles. ``text`` are token hashes."""
+def match_text(text: np.ndarray, index: SeedIndex, least: int = SEED_TOKENS, coverage: float = 0.0) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """Items that share a seed with the text, with their tiles. ``text`` are token hashes.
+
+    An item whose shared seeds reach less than ``coverage`` of its tokens cannot be covered so far by tiles
+    and is passed over. Each distinct seed is looked up once.
+    """
     rolled = ragged.window_hashes(text, least)
     at = np.flatnonzero(index.near[(rolled >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-    lo = np.searchsorted(index.seed, rolled[at], side="left")
-    hits = np.searchsorted(index.seed, rolled[at], side="right") - lo
+    seeds, code = np.unique(rolled[at], return_inverse=True)
+    lo = np.searchsorted(index.seed, seeds, side="left")
+    hits = np.searchsorted(index.seed, seeds, side="right") - lo
     if not hits.any():
         return
-    entry = ragged.gather(lo, hits)
-    starts = np.repeat(at, hits)
-    items = index.item[entry]
-    for k in np.unique(items):
-        own = items == k
-        yield int(k), tile(text, index.tokens[k], starts[own], index.position[entry[own]], least)
+    places = at[np.argsort(code, kind="stable")]
+    often = np.bincount(code, minlength=len(seeds))
+    first = np.cumsum(often) - often
+    entry, of = ragged.gather(lo, hits), np.repeat(np.arange(len(seeds)), hits)
+    order = np.lexsort((index.position[entry], index.item[entry]))
+    of, position, item = of[order], index.position[entry[order]], index.item[entry[order]]
+    begin = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    end = np.append(begin[1:], len(item))
+    reach = np.minimum(np.diff(position, append=0), least)
+    reach[end - 1] = least
+    for k, i, j, most in zip(item[begin].tolist(), begin.tolist(), end.tolist(), np.add.reduceat(reach, begin).tolist()):
+        if most >= coverage * len(index.tokens[k]):
+            own = np.unique(of[i:j])
+            starts = np.sort(places[ragged.gather(first[own], often[own])])
+            yield k, tile(text, index.tokens[k], starts, position[i:j], least)
 
 
 def _blocks(spark, items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
@@ -172,7 +238,7 @@ def find_leaks(
                     rolled = ragged.window_hashes(flat, least)
                     hit = np.flatnonzero(index.near[(rolled >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                     for i in np.unique(np.searchsorted(at, hit, side="right") - 1):
-                        for k, tiles in match_text(flat[at[i] : at[i + 1]], index, least):
+                        for k, tiles in match_text(flat[at[i] : at[i + 1]], index, least, coverage):
                             covered, size = sum(n for _, _, n in tiles), len(index.tokens[k])
                             if tiles and covered >= coverage * size:
                                 found.append((int(i), k, len(tiles), covered, size, [dict(at=a, item_at=b, n=n) for a, b, n in tiles]))

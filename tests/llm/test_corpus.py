@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -225,13 +226,34 @@ def test_tiles_cover_like_plain_tiling():
         flat, _ = decontamination.tokens(pa.array([words(text)]))
         found = dict(decontamination.match_text(flat, index))
         want = plain_tiles(text, item)
-        got = found.get(0, [])
-        assert sorted(n for _, _, n in got)[-1:] == sorted(n for _, _, n in want)[-1:]
-        for s, p, n in got:
-            assert text[s : s + n] == item[p : p + n]
-        marked = [q for _, p, n in got for q in range(p, p + n)]
-        assert len(marked) == len(set(marked))
-        assert sum(n for _, _, n in got) == sum(n for _, _, n in want)
+        assert found.get(0, []) == want
+
+
+def test_tiles_of_repeated_words_like_plain_tiling():
+    rng = random.Random(9)
+    for size in (1, 2, 3):
+        for _ in range(12):
+            item, text = ([rng.randrange(size) for _ in range(rng.randint(5, n))] for n in (30, 50))
+            flat = [decontamination.tokens(pa.array([" ".join(f"t{v}" for v in x)]))[0] for x in (item, text)]
+            index = decontamination.build_index([1], [" ".join(f"t{v}" for v in item)])
+            assert dict(decontamination.match_text(flat[1], index)).get(0, []) == plain_tiles(text, item)
+
+
+def test_tiling_needs_memory_linear_in_text_and_item():
+    index = decontamination.build_index([1], ["a " * 5000])
+    flat, _ = decontamination.tokens(pa.array(["a " * 300_000]))
+    tracemalloc.start()
+    found = list(decontamination.match_text(flat, index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(0, [(0, 0, 5000)])] and peak < 100 << 20  # all pairs would be 1.5 billion
+
+
+def test_items_of_too_little_reach_are_passed_over():
+    index = decontamination.build_index([1, 2], ["a b c d e f g h", "a b c d e " + "z " * 20])
+    flat, _ = decontamination.tokens(pa.array(["x a b c d e f g y"]))
+    assert [k for k, _ in decontamination.match_text(flat, index)] == [0, 1]
+    assert list(decontamination.match_text(flat, index, coverage=0.5)) == [(0, [(1, 0, 7)])]
 
 
 def test_leaks_are_found_and_clean_documents_left_alone(spark, make, monkeypatch):
