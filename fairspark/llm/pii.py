@@ -9,6 +9,14 @@ from fairspark.llm.tables import stored
 
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Señora"
 _MALE = "Mr|Herr|Monsieur|Señor"
+#: What may stand between a title and a name and tells no gender.
+_RANK = "Dr|Prof|Professor|Doktor|Ing|Sir|Dame"
+#: Small words that belong to a name and stay.
+_PARTICLE = "von|van|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|du|des|la|le|ten|ter|af|av|bin|ibn|al|el|y|e"
+_TITLE = rf"(?:{_FEMALE}|{_MALE})\.?(?: (?:{_FEMALE}|{_MALE}|{_RANK})\.?(?![\p{{L}}\p{{M}}'’\-]))*+ "
+#: A name up to its letter border, with inner capitals, hyphens and apostrophes, without a possessive s.
+_NAME = r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’\-]?[\p{L}\p{M}])+"
+_NAMED = rf"(?:(?:{_PARTICLE}) |\p{{Lu}}\. )*{_NAME}"
 #: What is personal data, by kind. Every pattern holds its own borders and no capturing group.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
@@ -20,7 +28,7 @@ KINDS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}+])\+(?=(?:[ .\-()]*[0-9]){8})[0-9]{1,3}[ .\-](?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-][0-9]{2,8}){1,4}(?![\p{L}\p{N}])"
     r"|(?<![\p{L}\p{N}+])0[1-9](?:[ .\-][0-9]{2}){4}(?![\p{L}\p{N}])",
-    "person": rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "person": rf"(?<!\p{{L}}){_TITLE}{_NAMED}(?: {_NAMED}){{0,2}}",
 }
 PATTERN = "|".join(KINDS.values())
 #: Texts without any of these hold no personal data; this cheap test comes first.
@@ -29,8 +37,10 @@ HINT = rf"[0-9@]|(?:{_FEMALE}|{_MALE})\.? "
 ALPHABETS = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _ONSETS, _VOWELS = "bdfgklmnprstvwz", "aeiou"
-#: Draws for one value before its form counts as used up.
-ATTEMPTS = 60
+#: Draws for one value before the numbers of its form count as used up.
+ATTEMPTS = 24
+#: Draws after which names and addresses grow by a syllable or letter.
+GROWTH = 3
 
 
 def _kind(value: Column) -> Column:
@@ -73,11 +83,21 @@ def _letters(value: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
 
-def _surrogate(kind: Column, identity: Column, key: str, attempt: Column) -> Column:
-    """Candidate identity of the same kind, from a keyed digest; another one for each attempt."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, identity, attempt.cast("string")), 512)
+def _bare(kind: Column, identity: Column) -> Column:
+    """An identity without the tag that tells the role of a name."""
+    return F.when(kind == "person", F.substring(identity, F.lit(3), F.length(identity))).otherwise(identity)
+
+
+def _surrogate(kind: Column, identity: Column, key: str, attempt: int) -> Column:
+    """Candidate identity of the same kind, from a keyed digest; another one for each attempt.
+
+    Names and addresses grow with the attempts, so they never run out.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, identity, F.lit(str(attempt))), 512)
+    grown = attempt // GROWTH
     ending = F.regexp_extract(identity, r"\.\p{L}{2,}$", 0)
-    address = F.concat(_letters(F.substring(identity, F.lit(1), F.length(identity) - F.length(ending)), digest), ending)
+    more = [_from(_LATIN, _draw(digest, F.lit(63 - k))) for k in range(grown)]
+    address = F.concat(*more, _letters(F.substring(identity, F.lit(1), F.length(identity) - F.length(ending)), digest), ending)
     country = F.substring_index(identity, "|", 1)
     number = F.concat(country, F.lit("|"), _letters(F.substring_index(identity, "|", -1), digest))
 
@@ -85,58 +105,77 @@ def _surrogate(kind: Column, identity: Column, key: str, attempt: Column) -> Col
         d, size = _draw(digest, 2 * i) * 256 + _draw(digest, 2 * i + 1), F.length(part)
         return F.when(size == 3, 100 + F.pmod(d, F.lit(156))).when(size == 2, 10 + F.pmod(d, F.lit(90))).otherwise(F.pmod(d, F.lit(10))).cast("string")
 
+    tag, bare = F.substring(identity, F.lit(1), F.lit(2)), _bare(kind, identity)
+    syllables = 2 + grown
+
     def name(part: Column, i: Column) -> Column:
-        syllable = lambda k: F.concat(_from(_ONSETS, _draw(digest, 6 * i + 2 * k)), _from(_VOWELS, _draw(digest, 6 * i + 2 * k + 1)))
-        stem = F.concat(syllable(F.lit(0)), syllable(F.lit(1)), _from(_ONSETS, _draw(digest, 6 * i + 4)))
-        drawn = _letters(part, digest)
-        other = part.rlike("|".join(rf"\p{{Is{s}}}" for s in ALPHABETS))
-        return F.when(other, drawn).otherwise(stem)
-
-    parts = F.transform(F.split(identity, r"\."), octet)
-    female, male = F.concat(name(F.substring(identity, F.lit(3), F.length(identity)), F.lit(0)), F.lit("a")), F.concat(name(F.substring(identity, F.lit(3), F.length(identity)), F.lit(0)), F.lit("o"))
-    last = F.concat(name(F.substring(identity, F.lit(3), F.length(identity)), F.lit(0)), _from(_VOWELS, _draw(digest, F.lit(7))), _from("nrst", _draw(digest, F.lit(8))))
-    tag = F.substring(identity, F.lit(1), F.lit(2))
-    spelled = F.when(tag == "f|", female).when(tag == "m|", male).otherwise(last)
+        at = (2 * syllables + 3) * i
+        stem = F.concat(*[_from((_ONSETS, _VOWELS)[k % 2], _draw(digest, at + k)) for k in range(2 * syllables + 1)])
+        family = F.concat(_from(_VOWELS, _draw(digest, at + 2 * syllables + 1)), _from("nrst", _draw(digest, at + 2 * syllables + 2)))
+        return F.concat(stem, F.when(tag == "f|", F.lit("a")).when(tag == "m|", F.lit("o")).otherwise(family))
+
+    other = bare.rlike("|".join(rf"\p{{Is{s}}}" for s in ALPHABETS))
+    longer = F.concat(bare, F.repeat(F.substring(bare, -1, 1), F.lit(grown)))
+    spelled = F.when(other, _letters(longer, digest)).otherwise(F.array_join(F.transform(F.split(bare, "-"), name), "-"))
     hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.length(identity) - 1), lambda i: _from("0123456789abcdef", _draw(digest, i))), "")
     return (
         F.when(kind == "email", address)
         .when(kind == "secret", hexed)
-        .when(kind == "ip", F.array_join(parts, "."))
+        .when(kind == "ip", F.array_join(F.transform(F.split(identity, r"\."), octet), "."))
         .when(kind == "phone", number)
         .when(kind.isin("card", "ssn"), _letters(identity, digest))
         .otherwise(F.concat(tag, spelled))
     )
 
 
-def surrogates(values: DataFrame, key: str) -> DataFrame:
-    """``kind, identity, surrogate`` for distinct ``kind, identity``: keyed, distinct and never a value that occurs.
+def _swapped(values: DataFrame, open_values: DataFrame, key: str) -> DataFrame:
+    """Surrogates for values whose form has no free number left: each takes the next one of its form, in keyed order."""
+    form = F.regexp_replace("identity", "[0-9]", "0")
+    ends = values.groupBy("kind", form.alias("form")).agg(F.min("identity").alias("low"), F.max("identity").alias("high"))
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("identity")), 256)
+    order = Window.partitionBy("kind", "form").orderBy("digest", "identity")
+    chain = open_values.withColumn("form", form).withColumn("digest", digest)
+    first = F.first("identity").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chain = chain.withColumn("next", F.coalesce(F.lead("identity").over(order), first)).join(ends, ["kind", "form"])
+    lone = F.when(F.col("low") != F.col("identity"), F.col("low")).otherwise(F.col("high"))
+    return chain.select("kind", "identity", F.when(F.col("next") != F.col("identity"), F.col("next")).otherwise(lone).alias("surrogate"))
+
+
+def surrogates(values: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
+    """``kind, identity, surrogate`` for distinct ``kind, identity``: keyed, distinct and no value that occurs.
 
     All values draw a candidate. Where candidates collide with each other, with one accepted earlier or
-    with an original, all but the first value draw again, until none collides. Each round works on the
-    values that still collide.
+    with an original, all but the first value draw again, until none collides; later rounds draw and
+    group only what still collides and look it up among the others. Names and addresses grow
+    by a syllable or letter every few rounds. Numbers keep their length: where after ``attempts`` rounds a
+    form has no free number left to find, its remaining values are dealt among themselves, distinct and
+    none to itself, so that such a surrogate is another value's original.
     """
     open_values = values
     accepted = None
-    for attempt in range(ATTEMPTS):
-        drawn = open_values.withColumn("surrogate", _surrogate(F.col("kind"), F.col("identity"), key, F.lit(attempt)))
-        taken = values.select("kind", F.col("identity").alias("surrogate"))
+    for attempt in range(attempts):
+        drawn = open_values.withColumn("surrogate", _surrogate(F.col("kind"), F.col("identity"), key, attempt))
+        drawn = stored(drawn.withColumn("form", _bare(F.col("kind"), F.col("surrogate"))), "drawn")
+        taken = values.select("kind", _bare(F.col("kind"), F.col("identity")).alias("form"))
         if accepted is not None:
-            taken = taken.unionByName(accepted.select("kind", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("identity").alias("first")).join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
-        drawn = stored(drawn.join(first, ["kind", "surrogate"]).withColumn("ok", F.col("taken").isNull() & (F.col("identity") == F.col("first"))), "drawn")
-        fine = drawn.where("ok").select("kind", "identity", "surrogate")
+            taken = taken.unionByName(accepted.select("kind", _bare(F.col("kind"), F.col("surrogate")).alias("form")))
+        hit = taken.join(drawn.select("kind", "form"), ["kind", "form"], "left_semi").distinct().withColumn("taken", F.lit(True))
+        first = drawn.groupBy("kind", "form").agg(F.min("identity").alias("first")).join(hit, ["kind", "form"], "left")
+        told = drawn.join(first, ["kind", "form"]).withColumn("ok", F.col("taken").isNull() & (F.col("identity") == F.col("first")))
+        told = stored(told.select("kind", "identity", "surrogate", "ok"), "told")
+        fine = told.where("ok").select("kind", "identity", "surrogate")
         accepted = fine if accepted is None else accepted.unionByName(fine)
-        open_values = drawn.where("not ok").select("kind", "identity")
+        open_values = told.where("not ok").select("kind", "identity")
         if open_values.isEmpty():
             return accepted
-    raise ValueError("the forms of some values leave too few surrogates")
+    return accepted.unionByName(_swapped(values, open_values, key))
 
 
 def _case(value: Column, lowered: Column) -> Column:
     """Letter case of the original: all capitals, a capital first, or as drawn."""
     return (
         F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(lowered))
-        .when(F.substring(value, 1, 1) != F.lower(F.substring(value, 1, 1)), F.initcap(lowered))
+        .when(F.substring(value, 1, 1) != F.lower(F.substring(value, 1, 1)), F.array_join(F.transform(F.split(lowered, "-"), F.initcap), "-"))
         .otherwise(lowered)
     )
 
@@ -161,11 +200,13 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All rows with personal data in ``text_col`` replaced, and what was replaced.
 
     Kinds: e-mail addresses, hexadecimal secrets, IPv4 addresses, card, social security and phone numbers,
-    and persons after a title. A surrogate is drawn from a digest under ``key``: the same value gets the
-    same one everywhere, whatever its letter case or separators (first and last names on their own, so
-    "Mr. A B" and "Mr. B" stay together); different values get different ones, which are no original
-    either. Kind, script, length, separators, country code, domain ending, letter case and the gender of
-    the title are kept.
+    and persons after a title: one to three names, each up to its letter border, with further titles, initials
+    and particles, which stay. A surrogate is drawn from a digest under ``key``: the same value gets the same
+    one everywhere, whatever its letter case or separators (each name on its own, so "Mr. A B" and "Mr. B"
+    stay together whatever capitalised word follows); different values get different ones, which are no
+    original either. Kind, script, length of numbers, separators, hyphens, country code, domain ending, letter
+    case and, for given names, the gender of the title are kept. A name counts as given if in most of its
+    mentions another follows, else (ties too) as a family name.
 
     Mentions are split off each text once and only they are shuffled to meet their surrogates; a value
     that fills a large share of all mentions is left to the skew handling of the join. Rows with mentions
@@ -183,24 +224,34 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     with_some = rows.where(F.size("mentions") > 0)
     each = with_some.select("row", F.posexplode("mentions").alias("at", "value")).withColumn("kind", _kind(F.col("value")))
-    # A person is a title and one or two names; each name is a value of its own.
-    names = F.split(F.regexp_extract("value", rf"^(?:{_FEMALE}|{_MALE})\.? (.*)$", 1), " ")
-    gender = F.when(F.col("value").rlike(rf"^(?:{_FEMALE})\.? "), F.lit("f|")).otherwise(F.lit("m|"))
-    tagged = F.transform(names, lambda n, i: F.struct(n.alias("part"), F.when((F.size(names) == 2) & (i == 0), gender).otherwise(F.lit("l|")).alias("tag")))
-    single = F.array(F.struct(F.col("value").alias("part"), F.lit("").alias("tag")))
-    parts = each.select("row", "at", "kind", "value", F.posexplode(F.when(F.col("kind") == "person", tagged).otherwise(single)).alias("k", "p"))
-    identity = F.concat("p.tag", _identity(F.col("kind"), F.col("p.part")))
-    parts = stored(parts.select("row", "at", "k", "kind", "value", F.col("p.part").alias("part"), identity.alias("identity")), "parts")
-    chosen = surrogates(parts.select("kind", "identity").distinct(), key)
-
-    joined = parts.join(chosen, ["kind", "identity"]).withColumn("new", _rendered(F.col("kind"), F.col("part"), F.col("surrogate")))
-    title = F.regexp_extract("value", rf"^(?:{_FEMALE}|{_MALE})\.? ", 0)
-    whole = joined.select("row", "at", "k", "kind", "new", F.when((F.col("kind") == "person") & (F.col("k") == 0), title).otherwise(F.lit("")).alias("title"))
-    lists = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "k", "title", "new", "kind"))).alias("list"))
+    # A person is titles and names; each name is a value of its own, what stands before it is kept.
+    is_person = F.col("kind") == "person"
+    title = F.regexp_extract("value", f"^{_TITLE}", 0)
+    after = F.substring(F.col("value"), F.length(title) + 1, F.length("value"))
+    names, gaps = F.regexp_extract_all(after, F.lit(_NAME), F.lit(0)), F.split(after, _NAME, -1)
+    given = lambda i: (i < F.size(names) - 1).cast("int")
+    named = F.transform(
+        names, lambda n, i: F.struct(F.concat(F.when(i == 0, title).otherwise(F.lit("")), F.element_at(gaps, i + 1)).alias("before"), n.alias("part"), given(i).alias("given"))
+    )
+    single = F.array(F.struct(F.lit("").alias("before"), F.col("value").alias("part"), F.lit(0).alias("given")))
+    gender = F.when(~is_person, F.lit("")).when(F.col("value").rlike(rf"^(?:{_FEMALE})\.? "), F.lit("f|")).otherwise(F.lit("m|"))
+    parts = each.select("row", "at", "kind", gender.alias("gender"), F.posexplode(F.when(is_person, named).otherwise(single)).alias("k", "p"))
+    parts = parts.select("row", "at", "k", "kind", "gender", "p.before", "p.part", "p.given", _identity(F.col("kind"), F.col("p.part")).alias("name"))
+    parts = stored(parts, "parts")
+
+    # A name that stands before another one in most of its mentions is a given name everywhere, else a family name.
+    uses = parts.select("kind", "name", "gender").distinct()
+    roles = parts.where(is_person).groupBy("kind", "name").agg((2 * F.sum("given") > F.count("*")).alias("is_given"))
+    tag = F.when(~is_person, F.lit("")).when(F.col("is_given"), F.col("gender")).otherwise(F.lit("l|"))
+    uses = uses.join(roles, ["kind", "name"], "left").select("kind", "name", "gender", F.concat(tag, "name").alias("identity"))
+    uses = stored(uses, "uses")
+    chosen = uses.join(surrogates(uses.select("kind", "identity").distinct(), key), ["kind", "identity"]).drop("identity")
+
+    joined = parts.join(chosen, ["kind", "name", "gender"]).withColumn("new", F.concat("before", _rendered(F.col("kind"), F.col("part"), F.col("surrogate"))))
+    lists = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "k", "new", "kind"))).alias("list"))
     # Names of one person come back together, then each text is put together from what lies between mentions.
-    joiner = lambda x: F.when(x["k"] > 0, F.concat(F.lit(" "), x["new"])).otherwise(F.concat(x["title"], x["new"]))
     heads = F.filter("list", lambda x: x["k"] == 0)
-    per_mention = F.transform(heads, lambda h: F.array_join(F.transform(F.filter("list", lambda x: x["at"] == h["at"]), joiner), ""))
+    per_mention = F.transform(heads, lambda h: F.array_join(F.transform(F.filter("list", lambda x: x["at"] == h["at"]), lambda x: x["new"]), ""))
     lists = lists.select("row", per_mention.alias("new"), F.transform(heads, lambda h: h["kind"]).alias("found"))
     between = F.split(text, PATTERN, -1)
     pieces = F.transform(F.arrays_zip(between.alias("old"), F.col("new").alias("new")), lambda x: F.concat(x["old"], F.coalesce(x["new"], F.lit(""))))

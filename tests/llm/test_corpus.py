@@ -330,10 +330,74 @@ def test_collisions_are_drawn_again(spark):
     assert not {(r["kind"], r["surrogate"]) for r in rows} & originals
 
 
-def test_used_up_forms_are_told(spark):
-    values = spark.createDataFrame([("ssn", str(k)) for k in range(10)], "kind string, identity string")
-    with pytest.raises(ValueError, match="too few surrogates"):
-        pii.surrogates(values, "k")
+def test_numbers_of_a_used_up_form_are_dealt_among_themselves(spark):
+    values = spark.createDataFrame([("ssn", str(k)) for k in range(10)] + [("card", str(k)) for k in range(8)], "kind string, identity string")
+    rows = pii.surrogates(values, "k", attempts=4).collect()
+    assert len(rows) == 18 == len({(r["kind"], r["surrogate"]) for r in rows})
+    assert all(r["surrogate"] != r["identity"] and re.fullmatch("[0-9]", r["surrogate"]) for r in rows)
+
+
+def test_names_and_addresses_grow_when_their_forms_run_short(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_ONSETS", "bd")  # 32 stems of two syllables
+    monkeypatch.setattr(pii, "_VOWELS", "ai")
+    values = [("person", f"f|x{k}") for k in range(200)] + [("email", f"{c}@-.org") for c in "abcdefghijklmnopqrstuvwxyz0123456789%"]
+    rows = pii.surrogates(spark.createDataFrame(values, "kind string, identity string"), "k").collect()
+    new = {(r["kind"], r["surrogate"]) for r in rows}
+    assert len(rows) == len(values) == len(new) and not new & set(values)
+    assert all(re.fullmatch(r"f\|([bd][ai])+[bd]a", n) if k == "person" else re.fullmatch(r"[a-z0-9%]+@-\.org", n) for k, n in new)
+
+
+def test_whole_names_are_replaced_and_stay_one_person(make):
+    texts = [
+        "Mr McDonald and Mr McDonald's car", "Mrs. Müller-Lüdenscheid", "Mr. Jean-Luc Picard", "Ms O'Brien", "Herr Dr. Schmidt", "Frau Prof. Dr. Schmidt",
+        "Mr Smith Went", "Mr Smith stayed", "Frau Anna von Berg", "Mr John F. Kennedy", "Mr Drake", "Mr Dr", "Mrs Ada Lee, Mrs Ada Lee, Mrs Ada",
+        "Mr Mr Smith", "Herr PETER SCHMIDT",
+    ]
+    new, found = replaced(make, texts)
+    shape = {
+        0: r"Mr (\w+) and Mr \1's car", 1: r"Mrs\. [A-Z][a-z]+-[A-Z][a-z]+", 2: r"Mr\. [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+", 3: r"Ms [A-Z][a-z]+",
+        4: r"Herr Dr\. [A-Z][a-z]+", 5: r"Frau Prof\. Dr\. [A-Z][a-z]+", 6: r"Mr \w+ \w+", 7: r"Mr \w+ stayed", 8: r"Frau \w+ von \w+",
+        9: r"Mr \w+ F\. \w+", 10: r"Mr \w+", 11: "Mr Dr", 12: r"Mrs (\w+a) (\w+), Mrs \1 \2, Mrs \1", 13: r"Mr Mr \w+", 14: r"Herr [A-Z]+ [A-Z]+",
+    }
+    for i, pattern in shape.items():
+        assert re.fullmatch(pattern, new[i]), new[i]
+        assert len(found[i]) == {0: 2, 11: 0, 12: 3}.get(i, 1)
+    originals = set(re.findall(r"[A-Z][\w'-]{3,}", " ".join(texts).replace("'s", ""))) - {"Frau", "Herr", "Prof"}
+    assert not originals & set(re.findall(r"[\w'-]+", " ".join(new.values())))
+    last = lambda i: new[i].split()[-1]
+    assert new[6].split()[1] == new[7].split()[1] == last(13) and last(4) == last(5) == last(14).capitalize()
+
+
+def test_found_entities_equal_a_plain_finder(make):
+    """Finding in plain code, word by word, and one surrogate per value over all texts."""
+    rng = random.Random(4)
+    names = ["Smith", "Berg", "O'Hara", "McCoy", "Jean-Luc", "Lee"]
+    texts, want = [], []
+    for _ in range(60):
+        words, own = [], []
+        for _ in range(6):
+            words.append(rng.choice(["went", "and", "home,"]))
+            if rng.random() < 0.6:
+                title, some = rng.choice(["Mr", "Mrs.", "Herr Dr."]), rng.choices(names, k=rng.randint(1, 3))
+                words += [title, *some, "then"]
+                own.append((title, some))
+        texts.append(" ".join(words))
+        want.append(own)
+    new, found = replaced(make, texts)
+    seen = defaultdict(set)
+    for i, own in enumerate(want):
+        assert found[i] == ["person"] * len(own)
+        old_words, new_words = texts[i].split(), new[i].split()
+        assert len(old_words) == len(new_words)
+        at = [j for j, w in enumerate(old_words) if w in names]
+        assert [old_words[j] for j in at] == [n for _, some in own for n in some]
+        assert [w for j, w in enumerate(old_words) if j not in at] == [w for j, w in enumerate(new_words) if j not in at]
+        for j in at:
+            seen[old_words[j]].add(new_words[j])
+    # A given name has one surrogate per gender, a family name one.
+    assert all(1 <= len(v) <= 2 for v in seen.values())
+    every = [v for values in seen.values() for v in values]
+    assert len(every) == len(set(every)) and not set(every) & set(names)
 
 
 def test_plain_texts_stay(make, odd):
