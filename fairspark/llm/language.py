@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.llm import ragged
+from fairspark.llm.tables import stored
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)  # n-gram lengths, tried in this order
 #: Rows per language that the model is fitted on, chosen by hash; rarer languages keep all their rows.
 FIT_ROWS = 5_000
-#: Entries of the fitted tables. Less frequent words and n-grams back off like unseen ones.
+#: Entries of the fitted tables, parameters of the fit. Less frequent words and n-grams back off like unseen ones.
 MOST_WORDS = 100_000
-MOST_GRAMS = 50_000
+MOST_GRAMS = 50_000  # of each length
 SMOOTHING = 0.5
 
 
@@ -91,12 +92,23 @@ def _words(column: pa.Array) -> ragged.Pieces:
     return ragged.words(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: Column | None = None, fit_rows: int = FIT_ROWS) -> LanguageModel:
+def fit(
+    docs: DataFrame,
+    lang_col: str = "lang",
+    text_col: str = "text",
+    order: Column | None = None,
+    fit_rows: int = FIT_ROWS,
+    most_words: int = MOST_WORDS,
+    most_grams: int = MOST_GRAMS,
+) -> LanguageModel:
     """Log frequencies of words and n-grams from about ``fit_rows`` rows of each language.
 
     Rows are taken where a hash of ``order`` falls below the language's share, so the sample is the
-    same in every run. Words and n-grams are counted on the executors; the driver receives the
-    ``MOST_WORDS`` and ``MOST_GRAMS`` most frequent ones, a bounded table.
+    same in every run. Words and n-grams are counted on the executors and written; the driver receives the
+    ``most_words`` most frequent words and ``most_grams`` n-grams of each length, a bounded table.
+
+    Rows without a language or text teach nothing, empty texts only that their language occurs; repeated
+    rows count each. Ties at the bounds go to the smaller hash. An empty table gives an empty model.
     """
     draw = F.pmod(F.xxhash64(order if order is not None else F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -134,17 +146,16 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order:
 
     counted = sample.mapInArrow(count, "lang string, level int, gram bigint, n bigint").groupBy("level", "gram").pivot("lang", languages).agg(F.sum("n"))
     counted = counted.na.fill(0).withColumn("total", sum((F.col(f"`{k}`") for k in languages), F.lit(0)))
-    counted = counted.where(F.col("total") >= 2).persist()
+    counted = stored(counted, "counts")
     hashes, scores = {}, {}
     for level in (0, *ORDERS):
-        most = MOST_GRAMS if level else MOST_WORDS
+        most = most_grams if level else most_words
         top = counted.where(F.col("level") == level).orderBy(F.desc("total"), "gram").limit(most).toPandas()
         keys = top["gram"].to_numpy().astype(np.int64).view(np.uint64)
         by = np.argsort(keys)
         n = top[languages].to_numpy().astype(np.float64)[by].reshape(len(keys), len(languages))
         hashes[level] = keys[by]
         scores[level] = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * (len(keys) + 1))) if len(keys) else n
-    counted.unpersist()
     return LanguageModel(languages, hashes, scores)
 
 

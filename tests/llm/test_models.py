@@ -104,6 +104,14 @@ def test_word_scores_back_off(spark, make):
     assert any(math.isclose(unseen[de], v, rel_tol=1e-12) for v in model.scores[5][:, de])
 
 
+def test_bounds_of_the_language_tables(make):
+    docs = make([(i, f"der hund {w}", "de", "s") for i, w in enumerate(["eins", "zwei", "drei"])])
+    whole, cut = language.fit(docs), language.fit(docs, most_words=2, most_grams=3)
+    assert len(whole.hashes[0]) == 5 and len(cut.hashes[0]) == 2  # words that occur once are kept too
+    assert all(len(cut.hashes[n]) == 3 < len(whole.hashes[n]) for n in language.ORDERS)
+    assert set(cut.hashes[0]) <= set(whole.hashes[0])
+
+
 def test_language_odd_rows(odd, make):
     model = language.fit(odd)
     rows = language.predict(odd, model).collect()
