@@ -250,6 +250,41 @@ def hash_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+#: Hexadecimal digits of :func:`hash_key`.
+HASH_DIGITS = 32
+
+
+def _same_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
+    """Null-safe equality of the key columns of two aliased tables."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
+
+
+def _edge_buckets(sizes: DataFrame, keys: Sequence[str], limit: Column) -> tuple[DataFrame, DataFrame]:
+    """Bucket sizes with running totals, and per key the bucket in which the limit falls and the rows left to take there."""
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = (
+        sizes.withColumn("n", F.sum("__cnt").over(whole))
+        .withColumn("__cum", F.sum("__cnt").over(upto))
+        .withColumn("__limit", limit)
+    )
+    room = F.col("__limit") - (F.col("__cum") - F.col("__cnt"))
+    return filled, filled.where((room > 0) & (room <= F.col("__cnt"))).select(*keys, "__bucket", "__cnt", room.alias("__room"))
+
+
+def _in_buckets(slim: DataFrame, edges: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
+    """Rows of the keys' edge buckets, whatever the length of a bucket's prefix."""
+    lead = F.substring("__bucket", 1, digits).alias("__edge_lead")
+    found = slim.alias("l").join(
+        pinned(edges.select(*keys, "__bucket", "__room", lead)).alias("r"),
+        _same_keys(keys) & (F.col("l.__lead") == F.col("r.__edge_lead")) & F.col("l.__hash").startswith(F.col("r.__bucket")),
+    )
+    return found.select("l.*", "r.__room")
+
+
 def hash_cuts(
     rows: DataFrame,
     keys: Sequence[str],
@@ -257,40 +292,67 @@ def hash_cuts(
     id_col: str,
     limit: Column,
     carry: Sequence[str] = (),
-    bucket_digits: int = 4,
+    rows_per_bucket: int = ROWS_PER_BLOCK,
+    digits: int = 4,
 ) -> DataFrame:
     """Per key the (hash, id) of the ``limit``-th smallest row, as ``cut_hash, cut_id``.
 
-    Hash prefixes are uniform buckets of the order. Bucket counts (combined on the
-    map side) tell which bucket holds the limit, and only the rows of that bucket
-    are ranked: a key is never sorted as a whole. ``limit`` may use ``n``, the row
-    count of the key, and the ``carry`` columns, which are constant per key.
-    ``take_all`` tells keys whose limit covers every row.
+    Radix selection on a hexadecimal hash. The input is evaluated once, into a written
+    copy of key, hash and id. Counts per prefix of ``digits`` digits (combined on the map
+    side) tell the bucket that holds the limit; while that bucket of some key has more
+    than ``rows_per_bucket`` rows, its rows alone are counted by ``digits`` more. Only the
+    last bucket is ranked, repeated (hash, id) as one row, so a key is never sorted as a
+    whole at any input size, and an id that holds a third of the rows is one row too.
+    ``limit`` may use ``n``, the row count of the key, and the ``carry`` columns, which are
+    constant per key. ``take_all`` tells keys whose limit covers every row. A null key is
+    a key of its own; null ids come first among equal hashes.
     """
-    part = [*keys, "__bucket"]
-    bucketed = rows.withColumn("__bucket", F.substring(hash_col, 1, bucket_digits))
-    sizes = bucketed.groupBy(*part).agg(F.count("*").alias("__cnt"), *[F.max(c).alias(c) for c in carry])
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    filled = (
-        sizes.withColumn("n", F.sum("__cnt").over(whole))
-        .withColumn("__cum", F.sum("__cnt").over(upto))
-        .withColumn("__limit", limit)
-    )
-    room = F.col("__limit") - (F.col("__cum") - F.col("__cnt"))
-    edge = filled.where((room > 0) & (room <= F.col("__cnt"))).select(*part, room.alias("__room"))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(hash_col, id_col))
-    ranked = bucketed.join(pinned(edge), part).withColumn("__rank", rank)
-    cuts = ranked.where(F.col("__rank") == F.col("__room")).select(
-        *keys, F.col(hash_col).alias("cut_hash"), F.col(id_col).alias("cut_id")
+    slim = materialise(
+        rows.select(
+            *keys,
+            *carry,
+            F.col(hash_col).alias("__hash"),
+            F.col(id_col).alias("__id"),
+            F.substring(hash_col, 1, digits).alias("__lead"),
+        )
     )
+    counted = F.count("*").alias("__cnt")
+    sizes = slim.groupBy(*keys, F.col("__lead").alias("__bucket")).agg(counted, *[F.max(c).alias(c) for c in carry])
+    filled, edges = _edge_buckets(materialise(sizes), keys, limit)
     limits = filled.groupBy(*keys).agg((F.max("__limit") >= F.max("n")).alias("take_all"))
-    return limits.join(cuts, list(keys), "left")
+
+    settled, length = None, digits
+    while True:
+        edges = materialise(edges)
+        large = edges.where(F.col("__cnt") > rows_per_bucket)
+        if length >= HASH_DIGITS or large.isEmpty():
+            settled = edges if settled is None else settled.unionByName(edges)
+            break
+        small = edges.where(F.col("__cnt") <= rows_per_bucket)
+        settled = small if settled is None else settled.unionByName(small)
+        length += digits
+        finer = (
+            _in_buckets(slim, large, keys, digits)
+            .groupBy(*keys, F.substring("__hash", 1, length).alias("__bucket"))
+            .agg(counted, F.max("__room").alias("__want"))
+        )
+        edges = _edge_buckets(finer, keys, F.col("__want"))[1]
+
+    distinct = _in_buckets(slim, settled, keys, digits).groupBy(*keys, "__hash", "__id").agg(counted, F.max("__room").alias("__room"))
+    upto = Window.partitionBy(*keys).orderBy("__hash", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.withColumn("__cum", F.sum("__cnt").over(upto))
+    at_cut = (F.col("__cum") >= F.col("__room")) & (F.col("__cum") - F.col("__cnt") < F.col("__room"))
+    cuts = ranked.where(at_cut).select(*keys, F.col("__hash").alias("cut_hash"), F.col("__id").alias("cut_id"))
+    return (
+        limits.alias("l")
+        .join(cuts.alias("r"), _same_keys(keys), "left")
+        .select(*[f"l.{k}" for k in keys], "take_all", "cut_hash", "cut_id")
+    )
 
 
 def within_cut(hash_col: Column, id_col: Column) -> Column:
     """Whether a row comes at or before its key's cut."""
-    before = (hash_col < F.col("cut_hash")) | ((hash_col == F.col("cut_hash")) & (id_col <= F.col("cut_id")))
+    before = (hash_col < F.col("cut_hash")) | ((hash_col == F.col("cut_hash")) & (id_col.isNull() | (id_col <= F.col("cut_id"))))
     return F.coalesce(F.col("take_all") | before, F.lit(False))
 
 
@@ -302,15 +364,18 @@ def first_by_hash(
     limit: Column,
     flag: str = "chosen",
     carry: Sequence[str] = (),
-    bucket_digits: int = 4,
+    rows_per_bucket: int = ROWS_PER_BLOCK,
+    digits: int = 4,
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the smallest (hash, id).
 
-    The cut table has one row per key and joins back without moving the rows.
+    The cut table has one row per key and joins back without moving the rows, which are
+    read once by the returned plan. Rows that repeat the cut's (hash, id) are all flagged.
     """
-    cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, bucket_digits)
-    joined = rows.join(pinned(cuts), list(keys))
-    return joined.withColumn(flag, within_cut(F.col(hash_col), F.col(id_col))).drop("cut_hash", "cut_id", "take_all")
+    cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, rows_per_bucket, digits)
+    joined = rows.alias("l").join(pinned(cuts).alias("r"), _same_keys(keys))
+    marked = joined.select("l.*", "take_all", "cut_hash", "cut_id")
+    return marked.withColumn(flag, within_cut(F.col(hash_col), F.col(id_col))).drop("cut_hash", "cut_id", "take_all")
 
 
 def string_index(values: DataFrame, column: str, alias: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:

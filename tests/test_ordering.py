@@ -91,3 +91,36 @@ def test_string_index_with_a_shared_prefix_and_an_outlier(spark):
     got = o.string_index(spark.createDataFrame([(n,) for n in names], "name string"), "name", "place", rows_per_block=7).collect()
     ranked = sorted(names, key=lambda n: n.encode())
     assert {r["name"]: r["place"] for r in got} == {n: i + 1 for i, n in enumerate(ranked)}
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_selection_refines_large_buckets(spark, digits):
+    """One-digit buckets of about 250 rows against 3 rows a bucket: two refinements or more, the cut stays exact."""
+    got = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise("cold").alias("k"), "id"
+    )
+    rows = got.withColumn("h", o.hash_key(F.col("id"), F.lit(7)))
+    out = o.first_by_hash(rows, ["k"], "h", "id", F.floor(F.col("n") / 4), rows_per_bucket=3, digits=digits)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 4000") == 1
+    pdf = out.toPandas()
+    assert len(pdf) == 4000
+    for _, part in pdf.groupby(pdf["k"].fillna("none")):
+        want = set(part.sort_values("h")["id"].head(len(part) // 4))
+        assert set(part[part["chosen"]]["id"]) == want
+
+
+def test_selection_with_one_id_for_most_rows(spark):
+    """Repeats of the cut's id are taken together; without a hash in common nothing else is."""
+    rows = spark.range(900).select(F.lit("a").alias("k"), F.when(F.col("id") < 600, F.lit(None)).otherwise(F.col("id")).alias("id"))
+    rows = rows.withColumn("h", o.hash_key(F.col("id"), F.lit(1)))
+    out = o.first_by_hash(rows, ["k"], "h", "id", F.lit(300), rows_per_bucket=10).toPandas()
+    blank = out[out["id"].isna()]
+    smaller = (out[out["id"].notna()]["h"] < blank["h"].iloc[0]).sum()
+    assert blank["chosen"].all() if smaller < 300 else not blank["chosen"].any()
+    assert out["chosen"].sum() == (600 + smaller if smaller < 300 else 300)
+
+
+def test_selection_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "k string, id long, h string")
+    assert o.first_by_hash(rows, ["k"], "h", "id", F.lit(3)).count() == 0
