@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairspark.functions.ordering import pinned
 from fairspark.llm import ragged
 from fairspark.llm.tables import stored
 from fairspark.session import scratch_path
@@ -33,6 +34,8 @@ SCALE = 1_000_000
 COPIES = 8
 #: Shares of a language that are cut to the first ``top`` before they meet.
 SHARES = 64
+#: Bands of the score per doubling.
+BANDS = 16
 
 #: A-Z lower-cased, piece separators as line feeds, blanks as spaces.
 _FOLD = ragged.LOWER.copy()
@@ -457,7 +460,13 @@ def collocations(
     scored = cut.groupBy("lang", "phrase", "a", "left_f", "right_f").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     scored = scored.select("lang", "phrase", "a", "best.l", "best.r", "best.score", "left_f", "right_f")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # The first of a language are among the first of each of its shares, so no task sorts a whole language.
+    # Bands of the score are counted first: what has ``top`` better candidates in higher bands goes where it lies. Ties may
+    # fill a band, but the first of a language are among the first of each of its shares, so no task sorts a whole language.
+    scored = stored(scored.withColumn("band", F.floor(F.log2(F.col("score") + 1) * BANDS)), "scored")
+    higher = Window.partitionBy("lang").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = scored.groupBy("lang", "band").agg(F.count("*").alias("size")).withColumn("better", F.coalesce(F.sum("size").over(higher), F.lit(0)))
+    reach = bands.where(F.col("better") < top).groupBy("lang").agg(F.min("band").alias("reach"))
+    scored = scored.join(pinned(reach), "lang").where(F.col("band") >= F.col("reach"))
     scored = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
     scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= top)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)

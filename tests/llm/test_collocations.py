@@ -105,3 +105,10 @@ def test_odd_rows_and_long_pieces(odd, make):
 def test_ties_in_score_and_cut(make):
     rows = [(i, "a b c. d e f. f e d.", "en", "web") for i in range(10)]
     assert found(co.collocations(make(rows))) == plain(rows)
+
+
+def test_few_places_cut_by_score_bands(make):
+    """Ties over the cut, bands of one candidate and languages with fewer candidates than places."""
+    rows = texts(5, 200) + [(1000 + i, "p q. r s. t u", "fr", "web") for i in range(10)]
+    for top in (1, 2, 7):
+        assert found(co.collocations(make(rows), least=4, top=top)) == plain(rows, least=4, top=top)
