@@ -70,19 +70,22 @@ def latest(rows: DataFrame, order_col: str, n: int = 5) -> DataFrame:
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    """Totals by severity, by feature and overall (grouping sets)."""
-    return (
-        alerts.groupingSets([["severity"], ["feature"], []], "severity", "feature")
-        .agg(
-            F.count("*").alias("cnt"),
-            F.grouping_id("severity", "feature").alias("level"),
-        )
-        .select(
-            F.when(F.col("level") == 1, "by_severity").when(F.col("level") == 2, "by_feature").otherwise("total").alias("section"),
-            F.coalesce("severity", "feature", F.lit("all")).alias("name"),
-            "cnt",
-        )
+    """Totals by severity, by feature and overall.
+
+    The overall row is an aggregate of its own: it stands with 0 where there are no alerts, which
+    Spark's empty grouping set does not give.
+    """
+    cells = alerts.groupBy("severity", "feature").agg(F.count("*").alias("n"))
+    parts = cells.groupingSets([["severity"], ["feature"]], "severity", "feature").agg(
+        F.sum("n").alias("cnt"), F.grouping("severity").alias("by_feature")
     )
+    named = parts.select(
+        F.when(F.col("by_feature") == 1, "by_feature").otherwise("by_severity").alias("section"),
+        F.coalesce("severity", "feature", F.lit("all")).alias("name"),
+        "cnt",
+    )
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cnt"))
+    return named.unionByName(total.select(F.lit("total").alias("section"), F.lit("all").alias("name"), "cnt"))
 
 
 def query_records(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairspark.functions import special
-from fairspark.operators import causal, drift, fairness, graph, mitigation
+from fairspark.operators import alerts, causal, drift, fairness, graph, mitigation
 from fairspark.streaming import detectors, microbatch
 
 
@@ -148,3 +148,10 @@ def test_exact_tail_for_short_samples_only(spark):
     assert got["a"]["p_method"] == "exact" and got["a"]["p_value"] == pytest.approx(special.lattice_tail(8, 5, d))
     assert got["only"]["p_value"] is None and got["only"]["p_method"] is None
     assert {r["p_method"] for r in drift.ks_test(df, exact_rows=6).collect()} == {"asymptotic", None}
+
+
+def test_alert_summary_has_a_total_without_alerts(spark):
+    some = spark.createDataFrame([("low", "a"), ("low", "b"), ("high", "a"), ("low", "a")], "severity string, feature string")
+    found = lambda df: {tuple(r) for r in alerts.alert_summary(df).collect()}
+    assert found(some) == {("by_severity", "low", 3), ("by_severity", "high", 1), ("by_feature", "a", 3), ("by_feature", "b", 1), ("total", "all", 4)}
+    assert found(some.where("false")) == {("total", "all", 0)}
