@@ -22,6 +22,8 @@ PRIME = 2**31 - 1
 BINS = 30
 #: Cuts that one pass holds in its tasks.
 MOST_CUTS = 5_000_000
+#: Rows of which a task holds the keys of all permutations at once.
+ROWS_PER_MATRIX = 2_000
 
 
 def coefficients(n_perm: int, seed: int) -> np.ndarray:
@@ -68,9 +70,11 @@ def _histograms(coef: np.ndarray, windows: dict):
         acc: dict = {}
         for pdf in batches:
             for g, part in pdf.groupby("grp"):
-                flat = (_bins(key_matrix(part["id"].to_numpy(), coef), windows[g]) + offset).ravel()
-                found = np.bincount(flat, minlength=n_perm * width).reshape(n_perm, width)
-                acc[g] = acc[g] + found if g in acc else found
+                ids = part["id"].to_numpy()
+                for lo in range(0, len(ids), ROWS_PER_MATRIX):
+                    flat = (_bins(key_matrix(ids[lo : lo + ROWS_PER_MATRIX], coef), windows[g]) + offset).ravel()
+                    found = np.bincount(flat, minlength=n_perm * width).reshape(n_perm, width)
+                    acc[g] = acc[g] + found if g in acc else found
             if len(acc) > 100:
                 yield rows_of(acc)
                 acc = {}
@@ -84,10 +88,12 @@ def _edge_rows(coef: np.ndarray, windows: dict, edges: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g, part in pdf.groupby("grp"):
-                ids = part["id"].to_numpy()
-                keys = key_matrix(ids, coef)
-                at, perm = np.nonzero(_bins(keys, windows[g]) == edges[g][None, :])
-                yield pd.DataFrame({"grp": g, "perm": perm.astype(np.int32), "key": keys[at, perm], "id": ids[at]})
+                every = part["id"].to_numpy()
+                for lo in range(0, len(every), ROWS_PER_MATRIX):
+                    ids = every[lo : lo + ROWS_PER_MATRIX]
+                    keys = key_matrix(ids, coef)
+                    at, perm = np.nonzero(_bins(keys, windows[g]) == edges[g][None, :])
+                    yield pd.DataFrame({"grp": g, "perm": perm.astype(np.int32), "key": keys[at, perm], "id": ids[at]})
 
     return run
 

@@ -28,7 +28,7 @@ from fairspark.functions.ordering import (
     split_points,
     with_blocks,
 )
-from fairspark.functions.permutation import MOST_CUTS, coefficients, labels, permutation_cuts
+from fairspark.functions.permutation import MOST_CUTS, ROWS_PER_MATRIX, coefficients, labels, permutation_cuts
 from fairspark.functions.special import lattice_tail
 from fairspark.session import materialise
 
@@ -242,8 +242,8 @@ def wasserstein_equal(df: DataFrame, a: str, b: str, rows_per_block: int = ROWS_
     return one.select("n", F.when(F.col("n") == F.col("n_b"), F.col("w1")).otherwise(F.raise_error(text)).alias("w1"))
 
 
-ROWS_PER_PART = 500_000
-ROWS_PER_MATRIX = 10_000
+#: Rows of one part of the permutation test; a task holds one part, so its memory stays as the table grows.
+ROWS_PER_PART = 50_000
 
 
 def _label_counts(part: pd.DataFrame, coef: np.ndarray, cut: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -259,7 +259,10 @@ def _part_totals(coef: np.ndarray, cuts: dict):
         acc: dict = {}
         for pdf in batches:
             for key, rows in pdf.groupby(["grp", "part"]):
-                total = _label_counts(rows, coef, cuts[key[0]]).sum(axis=0, dtype=np.int64)
+                total = sum(
+                    _label_counts(rows.iloc[lo : lo + ROWS_PER_MATRIX], coef, cuts[key[0]]).sum(axis=0, dtype=np.int64)
+                    for lo in range(0, len(rows), ROWS_PER_MATRIX)
+                )
                 first = rows["value"].min()
                 known = acc.get(key)
                 acc[key] = (first, total) if known is None else (min(first, known[0]), total + known[1])

@@ -125,3 +125,15 @@ def test_cooldown_equals_the_greedy_loop(spark, rows_per_block):
                 kept.append(t)
                 last = t
         assert sorted(got[got["feature"] == f]["t"]) == kept
+
+
+def test_permutation_tasks_hold_bounded_parts(spark, monkeypatch):
+    """Parts do not grow with the table, and the keys of a part are formed a few rows at a time."""
+    assert dr._even_parts(spark, 6_000_000) >= 120
+    held, plain = [], dr._label_counts
+    monkeypatch.setattr(dr, "_label_counts", lambda part, coef, cut: held.append(len(part)) or plain(part, coef, cut))
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"grp": "a", "part": 0, "id": np.arange(9_000), "value": rng.normal(size=9_000), "is_ref": rng.random(9_000) < 0.5})
+    coef, cuts = dr.coefficients(5, 42), {"a": (np.full(5, 2**30), np.full(5, -1))}
+    (out,) = list(dr._part_totals(coef, cuts)(iter([pdf])))
+    assert max(held) <= 2_000 and out["total"][0] == plain(pdf, coef, cuts["a"]).sum(axis=0).tolist()
