@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairspark.session import materialise
+from fairspark.session import materialise, stored
 
 ROWS_PER_BLOCK = 200_000
 BLOCK = "__block"
@@ -307,15 +307,8 @@ def hash_cuts(
     constant per key. ``take_all`` tells keys whose limit covers every row. A null key is
     a key of its own; null ids come first among equal hashes.
     """
-    slim = materialise(
-        rows.select(
-            *keys,
-            *carry,
-            F.col(hash_col).alias("__hash"),
-            F.col(id_col).alias("__id"),
-            F.substring(hash_col, 1, digits).alias("__lead"),
-        )
-    )
+    slim = stored(rows.select(*keys, *carry, F.col(hash_col).alias("__hash"), F.col(id_col).alias("__id")), "hashes")
+    slim = slim.withColumn("__lead", F.substring("__hash", 1, digits))
     counted = F.count("*").alias("__cnt")
     sizes = slim.groupBy(*keys, F.col("__lead").alias("__bucket")).agg(counted, *[F.max(c).alias(c) for c in carry])
     filled, edges = _edge_buckets(materialise(sizes), keys, limit)

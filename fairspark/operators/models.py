@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fairspark.functions.numeric import r6
 from fairspark.functions.ordering import attach_row
 from fairspark.operators import fairness as fair
+from fairspark.session import stored
 
 SEED = 42
 
@@ -38,9 +39,14 @@ def classifier(kind: str, n_rows: int | None = None, **settings):
     raise ValueError(f"unknown model {kind!r}; use logistic_regression, random_forest, gradient_boosting or svm")
 
 
-def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regression", **settings) -> PipelineModel:
-    """Assemble, scale and fit on ``y_true``; nulls count as 0."""
-    clean = df.fillna(0, subset=list(features))
+def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regression", written: bool = False, **settings) -> PipelineModel:
+    """Assemble, scale and fit on ``y_true``; nulls count as 0.
+
+    Counting, scaling and fitting read the rows several times, so label and features are written once;
+    ``written`` tells that ``df`` is such a file already.
+    """
+    rows = df if written else stored(df.select("y_true", *features), "training")
+    clean = rows.fillna(0, subset=list(features))
     n = clean.count() if kind == "logistic_regression" else None
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw_features"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import r6
 from fairspark.operators import fairness as fair
-from fairspark.session import materialise
+from fairspark.session import materialise, stored
 
 
 def full_audit(
@@ -59,13 +59,14 @@ def train_and_audit(
 ) -> DataFrame:
     """Stratified split, train, predict the test rows, audit them.
 
-    The split is a stable function of the row id; the scored test rows are written once
-    to the shared scratch area, because the audit reads them several times.
+    The split is a stable function of the row id; it is written once to the shared scratch area
+    with the columns that training and audit need, because training reads it several times.
     """
     from fairspark.operators import models
     from fairspark.operators.prepare import stratified_split
 
-    split = materialise(stratified_split(df, "y_true", id_col, test_fraction, seed))
-    model = models.train(split.where(~F.col("is_test")), features, kind)
-    scored = materialise(models.score(model, split.where("is_test"), features))
-    return full_audit(scored, attributes)
+    marked = stratified_split(df, "y_true", id_col, test_fraction, seed)
+    split = stored(marked.select(*dict.fromkeys(["y_true", *features, *attributes]), "is_test"), "split")
+    model = models.train(split.where(~F.col("is_test")), features, kind, written=True)
+    # The audit reads the scored rows once, into its cell table.
+    return full_audit(models.score(model, split.where("is_test"), features), attributes)

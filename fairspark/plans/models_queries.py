@@ -13,7 +13,7 @@ from fairspark.operators import models
 from fairspark.operators.prepare import stratified_split
 from fairspark.plans import audit, views
 from fairspark.plans.views import table
-from fairspark.session import materialise
+from fairspark.session import stored
 
 FEATURES = ["f_quantity", "f_discount", "f_tax", "f_price"]
 
@@ -31,7 +31,9 @@ def _line_table(spark, sf):
 
 
 def _split(spark, sf):
-    return materialise(stratified_split(_line_table(spark, sf), "y_true", "row_id"))
+    """Label, features and test flag of every line item, written once: training and scoring read them many times."""
+    split = stratified_split(_line_table(spark, sf), "y_true", "row_id")
+    return stored(split.select("y_true", *FEATURES, "is_test"), "split")
 
 
 def f15(spark, sf):
@@ -47,7 +49,7 @@ def u1(spark, sf):
 def u2(spark, sf):
     split = _split(spark, sf)
     train, test = split.where(~F.col("is_test")), split.where("is_test")
-    model = models.train(train, FEATURES)
+    model = models.train(train, FEATURES, written=True)
     return models.train_test_accuracy(models.score(model, train, FEATURES), models.score(model, test, FEATURES))
 
 
@@ -63,7 +65,7 @@ def u2_kinds(spark, sf):
     larger = F.greatest(F.avg("y_true"), 1 - F.avg("y_true"))
 
     def judged(kind, settings):
-        scored = models.score(models.train(train, FEATURES, kind, **settings), test, FEATURES)
+        scored = models.score(models.train(train, FEATURES, kind, written=True, **settings), test, FEATURES)
         return scored.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_test"), (right > larger).alias("beats_majority"))
 
     rows = reduce(DataFrame.unionByName, [judged(k, v) for k, v in KINDS.items()])
@@ -78,7 +80,7 @@ def u3(spark, sf):
 
 def u4(spark, sf):
     split = _split(spark, sf)
-    model = models.train(split.where(~F.col("is_test")), FEATURES)
+    model = models.train(split.where(~F.col("is_test")), FEATURES, written=True)
     return models.evaluate(models.score(model, split.where("is_test"), FEATURES))
 
 

@@ -70,3 +70,27 @@ def test_missing_features_count_as_zero(spark, rows):
     blank = models.score(model, spark.createDataFrame(gaps).replace(float("nan"), None), FEATURES).toPandas().sort_values("row_id")
     zero = models.score(model, spark.createDataFrame(gaps.fillna({"a": 0.0})), FEATURES).toPandas().sort_values("row_id")
     assert np.allclose(blank["y_prob"], zero["y_prob"])
+
+
+def test_training_evaluates_its_input_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame(rows)
+    models.train(df.mapInPandas(count, df.schema), FEATURES)
+    assert seen.value == len(rows)
+
+
+def test_split_is_written_without_ids(spark, rows, monkeypatch):
+    from fairspark.plans import audit
+
+    written, plain = [], audit.stored
+    monkeypatch.setattr(audit, "stored", lambda df, name: written.append(df.columns) or plain(df, name))
+    pdf = rows.assign(g=["x", "y"] * 300, note="not needed")
+    out = audit.train_and_audit(spark.createDataFrame(pdf), FEATURES, ["g"], "row_id").collect()
+    assert written == [["y_true", *FEATURES, "g", "is_test"]]
+    assert [r["n"] for r in out if r["section"] == "accuracy"] == [120]
