@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,19 +120,27 @@ def frame_with_context(sentence: Column, demographic: Column, context: Column) -
 # Embeddings ----------------------------------------------------------------------
 
 
+#: Bigrams that a task keeps, and those of one text that it takes at once.
+MOST_BIGRAMS, BIGRAMS_PER_PASS = 100_000, 1 << 16
+
+
 def _bigram_vector(text: str, dim: int, cache: dict) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     vec = np.zeros(dim)
     if len(codes) < 2:
         return vec
-    pairs = codes[:-1] << 21 | codes[1:]
-    distinct, inverse = np.unique(pairs, return_inverse=True)
-    for p in distinct:
-        if p not in cache:
-            cache[p] = _bigram_steps(chr(p >> 21) + chr(p & 0x1FFFFF))
-    steps = [cache[p] for p in distinct]
-    at = (np.arange(len(pairs))[:, None] + np.array([s[0] for s in steps])[inverse]) % dim
-    return np.bincount(at.ravel(), weights=np.array([s[1] for s in steps])[inverse].ravel(), minlength=dim)
+    # A text passes in parts, so memory does not follow its length.
+    for lo in range(0, len(codes) - 1, BIGRAMS_PER_PASS):
+        part = codes[lo : lo + BIGRAMS_PER_PASS + 1]
+        pairs = part[:-1] << 21 | part[1:]
+        distinct, inverse = np.unique(pairs, return_inverse=True)
+        for p in distinct:
+            if p not in cache:
+                cache[p] = _bigram_steps(chr(p >> 21) + chr(p & 0x1FFFFF))
+        steps = [cache[p] for p in distinct]
+        at = (np.arange(lo, lo + len(pairs))[:, None] + np.array([s[0] for s in steps])[inverse]) % dim
+        vec += np.bincount(at.ravel(), weights=np.array([s[1] for s in steps])[inverse].ravel(), minlength=dim)
+    return vec
 
 
 def _bigram_steps(bigram: str) -> tuple[list[int], list[float]]:
@@ -149,11 +158,16 @@ def hash_embedding(text: Column, dim: int = 384) -> Column:
         length = np.sqrt(v @ v)
         return v if length < NORM_FLOOR else v / length
 
-    @F.pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
         for batch in batches:
-            yield batch.map(lambda t: unit(_bigram_vector(t or "", dim, cache)))
+            out = np.empty((len(batch), dim))
+            for i, t in enumerate(batch):
+                if len(cache) > MOST_BIGRAMS:
+                    cache.clear()
+                out[i] = unit(_bigram_vector(t.as_py() or "", dim, cache))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
 
     return embed(text)
 

@@ -297,3 +297,13 @@ def test_front_over_many_blocks_equals_the_pairwise_test(spark, monkeypatch):
     multiplier = lambda p: 1.5 if any(dominates(p, q) for q in kept) else 0.7 if any(dominates(q, p) for q in kept) else 1.0
     got = sorted((tuple(r[c] for c in mit.OBJECTIVES), r["multiplier"]) for r in mit.pareto_multiplier(extra, front).where("accuracy is not null").collect())
     assert got == sorted((tuple(map(float, p)), multiplier(p)) for p in others)
+
+
+def test_embedding_in_parts_keeps_few_bigrams(spark, monkeypatch):
+    text = "né à l'école, 日本 " * 40
+    whole = tb._bigram_vector(text, 384, {})
+    monkeypatch.setattr(tb, "BIGRAMS_PER_PASS", 7)
+    assert np.allclose(tb._bigram_vector(text, 384, {}), whole)
+    rows = spark.createDataFrame([(0, text), (1, None), (2, "a")], "k int, t string")
+    got = {r["k"]: r["e"] for r in rows.select("k", tb.hash_embedding(F.col("t")).alias("e")).collect()}
+    assert np.allclose(got[0], whole / np.linalg.norm(whole)) and len(got[1]) == 384 and not any(got[2])
