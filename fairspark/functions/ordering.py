@@ -70,9 +70,12 @@ def running_sums(
     sums: Mapping[str, Column],
     points: Sequence[float] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    parts: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in ``order_by`` order (first entry numeric).
 
+    ``parts`` sets the number of partitions of the scan, where the engine's would hold too many blocks each.
+
     Two-level prefix sum: local running sums inside (key, block), plus the sum of
     all earlier blocks of the key, which is a window over one row per block.
     """
@@ -81,6 +84,8 @@ def running_sums(
     staged = df.select("*", *[expr.alias(f"__in_{name}") for name, expr in sums.items()])
     blocked = with_blocks(staged, order_by[0], points)
     part = [*keys, BLOCK]
+    if parts:
+        blocked = blocked.repartition(parts, *part)
     local = Window.partitionBy(*part).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     scanned = blocked.select(
         "*", *[F.sum(f"__in_{name}").over(local).alias(name) for name in sums]
@@ -176,9 +181,10 @@ def row_index(
     alias: str = "rn",
     points: Sequence[float] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
+    parts: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its key."""
-    return running_sums(df, keys, order_by, {alias: F.lit(1).cast("bigint")}, points, rows_per_block)
+    return running_sums(df, keys, order_by, {alias: F.lit(1).cast("bigint")}, points, rows_per_block, parts)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

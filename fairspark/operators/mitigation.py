@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_if, r6, ratio
 from fairspark.functions.ordering import (
+    ROWS_PER_BLOCK,
     attach_row,
     first_by_hash,
     hash_key,
     pinned,
     row_index,
+    split_points,
     previous_row,
     running_sums,
     trailing_windows,
@@ -488,8 +490,12 @@ def resample(df: DataFrame, group: str, id_col: str, seed: int = 42, per_task: i
     draws = _spread(target.where(short), F.col("__max"), "copy", [group], per_task)
     picked = draws.select(group, "copy", (F.pmod(number(F.col(group), F.col("copy"), F.lit(seed)), F.col("__n")) + 1).alias("__place"))
     hashed = df.withColumn("__order", number(F.col(id_col), F.lit(seed)))
-    placed = row_index(hashed, [group], ["__order", id_col], "__place")
-    drawn = placed.join(picked, [group, "__place"]).select(*df.columns, "copy")
+    # As many partitions as the rows need, so the sorts of a task do not grow with the table.
+    n_rows = df.count()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_BLOCK))
+    points = split_points(hashed, "__order", n_rows=n_rows)
+    placed = row_index(hashed, [group], ["__order", id_col], "__place", points, parts=parts).repartition(parts, group, "__place")
+    drawn = placed.join(picked.repartition(parts, group, "__place"), [group, "__place"]).select(*df.columns, "copy")
     whole = df.join(target.where(~short).select(group), group, "left_semi").withColumn("copy", F.lit(1).cast("bigint"))
     return drawn.unionByName(whole.select(*df.columns, "copy"))
 

@@ -124,3 +124,12 @@ def test_selection_with_one_id_for_most_rows(spark):
 def test_selection_of_an_empty_table(spark):
     rows = spark.createDataFrame([], "k string, id long, h string")
     assert o.first_by_hash(rows, ["k"], "h", "id", F.lit(3)).count() == 0
+
+
+def test_partitions_of_a_scan_can_be_set(spark):
+    from fairspark.functions import ordering
+
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS v")
+    out = ordering.row_index(df, ["k"], ["v"], "rn", [30.0, 60.0], parts=7)
+    got = {(r["k"], r["v"]): r["rn"] for r in out.collect()}
+    assert got == {(i % 3, i): i // 3 + 1 for i in range(100)}
