@@ -112,3 +112,23 @@ def test_few_places_cut_by_score_bands(make):
     rows = texts(5, 200) + [(1000 + i, "p q. r s. t u", "fr", "web") for i in range(10)]
     for top in (1, 2, 7):
         assert found(co.collocations(make(rows), least=4, top=top)) == plain(rows, least=4, top=top)
+
+
+def test_sorted_places_in_one_number_or_by_key():
+    """Both ways of sorting agree with a stable sort, and an index builds only the direction that a length needs."""
+    key = np.random.default_rng(1).integers(0, 40, 500)
+    for most in (40, 1 << 60):
+        ascending, order = co.sorted_places(key, most)
+        assert (order == np.argsort(key, kind="stable")).all() and (ascending == key[order]).all()
+    assert [len(x) for x in co.sorted_places(key[:0], 40)] == [0, 0]
+    ids = np.append(0, np.random.default_rng(2).integers(0, 9, 300))
+    ids = np.append(ids, 0)
+    index = co.BidirectionalIndex(co.transform(ids, 3), co.transform(ids[::-1], 3))
+    built = lambda: ["places" in vars(d) for d in (index.forward, index.backward)]
+    level, key = co.in_order(index.words(), [])
+    assert built() == [False, False]
+    pairs = index.longer(level, [key])
+    assert built() == [True, False]
+    found = {tuple(w): n for w, n in zip(pairs.words.tolist(), pairs.count.tolist())}
+    both = [(a, b) for a, b in zip(ids[:-1].tolist(), ids[1:].tolist()) if a and b]
+    assert found == {p: both.count(p) for p in set(both)}
