@@ -5,12 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_if, r6, sigmoid
 from fairspark.functions.vectors import as_doubles, dot, linear_score, norm, squared_distance
 
+try:  # Python's own build of MD5: for texts this short, OpenSSL's set-up costs more than the hashing
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 
 def _clip(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
@@ -22,15 +29,38 @@ def flip_attribute(features: Column, index: int, target: Column | float) -> Colu
     return F.transform(features, lambda v, i: F.when(i == index, goal).otherwise(_clip(v)))
 
 
-def _normal(id_col: str, sample: Column, position: int, seed: int) -> Column:
-    """Standard normal from two hash-based uniforms (Box-Muller): a retried task draws
-    the same value for the same row, sample and feature."""
+#: Largest value of the 52 bits that a uniform is drawn from, plus one.
+_DRAWS = float((1 << 52) + 1)
+
+
+def uniforms(ids: list[str | None], samples: Sequence[int], positions: Sequence[int], seed: int) -> np.ndarray:
+    """Two uniforms in (0, 1] per id, sample and position, in that order, from the first 13 hex digits of an MD5.
+
+    A retried task draws the same values. A null id is left out of the hashed text, as ``concat_ws`` does.
+    """
+    ends = [f"{s}|{i}|{salt}|{seed}".encode() for s in samples for i in positions for salt in ("radius", "angle")]
+    starts = [b"" if x is None else f"{x}|".encode() for x in ids]
+    hashed = b"".join([md5(a + b).digest() for a in starts for b in ends])
+    first = (np.frombuffer(hashed, ">u8")[::2] >> np.uint64(12)).astype(np.int64)
+    return (first + 1).astype(float) / _DRAWS
+
+
+def _with_uniforms(df: DataFrame, id_col: str, samples: Sequence[int], positions: Sequence[int], seed: int) -> DataFrame:
+    """``__draws``: the uniforms of a row's id in one array, drawn once per row before samples are spread."""
+    width = 2 * len(samples) * len(positions)
+
+    @F.arrow_udf("array<double>")
+    def draws(ids: pa.Array) -> pa.Array:
+        values = uniforms(ids.to_pylist(), samples, positions, seed)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(values))
+
+    return df.withColumn("__draws", draws(F.col(id_col).cast("string")))
 
-    def uniform(salt: str) -> Column:
-        drawn = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), sample.cast("string"), F.lit(f"{position}|{salt}|{seed}")))
-        return (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint") + 1).cast("double") / float((1 << 52) + 1)
 
-    return F.sqrt(-2.0 * F.log(uniform("radius"))) * F.cos(2.0 * math.pi * uniform("angle"))
+def _normal(at: Column | int) -> Column:
+    """Standard normal from the two uniforms at this place of ``__draws`` (Box-Muller)."""
+    radius, angle = F.get("__draws", F.lit(at)), F.get("__draws", F.lit(at) + 1)
+    return F.sqrt(-2.0 * F.log(radius)) * F.cos(2.0 * math.pi * angle)
 
 
 def counterfactual(
@@ -40,22 +70,22 @@ def counterfactual(
     base = as_doubles(F.col(features))
     if noise == 0.0:
         return df.withColumn("counterfactual", flip_attribute(base, index, target))
-    values = [
-        F.lit(float(target)) if i == index else _clip(base[i] + noise * _normal(id_col, F.lit(0), i, seed)) for i in range(size)
-    ]
-    return df.withColumn("counterfactual", F.array(*values))
+    moved = [i for i in range(size) if i != index]
+    values = [F.lit(float(target)) if i == index else _clip(base[i] + noise * _normal(2 * moved.index(i))) for i in range(size)]
+    return _with_uniforms(df, id_col, [0], moved, seed).withColumn("counterfactual", F.array(*values)).drop("__draws")
 
 
 def counterfactual_variants(
     df: DataFrame, id_col: str, features: str, size: int, index: int, target: float, n_samples: int = 5, noise: float = 0.01, seed: int = 42
 ) -> DataFrame:
     """``n_samples`` jittered counterfactuals per row."""
-    spread = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
+    moved = [i for i in range(size) if i != index]
+    drawn = _with_uniforms(df, id_col, range(1, n_samples + 1), moved, seed)
+    spread = drawn.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("sample"))
     base = as_doubles(F.col(features))
-    values = [
-        F.lit(float(target)) if i == index else _clip(base[i] + noise * _normal(id_col, F.col("sample"), i, seed)) for i in range(size)
-    ]
-    return spread.withColumn("counterfactual", F.array(*values))
+    start = (F.col("sample") - 1) * (2 * len(moved))
+    values = [F.lit(float(target)) if i == index else _clip(base[i] + noise * _normal(start + 2 * moved.index(i))) for i in range(size)]
+    return spread.withColumn("counterfactual", F.array(*values)).drop("__draws")
 
 
 def explain_changes(df: DataFrame, id_cols: Sequence[str], original: str, changed: str, names: Sequence[str], threshold: float = 0.01) -> DataFrame:

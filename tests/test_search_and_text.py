@@ -170,6 +170,21 @@ def test_mean_cosine_matrix_equals_pairs(spark):
     assert got[(0, 0)] == pytest.approx(np.mean(inside)) and got[(0, 1)] == pytest.approx(np.mean(across))
 
 
+def test_jitter_is_drawn_once_per_row(spark):
+    """Uniforms come from the 13 hex digits as SQL draws them, null ids too, and before the samples are spread."""
+    df = spark.createDataFrame([("a-1", [0.5, 0.2]), (None, [0.5, 0.2])], "id string, f array<double>")
+    text = "concat_ws('|', id, '{}', '{}|{}|7')"
+    drawn = "(cast(conv(substring(md5({}), 1, 13), 16, 10) as bigint) + 1) / 4503599627370497D"
+    plain = [drawn.format(text.format(s, i, salt)) for s in (1, 2) for i in (0, 2) for salt in ("radius", "angle")]
+    for row in df.selectExpr("id", f"array({', '.join(plain)}) as u").collect():
+        assert cf.uniforms([row["id"]], [1, 2], [0, 2], 7).tolist() == row["u"]
+    assert len(cf.uniforms([], [1], [0], 7)) == 0
+    out = cf.counterfactual_variants(df, "id", "f", 2, 1, 0.0, n_samples=3)
+    assert out.columns == ["id", "f", "sample", "counterfactual"] and out.count() == 6
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert plan.index("Generate") < plan.index("ArrowEvalPython") and "conv(" not in plan
+
+
 def test_counterfactual_steps(spark):
     df = spark.createDataFrame([("r", [0.5, 1.2, 0.0])], "id string, f array<double>")
     flipped = cf.counterfactual(df, "f", 2, 1.0)
