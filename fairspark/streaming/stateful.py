@@ -53,10 +53,14 @@ def dropped_late(query: StreamingQuery) -> int:
 # Cooldown ------------------------------------------------------------------------
 
 
+#: Waiting times in one element of the list state, so that the store is asked per block and not per alert.
+HELD_BLOCK = 65_536
+
+
 class CooldownProcessor(StatefulProcessor):
     """Keeps an alert if the last kept one of its key is at least ``seconds`` older, in event-time order.
 
-    List state holds the alerts that the watermark has not reached, a timer wakes at the earliest of them,
+    List state holds the alerts that the watermark has not reached, in blocks of ``HELD_BLOCK`` times, a timer wakes at the earliest of them,
     and value state holds the last kept time. When nothing waits, the timer wakes once the cooldown is over
     and removes the state, so quiet keys cost nothing.
     """
@@ -66,7 +70,7 @@ class CooldownProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double")
+        self.waiting = handle.getListState("waiting", "times binary")
         self.last = handle.getValueState("last", "t double, released double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -74,15 +78,14 @@ class CooldownProcessor(StatefulProcessor):
         new = np.unique(np.concatenate([pdf["t"].to_numpy(dtype=float) for pdf in rows]))
         new = new[new > released]
         if len(new):
-            held = np.array([r[0] for r in self.waiting.get()]) if self.waiting.exists() else np.zeros(0)
-            every = np.union1d(held, new)
-            self.waiting.put([(float(t),) for t in every])
+            every = np.union1d(self._held(), new)
+            self._hold(every)
             self._wake(float(every[0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() / 1000.0
-        held = np.array([r[0] for r in self.waiting.get()]) if self.waiting.exists() else np.zeros(0)
+        held = self._held()
         last = self.last.get()[0] if self.last.exists() else -np.inf
         due, rest = held[held <= now], held[held > now]
         kept, at = [], int(np.searchsorted(due, last + self.seconds))
@@ -91,7 +94,7 @@ class CooldownProcessor(StatefulProcessor):
             kept.append(last)
             at = int(np.searchsorted(due, last + self.seconds))
         if len(rest):
-            self.waiting.put([(float(t),) for t in rest])
+            self._hold(rest)
         else:
             self.waiting.clear()
         if len(rest) or now < last + self.seconds:
@@ -102,6 +105,13 @@ class CooldownProcessor(StatefulProcessor):
         if kept:
             yield pd.DataFrame({"feature": key[0], "t": kept})
 
+    def _held(self) -> np.ndarray:
+        blocks = [np.frombuffer(bytes(r[0]), float) for r in self.waiting.get()] if self.waiting.exists() else []
+        return np.concatenate(blocks) if blocks else np.zeros(0)
+
+    def _hold(self, times: np.ndarray) -> None:
+        self.waiting.put([(times[i : i + HELD_BLOCK].tobytes(),) for i in range(0, len(times), HELD_BLOCK)])
+
     def _wake(self, seconds: float) -> None:
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)

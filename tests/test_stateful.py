@@ -127,3 +127,20 @@ def test_a_batch_reads_only_the_folders_of_its_values(spark, tmp_path):
     assert (answers["value", 777.5]["below"], answers["value", 777.5]["upto"]) == (778, 778)
     assert (answers["value", 790.0]["below"], answers["value", 790.0]["upto"]) == (790, 791)
     assert answers["rank", 12_001.0]["found"] == 12_000.0
+
+
+def test_cooldown_asks_the_store_per_block():
+    """Waiting alerts are held in blocks, and blocks give back the same times."""
+    puts = []
+
+    class Listed:
+        exists = lambda self: bool(puts)
+        get = lambda self: iter(puts[-1])
+        put = lambda self, rows: puts.append(rows)
+
+    held = st.CooldownProcessor(300.0)
+    held.waiting = Listed()
+    assert len(held._held()) == 0
+    times = np.arange(st.HELD_BLOCK * 2 + 5, dtype=float)
+    held._hold(times)
+    assert len(puts[-1]) == 3 and (held._held() == times).all()
