@@ -300,6 +300,7 @@ def hash_cuts(
     carry: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BLOCK,
     digits: int = 4,
+    written: bool = False,
 ) -> DataFrame:
     """Per key the (hash, id) of the ``limit``-th smallest row, as ``cut_hash, cut_id``.
 
@@ -311,10 +312,11 @@ def hash_cuts(
     whole at any input size, and an id that holds a third of the rows is one row too.
     ``limit`` may use ``n``, the row count of the key, and the ``carry`` columns, which are
     constant per key. ``take_all`` tells keys whose limit covers every row. A null key is
-    a key of its own; null ids come first among equal hashes.
+    a key of its own; null ids come first among equal hashes. ``written`` tells that ``rows``
+    is such a copy already.
     """
-    slim = stored(rows.select(*keys, *carry, F.col(hash_col).alias("__hash"), F.col(id_col).alias("__id")), "hashes")
-    slim = slim.withColumn("__lead", F.substring("__hash", 1, digits))
+    slim = rows.select(*keys, *carry, F.col(hash_col).alias("__hash"), F.col(id_col).alias("__id"))
+    slim = (slim if written else stored(slim, "hashes")).withColumn("__lead", F.substring("__hash", 1, digits))
     counted = F.count("*").alias("__cnt")
     sizes = slim.groupBy(*keys, F.col("__lead").alias("__bucket")).agg(counted, *[F.max(c).alias(c) for c in carry])
     filled, edges = _edge_buckets(materialise(sizes), keys, limit)
@@ -365,13 +367,15 @@ def first_by_hash(
     carry: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BLOCK,
     digits: int = 4,
+    written: bool = False,
 ) -> DataFrame:
     """Flag the ``limit`` rows per key with the smallest (hash, id).
 
     The cut table has one row per key and joins back without moving the rows, which are
     read once by the returned plan. Rows that repeat the cut's (hash, id) are all flagged.
+    ``written`` tells that ``rows``, hash included, is a stored file already.
     """
-    cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, rows_per_bucket, digits)
+    cuts = hash_cuts(rows, keys, hash_col, id_col, limit, carry, rows_per_bucket, digits, written)
     joined = rows.alias("l").join(pinned(cuts).alias("r"), _same_keys(keys))
     marked = joined.select("l.*", "take_all", "cut_hash", "cut_id")
     return marked.withColumn(flag, within_cut(F.col(hash_col), F.col(id_col))).drop("cut_hash", "cut_id", "take_all")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer, StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from fairspark.functions.numeric import r6
 from fairspark.functions.ordering import attach_row
@@ -20,6 +25,12 @@ from fairspark.operators import fairness as fair
 from fairspark.session import stored
 
 SEED = 42
+TREE_KINDS = ("random_forest", "gradient_boosting")
+#: Settings under which a tree kind is the same on weighted cells as on their rows (it counts no single rows).
+CELL_SETTINGS = {"numTrees", "maxIter", "maxDepth", "maxBins", "stepSize", "impurity", "minInfoGain", "featureSubsetStrategy", "seed"}
+#: Rows a cell must have on average before trees are fitted on cells.
+ROWS_PER_CELL = 8
+PARALLEL_FITS = 4
 
 
 def classifier(kind: str, n_rows: int | None = None, **settings):
@@ -46,14 +57,160 @@ def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regressi
     ``written`` tells that ``df`` is such a file already.
     """
     rows = df if written else stored(df.select("y_true", *features), "training")
+    return train_kinds(rows, features, {kind: settings})[kind]
+
+
+def train_kinds(rows: DataFrame, features: Sequence[str], kinds: Mapping[str, Mapping]) -> dict[str, PipelineModel]:
+    """Models of several kinds, each with its settings, fitted on the same written rows.
+
+    All share one scaling. A tree sees its rows only as bins of the features, so where the bins
+    leave many rows to a cell, the tree kinds share one unscaled table of cells with their row counts; else they read the rows.
+    """
     clean = rows.fillna(0, subset=list(features))
-    n = clean.count() if kind == "logistic_regression" else None
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        classifier(kind, n, **settings),
-    ]
-    return Pipeline(stages=stages).fit(clean)
+    n, session = clean.count(), rows.sparkSession
+    cells, on_rows, on_cells = {}, {}, {}
+    for kind, settings in kinds.items():
+        whole = classifier(kind, n, **settings)
+        if kind in TREE_KINDS and set(settings) <= CELL_SETTINGS:
+            bins = whole.getMaxBins()
+            if bins not in cells:
+                cells[bins] = _cells(clean, features, n, bins)
+            if cells[bins] is not None:
+                on_cells[kind] = cells[bins]
+                continue
+        on_rows[kind] = whole
+
+    def fit_on_rows() -> dict[str, PipelineModel]:
+        assembler = VectorAssembler(inputCols=list(features), outputCol="raw_features")
+        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+        scaling = Pipeline(stages=[assembler, scaler]).fit(clean)
+        scaled = _scaled(clean, features, scaling.stages[-1])
+        return {kind: PipelineModel([*scaling.stages, whole.fit(scaled)]) for kind, whole in on_rows.items()}
+
+    def fit_on_cells() -> dict[str, PipelineModel]:
+        return {kind: _train_on_cells(*found, kind, kinds[kind]) for kind, found in on_cells.items()}
+
+    # The short jobs of the cells run beside the passes over the rows; rows are held for one kind at a time.
+    groups = [fit for fit, members in ((fit_on_rows, on_rows), (fit_on_cells, on_cells)) if members]
+    with ThreadPool(len(groups)) as pool:
+        parts = pool.map(lambda fit: fit(), [inheritable_thread_target(session)(fit) for fit in groups])
+    fitted = {kind: model for part in parts for kind, model in part.items()}
+    return {kind: fitted[kind] for kind in kinds}
+
+
+def _scaled(clean: DataFrame, features: Sequence[str], scaler: StandardScalerModel) -> DataFrame:
+    """Label and scaled features as the fitted stages give them, by plain columns and one vector per row instead of two."""
+    factors = zip(features, scaler.mean, scaler.std)
+    columns = [((F.col(f) - float(m)) * (1.0 / float(s) if s else 0.0)).alias(f) for f, m, s in factors]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    return assembler.transform(clean.select("y_true", *columns)).select("y_true", "features")
+
+
+def _thresholds(clean: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
+    """Per feature at most ``bins - 1`` cuts: between all values where they are few, else at the quantiles of all rows."""
+    shares = [i / bins for i in range(1, bins)]
+    seen = clean.agg(*[F.approx_count_distinct(f) for f in features], *[F.min(f) for f in features]).first()
+    distinct, least = seen[: len(features)], seen[len(features) :]
+    # The count is approximate: around the limit both are taken, and the collected set decides.
+    values = [F.sort_array(F.collect_set(f)).alias(f"set {f}") for f, d in zip(features, distinct) if d <= 1.2 * bins]
+    quantiles = [F.percentile_approx(f, shares, 10_000).alias(f"cut {f}") for f, d in zip(features, distinct) if d >= 0.8 * bins]
+    found = clean.agg(*values, *quantiles).first().asDict()
+    cuts = []
+    for f, low in zip(features, least):
+        own = found.get(f"set {f}", [])
+        between = [(a + b) / 2 for a, b in zip(own, own[1:])] if len(own) <= bins else []
+        cuts.append(between or sorted({v for v in found.get(f"cut {f}", []) if v > low}) or [low])
+    return cuts
+
+
+def _cells(clean: DataFrame, features: Sequence[str], n: int, bins: int) -> tuple[list, DataFrame] | None:
+    """Binning stages and the written cells (label, bins, ``n_rows``), or nothing where cells can be nearly as many as rows.
+
+    At most the product of the bins in number, whatever the number of rows.
+    """
+    if n <= ROWS_PER_CELL * 2 ** (len(features) + 1):
+        return None
+    cuts = _thresholds(clean, features, bins)
+    if n <= ROWS_PER_CELL * 2 * math.prod(len(c) + 1 for c in cuts):
+        return None
+    names = [f"__bin_{f}" for f in features]
+    splits = [[-math.inf, *c, math.inf] for c in cuts]
+    binner = Bucketizer(inputCols=list(features), outputCols=names, splitsArray=splits)
+    counted = binner.transform(clean).groupBy("y_true", *names).agg(F.count("*").cast("double").alias("n_rows"))
+    return [binner, VectorAssembler(inputCols=names, outputCol="features")], stored(counted, "cells")
+
+
+def _train_on_cells(stages: list, cells: DataFrame, kind: str, settings: Mapping) -> PipelineModel:
+    """The tree kind on cells weighted by their rows: the trees that the rows themselves give with the same bins."""
+    assembler, bins = stages[-1], stages[-1].getInputCols()
+    if kind == "gradient_boosting":
+        model = classifier(kind, weightCol="n_rows", **settings).fit(assembler.transform(cells))
+        return PipelineModel([*stages, model])
+    whole = classifier(kind, **settings)
+    n_trees, seed = whole.getNumTrees(), whole.getSeed()
+    subset = whole.getFeatureSubsetStrategy()
+    if subset == "auto":  # which is every feature for a single tree
+        subset = "sqrt" if n_trees > 1 else "all"
+    drawn = stored(_bootstrap(cells, ["y_true", *bins], n_trees, seed), "bootstrap")
+
+    def one(tree: int):
+        sample = assembler.transform(drawn).select("y_true", "features", F.col("draws")[tree].alias("weight"))
+        alone = {**settings, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": subset, "seed": seed + tree}
+        return classifier(kind, weightCol="weight", **alone).fit(sample)
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        trees = pool.map(inheritable_thread_target(cells.sparkSession)(one), range(n_trees))
+    sizes = [len(splits) - 1 for splits in stages[0].getSplitsArray()]
+    return PipelineModel([stages[0], Forest(trees, assembler, sizes, cells.sparkSession)])
+
+
+def _bootstrap(cells: DataFrame, keys: Sequence[str], n_trees: int, seed: int) -> DataFrame:
+    """``draws``: per tree how often the rows of a cell are drawn.
+
+    A row is drawn a Poisson(1) number of times, so the rows of a cell together Poisson(``n_rows``) times.
+    The numbers depend on cell and seed only, not on partitions or retries.
+    """
+    schema = StructType([*cells.schema.fields, StructField("draws", ArrayType(DoubleType()))])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = zip(pdf.pop("__cell"), pdf["n_rows"])
+            draws = [np.random.default_rng([seed, cell % 2**64]).poisson(rows, n_trees).astype(float) for cell, rows in pairs]
+            yield pdf.assign(draws=draws)
+
+    return cells.withColumn("__cell", F.xxhash64(*keys)).mapInPandas(draw, schema)
+
+
+class Forest(Model):
+    """Trees fitted one by one on their own bootstrap weights; a row's class shares are the mean over the trees.
+
+    They depend on the row's cell only, so all cells are scored once into a written table that rows look up.
+    """
+
+    def __init__(self, trees: Sequence[Model], assembler: VectorAssembler, sizes: Sequence[int], spark: SparkSession):
+        super().__init__()
+        named = enumerate(trees)
+        self.trees = [t.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"__tree_{i}") for i, t in named]
+        self.bins = list(zip(assembler.getInputCols(), sizes, (math.prod(sizes[:i]) for i in range(len(sizes)))))
+        cells = spark.range(math.prod(sizes)).withColumnRenamed("id", "__cell")
+        place = {name: (F.floor(F.col("__cell") / step) % size).cast("double") for name, size, step in self.bins}
+        scored = assembler.transform(cells.withColumns(place))
+        for tree in self.trees:
+            scored = tree.transform(scored)
+        shares = [vector_to_array(t.getProbabilityCol()) for t in self.trees]
+        mean = [sum(s[k] for s in shares) / len(shares) for k in range(self.trees[0].numClasses)]
+        self.shares = stored(scored.select("__cell", F.array(*mean).alias("__shares")), "shares")
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        total = np.sum([t.featureImportances.toArray() for t in self.trees], axis=0)
+        return DenseVector(total / total.sum() if total.sum() else total)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        cell = sum((F.col(name) * step for name, _, step in self.bins), F.lit(0)).cast("bigint")
+        first = F.array_position("__shares", F.array_max("__shares")) - 1
+        out = dataset.withColumn("__cell", cell).join(self.shares, "__cell", "left").drop("__cell")
+        return out.withColumns({"probability": array_to_vector("__shares"), "prediction": first.cast("double")}).drop("__shares")
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -62,7 +219,7 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataF
     has_prob = "probability" in out.columns
     prob = vector_to_array("probability")[1] if has_prob else F.col("prediction")
     return out.withColumn("y_prob", prob).withColumn("y_pred", F.col("prediction")).drop(
-        "raw_features", "features", "rawPrediction", "probability", "prediction"
+        "raw_features", "features", "rawPrediction", "probability", "prediction", *[f"__bin_{f}" for f in features]
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fairspark.functions.numeric import count_edges_below
 from fairspark.functions.ordering import attach_row, exact_quantiles, first_by_hash, hash_key, pinned, string_index
+from fairspark.session import stored
 
 AGE_EDGES = [0, 25, 35, 45, 55, 65, 100]
 AGE_LABELS = ["18-25", "25-35", "35-45", "45-55", "55-65", "65+"]
@@ -123,16 +124,18 @@ def age_group(age: Column) -> Column:
 
 
 def stratified_split(
-    df: DataFrame, stratum: str, id_col: str, test_fraction: float = 0.2, seed: int = 42
+    df: DataFrame, stratum: str, id_col: str, test_fraction: float = 0.2, seed: int = 42, once: bool = False
 ) -> DataFrame:
     """Mark exactly ``round(n * fraction)`` rows of every stratum as test.
 
     Membership depends on the md5 of (id, seed) only, so a re-run or a retried task
-    gives the same split; no stratum is sorted as a whole.
+    gives the same split; no stratum is sorted as a whole. ``once`` writes all columns of
+    ``df`` beside the hashes and marks that copy, for a ``df`` that is dear to evaluate twice.
     """
     rows = df.withColumn("__hash", hash_key(F.col(id_col), F.lit(seed)))
+    rows = stored(rows, "hashed") if once else rows
     take = F.bround(F.col("n") * F.lit(test_fraction), 0).cast("bigint")
-    return first_by_hash(rows, [stratum], "__hash", id_col, take, "is_test").drop("__hash")
+    return first_by_hash(rows, [stratum], "__hash", id_col, take, "is_test", written=once).drop("__hash")
 
 
 def min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairspark.functions import sql_surface
@@ -32,7 +29,8 @@ def _line_table(spark, sf):
 
 def _split(spark, sf):
     """Label, features and test flag of every line item, written once: training and scoring read them many times."""
-    split = stratified_split(_line_table(spark, sf), "y_true", "row_id")
+    lines = _line_table(spark, sf).select("row_id", "y_true", *FEATURES)
+    split = stratified_split(lines, "y_true", "row_id", once=True)
     return stored(split.select("y_true", *FEATURES, "is_test"), "split")
 
 
@@ -61,14 +59,14 @@ def u2_kinds(spark, sf):
     """Each kind of model fitted on the training rows: sizes, and whether it beats the larger class on the test rows."""
     split = _split(spark, sf)
     train, test = split.where(~F.col("is_test")), split.where("is_test")
-    right = F.avg((F.col("y_pred") == F.col("y_true")).cast("double"))
+    fitted = models.train_kinds(train, FEATURES, KINDS)
+    scored = test.select("y_true", *FEATURES)
+    for kind, model in fitted.items():
+        scored = models.score(model, scored, FEATURES).drop("y_prob").withColumnRenamed("y_pred", kind)
     larger = F.greatest(F.avg("y_true"), 1 - F.avg("y_true"))
-
-    def judged(kind, settings):
-        scored = models.score(models.train(train, FEATURES, kind, written=True, **settings), test, FEATURES)
-        return scored.agg(F.lit(kind).alias("kind"), F.count("*").alias("n_test"), (right > larger).alias("beats_majority"))
-
-    rows = reduce(DataFrame.unionByName, [judged(k, v) for k, v in KINDS.items()])
+    right = [(F.avg((F.col(kind) == F.col("y_true")).cast("double")) > larger).alias(kind) for kind in KINDS]
+    judged = scored.agg(F.count("*").alias("n_test"), *right)
+    rows = judged.unpivot(["n_test"], list(KINDS), "kind", "beats_majority").select("kind", "n_test", "beats_majority")
     return attach_row(rows, train.agg(F.count("*").alias("n_train")))
 
 
