@@ -31,6 +31,8 @@ CELL_SETTINGS = {"numTrees", "maxIter", "maxDepth", "maxBins", "stepSize", "impu
 #: Rows a cell must have on average before trees are fitted on cells.
 ROWS_PER_CELL = 8
 PARALLEL_FITS = 4
+#: Rows of a file of the training table, which every step of a fit reads.
+ROWS_PER_FILE = 500_000
 
 
 def classifier(kind: str, n_rows: int | None = None, **settings):
@@ -56,7 +58,7 @@ def train(df: DataFrame, features: Sequence[str], kind: str = "logistic_regressi
     Counting, scaling and fitting read the rows several times, so label and features are written once;
     ``written`` tells that ``df`` is such a file already.
     """
-    rows = df if written else stored(df.select("y_true", *features), "training")
+    rows = df if written else stored(df.select("y_true", *features), "training", ROWS_PER_FILE)
     return train_kinds(rows, features, {kind: settings})[kind]
 
 
@@ -119,7 +121,7 @@ def _thresholds(clean: DataFrame, features: Sequence[str], bins: int) -> list[li
     for f, low in zip(features, least):
         own = found.get(f"set {f}", [])
         between = [(a + b) / 2 for a, b in zip(own, own[1:])] if len(own) <= bins else []
-        cuts.append(between or sorted({v for v in found.get(f"cut {f}", []) if v > low}) or [low])
+        cuts.append(sorted(set(between) or {v for v in found.get(f"cut {f}", []) if v > low}) or [low])
     return cuts
 
 

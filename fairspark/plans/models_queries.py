@@ -31,7 +31,7 @@ def _split(spark, sf):
     """Label, features and test flag of every line item, written once: training and scoring read them many times."""
     lines = _line_table(spark, sf).select("row_id", "y_true", *FEATURES)
     split = stratified_split(lines, "y_true", "row_id", once=True)
-    return stored(split.select("y_true", *FEATURES, "is_test"), "split")
+    return stored(split.select("y_true", *FEATURES, "is_test"), "split", models.ROWS_PER_FILE)
 
 
 def f15(spark, sf):

@@ -69,12 +69,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder as compressed columns and read it back.
 
     Later branches read columns of the file instead of computing ``df`` again, and a lost executor
-    costs a re-read. The folder belongs to the cluster, which expires it.
+    costs a re-read. The folder belongs to the cluster, which expires it. ``rows_per_file`` makes files
+    small, so that a table which is read many times is dealt to the cores evenly; 0 sets no limit.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

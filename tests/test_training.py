@@ -93,3 +93,9 @@ def test_split_evaluates_its_input_once(spark, rows):
     assert seen.value == 4000
     twice = stratified_split(rows, "y_true", "row_id").select("row_id", "is_test").toPandas()
     assert once.sort_values("row_id").reset_index(drop=True).equals(twice.sort_values("row_id").reset_index(drop=True))
+
+
+def test_training_table_is_written_in_small_files(spark):
+    table = models.stored(spark.range(10).coalesce(1), "small", 3)
+    assert len(table.inputFiles()) == 4 and table.count() == 10
+    assert len(models.stored(spark.range(10).coalesce(1), "whole").inputFiles()) == 1
