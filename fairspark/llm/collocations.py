@@ -140,7 +140,10 @@ class BidirectionalIndex:
     def __init__(self, forward: np.ndarray, backward: np.ndarray):
         self.forward, self.backward = Direction(forward), Direction(backward)
         self.symbols = np.bincount(forward) if len(forward) else np.zeros(1, np.int64)
-        self.edges = [np.append(0, np.cumsum(b == 0)) for b in (forward, backward)]
+
+    @cached_property
+    def edges(self) -> list[np.ndarray]:
+        return [np.append(0, np.cumsum(d.bwt == 0)) for d in (self.forward, self.backward)]
 
     def words(self) -> Level:
         """All single words, by id."""
@@ -173,6 +176,25 @@ class BidirectionalIndex:
         return out[0], out[1]
 
 
+class TextIndex(BidirectionalIndex):
+    """The index of a text, each direction of which is built when a length first needs it.
+
+    A transform is two sorts of a million numbers, far less than writing both and reading them in each round.
+    """
+
+    def __init__(self, ids: np.ndarray, depth: int):
+        self.ids, self.depth = ids, depth
+        self.symbols = np.bincount(ids)
+
+    @cached_property
+    def forward(self) -> Direction:
+        return Direction(transform(self.ids, self.depth))
+
+    @cached_property
+    def backward(self) -> Direction:
+        return Direction(transform(self.ids[::-1], self.depth))
+
+
 def place(words: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
     """Index of each phrase among the known ones of its length, -1 where it is none."""
     at = np.zeros(len(words), dtype=np.int64)
@@ -217,15 +239,24 @@ def _renumbered(ids: np.ndarray, values: pa.Array) -> tuple[np.ndarray, pa.Array
     return np.where(used > 0, np.cumsum(used > 0), 0)[inner], values.take(pa.array(used[used > 0] - 1))
 
 
-def shards(docs: DataFrame, depth: int, shard_words: int = SHARD_WORDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``shard, lang, n_words, vocabulary, forward, backward``: an index per run of documents of a language.
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids as four planes, lowest bytes first: the upper ones are nearly all zeros, which compresses better apart."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def shards(docs: DataFrame, shard_words: int = SHARD_WORDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """``shard, lang, n_words, vocabulary, ids``: word ids, from which an index is built, per run of documents of a language.
 
-    Built where the documents lie. A shard is cut between pieces once it holds ``shard_words`` words; only
+    Made where the documents lie. A shard is cut between pieces once it holds ``shard_words`` words; only
     a piece longer than that makes it larger.
     """
     text = lambda c, other: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(other))
     rows = docs.select(text(lang_col, "und").alias("lang"), text(text_col, "").alias("text"))
-    names = ["shard", "lang", "n_words", "vocabulary", "forward", "backward"]
+    names = ["shard", "lang", "n_words", "vocabulary", "ids"]
 
     def finished(number: int, lang: str, held: _Collected, last: bool) -> Iterator[pa.RecordBatch]:
         ids, values = np.concatenate([[0], *held.parts]), pa.concat_arrays(held.values)
@@ -249,8 +280,7 @@ def shards(docs: DataFrame, depth: int, shard_words: int = SHARD_WORDS, lang_col
                 pa.array([lang]),
                 pa.array([n_words], pa.int64()),
                 pa.array([b"\n".join(encoded.dictionary.to_pylist())], pa.binary()),
-                pa.array([transform(ids, depth).tobytes()], pa.binary()),
-                pa.array([transform(ids[::-1], depth).tobytes()], pa.binary()),
+                pa.array([packed_ids(ids)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -291,7 +321,7 @@ def shards(docs: DataFrame, depth: int, shard_words: int = SHARD_WORDS, lang_col
                 yield from finished(number, name, held, last=True)
                 number += 1
 
-    return rows.mapInArrow(run, "shard bigint, lang string, n_words bigint, vocabulary binary, forward binary, backward binary")
+    return rows.mapInArrow(run, "shard bigint, lang string, n_words bigint, vocabulary binary, ids binary")
 
 
 def _bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -314,7 +344,7 @@ class _Shard:
         self.shard = row.column("shard")[0].as_py()
         self.lang = row.column("lang")[0].as_py()
         self.vocabulary = pa.array([b"", *row.column("vocabulary")[0].as_py().split(b"\n")], pa.large_binary())
-        self.index = BidirectionalIndex(*[np.frombuffer(row.column(c)[0].as_py(), np.int32).astype(np.int64) for c in ("forward", "backward")])
+        self.index = TextIndex(unpacked_ids(row.column("ids")[0].as_py()), depth)
         seed = ragged.hash64(pa.array([self.lang.encode()], pa.large_binary()))[0]
         self.hashes = ragged.hash64(self.vocabulary) ^ seed
 
@@ -342,7 +372,7 @@ class _Shard:
 
 def _by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the keys of each part, ascending."""
-    part = (keys % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    part = ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
     order = np.argsort(part, kind="stable")
     first = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(first)).tolist():
@@ -360,14 +390,18 @@ def _frequent(indexed: DataFrame, flags: DataFrame, length: int, depth: int, lea
     """``shard, length, part, bits``: which of a shard's phrases of ``length`` words occur ``least`` times in all shards.
 
     Only hashes and counts of phrases are shuffled, and a bit each comes back. Phrases whose hashes are
-    alike are added up, so a bit may be set for too rare a phrase, never the other way round.
+    alike are added up, so a bit may be set for too rare a phrase, never the other way round. The lower half of
+    a hash names its part, the upper half tells the phrases of a part apart, of which there are some millions at
+    any input size. Counts go up to ``least``, which is all that decides.
     """
+    narrow = np.min_scalar_type(max(least, 1))
 
     def report(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _Shard(left, depth)
         *_, level = own.levels(_flags_of(right), length, parts)
         keys = own.keys(level)
-        found = [(k, keys[at].tobytes(), level.count[at].astype(np.int32).tobytes()) for k, at in _by_part(keys, parts)]
+        upper, counts = (keys >> np.uint64(32)).astype(np.uint32), np.minimum(level.count, max(least, 1)).astype(narrow)
+        found = [(k, upper[at].tobytes(), counts[at].tobytes()) for k, at in _by_part(keys, parts)]
         return pa.table(
             {
                 "part": pa.array([k for k, _, _ in found], pa.int32()),
@@ -378,9 +412,9 @@ def _frequent(indexed: DataFrame, flags: DataFrame, length: int, depth: int, lea
         )
 
     def decide(group: pa.Table) -> pa.Table:
-        size = np.array([len(x) // 8 for x in group.column("keys").to_pylist()], np.int64)
-        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32)
+        size = np.array([len(x) // 4 for x in group.column("keys").to_pylist()], np.int64)
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), narrow)
         _, inner = np.unique(keys, return_inverse=True)
         often = (np.bincount(inner, weights=counts) >= least)[inner]
         ends = np.cumsum(size)
@@ -407,7 +441,7 @@ def phrase_counts(
     and extends only phrases that are frequent over all shards, whose other part is frequent too; the
     counts of those are summed exactly by their words.
     """
-    indexed = _bucketed(shards(docs, most_words, shard_words, lang_col, text_col), "shard", "indexes")
+    indexed = _bucketed(shards(docs, shard_words, lang_col, text_col), "shard", "indexes")
     totals = stored(indexed.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     words = totals.agg(F.sum("n")).first()[0] or 0
     parts = int(words // PART_ENTRIES) + 1

@@ -132,3 +132,38 @@ def test_sorted_places_in_one_number_or_by_key():
     found = {tuple(w): n for w, n in zip(pairs.words.tolist(), pairs.count.tolist())}
     both = [(a, b) for a, b in zip(ids[:-1].tolist(), ids[1:].tolist()) if a and b]
     assert found == {p: both.count(p) for p in set(both)}
+
+
+def test_shards_hold_their_words_once(make):
+    """Four bytes a word or separator, in planes, and the index built from them, each direction when it is needed."""
+    ids = np.random.default_rng(3).integers(0, 70_000, 999)
+    data = co.packed_ids(ids)
+    assert data[3 * 999 :] == bytes(999) and (co.unpacked_ids(data) == ids).all()
+    rows = co.shards(make(texts(6, 60)).coalesce(1), shard_words=200).toArrow()
+    assert sum(rows.column("n_words").to_pylist()) == sum(len(w) for r in texts(6, 60) for w in pieces(r[1]))
+    for data, n in zip(rows.column("ids").to_pylist(), rows.column("n_words").to_pylist()):
+        ids = co.unpacked_ids(data)
+        assert ids[0] == ids[-1] == 0 and (ids > 0).sum() == n and len(data) == 4 * len(ids)
+        index, eager = co.TextIndex(ids, 3), co.BidirectionalIndex(co.transform(ids, 3), co.transform(ids[::-1], 3))
+        level, key = co.in_order(index.words(), [])
+        assert not {"forward", "backward"} & set(vars(index))
+        level = index.longer(level, [key])
+        assert "forward" in vars(index) and "backward" not in vars(index)
+        other = eager.longer(eager.words(), [key])
+        assert (level.words == other.words).all() and (level.count == other.count).all()
+        assert all((a == b).all() for a, b in zip(index.neighbours(level), eager.neighbours(other)))
+
+
+def test_reports_are_half_a_hash_and_a_short_count(make, monkeypatch):
+    """Many parts, and counts that need one byte or two."""
+    rows = texts(7, 250)
+    docs = make(rows).repartition(2)
+    monkeypatch.setattr(co, "PART_ENTRIES", 150)
+    for least in (4, 300):
+        assert found(co.collocations(docs, least=least, shard_words=400)) == plain(rows, least=least)
+    keys = np.random.default_rng(8).integers(0, 1 << 63, 1000).astype(np.uint64)
+    dealt = list(co._by_part(keys, 7))
+    assert sorted(np.concatenate([at for _, at in dealt]).tolist()) == list(range(1000))
+    # The part depends on the lower half alone, so that the upper one can tell all phrases of a part apart.
+    high = keys ^ (np.uint64(5) << np.uint64(40))
+    assert all(k == q and (at == other).all() for (k, at), (q, other) in zip(dealt, co._by_part(high, 7)))
