@@ -386,7 +386,7 @@ def _flags_of(rows: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _frequent(indexed: DataFrame, flags: DataFrame, length: int, depth: int, least: int, parts: int) -> DataFrame:
+def _frequent(indexed: DataFrame, flags: DataFrame, length: int, least: int, parts: int) -> DataFrame:
     """``shard, length, part, bits``: which of a shard's phrases of ``length`` words occur ``least`` times in all shards.
 
     Only hashes and counts of phrases are shuffled, and a bit each comes back. Phrases whose hashes are
@@ -397,7 +397,8 @@ def _frequent(indexed: DataFrame, flags: DataFrame, length: int, depth: int, lea
     narrow = np.min_scalar_type(max(least, 1))
 
     def report(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = _Shard(left, depth)
+        # Only intervals of phrases shorter than ``length`` are extended, so the transforms need no deeper sort.
+        own = _Shard(left, max(length - 1, 1))
         *_, level = own.levels(_flags_of(right), length, parts)
         keys = own.keys(level)
         upper, counts = (keys >> np.uint64(32)).astype(np.uint32), np.minimum(level.count, max(least, 1)).astype(narrow)
@@ -448,7 +449,7 @@ def phrase_counts(
     spark = docs.sparkSession
     flags = spark.createDataFrame([], "shard bigint, length int, part int, bits binary")
     for length in range(1, most_words + 1):
-        flags = flags.unionByName(_frequent(indexed, flags, length, most_words, least, parts))
+        flags = flags.unionByName(_frequent(indexed, flags, length, least, parts))
 
     def phrases(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _Shard(left, most_words)
